@@ -26,3 +26,14 @@ def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
     if how in ("inner", "left", "left_semi", "left_anti") and is_small(dim, max_rows):
         return fact.join(F.broadcast(dim), on, how)
     return fact.join(dim, on, how)
+
+
+def join_per_group(fact: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner",
+                   max_groups: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join a table with one row per group back onto the rows of the group.
+    The size check counts distinct group keys of the fact (a cheap, pruned,
+    partially aggregated pass) instead of computing the per-group table
+    twice."""
+    if is_small(fact.select(*keys).distinct(), max_groups):
+        return fact.join(F.broadcast(per_group), keys, how)
+    return fact.join(per_group, keys, how)

@@ -82,6 +82,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 9).cast("int").alias("long_bullets"),
         (F.col("event_id") % 4).cast("int").alias("long_subheadings"),
         F.col("ts"),
+        F.when(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), F.lit("initial"))
+         .otherwise(F.lit("modifiers")).alias("experiment"),
     )
 
 
@@ -92,7 +94,8 @@ SCORES_SQL = """scores AS (
          CAST(event_id % 4 AS INTEGER) AS errors,
          CAST(event_id % 9 AS INTEGER) AS long_bullets,
          CAST(event_id % 4 AS INTEGER) AS long_subheadings,
-         ts
+         ts,
+         CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'initial' ELSE 'modifiers' END AS experiment
   FROM events
 )"""
 
