@@ -1,3 +1,344 @@
-"""Registered queries."""
+"""Registered queries for prompt rendering.
+
+Inputs: the ``runs`` view (text = user turn, prediction = assistant turn,
+title) crossed with approach plans / modifier catalogues by exploding
+literal arrays.  The SQL oracle renders the same catalogue with string
+concatenation, generated from the same fixed templates.
+"""
 
 from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from precis.functions import text as T
+from precis.functions.sql_text import q
+from precis.functions.tokens import WORD_TOKEN
+from precis.operators import prompts as P
+from precis.plans import views
+from precis.plans.registry import register
+
+_SLOT = re.compile(r"\$\{(\w+)\}")
+PLAN_APPROACHES = [p[0] for p in P.APPROACH_PLAN]
+
+
+def _sql_render(tpl: str, slots: dict[str, str]) -> str:
+    parts, pos = [], 0
+    for m in _SLOT.finditer(tpl):
+        if m.start() > pos:
+            parts.append(q(tpl[pos:m.start()]))
+        parts.append(f"coalesce({slots[m.group(1)]}, '')")
+        pos = m.end()
+    if pos < len(tpl):
+        parts.append(q(tpl[pos:]))
+    return "(" + " || ".join(parts or ["''"]) + ")"
+
+
+def _sql_messages(name: str, slots: dict[str, str]) -> list[tuple[str, str]]:
+    msgs = P.CHAT_MESSAGES[name]
+    out = []
+    for i, (role, tpl) in enumerate(msgs):
+        c = _sql_render(tpl, slots)
+        if i == len(msgs) - 1 and name not in P.NO_SUFFIX:
+            c = f"({c} || {q(P.MODIFIER_SUFFIX)})"
+        out.append((role, c))
+    return out
+
+
+def _sql_dialogue(msgs: list[tuple[str, str]]) -> str:
+    return " || ".join(f"{q(r + ':' + chr(10))} || {c} || {q(chr(10) * 2)}" for r, c in msgs)
+
+
+def _sql_case(approach: str, names: list[str], fn) -> str:
+    whens = " ".join(f"WHEN {approach} = {q(n)} THEN {fn(n)}" for n in names)
+    return f"(CASE {whens} END)"
+
+
+def _spark_prompt_arg() -> Column:
+    a = F.col("approach")
+    return (F.when(a == "topic", T.topic_string(F.col("title")))
+             .when(a == "persona", T.persona_context(F.col("title")))
+             .when(a == "description", F.col("title"))
+             .otherwise(F.lit("")))
+
+
+_SQL_PROMPT_ARG = ("(CASE WHEN approach = 'topic' THEN replace(title, ',', ', ') || '.' "
+                   "WHEN approach = 'persona' THEN 'You are an expert on the following topic(s): ' || "
+                   "replace(title, ',', ', ') || '.' WHEN approach = 'description' THEN title ELSE '' END)")
+_SLOTS = {"text": "text", "prompt": "prompt", "ref_text": "''", "ref_summary": "''"}
+
+_GRID_SQL = views.with_ctes(views.RUNS_SQL, body=f"""
+, plan AS (SELECT unnest([{', '.join(q(a) for a in PLAN_APPROACHES)}]) AS approach)
+, g AS (SELECT r.run_id, r.title, r.text, r.prediction, p.approach FROM runs r CROSS JOIN plan p)
+, gp AS (SELECT *, {_SQL_PROMPT_ARG} AS prompt FROM g)""")
+
+
+def _grid(spark, sf):
+    r = views.runs(spark, sf)
+    g = P.approach_grid(r.select("run_id", "title", "text", "prediction"), runs=1)
+    return g.withColumn("prompt", _spark_prompt_arg())
+
+
+@register("render_chat", sql=_GRID_SQL + f"""
+SELECT run_id, approach, {_sql_case('approach', PLAN_APPROACHES,
+                                    lambda n: _sql_dialogue(_sql_messages(n, _SLOTS)))} AS dialogue
+FROM gp""")
+def q_render_chat(spark, sf):
+    """D1 (+D2): every run x the 13 approaches of the main plan, rendered as
+    dialogue text."""
+    g = P.render_prompts(_grid(spark, sf), prompt_col="prompt")
+    return g.select("run_id", "approach", T.dialogue_text(F.col("messages")).alias("dialogue"))
+
+
+_MOD_FAMILIES = ["length", "denseness"]
+
+
+@register("modifier_suffix", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+, m AS (SELECT fam, unnest(mods) AS modifier, CAST(generate_subscripts(mods, 1) - 1 AS INTEGER) AS modifier_no
+        FROM (SELECT unnest([{', '.join(q(f) for f in _MOD_FAMILIES)}]) AS fam,
+                     unnest([{', '.join('[' + ', '.join(q(x) for x in P.MODIFIERS[f]) + ']' for f in _MOD_FAMILIES)}])
+                     AS mods))
+SELECT r.run_id, m.fam AS approach, m.modifier_no,
+       {_sql_messages('length', {'text': 'r.text', 'prompt': 'm.modifier', 'ref_text': "''", 'ref_summary': "''"})[-1][1]}
+         AS last_message
+FROM runs r CROSS JOIN m"""))
+def q_modifier_suffix(spark, sf):
+    """D2 on the modifier grid: last message carries the modifier and the
+    literary/format suffix."""
+    r = views.runs(spark, sf).select("run_id", "text")
+    grids = None
+    for fam in _MOD_FAMILIES:
+        g = P.modifier_grid(r, fam, runs=1)
+        grids = g if grids is None else grids.unionByName(g)
+    msgs = P.chat_messages(F.col("approach"), F.col("text"), F.col("modifier"))
+    return grids.select("run_id", "approach", F.col("modifier_no").cast("int").alias("modifier_no"),
+                        F.element_at(msgs, -1)["content"].alias("last_message"))
+
+
+_COMPLETION_KINDS = ["topic", "persona", "improve", "improve_second", "important_parts",
+                     "important_parts_improve", "important_parts_summary", "template", "paraphrase",
+                     "translate:German"]
+
+
+def _sql_completion(kind: str) -> str:
+    t, p = "text", "prompt"
+    sep = "chr(10)"
+    return {
+        "topic": f"'Summarize the following text into three subheadings with three corresponding bullet points.' || {sep} || {sep} || 'Topic: ###' || {sep} || {p} || {sep} || '###' || {sep} || {sep} || 'Text: ###' || {sep} || {t} || {sep} || '###' || {sep} || {sep} || 'Summary:'",
+        "persona": f"{p} || 'Summarize the text.Text: ###' || {sep} || {t} || {sep} || '###Summary:'",
+        "improve": f"'Summarize the following text into three subheadings with three corresponding bullet points.' || {sep} || 'Text: ###' || {sep} || {t} || {sep} || '###' || {sep} || 'Summary:'",
+        "improve_second": f"'Here is a text and its summary. Please improve the summary.' || {sep} || 'Text: ###' || {sep} || {t} || {sep} || '###' || {sep} || 'Summary: ###' || {sep} || {p} || {sep} || '###'",
+        "important_parts": f"'Find all important parts of the following text.' || {sep} || 'Text: ###' || {sep} || {t} || {sep} || '###'",
+        "important_parts_improve": f"'Here is a text and its important parts. Please improve the important parts.' || {sep} || 'Text: ###' || {sep} || {t} || {sep} || '###' || {sep} || 'Important parts:###' || {sep} || {p} || {sep} || '###'",
+        "important_parts_summary": f"'Here is a text and its important parts. Summarize the content into a three subheadings with three corresponding bullet points.' || {sep} || 'Text: ###' || {sep} || {t} || {sep} || '###Important parts: ###' || {sep} || {p} || {sep} || '###'",
+        "template": (f"{q(chr(0))}"),
+        "paraphrase": f"'Paraphrase the following text: ' || {t} || '. Paraphrased text:'",
+        "translate:German": f"'Translate the following text into German: ' || {t} || {sep} || 'Translation:'",
+    }[kind]
+
+
+def _sql_template_completion() -> str:
+    tpl = ("SUBHEADING\n- BULLET\n- BULLET\n- BULLET\nSUBHEADING\n- BULLET\n- BULLET\n- BULLET\n"
+           "SUBHEADING\n- BULLET\n- BULLET\n- BULLET")
+    head = ("I am going to provide you a template for your output. Everything in all caps is a "
+            "placeholder. The prompts must result in output summaries that follow the template "
+            "format. Template: " + tpl + "\nA sample interaction after the prompt was provided "
+            "is shown below.\n###\nUser: Summarize the text into three subheadings with three "
+            "corresponding bullet points.\nText: ")
+    return (f"{q(head)} || title || {q(chr(10) + 'ChatGPT: ')} || prompt || "
+            f"{q(chr(10) + '###' + chr(10) + 'Summarize text. Text: ')} || text")
+
+
+@register("render_completion", sql=views.with_ctes(views.RUNS_SQL, body="""
+, k AS (SELECT run_id, title, text, prediction AS prompt FROM runs)
+SELECT run_id, kind, prompt_text FROM (
+""" + "\nUNION ALL\n".join(
+    f"SELECT run_id, {q(k)} AS kind, "
+    f"{_sql_template_completion() if k == 'template' else _sql_completion(k)} AS prompt_text FROM k"
+    for k in _COMPLETION_KINDS) + ")"))
+def q_render_completion(spark, sf):
+    """D3: single-string prompts for non-chat models (the second-step kinds
+    take the reply as the prompt argument)."""
+    r = views.runs(spark, sf)
+    arr = F.array(*[F.struct(F.lit(k).alias("kind"), P.completion_prompt(
+        k, F.col("text"), F.col("prediction"), F.col("title"), F.col("prediction")).alias("prompt_text"))
+        for k in _COMPLETION_KINDS])
+    return r.select("run_id", F.inline(arr))
+
+
+_STEP_APPROACHES = ["follow_up_questions", "improve", "step_by_step", "headings_first"]
+
+
+def _sql_step_dialogue(name: str) -> str:
+    msgs = _sql_messages(name, {"text": "text", "prompt": "''", "ref_text": "''", "ref_summary": "''"})
+    role, follow = P.STEPS[(name, 1)]
+    msgs = msgs + [(role, "prediction")] + [(r, q(c)) for r, c in follow]
+    return _sql_dialogue(msgs)
+
+
+@register("multi_turn_step", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+, g AS (SELECT r.run_id, r.text, r.prediction, a.approach FROM runs r CROSS JOIN
+        (SELECT unnest([{', '.join(q(a) for a in _STEP_APPROACHES)}]) AS approach) a)
+SELECT run_id, approach, {_sql_case('approach', _STEP_APPROACHES, _sql_step_dialogue)} AS dialogue FROM g"""))
+def q_multi_turn_step(spark, sf):
+    """Step-1 history of four multi-call approaches, joined with the
+    reply table (here the run's assistant turn), plus the follow-up turn."""
+    r = views.runs(spark, sf)
+    arr = F.array(*[F.lit(a) for a in _STEP_APPROACHES])
+    hist = r.select("run_id", "text", F.explode(arr).alias("approach"))
+    hist = hist.withColumn("messages", P.chat_messages(F.col("approach"), F.col("text")))
+    replies = r.select("run_id", F.lit(1).alias("step"), F.col("prediction").alias("content"))
+    nxt = P.multi_turn_step(hist, replies, step=1)
+    return nxt.select("run_id", "approach", T.dialogue_text(F.col("messages")).alias("dialogue"))
+
+
+_N_EX = 4
+
+
+def _sql_loo() -> str:
+    def drop_first(lst, val):
+        return (f"(CASE WHEN list_position({lst}, {val}) IS NOT NULL AND list_position({lst}, {val}) > 0 "
+                f"THEN list_concat(({lst})[1:list_position({lst}, {val}) - 1], "
+                f"({lst})[list_position({lst}, {val}) + 1:]) ELSE {lst} END)")
+    return views.with_ctes(views.RUNS_SQL, body=f"""
+, head AS (SELECT list(text ORDER BY run_id) AS ins, list(prediction ORDER BY run_id) AS outs
+           FROM (SELECT * FROM runs ORDER BY run_id LIMIT {_N_EX + 1}))
+, loo AS (SELECT r.run_id, r.text, r.prediction,
+                 ({drop_first('h.ins', 'r.text')})[1:{_N_EX}] AS ex_inputs,
+                 ({drop_first('h.outs', 'r.prediction')})[1:{_N_EX}] AS ex_outputs
+          FROM runs r CROSS JOIN head h)""")
+
+
+@register("leave_one_out", sql=_sql_loo() + """
+SELECT run_id, ex_inputs, ex_outputs FROM loo""")
+def q_leave_one_out(spark, sf):
+    """D7 with 4 examples per run."""
+    r = views.runs(spark, sf).select("run_id", "text", "prediction")
+    return P.leave_one_out(r, _N_EX).select("run_id", "ex_inputs", "ex_outputs")
+
+
+def _sql_zip_join(ins, outs, left, right, only_outputs=False):
+    i_expr = "'[Text]'" if only_outputs else f"({ins})[i]"
+    return (f"array_to_string(list_transform(range(1, len({ins}) + 1), lambda i: {q(left)} || {i_expr} || "
+            f"{q(right)} || ({outs})[i] || {q(P.PRIMING_SEPARATOR)}), '')")
+
+
+@register("priming_examples", sql=_sql_loo() + f"""
+SELECT run_id, {q("Summarize the text. " + P.BEST_FORMAT_MODIFIER + ". " + P.LITERARY_MODIFIERS_STRING
+                  + chr(10) + "Following are some good summary examples." + chr(10) + P.PRIMING_SEPARATOR)}
+       || {_sql_zip_join('ex_inputs', 'ex_outputs', 'Text: ', chr(10) + 'Summary: ')}
+       || 'Text: ' || text || chr(10) || 'Summary:' AS prompt
+FROM loo""")
+def q_priming_examples(spark, sf):
+    """In-context prompt from the leave-one-out examples."""
+    r = views.runs(spark, sf).select("run_id", "text", "prediction")
+    loo = P.leave_one_out(r, _N_EX)
+    return loo.select("run_id", P.priming_prompt(F.col("text"), F.col("ex_inputs"), F.col("ex_outputs"))
+                      .alias("prompt"))
+
+
+@register("induction_prompt", sql=_sql_loo() + f"""
+SELECT run_id, {q(P.INDUCE_CONTEXT_OUTPUTS)} || {q(P.PRIMING_SEPARATOR)}
+       || {_sql_zip_join('ex_inputs', 'ex_outputs', 'Input: ', chr(10) + 'Output: ', only_outputs=True)}
+       || 'The instruction was:' AS prompt
+FROM loo""")
+def q_induction_prompt(spark, sf):
+    """D6 (only-outputs variant)."""
+    r = views.runs(spark, sf).select("run_id", "text", "prediction")
+    loo = P.leave_one_out(r, _N_EX)
+    return loo.select("run_id", P.induction_prompt(F.col("ex_inputs"), F.col("ex_outputs"), only_outputs=True)
+                      .alias("prompt"))
+
+
+@register("example_tokens", sql=_sql_loo() + f"""
+SELECT run_id, CAST(coalesce(list_sum(list_transform(list_concat(ex_inputs, ex_outputs),
+       lambda e: len(regexp_extract_all(e, '{WORD_TOKEN}')) + 4)), 0) AS INTEGER) AS example_tokens
+FROM loo""")
+def q_example_tokens(spark, sf):
+    """Sum over the run's examples of tokens + 4."""
+    r = views.runs(spark, sf).select("run_id", "text", "prediction")
+    loo = P.leave_one_out(r, _N_EX)
+    return loo.select("run_id", P.example_tokens(F.array("ex_inputs", "ex_outputs")).alias("example_tokens"))
+
+
+@register("modifier_grid", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+SELECT r.run_id, CAST(m.i - 1 AS INTEGER) AS modifier_no, m.modifier, CAST(k.run_no AS INTEGER) AS run_no
+FROM runs r
+CROSS JOIN (SELECT unnest(l) AS modifier, generate_subscripts(l, 1) AS i
+            FROM (SELECT [{', '.join(q(m) for m in P.MODIFIERS['format'])}] AS l)) m
+CROSS JOIN (SELECT unnest(range(1, 3)) AS run_no) k"""))
+def q_modifier_grid(spark, sf):
+    """Runs x 29 format modifiers x 2 runs."""
+    r = views.runs(spark, sf).select("run_id")
+    g = P.modifier_grid(r, "format", runs=2)
+    return g.select("run_id", F.col("modifier_no").cast("int").alias("modifier_no"), "modifier",
+                    F.col("run_no").cast("int").alias("run_no"))
+
+
+@register("approach_grid", sql=_GRID_SQL + """
+SELECT run_id, approach FROM gp""")
+def q_approach_grid(spark, sf):
+    """Runs x 13 approaches."""
+    return _grid(spark, sf).select("run_id", "approach")
+
+
+@register("paraphrase_prompts", sql=views.with_ctes(views.RUNS_SQL, body="""
+SELECT run_id, 'Paraphrase the following text: ' || text || '. Paraphrased text:' AS paraphrase,
+       'Translate the following text into German: ' || text || chr(10) || 'Translation:' AS to_german,
+       'Translate the following text into English: ' || prediction || chr(10) || 'Translation:' AS back
+FROM runs"""))
+def q_paraphrase_prompts(spark, sf):
+    """Paraphrase, and the two-step translation round trip (the second
+    prompt takes the first reply, here the run's assistant turn)."""
+    r = views.runs(spark, sf)
+    return r.select("run_id",
+                    P.completion_prompt("paraphrase", F.col("text")).alias("paraphrase"),
+                    P.completion_prompt("translate:German", F.col("text")).alias("to_german"),
+                    P.completion_prompt("translate:English", F.col("prediction")).alias("back"))
+
+
+# Judge templates are the caller's text; these short bodies exercise the operator.
+JUDGE_TEMPLATES = {m: f"Rate the {m} of the summary from 1 to 5.\nSource:\n${{text}}\nSummary:\n${{summary}}\nScore:"
+                   for m in P.JUDGE_METRICS}
+
+
+@register("judge_prompts", sql=views.with_ctes(views.RUNS_SQL, body="\nUNION ALL\n".join(
+    f"SELECT run_id, {q(m)} AS metric, "
+    f"{_sql_render(JUDGE_TEMPLATES[m], {'text': 'text', 'summary': 'prediction'})} AS judge_prompt FROM runs"
+    for m in P.JUDGE_METRICS)))
+def q_judge_prompts(spark, sf):
+    """One judge prompt per (run, metric), right templates (compat=False)."""
+    return P.judge_prompts(views.runs(spark, sf), JUDGE_TEMPLATES)
+
+
+@register("template_substitute", sql=views.with_ctes(views.RUNS_SQL, body="""
+SELECT run_id, 'Summary of ' || approach || ': ' || prediction || ' ${missing}' AS filled FROM runs"""))
+def q_template_substitute(spark, sf):
+    """Slots filled from columns; unknown slots stay as written."""
+    r = views.runs(spark, sf)
+    body = F.lit("Summary of ${title}: ${text} ${missing}")
+    return r.select("run_id", P.template_substitute(body, {"title": F.col("approach"),
+                                                           "text": F.col("prediction")}).alias("filled"))
+
+
+def _sql_budget(name: str) -> str:
+    msgs = _sql_messages(name, _SLOTS)
+    def tok(e):
+        return f"len(regexp_extract_all({e}, '{WORD_TOKEN}'))"
+    parts = [f"(4 + {tok(q(r))} + {tok(c)})" for r, c in msgs]
+    return "(" + " + ".join(parts) + " + 3)"
+
+
+@register("token_budget", sql=_GRID_SQL + f"""
+, b AS (SELECT run_id, approach, CAST({_sql_case('approach', PLAN_APPROACHES, _sql_budget)} AS INTEGER) AS n_tokens
+        FROM gp)
+SELECT run_id, approach, n_tokens, CAST(16384 - n_tokens - 3 AS INTEGER) AS max_completion,
+       n_tokens <= 16384 AS within_budget FROM b""")
+def q_token_budget(spark, sf):
+    """D13 on the rendered chat prompts (4 tokens per message)."""
+    g = P.render_prompts(_grid(spark, sf), prompt_col="prompt")
+    return P.token_budget(g).select("run_id", "approach", F.col("n_tokens").cast("int").alias("n_tokens"),
+                                    F.col("max_completion").cast("int").alias("max_completion"),
+                                    "within_budget")
