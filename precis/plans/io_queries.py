@@ -1,3 +1,229 @@
-"""Registered queries."""
+"""Registered queries for sources/sinks (A1-A9), model outputs
+and the metric planner (E19, E20).
+
+Sink queries write a table derived from the driver tables into a fresh
+folder under the shared checkpoint location and read it back, so the check
+sees what a later job would read.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from precis.functions import sql_text as S
+from precis.operators import responses as R
+from precis.operators import entailment, hallucination
+from precis.plans import evaluate as EV
+from precis.plans import views
+from precis.plans.registry import register, rounded
+from precis.session import scratch_path, table
+from precis.sources import files as IO
+from precis.sources import web as W
+
+
+@register("load_gold", sql=f"""
+SELECT CAST(doc_id AS VARCHAR) AS title, source AS topic, {S.clean_summary('text')} AS transcript,
+       {S.clean_summary('text')} AS summary, {S.clean_summary('lang')} AS summary2
+FROM documents""")
+def q_load_gold(spark, sf):
+    """A1: documents written as a ";" gold CSV with quoted multi-line texts,
+    read back with the gold loader (which cleans transcript and summaries)."""
+    docs = table(spark, sf, "documents")
+    gold = docs.select(F.col("doc_id").cast("string").alias("title"), F.col("source").alias("topic"),
+                       F.col("lang").alias("description"), F.col("text").alias("transcript"),
+                       F.col("text").alias("summary"), F.col("lang").alias("summary2"),
+                       F.col("source").alias("summary3"), F.col("text").alias("summary4"))
+    path = scratch_path(spark, "gold")
+    IO.write_gold(gold, path)
+    return IO.read_gold(spark, path).select("title", "topic", "transcript", "summary", "summary2")
+
+
+@register("load_runs", sql=views.with_ctes(views.RUNS_SQL, body="SELECT run_id, approach FROM runs"))
+def q_load_runs(spark, sf):
+    """A2: run CSVs laid out per approach; the approach is read back from
+    the path, not from a column."""
+    r = views.runs(spark, sf).select("run_id", "approach", "prediction")
+    path = scratch_path(spark, "runs-csv")
+    r.write.option("header", True).option("escape", '"').partitionBy("approach").csv(path)
+    schema = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("prediction", T.StringType())])
+    return IO.read_runs_csv(spark, path, schema=schema).select("run_id", "approach")
+
+
+@register("append_runs", sql=views.with_ctes(views.SCORES_SQL, body="""
+SELECT approach, count(*) AS n FROM scores WHERE experiment = 'initial' GROUP BY approach"""))
+def q_append_runs(spark, sf):
+    """A3: append partitioned by (experiment, approach); the read prunes to
+    one experiment by folder."""
+    path = scratch_path(spark, "runs")
+    IO.append_runs(views.scores(spark, sf).select("run_id", "approach", "experiment", "metric"), path)
+    back = IO.read_runs(spark, path).filter(F.col("experiment") == "initial")
+    return back.groupBy("approach").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("append_corpus", sql="SELECT page_id, url FROM pages")
+def q_append_corpus(spark, sf):
+    """A4: corpus rows appended twice; the second append adds nothing."""
+    corpus = W.extract_corpus(table(spark, sf, "pages"), container="nav").join(
+        table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    path = scratch_path(spark, "corpus")
+    IO.append_corpus(corpus, path, key="url")
+    IO.append_corpus(corpus, path, key="url")
+    return spark.read.parquet(path).select("page_id", "url")
+
+
+@register("append_url_list", sql="""
+WITH l AS (SELECT regexp_extract_all(html, '(?s)<li[^>]*>\\s*<a[^>]*href="([^"]*)"', 1) AS hrefs FROM pages)
+SELECT replace(CASE WHEN starts_with(h, '/') THEN 'https://www.ted.com' || h ELSE h END, '?language=en', '')
+       || '/transcript' AS value
+FROM (SELECT unnest(hrefs) AS h FROM l)""")
+def q_append_url_list(spark, sf):
+    """A5: wanted transcript URLs appended as text lines and read back."""
+    links = W.page_links(table(spark, sf, "pages")).select(W.transcript_url(F.col("href")).alias("url"))
+    path = scratch_path(spark, "urls")
+    IO.append_url_list(links, path)
+    return spark.read.text(path)
+
+
+@register("run_row", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+SELECT run_id, CASE WHEN approach = 'a0' THEN 'text_completion' ELSE 'chat_completion' END AS kind,
+       CASE WHEN approach = 'a0' THEN prediction ELSE {S.clean_prediction('prediction')} END AS prediction,
+       'stop' AS finish_reason, 'gpt-3.5-turbo-16k' AS model, 0.3 AS temperature
+FROM runs"""))
+def q_run_row(spark, sf):
+    """Responses -> run rows; chat replies cleaned, completions kept."""
+    r = views.runs(spark, sf)
+    resp = r.select("run_id", F.lit(0).alias("choice_idx"),
+                    F.when(F.col("approach") == "a0", "text_completion").otherwise("chat_completion").alias("kind"),
+                    F.col("prediction").alias("content"), F.lit("stop").alias("finish_reason"))
+    rows = R.run_rows(r.select("run_id"), resp, R.config_struct("gpt-3.5-turbo-16k"))
+    return rows.select("run_id", "kind", "prediction", "finish_reason",
+                       F.col("config.model").alias("model"), F.col("config.temperature").alias("temperature"))
+
+
+@register("conform_schema", sql=views.with_ctes(views.RUNS_SQL, body="""
+SELECT run_id, approach, title, prediction, CAST(0 AS INTEGER) AS num_examples, 0.0 AS slor,
+       CAST(0 AS INTEGER) AS errors, '' AS finish_reason, CAST(NULL AS VARCHAR) AS experiment FROM runs"""))
+def q_conform_schema(spark, sf):
+    """Runs conformed to the run-row schema (defaults filled, unknown
+    columns dropped)."""
+    c = R.conform(views.runs(spark, sf).withColumn("unknown_col", F.lit(1)))
+    return c.select("run_id", "approach", "title", "prediction", "num_examples", "slor", "errors",
+                    "finish_reason", "experiment")
+
+
+@register("export_markdown", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+SELECT run_id, '## ' || title || array_to_string(list_transform(string_split(prediction, chr(10)),
+       lambda line, i: CASE WHEN i IN (1, 5, 9) THEN chr(10) || chr(10) || '**' || {S.py_strip('line')} || '**' || chr(10)
+                            ELSE chr(10) || '- ' || line END), '') AS markdown
+FROM runs"""))
+def q_export_markdown(spark, sf):
+    """The markdown page of every run's summary."""
+    r = views.runs(spark, sf)
+    return r.select("run_id", IO.export_markdown(r).alias("markdown"))
+
+
+@register("human_ratings_load", sql=views.with_ctes(views.RATINGS_SQL, body="""
+SELECT row_idx AS "row", rater, quality AS oq, toxic AS gr FROM ratings"""))
+def q_human_ratings_load(spark, sf):
+    """One ";" file set per rater, concatenated, rater from the path."""
+    rt = views.ratings(spark, sf).select(F.col("row_idx").alias("row"), "rater",
+                                         F.col("quality").alias("oq"), F.col("toxic").alias("gr"))
+    path = scratch_path(spark, "ratings")
+    rt.write.option("sep", ";").option("header", True).partitionBy("rater").csv(path)
+    return IO.read_ratings(spark, [path]).select("row", "rater", "oq", "gr")
+
+
+_PROMPTS_SQL = """
+WITH p AS (SELECT conv_id * 1000 + turn + 1 AS run_id, text FROM conversations WHERE role = 'user')
+, r AS (SELECT conv_id * 1000 + turn AS run_id, text AS reply FROM conversations WHERE role = 'assistant')
+"""
+
+
+def _prompts_replies(spark, sf):
+    conv = table(spark, sf, "conversations")
+    prompts = conv.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("run_id"), "text")
+    replies = conv.filter(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"), F.col("text").alias("reply"))
+    return prompts, replies
+
+
+@register("attach_responses", sql=_PROMPTS_SQL + """
+SELECT p.run_id, r.reply IS NOT NULL AS answered, r.reply FROM p LEFT JOIN r USING (run_id)""")
+def q_attach_responses(spark, sf):
+    """G1: user turns as prompts, assistant turns as their responses."""
+    prompts, replies = _prompts_replies(spark, sf)
+    answered, _ = R.attach_responses(prompts, replies)
+    return answered.select("run_id", F.col("reply").isNotNull().alias("answered"), "reply")
+
+
+@register("pending_prompts", sql=_PROMPTS_SQL + """
+SELECT run_id FROM p WHERE run_id NOT IN (SELECT run_id FROM r)""")
+def q_pending_prompts(spark, sf):
+    """G1: prompts still without a response (left anti)."""
+    prompts, replies = _prompts_replies(spark, sf)
+    return R.attach_responses(prompts, replies)[1].select("run_id")
+
+
+@register("first_choice", sql=views.with_ctes(views.RESPONSES_SQL, body="""
+SELECT run_id, metric, reply FROM responses WHERE choice_idx = 0"""))
+def q_first_choice(spark, sf):
+    """G2 (generation keeps choice 0)."""
+    return R.first_choice(views.responses(spark, sf)).select("run_id", "metric", "reply")
+
+
+@register("all_choices", sql=views.with_ctes(views.RESPONSES_SQL, body="""
+SELECT run_id, metric, list(reply ORDER BY choice_idx) AS choices FROM responses GROUP BY run_id, metric"""))
+def q_all_choices(spark, sf):
+    """G2 (judging keeps all n choices, in order)."""
+    return R.all_choices(views.responses(spark, sf), ("run_id", "metric"), col="reply")
+
+
+_EVAL_SQL = views.with_ctes(views.RUNS_SQL, body=f"""
+, seg AS (SELECT run_id, text, prediction,
+                 CASE WHEN len(string_split(prediction, '.')) = 12 THEN string_split(prediction, '.')
+                      ELSE string_split(prediction, chr(10)) END AS s FROM runs)
+, k AS (SELECT run_id, text, prediction, CAST(len(s) = 12 AS INTEGER) AS three_by_three, s[1:12] AS kept FROM seg)
+, h AS (SELECT *, list_filter(kept, lambda x, i: (i - 1) % 4 = 0) AS subs FROM k)
+, tr AS (SELECT run_id, text, three_by_three,
+                CAST(len(list_filter(subs, lambda x: length(x) > 40)) AS INTEGER) AS long_subheadings,
+                CAST(len(list_filter(kept, lambda x: NOT list_contains(subs, x) AND length(x) > 60)) AS INTEGER)
+                  AS long_bullets,
+                CASE WHEN three_by_three = 1 THEN prediction ELSE array_to_string(kept, chr(10)) END AS prediction
+         FROM h)
+, lines AS (SELECT run_id, unnest(string_split(prediction, chr(10))) AS line FROM tr)
+, ent AS (SELECT run_id,
+            avg(CAST(pc >= pn AND pc >= pe AS DOUBLE)) AS contradiction_ratio,
+            avg(CAST(pn > pc AND pn >= pe AND pc > pe AS DOUBLE)) AS neutral_contradiction_ratio
+          FROM (SELECT run_id, (length(line) % 7) / ((length(line) % 7) + (length(line) % 5) + (length(line) % 3) + 1.0) AS pc,
+                       (length(line) % 5) / ((length(line) % 7) + (length(line) % 5) + (length(line) % 3) + 1.0) AS pn,
+                       ((length(line) % 3) + 1.0) / ((length(line) % 7) + (length(line) % 5) + (length(line) % 3) + 1.0) AS pe
+                FROM lines) GROUP BY run_id)
+SELECT tr.run_id, three_by_three, long_subheadings, long_bullets, prediction,
+       {hallucination.sql_count('text', 'prediction')} AS number_hallucinations,
+       round(contradiction_ratio, 6) AS contradiction_ratio,
+       round(neutral_contradiction_ratio, 6) AS neutral_contradiction_ratio
+FROM tr LEFT JOIN ent USING (run_id)""")
+
+
+@register("metric_subset", sql=_EVAL_SQL)
+def q_metric_subset(spark, sf):
+    """Format check + truncation, then only the requested metrics
+    (numeric hallucinations, entailment ratios) on the truncated text."""
+    inp = EV.Inputs(nli_scorer=entailment.length_scorer)
+    out = EV.evaluate(views.runs(spark, sf), ["format", "number_hallucination", "entailment"], inp)
+    return rounded(out)
+
+
+@register("reevaluate", sql=_EVAL_SQL.replace("FROM tr LEFT JOIN ent USING (run_id)",
+                                              "FROM tr LEFT JOIN ent USING (run_id) "
+                                              "WHERE tr.run_id NOT IN (SELECT event_id FROM events)"))
+def q_reevaluate(spark, sf):
+    """Re-score only runs not already scored (the ids present in the
+    events table stand for the runs already done)."""
+    done = table(spark, sf, "events").select(F.col("event_id").alias("run_id"))
+    inp = EV.Inputs(nli_scorer=entailment.length_scorer)
+    out = EV.reevaluate(views.runs(spark, sf), done, ["number_hallucination", "entailment"], inp)
+    return rounded(out)
+
