@@ -39,7 +39,8 @@ def parse_score(reply: Column, lo: int = 1, hi: int = 5) -> Column:
     """Integer score of one reply, clipped to [lo, hi]; NULL when unusable."""
     w = _words(reply)
     raw = F.coalesce(_parse(F.get(w, 0)), _parse(F.get(w, F.size(w) - 1)))
-    return F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)).cast("int")
+    # greatest/least skip NULLs, so an unusable reply must stay NULL explicitly
+    return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi))).cast("int")
 
 
 def judge_distribution(replies: DataFrame, lo: int = 1, hi: int = 5,
@@ -75,4 +76,5 @@ def sql_parse_score(reply: str, lo: int = 1, hi: int = 5) -> str:
 
     first = f"({words})[1]"
     last = f"({words})[len({words})]"
-    return f"CAST(least(greatest(coalesce({parse(first)}, {parse(last)}), {lo}), {hi}) AS INTEGER)"
+    raw = f"coalesce({parse(first)}, {parse(last)})"
+    return f"CAST(CASE WHEN {raw} IS NOT NULL THEN least(greatest({raw}, {lo}), {hi}) END AS INTEGER)"
