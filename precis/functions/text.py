@@ -82,9 +82,10 @@ def is_note_line(line: Column) -> Column:
     return cond
 
 
-def strip_prefix_words(line: Column) -> Column:
-    """Remove the first matching prefix (ordered, case-insensitive, once)."""
-    low = F.lower(line)
+def strip_prefix_words(line: Column, low: Column | None = None) -> Column:
+    """Remove the first matching prefix (ordered, case-insensitive, once).
+    ``low`` may pass a precomputed lower-case form of ``line``."""
+    low = F.lower(line) if low is None else low
     expr = None
     for p in PREFIXES:
         cut = line.substr(F.lit(len(p) + 1), F.greatest(F.length(line), F.lit(1)))
@@ -93,12 +94,16 @@ def strip_prefix_words(line: Column) -> Column:
     return expr.otherwise(line)
 
 
+def _cut_numbered(s: Column) -> Column:
+    cut = F.btrim(s.substr(F.instr(s, ".") + 2, F.greatest(F.length(s), F.lit(1))), F.lit(LINE_TRIM))
+    return F.when(s.rlike(r"^\p{Nd}[.:]"), cut).otherwise(s)
+
+
 def strip_line(line: Column) -> Column:
     """Prefix words off, LF removed, trim " -.*:"; a "<digit>." or
     "<digit>:" start is cut after the first "." plus one character."""
     s = F.btrim(F.replace(strip_prefix_words(line), F.lit("\n"), F.lit("")), F.lit(LINE_TRIM))
-    cut = F.btrim(s.substr(F.instr(s, ".") + 2, F.greatest(F.length(s), F.lit(1))), F.lit(LINE_TRIM))
-    return F.when(s.rlike(r"^\p{Nd}[.:]"), cut).otherwise(s)
+    return _cut_numbered(s)
 
 
 def strip_suffix(line: Column) -> Column:
@@ -109,13 +114,28 @@ def strip_suffix(line: Column) -> Column:
              .otherwise(line))
 
 
+def prefix_stripped_lines(lines: Column) -> Column:
+    """C5 over an array of lines.  Lambda bodies are interpreted and do not
+    share subexpressions, so the work is staged: each stage computes its
+    value once and the next stage reads it through the lambda variable."""
+    with_low = F.transform(lines, lambda x: F.struct(x.alias("x"), F.lower(x).alias("l")))
+    return F.transform(with_low, lambda p: strip_prefix_words(p["x"], p["l"]))
+
+
+def stripped_lines(lines: Column, suffix: bool = True) -> Column:
+    """C6 (+ C7) over an array of lines, staged (see prefix_stripped_lines)."""
+    s = F.transform(prefix_stripped_lines(lines),
+                    lambda x: F.btrim(F.replace(x, F.lit("\n"), F.lit("")), F.lit(LINE_TRIM)))
+    s = F.transform(s, _cut_numbered)
+    return F.transform(s, strip_suffix) if suffix else s
+
+
 def clean_prediction(text: Column) -> Column:
     """Normalise a model's summary into clean lines."""
     lines = F.split(remove_empty_lines(text), "\n", -1)
     kept = F.when(is_note_line(F.element_at(lines, -1)),
                   F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    cleaned = F.transform(kept, lambda x: strip_suffix(strip_line(x)))
-    return remove_empty_lines(F.array_join(F.filter(cleaned, lambda x: F.length(x) > 2), "\n"))
+    return remove_empty_lines(F.array_join(F.filter(stripped_lines(kept), lambda x: F.length(x) > 2), "\n"))
 
 
 def topic_string(topics: Column) -> Column:

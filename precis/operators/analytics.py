@@ -41,6 +41,14 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def stable_round(c: Column, places: int) -> Column:
+    """Half-even rounding of an aggregated double that does not depend on
+    summation order: the value is first fixed to 9 decimals (far below the
+    displayed precision, far above float noise), then rounded exactly as a
+    decimal."""
+    return F.bround(F.round(c, 9).cast("decimal(38,9)"), places).cast("double")
+
+
 def _not_nan(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c))
 
@@ -186,7 +194,7 @@ def title_difficulty(df: DataFrame, metric: str, title: str = "title", key: str
     per = df.groupBy(title).agg(F.avg(metric).alias("m"), F.min(key).alias("first"))
     idx = row_index(per, ["first"])
     return idx.select(F.concat(F.col("idx").cast("string"), F.lit(": "), F.col(title)).alias("talk"),
-                      F.bround("m", places).alias("score"))
+                      stable_round(F.col("m"), places).alias("score"))
 
 
 def positional_pattern(df: DataFrame, row_col: str = "row_idx", patterns: list[str] | None = None,

@@ -22,31 +22,51 @@ _DIG = "[0-9](_?[0-9])*"
 FLOAT_RE = rf"^[+-]?({_DIG}(\.({_DIG})?)?|\.{_DIG})([eE][+-]?{_DIG})?$"
 
 
-def _words(reply: Column) -> Column:
-    return F.filter(F.split(reply, f"{WS}+", -1), lambda w: F.length(w) > 0)
+_NWS = "[^" + WS[1:-1] + "]"
+FIRST_WORD = f"^{WS}*({_NWS}+)"
 
 
-def _parse(word: Column) -> Column:
-    d = F.when(word.rlike(FLOAT_RE),
-               F.replace(word, F.lit("_"), F.lit("")).try_cast("double"))
-    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
-    clipped = F.least(F.greatest(d, F.lit(-10.0)), F.lit(10.0))
-    trunc = F.when(clipped >= 0, F.floor(clipped)).otherwise(F.ceil(clipped))
-    return F.when(finite, trunc)
+def _first_word(reply: Column) -> Column:
+    return F.regexp_extract(reply, FIRST_WORD, 1)
+
+
+def _last_word(reply: Column) -> Column:
+    # anchored match on the reversed text: linear, no backtracking scan
+    return F.reverse(F.regexp_extract(F.reverse(reply), FIRST_WORD, 1))
 
 
-def parse_score(reply: Column, lo: int = 1, hi: int = 5) -> Column:
-    """Integer score of one reply, clipped to [lo, hi]; NULL when unusable."""
-    w = _words(reply)
-    raw = F.coalesce(_parse(F.get(w, 0)), _parse(F.get(w, F.size(w) - 1)))
+def _to_double(word: Column) -> Column:
+    return F.when(word.rlike(FLOAT_RE), F.replace(word, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def _to_int(d: Column) -> Column:
+    """int() of a finite double (toward zero); NULL for NULL/NaN/inf."""
+    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
+    clipped = F.least(F.greatest(d, F.lit(-10.0)), F.lit(10.0))
+    return F.when(finite, F.when(clipped >= 0, F.floor(clipped)).otherwise(F.ceil(clipped)))
+
+
+def with_scores(replies: DataFrame, reply_col: str = "reply", lo: int = 1, hi: int = 5,
+                out: str = "score") -> DataFrame:
+    """Adds the integer score of each reply, clipped to [lo, hi]; NULL when
+    unusable.  Staged projections: each intermediate (words, doubles) is a
+    column computed once, instead of one deep expression in which the parse
+    would be repeated inside every conditional branch."""
+    r = F.col(reply_col)
+    step = replies.withColumn("__w1", _first_word(r)).withColumn("__w2", _last_word(r))
+    step = step.withColumn("__d1", _to_double(F.col("__w1"))).withColumn("__d2", _to_double(F.col("__w2")))
+    step = step.withColumn("__raw", F.coalesce(_to_int(F.col("__d1")), _to_int(F.col("__d2"))))
+    raw = F.col("__raw")
     # greatest/least skip NULLs, so an unusable reply must stay NULL explicitly
-    return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi))).cast("int")
+    step = step.withColumn(out, F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
+                           .cast("int"))
+    return step.drop("__w1", "__w2", "__d1", "__d2", "__raw")
 
 
 def judge_distribution(replies: DataFrame, lo: int = 1, hi: int = 5,
                        keys: tuple[str, ...] = ("run_id", "metric")) -> DataFrame:
     """E18 -> keys + s{lo..hi} counts + n_received + n_discarded."""
-    scored = replies.select(*keys, parse_score(F.col("reply"), lo, hi).alias("score"))
+    scored = with_scores(replies.select(*keys, "reply"), "reply", lo, hi).select(*keys, "score")
     aggs = [F.count(F.when(F.col("score") == k, 1)).alias(f"s{k}") for k in range(lo, hi + 1)]
     return scored.groupBy(*keys).agg(
         *aggs, F.count(F.lit(1)).alias("n_received"),
@@ -66,7 +86,6 @@ def judge_score(replies: DataFrame, n_requested: int = 20, lo: int = 1, hi: int
 
 
 def sql_parse_score(reply: str, lo: int = 1, hi: int = 5) -> str:
-    words = f"list_filter(regexp_split_to_array({reply}, '{WS}+'), lambda w: length(w) > 0)"
 
     def parse(w):
         d = f"(CASE WHEN regexp_matches({w}, '{FLOAT_RE}') THEN TRY_CAST(replace({w}, '_', '') AS DOUBLE) END)"
@@ -74,7 +93,7 @@ def sql_parse_score(reply: str, lo: int = 1, hi: int = 5) -> str:
         return (f"(CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND abs({d}) < 'inf'::DOUBLE "
                 f"THEN (CASE WHEN {c} >= 0 THEN floor({c}) ELSE ceil({c}) END) END)")
 
-    first = f"({words})[1]"
-    last = f"({words})[len({words})]"
+    first = f"regexp_extract({reply}, '{FIRST_WORD}', 1)"
+    last = f"reverse(regexp_extract(reverse({reply}), '{FIRST_WORD}', 1))"
     raw = f"coalesce({parse(first)}, {parse(last)})"
     return f"CAST(CASE WHEN {raw} IS NOT NULL THEN least(greatest({raw}, {lo}), {hi}) END AS INTEGER)"

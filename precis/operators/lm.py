@@ -27,10 +27,18 @@ def line_tokens(text: Column) -> Column:
     return F.concat(F.array(F.lit(START)), word_tokens(F.lower(text)))
 
 
+def bigrams(t: Column) -> Column:
+    """(prev, token) pairs of a token array, built in one linear pass (the
+    array itself is not copied into every exploded row)."""
+    n = F.size(t)
+    return F.when(n > 1, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
+                                    lambda a, b: F.struct(a.alias("prev"), b.alias("token"))))\
+        .otherwise(F.array().cast("array<struct<prev:string,token:string>>"))
+
+
 def _positions(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     toks = df.select(*keys, line_tokens(F.col(text_col)).alias("t"))
-    return toks.select(*keys, F.posexplode("t").alias("pos", "token"), "t").filter(F.col("pos") > 0) \
-        .select(*keys, "pos", "token", F.element_at("t", F.col("pos")).alias("prev"))
+    return toks.select(*keys, F.inline(bigrams(F.col("t"))))
 
 
 def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int]:
@@ -40,9 +48,8 @@ def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFram
         .filter(F.length("line") > 0)
     toks = lines.select(line_tokens(F.col("line")).alias("t"))
     uni = toks.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cu"))
-    pos = toks.select(F.posexplode("t").alias("pos", "token"), "t").filter(F.col("pos") > 0) \
-        .select(F.element_at("t", F.col("pos")).alias("prev"), "token")
-    bi = pos.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb"))
+    bi = toks.select(F.inline(bigrams(F.col("t")))).groupBy("prev", "token") \
+        .agg(F.count(F.lit(1)).alias("cb"))
     stats = uni.filter(F.col("token") != START).agg(
         F.sum("cu").alias("n"), F.count(F.lit(1)).alias("v")).first()
     return uni, bi, int(stats["n"] or 0), int(stats["v"] or 0)

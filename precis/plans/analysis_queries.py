@@ -170,7 +170,7 @@ def q_top1_per_group(spark, sf):
 @register("title_difficulty", sql=_w(SC, body="""
 , p AS (SELECT title, avg(metric) AS m, min(run_id) AS first FROM scores GROUP BY title)
 SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR) || ': ' || title AS talk,
-       round_even(m, 3) AS score FROM p"""))
+       CAST(round_even(CAST(round(m, 9) AS DECIMAL(38,9)), 3) AS DOUBLE) AS score FROM p"""))
 def q_title_difficulty(spark, sf):
     return A.title_difficulty(views.scores(spark, sf), "metric")
 

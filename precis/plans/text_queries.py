@@ -58,12 +58,15 @@ def q_note_line(spark, sf):
 @register("strip_prefix_words",
           sql=f"SELECT doc_id, {S.per_line('text', S.strip_prefix_words)} AS text FROM documents")
 def q_strip_prefix_words(spark, sf):
-    return _docs(spark, sf).select("doc_id", _per_line("text", T.strip_prefix_words).alias("text"))
+    lines = F.split("text", "\n", -1)
+    return _docs(spark, sf).select("doc_id", F.array_join(T.prefix_stripped_lines(lines), "\n").alias("text"))
 
 
 @register("strip_line", sql=f"SELECT doc_id, {S.per_line('text', S.strip_line)} AS text FROM documents")
 def q_strip_line(spark, sf):
-    return _docs(spark, sf).select("doc_id", _per_line("text", T.strip_line).alias("text"))
+    lines = F.split("text", "\n", -1)
+    return _docs(spark, sf).select("doc_id", F.array_join(T.stripped_lines(lines, suffix=False), "\n")
+                                   .alias("text"))
 
 
 @register("strip_suffix", sql=f"SELECT doc_id, {S.per_line('text', S.strip_suffix)} AS text FROM documents")

@@ -61,8 +61,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give per-row work enough tasks.  A scan yields one task per file split
+    / row group; inputs stored as a few large row groups leave most cores
+    idle during the text work before the first shuffle.  Only then is the
+    frame repartitioned (round robin) to the cluster's default parallelism;
+    a scan that is already wide (the normal case at scale) is returned
+    untouched, with no extra shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -36,6 +36,8 @@ def test_format_check_vectors(spark):
     ("the first of them", "the 1 of them", 0),
     ("twenty-one guns", "21 guns", 0),
     ("no digits", "no digits", 0),
+    ("cats", "the first cat", 0),
+    ("cats", "forty-first cat", 1),
 ])
 def test_number_hallucinations(spark, src, cand, want):
     df = spark.createDataFrame([(1, src, cand)], "run_id long, text string, prediction string")
