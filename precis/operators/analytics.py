@@ -17,6 +17,7 @@ from precis.functions import text as T
 from precis.functions.tokens import sentences, word_tokens
 from precis.plans.joins import join_dim, join_per_group
 from precis.plans.ordinal import row_index
+from precis.plans.quantiles import quantiles
 
 # Metric codes and their readable names.
 METRIC_LABELS = {
@@ -65,10 +66,12 @@ def union_labelled(frames: dict[str, DataFrame], label: str = "approach") -> Dat
 def metric_summary(df: DataFrame, by, metric: str) -> DataFrame:
     """mean, median, max, min, sample std of a metric per group
     (NaN treated as missing, like pandas)."""
+    keys = _keys(by)
     m = F.when(_not_nan(metric), F.col(metric))
-    return df.groupBy(*_keys(by)).agg(
-        F.avg(m).alias("mean"), F.median(m).alias("median"), F.max(m).alias("max"),
-        F.min(m).alias("min"), F.stddev_samp(m).alias("std"))
+    agg = df.groupBy(*keys).agg(F.avg(m).alias("mean"), F.max(m).alias("max"),
+                                F.min(m).alias("min"), F.stddev_samp(m).alias("std"))
+    med = quantiles(df, metric, keys, [0.5]).select(*keys, F.col("q")[0].alias("median"))
+    return agg.join(med, keys, "left").select(*keys, "mean", "median", "max", "min", "std")
 
 
 def box_stats(df: DataFrame, by, metric: str, whisker: float = 1.5,
@@ -79,9 +82,13 @@ def box_stats(df: DataFrame, by, metric: str, whisker: float = 1.5,
     -> (stats, outliers)."""
     keys = _keys(by)
     data = df.select(*keys, F.col(metric).alias("v")).filter(_not_nan("v"))
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    pct = F.percentile_approx("v", qs, accuracy) if approx else F.percentile("v", qs)
-    quart = data.groupBy(*keys).agg(pct.alias("q"), F.count(F.lit(1)).alias("n")).select(
+    if approx:
+        qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        quart = data.groupBy(*keys).agg(F.percentile_approx("v", qs, accuracy).alias("q"),
+                                        F.count(F.lit(1)).alias("n"))
+    else:
+        quart = quantiles(data, "v", keys, [0.25, 0.5, 0.75])
+    quart = quart.select(
         *keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
@@ -104,10 +111,11 @@ def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("x")).select("x.column", "x.v").filter(_not_nan("v"))
-    p = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column").agg(
+    agg = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), p.alias("p"), F.max("v").alias("max")).select(
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    p = quantiles(long, "v", ["column"], [0.25, 0.5, 0.75], out="p")
+    return agg.join(p, "column").select(
         "column", "count", "mean", "std", "min", F.col("p")[0].alias("p25"),
         F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"), "max")
 

@@ -63,3 +63,16 @@ def test_histogram_counts(spark):
     df = spark.createDataFrame([(float(v),) for v in range(11)], "metric double")
     h = {r["bin"]: r["count"] for r in A.histogram(df, "metric").collect()}
     assert sum(h.values()) == 11 and h[9] == 2 and len(h) == 10
+
+
+def test_quantiles_both_strategies_agree(spark, sf):
+    from precis.plans.quantiles import quantiles
+    s = views.scores(spark, sf)
+    small = {r["approach"]: [round(x, 9) for x in r["q"]] for r in
+             quantiles(s, "metric", ["approach"], [0.25, 0.5, 0.75]).collect()}
+    big = {r["approach"]: [round(x, 9) for x in r["q"]] for r in
+           quantiles(s, "metric", ["approach"], [0.25, 0.5, 0.75], max_group_rows=10).collect()}
+    assert small == big
+    g1 = quantiles(s, "metric", [], [0.5]).first()["q"][0]
+    g2 = quantiles(s, "metric", [], [0.5], max_group_rows=10).first()["q"][0]
+    assert abs(g1 - g2) < 1e-9
