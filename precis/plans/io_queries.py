@@ -88,7 +88,7 @@ def q_append_url_list(spark, sf):
 @register("run_row", sql=views.with_ctes(views.RUNS_SQL, body=f"""
 SELECT run_id, CASE WHEN approach = 'a0' THEN 'text_completion' ELSE 'chat_completion' END AS kind,
        CASE WHEN approach = 'a0' THEN prediction ELSE {S.clean_prediction('prediction')} END AS prediction,
-       'stop' AS finish_reason, 'gpt-3.5-turbo-16k' AS model, 0.3 AS temperature
+       'stop' AS finish_reason, 'gpt-3.5-turbo-16k' AS model, CAST(0.3 AS DOUBLE) AS temperature
 FROM runs"""))
 def q_run_row(spark, sf):
     """Responses -> run rows; chat replies cleaned, completions kept."""
@@ -102,7 +102,7 @@ def q_run_row(spark, sf):
 
 
 @register("conform_schema", sql=views.with_ctes(views.RUNS_SQL, body="""
-SELECT run_id, approach, title, prediction, CAST(0 AS INTEGER) AS num_examples, 0.0 AS slor,
+SELECT run_id, approach, title, prediction, CAST(0 AS INTEGER) AS num_examples, CAST(0.0 AS DOUBLE) AS slor,
        CAST(0 AS INTEGER) AS errors, '' AS finish_reason, CAST(NULL AS VARCHAR) AS experiment FROM runs"""))
 def q_conform_schema(spark, sf):
     """Runs conformed to the run-row schema (defaults filled, unknown

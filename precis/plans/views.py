@@ -62,7 +62,7 @@ def refs(spark: SparkSession, sf_dir: str, run_df: DataFrame | None = None) -> D
 
 
 REFS_SQL = """refs AS (
-  SELECT r.run_id, k.k AS ref_no, b.item_id, b.text AS reference
+  SELECT r.run_id, CAST(k.k AS INTEGER) AS ref_no, b.item_id, b.text AS reference
   FROM runs r
   CROSS JOIN (SELECT unnest(range(0, 4)) AS k) k
   JOIN benchmark b ON b.item_id = (r.run_id + k.k) % (SELECT count(*) FROM benchmark)
