@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import word_tokens
+from pyspark import StorageLevel
 
 START = "<s>"
 
@@ -43,15 +44,22 @@ def _positions(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int]:
     """-> (unigrams(token, cu), bigrams(prev, token, cb), N tokens, V types).
-    Every corpus line starts with the start marker."""
+
+    The corpus is tokenised once, into bigram counts (every line starts with
+    the start marker); the bigram table is persisted (memory, spilling to
+    disk; a lost block is recomputed from its short lineage) and the unigram
+    counts are derived from it: a token's count is the sum of its bigram
+    counts, the start marker's count is the number of non-empty lines."""
     lines = corpus.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")) \
         .filter(F.length("line") > 0)
-    toks = lines.select(line_tokens(F.col("line")).alias("t"))
-    uni = toks.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("cu"))
-    bi = toks.select(F.inline(bigrams(F.col("t")))).groupBy("prev", "token") \
-        .agg(F.count(F.lit(1)).alias("cb"))
-    stats = uni.filter(F.col("token") != START).agg(
-        F.sum("cu").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    pairs = lines.select(F.inline(bigrams(line_tokens(F.col("line")))))
+    bi = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    n_lines = lines.count()
+    words = bi.groupBy("token").agg(F.sum("cb").alias("cu"))
+    stats = words.agg(F.sum("cu").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    uni = words.unionByName(
+        words.sparkSession.createDataFrame([(START, n_lines)], "token string, cu long"))
     return uni, bi, int(stats["n"] or 0), int(stats["v"] or 0)
 
 

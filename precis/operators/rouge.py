@@ -82,13 +82,27 @@ def _fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference",
+                     ref_key: str | None = None, out: str = "t") -> DataFrame:
+    """(run_id, ref_no, tokens).  References are usually shared by many runs
+    (the gold summaries of a talk); with ``ref_key`` each distinct reference
+    is tokenised once and the tokens are joined back on the key."""
+    if ref_key is None:
+        return refs.select("run_id", "ref_no", tokens_of(F.col(ref_col)).alias(out))
+    distinct = refs.select(ref_key, ref_col).dropDuplicates([ref_key])
+    toks = distinct.select(ref_key, tokens_of(F.col(ref_col)).alias(out))
+    # a derived table: AQE broadcasts it at runtime when its real size is small
+    return refs.select("run_id", "ref_no", ref_key).join(toks, ref_key).drop(ref_key)
+
+
 def rouge_n(cands: DataFrame, refs: DataFrame, ns: tuple[int, ...] = (1, 2),
             stem: bool = False, cand_col: str = "prediction",
-            ref_col: str = "reference", preprocess: bool = True) -> DataFrame:
+            ref_col: str = "reference", preprocess: bool = True,
+            ref_key: str | None = None) -> DataFrame:
     """-> (run_id, ref_no, n, p, r, f1) for every reference of every run."""
     ns = list(ns)
     ct = cands.select("run_id", metric_tokens(F.col(cand_col), stem, preprocess).alias("t"))
-    rt = refs.select("run_id", "ref_no", metric_tokens(F.col(ref_col), stem, preprocess).alias("t"))
+    rt = reference_tokens(refs, lambda c: metric_tokens(c, stem, preprocess), ref_col, ref_key)
     c_counts = _gram_counts(ct, ["run_id"], "t", ns).withColumnRenamed("cnt", "c")
     r_counts = _gram_counts(rt, ["run_id", "ref_no"], "t", ns).withColumnRenamed("cnt", "r")
     overlap = r_counts.join(c_counts, ["run_id", "n", "gram"]).groupBy("run_id", "ref_no", "n") \
@@ -190,11 +204,13 @@ def sentence_tokens(text: Column, stem: bool = False) -> Column:
 
 
 def rouge_lsum(cands: DataFrame, refs: DataFrame, stem: bool = False,
-               cand_col: str = "prediction", ref_col: str = "reference") -> DataFrame:
+               cand_col: str = "prediction", ref_col: str = "reference",
+               ref_key: str | None = None) -> DataFrame:
     """E5 -> (run_id, ref_no, p, r, f1).  Candidate sentences are tokenised
-    once per run, then joined to the run's references."""
+    once per run (references once per distinct reference with ``ref_key``),
+    then joined to the run's references."""
     ct = cands.select("run_id", sentence_tokens(F.col(cand_col), stem).alias("cs"))
-    rt = refs.select("run_id", "ref_no", sentence_tokens(F.col(ref_col), stem).alias("rs"))
+    rt = reference_tokens(refs, lambda c: sentence_tokens(c, stem), ref_col, ref_key, out="rs")
     m = rt.join(ct, "run_id").select("run_id", "ref_no", lsum_udf(F.col("rs"), F.col("cs")).alias("m"))
     return m.select("run_id", "ref_no", "m.p", "m.r", "m.f1")
 

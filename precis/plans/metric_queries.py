@@ -88,7 +88,7 @@ def _runs_refs(spark, sf):
 
 def _rouge_n(spark, sf, n, stem=False):
     r, f = _runs_refs(spark, sf)
-    out = rouge.rouge_n(r.select("run_id", "prediction"), f, ns=(n,), stem=stem)
+    out = rouge.rouge_n(r.select("run_id", "prediction"), f, ns=(n,), stem=stem, ref_key="item_id")
     return rounded(out.drop("n"))
 
 
@@ -113,7 +113,7 @@ def q_rouge_1_stemmed(spark, sf):
 def q_rouge_lsum(spark, sf):
     """E5: summary-level LCS (Arrow DP per pair); hand vectors in tests."""
     r, f = _runs_refs(spark, sf)
-    return rounded(rouge.rouge_lsum(r.select("run_id", "prediction"), f, stem=True))
+    return rounded(rouge.rouge_lsum(r.select("run_id", "prediction"), f, stem=True, ref_key="item_id"))
 
 
 @register("stem_vocab")
@@ -138,7 +138,7 @@ def _pr2(n):
 def q_multi_ref_scores(spark, sf):
     """ROUGE-1 F1 of every reference, in reference order."""
     r, f = _runs_refs(spark, sf)
-    sc = rouge.rouge_n(r.select("run_id", "prediction"), f, ns=(1,))
+    sc = rouge.rouge_n(r.select("run_id", "prediction"), f, ns=(1,), ref_key="item_id")
     out = rouge.multi_ref_scores(sc)
     return out.select("run_id", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
 
@@ -148,7 +148,7 @@ SELECT run_id, round(avg(f1), 6) AS mean_f1 FROM pr2 GROUP BY run_id""")
 def q_multi_ref_mean(spark, sf):
     """Mean over the per-reference array (computed at analysis time)."""
     r, f = _runs_refs(spark, sf)
-    arr = rouge.multi_ref_scores(rouge.rouge_n(r.select("run_id", "prediction"), f, ns=(1,)))
+    arr = rouge.multi_ref_scores(rouge.rouge_n(r.select("run_id", "prediction"), f, ns=(1,), ref_key="item_id"))
     return rounded(arr.select("run_id", rouge.array_mean(F.col("scores")).alias("mean_f1")))
 
 

@@ -74,8 +74,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
+_SCAN_WIDTH: dict[tuple[int, str], int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    """Read a driver table, spread when its scan is narrow.  The scan width
+    of a path is looked up once per session (it needs a planning pass)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    key = (id(spark), path)
+    if key not in _SCAN_WIDTH:
+        _SCAN_WIDTH[key] = df.rdd.getNumPartitions()
+    target = spark.sparkContext.defaultParallelism
+    return df.repartition(target) if _SCAN_WIDTH[key] < target else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
