@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import word_tokens
+from precis.plans.joins import is_small, salted_join
 from pyspark import StorageLevel
 
 START = "<s>"
@@ -39,7 +40,8 @@ def bigrams(t: Column) -> Column:
 
 def _positions(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     toks = df.select(*keys, line_tokens(F.col(text_col)).alias("t"))
-    return toks.select(*keys, F.inline(bigrams(F.col("t"))))
+    return toks.select(*keys, F.posexplode(bigrams(F.col("t"))).alias("pos", "bg")) \
+        .select(*keys, "pos", "bg.prev", "bg.token")
 
 
 def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int]:
@@ -64,7 +66,8 @@ def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFram
 
 
 def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "prediction",
-         corpus_col: str = "text", compat_zero: bool = False) -> DataFrame:
+         corpus_col: str = "text", compat_zero: bool = False,
+         max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """-> (run_id, slor).  ``compat_zero`` reproduces the reference's stored
     constant 0."""
     if compat_zero:
@@ -74,11 +77,17 @@ def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "pr
                         .alias("line_no", "line"))
     toks = _positions(lines, ["run_id", "line_no"], "line")
     kv = k * max(v, 1)
-    # corpus-sized tables: plain joins; AQE picks broadcast at runtime if small
-    with_w = toks.join(uni, ["token"], "left")
-    with_p = with_w.join(uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp")),
-                         ["prev"], "left")
-    with_b = with_p.join(bi, ["prev", "token"], "left")
+    # The LM tables are persisted, so their sizes are cheap to check: they
+    # are broadcast when proven small, else joined with a salt (frequent
+    # tokens are hot keys: one word can carry a large share of all rows).
+    prev_u = uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp"))
+
+    def look(left, dim, keys):
+        if v + 1 <= max_broadcast_rows and is_small(dim, max_broadcast_rows):
+            return left.join(F.broadcast(dim), keys, "left")
+        return salted_join(left, dim, keys, "left", salt_cols=["run_id", "line_no", "pos"])
+
+    with_b = look(look(look(toks, uni, ["token"]), prev_u, ["prev"]), bi, ["prev", "token"])
     lp_uni = F.log((F.coalesce("cu", F.lit(0)) + F.lit(k)) / F.lit(n_tok + kv))
     lp_bi = F.log((F.coalesce("cb", F.lit(0)) + F.lit(k)) / (F.coalesce("cp", F.lit(0)) + F.lit(kv)))
     per_line = with_b.groupBy("run_id", "line_no").agg(

@@ -36,4 +36,20 @@ def join_per_group(fact: DataFrame, per_group: DataFrame, keys: list[str], how:
     twice."""
     if is_small(fact.select(*keys).distinct(), max_groups):
         return fact.join(F.broadcast(per_group), keys, how)
-    return fact.join(per_group, keys, how)
+    return salted_join(fact, per_group, keys, how)
+
+
+DEFAULT_SALT_BUCKETS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+                buckets: int = DEFAULT_SALT_BUCKETS, salt_cols: list[str] | None = None) -> DataFrame:
+    """Equi-join that survives hot keys: every big-side row gets a salt in
+    [0, buckets) from a hash of its own columns (deterministic, so a
+    recomputed task routes every row the same way) and the small side is
+    replicated once per salt.  One key holding a third of all rows is then
+    spread over ``buckets`` tasks."""
+    cols = salt_cols or big.columns
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(buckets)))
+    rep = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("__salt"))
+    return salted.join(rep, [*keys, "__salt"], how).drop("__salt")

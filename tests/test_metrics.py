@@ -109,3 +109,23 @@ def test_error_scores_skip_empty_lines(spark):
     ls = grammar.line_scores(grammar.lines(df))
     out = grammar.error_scores(ls).first()
     assert out["empty_lines"] == 1 and out["errors"] >= 2
+
+
+def test_slor_salted_equals_broadcast(spark, sf):
+    from precis.operators import lm
+    from precis.plans import views
+    from precis.session import table
+    runs = views.runs(spark, sf)
+    corpus = table(spark, sf, "documents").select("text")
+    a = {r["run_id"]: round(r["slor"], 9) for r in lm.slor(runs, corpus).collect()}
+    b = {r["run_id"]: round(r["slor"], 9) for r in lm.slor(runs, corpus, max_broadcast_rows=0).collect()}
+    assert a == b and len(a) > 0
+
+
+def test_salted_join_matches_plain(spark):
+    from precis.plans.joins import salted_join
+    big = spark.createDataFrame([(i % 3, i) for i in range(200)], "k int, v int")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
+    plain = sorted(tuple(r) for r in big.join(small, "k", "left").collect())
+    salted = sorted(tuple(r) for r in salted_join(big, small, ["k"], "left", buckets=5).collect())
+    assert plain == salted
