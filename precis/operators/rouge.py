@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from precis.functions import tokens as K
 from precis.functions.stem import porter_stem
 from precis.functions.udf import LazyPandasUDF
+from precis.plans.joins import is_small, salted_join
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -91,8 +92,12 @@ def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference",
         return refs.select("run_id", "ref_no", tokens_of(F.col(ref_col)).alias(out))
     distinct = refs.select(ref_key, ref_col).dropDuplicates([ref_key])
     toks = distinct.select(ref_key, tokens_of(F.col(ref_col)).alias(out))
-    # a derived table: AQE broadcasts it at runtime when its real size is small
-    return refs.select("run_id", "ref_no", ref_key).join(toks, ref_key).drop(ref_key)
+    keyed = refs.select("run_id", "ref_no", ref_key)
+    # one reference serves many runs (hot keys): broadcast when the distinct
+    # references are proven few (checked on keys, no text work), else salt
+    if is_small(distinct.select(ref_key)):
+        return keyed.join(F.broadcast(toks), ref_key).drop(ref_key)
+    return salted_join(keyed, toks, [ref_key], salt_cols=["run_id", "ref_no"]).drop(ref_key)
 
 
 def rouge_n(cands: DataFrame, refs: DataFrame, ns: tuple[int, ...] = (1, 2),
