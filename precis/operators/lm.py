@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import word_tokens
-from precis.plans.joins import is_small, salted_join
+from precis.plans.joins import is_small
 from pyspark import StorageLevel
 
 START = "<s>"
@@ -77,15 +77,17 @@ def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "pr
                         .alias("line_no", "line"))
     toks = _positions(lines, ["run_id", "line_no"], "line")
     kv = k * max(v, 1)
-    # The LM tables are persisted, so their sizes are cheap to check: they
-    # are broadcast when proven small, else joined with a salt (frequent
-    # tokens are hot keys: one word can carry a large share of all rows).
+    # The LM tables are persisted, so their sizes are cheap to check.  A
+    # table proven small is broadcast (no shuffle of the token rows, hot
+    # words cost nothing).  A large one is joined by shuffle: replicating it
+    # for salting would cost more than the skew, and AQE's skew join splits
+    # the partitions of hot words (frequent tokens / bigrams) at runtime.
     prev_u = uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp"))
 
     def look(left, dim, keys):
         if v + 1 <= max_broadcast_rows and is_small(dim, max_broadcast_rows):
             return left.join(F.broadcast(dim), keys, "left")
-        return salted_join(left, dim, keys, "left", salt_cols=["run_id", "line_no", "pos"])
+        return left.join(dim, keys, "left")
 
     with_b = look(look(look(toks, uni, ["token"]), prev_u, ["prev"]), bi, ["prev", "token"])
     lp_uni = F.log((F.coalesce("cu", F.lit(0)) + F.lit(k)) / F.lit(n_tok + kv))

@@ -111,7 +111,7 @@ def test_error_scores_skip_empty_lines(spark):
     assert out["empty_lines"] == 1 and out["errors"] >= 2
 
 
-def test_slor_salted_equals_broadcast(spark, sf):
+def test_slor_shuffled_equals_broadcast(spark, sf):
     from precis.operators import lm
     from precis.plans import views
     from precis.session import table
