@@ -68,10 +68,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     frame repartitioned (round robin) to the cluster's default parallelism;
     a scan that is already wide (the normal case at scale) is returned
     untouched, with no extra shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        width = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a session without RDD access
+        return df
+    return df.repartition(target) if width < target else df
 
 
 _SCAN_WIDTH: dict[tuple[int, str], int] = {}
@@ -83,9 +85,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     df = spark.read.parquet(path)
     key = (id(spark), path)
-    if key not in _SCAN_WIDTH:
-        _SCAN_WIDTH[key] = df.rdd.getNumPartitions()
-    target = spark.sparkContext.defaultParallelism
+    try:
+        if key not in _SCAN_WIDTH:
+            _SCAN_WIDTH[key] = df.rdd.getNumPartitions()
+        target = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - e.g. a session without RDD access
+        return df
     return df.repartition(target) if _SCAN_WIDTH[key] < target else df
 
 
