@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from precis.functions import sql_text as S
 from precis.functions import text as T
-from precis.functions.tokens import SENTENCE_END, WORD_TOKEN, sql_sentences
+from precis.functions.tokens import WORD_TOKEN, sql_sentences
 from precis.operators import analytics as A
 from precis.operators import fmt
 from precis.plans import views

@@ -1,6 +1,5 @@
 """Sources/sinks round trips, grids and the metric planner."""
 
-from pyspark.sql import functions as F
 
 from precis import schemas
 from precis.operators import prompts as P

@@ -1,8 +1,6 @@
 """Hand vectors for the summary metrics (FIXTURES.md §3) and invariances."""
 
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from precis.operators import entailment, fmt, grammar, hallucination, judge, rouge
 from precis.functions.stem import porter_stem

@@ -1,6 +1,5 @@
 """Stream = batch for the streaming operators; driver contract smoke."""
 
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from precis.plans import views
