@@ -180,7 +180,7 @@ def q_all_choices(spark, sf):
     return R.all_choices(views.responses(spark, sf), ("run_id", "metric"), col="reply")
 
 
-_EVAL_SQL = views.with_ctes(views.RUNS_SQL, body=f"""
+TRUNCATED_CTES = """
 , seg AS (SELECT run_id, text, prediction,
                  CASE WHEN len(string_split(prediction, '.')) = 12 THEN string_split(prediction, '.')
                       ELSE string_split(prediction, chr(10)) END AS s FROM runs)
@@ -191,7 +191,9 @@ _EVAL_SQL = views.with_ctes(views.RUNS_SQL, body=f"""
                 CAST(len(list_filter(kept, lambda x: NOT list_contains(subs, x) AND length(x) > 60)) AS INTEGER)
                   AS long_bullets,
                 CASE WHEN three_by_three = 1 THEN prediction ELSE array_to_string(kept, chr(10)) END AS prediction
-         FROM h)
+         FROM h)"""
+
+_EVAL_SQL = views.with_ctes(views.RUNS_SQL, body=TRUNCATED_CTES + f"""
 , lines AS (SELECT run_id, unnest(string_split(prediction, chr(10))) AS line FROM tr)
 , ent AS (SELECT run_id,
             avg(CAST(pc >= pn AND pc >= pe AS DOUBLE)) AS contradiction_ratio,

@@ -22,7 +22,24 @@ def _stage(df, name, files=4):
     return path, df.schema
 
 
-@register("stream_score")
+def _stream_score_sql() -> str:
+    from precis.functions.tokens import WORD_TOKEN
+    from precis.operators import hallucination
+    from precis.plans.io_queries import TRUNCATED_CTES
+    from precis.plans.metric_queries import _sql_rule_errors
+    return views.with_ctes(views.RUNS_SQL, body=TRUNCATED_CTES + f"""
+, le AS (SELECT run_id, {_sql_rule_errors('line')} AS e,
+                len(regexp_extract_all(line, '{WORD_TOKEN}')) AS n
+         FROM (SELECT run_id, unnest(string_split(prediction, chr(10))) AS line FROM tr))
+, agg AS (SELECT run_id, avg(CASE WHEN n > 0 THEN 1.0 - e / n END) AS s, CAST(sum(e) AS INTEGER) AS errors
+          FROM le GROUP BY run_id)
+SELECT tr.run_id, three_by_three, long_subheadings, long_bullets,
+       {hallucination.sql_count('text', 'prediction')} AS number_hallucinations,
+       round(agg.s, 6) AS avg_error_count_score, agg.errors
+FROM tr JOIN agg USING (run_id)""")
+
+
+@register("stream_score", sql=_stream_score_sql())
 def q_stream_score(spark, sf):
     """H1: runs scored as they arrive (format, numeric hallucinations,
     error score); compared with the batch path in the tests."""

@@ -129,7 +129,15 @@ def q_ldjson_fields(spark, sf):
         F.col("f.uploadDate").alias("upload_date"))
 
 
-@register("cue_transcript")
+_NEXT_BLOCK = "regexp_extract(html, '(?s)<script[^>]*id=\"__NEXT_DATA__\"[^>]*>(.*?)</script>', 1)"
+_CUES = ("json_extract_string(CASE WHEN length(" + _NEXT_BLOCK + ") > 0 THEN " + _NEXT_BLOCK + " END, "
+         "'$.props.pageProps.transcriptData.translation.paragraphs[*].cues[*].text')")
+
+
+@register("cue_transcript", sql=f"""
+SELECT page_id, CASE WHEN {_CUES} IS NOT NULL
+                     THEN array_to_string(list_transform({_CUES}, lambda t: t || ' '), '') END AS transcript
+FROM pages""")
 def q_cue_transcript(spark, sf):
     """B8 over every page's embedded application JSON (none in the fixture)."""
     p = _pages(spark, sf)
