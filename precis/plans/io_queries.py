@@ -72,9 +72,9 @@ def q_append_corpus(spark, sf):
     return spark.read.parquet(path).select("page_id", "url")
 
 
-@register("append_url_list", sql="""
+@register("append_url_list", sql=f"""
 WITH l AS (SELECT regexp_extract_all(html, '(?s)<li[^>]*>\\s*<a[^>]*href="([^"]*)"', 1) AS hrefs FROM pages)
-SELECT replace(CASE WHEN starts_with(h, '/') THEN 'https://www.ted.com' || h ELSE h END, '?language=en', '')
+SELECT replace(CASE WHEN starts_with(h, '/') THEN '{W.SITE}' || h ELSE h END, '?language=en', '')
        || '/transcript' AS value
 FROM (SELECT unnest(hrefs) AS h FROM l)""")
 def q_append_url_list(spark, sf):
