@@ -41,7 +41,8 @@ class Inputs:
     refs: DataFrame | None = None            # (run_id, ref_no, reference)
     ref_vecs: DataFrame | None = None         # token vectors of references (text_id, vec_id, embedding)
     cand_vecs: DataFrame | None = None        # token vectors of candidates
-    vec_pairs: DataFrame | None = None        # (pair_id=run_id, cand_text, ref_text)
+    vec_pairs: DataFrame | None = None        # (pair_id, run_id, ref_no, cand_text, ref_text)
+    ref_key: str | None = None                # refs column naming a shared reference (tokenised once)
     nli_scorer: object = None                # Column fn (source, line) -> struct<p_c,p_n,p_e>
     nli: DataFrame | None = None              # (run_id, line_no, p_c, p_n, p_e)
     findings: DataFrame | None = None         # (run_id, line_no, category)
@@ -73,16 +74,17 @@ def evaluate(runs: DataFrame, metrics: list[str] | None = None, inputs: Inputs |
             "run_id", "three_by_three", "long_subheadings", "long_bullets", "prediction",
             "number_hallucinations")
     if "rouge" in metrics and inp.refs is not None:
-        sc = rouge.rouge_n(cand, inp.refs, ns=(1, 2), stem=inp.stem)
+        sc = rouge.rouge_n(cand, inp.refs, ns=(1, 2), stem=inp.stem, ref_key=inp.ref_key)
         arrs = [rouge.multi_ref_scores(sc.filter(F.col("n") == n)).withColumnRenamed("scores", f"rouge_{n}")
                 for n in (1, 2)]
-        ls = rouge.multi_ref_scores(rouge.rouge_lsum(cand, inp.refs, stem=inp.stem)).withColumnRenamed(
+        ls = rouge.multi_ref_scores(rouge.rouge_lsum(cand, inp.refs, stem=inp.stem, ref_key=inp.ref_key)).withColumnRenamed(
             "scores", "rouge_L")
         branches += arrs + [ls]
     if "bert_score" in metrics and inp.cand_vecs is not None and inp.ref_vecs is not None:
-        m = embed.embedding_match(inp.cand_vecs, inp.ref_vecs, inp.vec_pairs)
-        branches.append(m.groupBy(F.col("pair_id").alias("run_id")).agg(
-            F.collect_list("f1").alias("bert_score")))
+        m = embed.embedding_match(inp.cand_vecs, inp.ref_vecs, inp.vec_pairs.select(
+            "pair_id", "cand_text", "ref_text"))
+        keyed = m.join(inp.vec_pairs.select("pair_id", "run_id", "ref_no"), "pair_id")
+        branches.append(rouge.multi_ref_scores(keyed, "f1").withColumnRenamed("scores", "bert_score"))
     if "entailment" in metrics and (inp.nli is not None or inp.nli_scorer is not None):
         probs = inp.nli if inp.nli is not None else entailment.score_lines(
             entailment.entail_lines(base), inp.nli_scorer)

@@ -1,6 +1,8 @@
 """Sources/sinks round trips, grids and the metric planner."""
 
 
+from pyspark.sql import functions as F
+
 from precis import schemas
 from precis.operators import prompts as P
 from precis.operators import responses as R
@@ -88,3 +90,22 @@ def test_fill_responses_bounded_retries(spark):
     got = {r["run_id"]: r["reply"] for r in R.fill_responses(prompts, echo).collect()}
     assert got == {1: "A", 2: "B"}
     assert all(r["reply"] is None for r in R.fill_responses(prompts, broken, max_retries=1).collect())
+
+
+def test_evaluate_all_branches(spark, sf):
+    from precis.operators import entailment
+    from precis.session import table
+    r = views.runs(spark, sf)
+    refs = views.refs(spark, sf, r)
+    tv = views.token_vecs(spark, sf)
+    run_ids = [x["run_id"] for x in r.select("run_id").orderBy("run_id").limit(3).collect()]
+    pairs = spark.createDataFrame([(i, rid, k, 0, 1) for i, rid in enumerate(run_ids) for k in range(2)],
+                                  "pair_id long, run_id long, ref_no int, cand_text long, ref_text long")
+    pairs = pairs.withColumn("pair_id", F.col("pair_id") * 2 + F.col("ref_no"))
+    inp = EV.Inputs(refs=refs, ref_key="item_id", cand_vecs=tv, ref_vecs=tv, vec_pairs=pairs,
+                    nli_scorer=entailment.length_scorer, corpus=table(spark, sf, "documents").select("text"))
+    out = EV.evaluate(r, ["rouge", "bert_score", "number_hallucination", "entailment", "slor", "errors"], inp)
+    row = out.filter(F.col("run_id") == run_ids[0]).first()
+    assert len(row["rouge_1"]) == 4 and len(row["rouge_L"]) == 4 and len(row["bert_score"]) == 2
+    assert row["slor"] is not None and row["errors"] is not None
+    assert out.count() == r.count()
