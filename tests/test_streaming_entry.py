@@ -36,3 +36,17 @@ def test_entry_contract(spark):
     assert df.count() > 0 and "success_rate" in df.columns
     qs, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(qs) and len(qs) >= 100
+
+
+def test_session_and_sliding_windows_stream_equals_batch(spark, sf):
+    s = views.scores(spark, sf).select("run_id", "approach", "metric", "ts")
+    for kw in ({"session_gap": "30 minutes"}, {"window": "1 day", "slide": "12 hours"}):
+        batch = sorted((str(r["window"]["start"]), r["approach"], r["n"]) for r in
+                       ST.leaderboard(s, watermark="365 days", **kw).collect())
+        src = scratch_path(spark, "t-win-src")
+        s.repartition(3).write.parquet(src)
+        sink, ckpt = scratch_path(spark, "t-win"), scratch_path(spark, "t-win-ckpt")
+        ST.stream_leaderboard(spark, src, sink, ckpt, s.schema, watermark="365 days", **kw).awaitTermination()
+        streamed = sorted((str(r["window"]["start"]), r["approach"], r["n"])
+                          for r in spark.read.parquet(sink).collect())
+        assert streamed == batch and len(batch) > 0
