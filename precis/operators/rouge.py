@@ -83,7 +83,7 @@ def _fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference",
+def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference", check_size: bool = False,
                      ref_key: str | None = None, out: str = "t") -> DataFrame:
     """(run_id, ref_no, tokens).  References are usually shared by many runs
     (the gold summaries of a talk); with ``ref_key`` each distinct reference
@@ -93,11 +93,16 @@ def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference",
     distinct = refs.select(ref_key, ref_col).dropDuplicates([ref_key])
     toks = distinct.select(ref_key, tokens_of(F.col(ref_col)).alias(out))
     keyed = refs.select("run_id", "ref_no", ref_key)
-    # one reference serves many runs (hot keys): broadcast when the distinct
-    # references are proven few (checked on keys, no text work), else salt
-    if is_small(distinct.select(ref_key)):
+    # One reference serves many runs (hot keys).  By default the join is left
+    # to AQE: the tokenised distinct references are a shuffle stage whose real
+    # size is known before the join runs, so AQE broadcasts them when small
+    # and splits skewed partitions otherwise.  ``check_size`` instead checks
+    # the distinct keys up front (one extra job) and salts when they are many.
+    if check_size and is_small(distinct.select(ref_key)):
         return keyed.join(F.broadcast(toks), ref_key).drop(ref_key)
-    return salted_join(keyed, toks, [ref_key], salt_cols=["run_id", "ref_no"]).drop(ref_key)
+    if check_size:
+        return salted_join(keyed, toks, [ref_key], salt_cols=["run_id", "ref_no"]).drop(ref_key)
+    return keyed.join(toks, ref_key).drop(ref_key)
 
 
 def rouge_n(cands: DataFrame, refs: DataFrame, ns: tuple[int, ...] = (1, 2),
