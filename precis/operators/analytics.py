@@ -130,18 +130,18 @@ def histogram(df: DataFrame, metric: str, by=None, bins: int = 10) -> DataFrame:
         *keys,
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
-    if not keys:  # one global group: an equi-join on a constant key
-        data, bounds, keys = (data.withColumn("__all", F.lit(0)), bounds.withColumn("__all", F.lit(0)),
-                              ["__all"])
-    tagged = join_per_group(data, bounds, keys)
+    if keys:
+        tagged = join_per_group(data, bounds, keys)
+    else:  # one global group: the bounds are scalar subqueries, no join
+        tagged = data.withColumn("lo", bounds.select("lo").scalar()) \
+            .withColumn("hi", bounds.select("hi").scalar())
     idx = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                   F.lit(bins - 1)).cast("int")
     counts = tagged.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = bounds.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
-    out_keys = [k for k in keys if k != "__all"]
     return grid.join(counts, [*keys, "bin"], "left").select(
-        *out_keys, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+        *keys, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
         F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * width)
         .alias("bin_hi"),
         F.coalesce("count", F.lit(0)).alias("count"))

@@ -339,18 +339,19 @@ def leave_one_out(corpus: DataFrame, n: int, key: str = "run_id", input_col: str
     row's own input and output are removed by value (first equal element)
     from the input and output lists separately.  Only the first n+1
     examples can ever be chosen, so just those are gathered (a proven
-    bound of n+1 rows) and broadcast; no row-by-row self join."""
+    bound of n+1 rows) and read as a scalar; no row-by-row self join."""
     head = corpus.orderBy(key).limit(n + 1)  # top-k: one partial sort per task
-    pool = head.agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(key, input_col, output_col))),
-                    lambda s: s[input_col]).alias("__inputs"),
-        F.transform(F.sort_array(F.collect_list(F.struct(key, input_col, output_col))),
-                    lambda s: s[output_col]).alias("__outputs")).withColumn("__k", F.lit(0))
-    rows = corpus.withColumn("__k", F.lit(0)).join(F.broadcast(pool), "__k").drop("__k")
-    return rows.select(
+    ordered = F.sort_array(F.collect_list(F.struct(key, input_col, output_col)))
+    pool = head.agg(F.transform(ordered, lambda s: s[input_col]).alias("__inputs"),
+                    F.transform(ordered, lambda s: s[output_col]).alias("__outputs"))
+    # one-row pool read through scalar subqueries: computed once, shipped to
+    # every task as a value, no join (a constant-key join would plan as a
+    # nested-loop cross join)
+    inputs, outputs = pool.select("__inputs").scalar(), pool.select("__outputs").scalar()
+    return corpus.select(
         *corpus.columns,
-        F.slice(_drop_first_equal(F.col("__inputs"), F.col(input_col)), 1, n).alias("ex_inputs"),
-        F.slice(_drop_first_equal(F.col("__outputs"), F.col(output_col)), 1, n).alias("ex_outputs"))
+        F.slice(_drop_first_equal(inputs, F.col(input_col)), 1, n).alias("ex_inputs"),
+        F.slice(_drop_first_equal(outputs, F.col(output_col)), 1, n).alias("ex_outputs"))
 
 
 # ------------------------------------------------------------ D8, D9
