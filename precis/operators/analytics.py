@@ -10,7 +10,7 @@ has one row per group and is broadcast only behind a bounded size check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions import text as T
@@ -227,12 +227,12 @@ def well_formed(df: DataFrame, flag: str = "three_by_three") -> DataFrame:
 
 def control_vs_modifiers(df: DataFrame, by: str, metric: str, control: str) -> DataFrame:
     """per group mean/median/... and the difference of its mean to the
-    control group's mean (the control row is found on the small per-group
-    table)."""
+    control group's mean (read from the per-group table as a scalar
+    subquery: one value, no join, no window over all groups)."""
     summ = metric_summary(df, by, metric)
-    w = Window.partitionBy()
-    return summ.withColumn("is_control", F.col(by) == F.lit(control)).withColumn(
-        "delta_mean", F.col("mean") - F.max(F.when(F.col(by) == F.lit(control), F.col("mean"))).over(w))
+    control_mean = summ.filter(F.col(by) == F.lit(control)).select("mean").scalar()
+    return summ.withColumn("is_control", F.col(by) == F.lit(control)) \
+        .withColumn("delta_mean", F.col("mean") - control_mean)
 
 
 def before_after(df: DataFrame, by: str, split_col: str, before: str, after: str,
