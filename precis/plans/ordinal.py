@@ -46,6 +46,8 @@ def row_index(df: DataFrame, order: list, by: list[str] | None = None, name: str
     local = cut_lineage(local)
     slices = local.groupBy("__pid", *by).agg(F.min("__pos").alias("__first"),
                                               F.count(F.lit(1)).alias("__cnt"))
+    # runs over the slice table only: one row per (partition, group) slice,
+    # at most partitions + groups - 1 rows (without groups: one per partition)
     w = Window.partitionBy(*by).orderBy("__pid") if by else Window.orderBy("__pid")
     slices = slices.withColumn(
         "__off", F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
