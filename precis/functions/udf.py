@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 
 
 class LazyPandasUDF:
+    """Builds the Arrow UDF on first use and again whenever the active
+    SparkContext changed (a UDF object is bound to the context it was first
+    used with, so a stopped and restarted session needs a fresh one)."""
+
     def __init__(self, fn: Callable, return_type: str):
         self.fn = fn
         self.return_type = return_type
         self._udf = None
+        self._ctx = None
 
     def __call__(self, *cols) -> Column:
-        if self._udf is None:
+        from pyspark import SparkContext
+        ctx = SparkContext._active_spark_context
+        if self._udf is None or ctx is not self._ctx:
             self._udf = F.pandas_udf(self.fn, self.return_type)
+            self._ctx = ctx
         return self._udf(*cols)
 
 
