@@ -312,10 +312,25 @@ def upload_timeline(df: DataFrame, col: str, unit: str = "day",
     return df.select(F.date_trunc(unit, ts).alias("bucket")).groupBy("bucket").count()
 
 
+SAMPLE_MOD = 4294967296
+SAMPLE_MULT = 40503
+
+
+def sample_order(key: Column, seed: int = 42, integral: bool = True) -> Column:
+    """Seeded pseudo-random order.  Integral keys use a multiplicative hash
+    ((key mod 2^32) * 40503 + seed) mod 2^32, reproducible in any SQL engine
+    and free of overflow; other keys use xxhash64."""
+    if integral:
+        return F.pmod(F.pmod(key, F.lit(SAMPLE_MOD)) * SAMPLE_MULT + seed, F.lit(SAMPLE_MOD))
+    return F.xxhash64(key, F.lit(seed))
+
+
 def sample_rows(df: DataFrame, k: int = 1, key: str = "run_id", seed: int = 42) -> DataFrame:
-    """deterministic random sample of k rows (hash order; the limit is
-    the feature).  Spark's top-k keeps k rows per task before merging."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    """deterministic random sample of k rows (the limit is the
+    feature).  Spark's top-k keeps k rows per task before merging."""
+    from pyspark.sql import types as T
+    integral = isinstance(df.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+    return df.orderBy(sample_order(F.col(key), seed, integral), key).limit(k)
 
 
 def metric_labels(df: DataFrame, col: str = "metric", out: str = "label") -> DataFrame:

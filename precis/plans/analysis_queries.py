@@ -291,7 +291,10 @@ def q_upload_timeline(spark, sf):
     return out.select(F.date_format("bucket", "yyyy-MM-dd").alias("day"), "count")
 
 
-@register("sample_rows")
+@register("sample_rows", sql=_w(SC, body="""
+SELECT run_id, approach, metric FROM scores
+ORDER BY ((((run_id % 4294967296) + 4294967296) % 4294967296) * 40503 + 42) % 4294967296, run_id
+LIMIT 5"""))
 def q_sample_rows(spark, sf):
     """5 runs in seeded hash order (the limit is the feature)."""
     return A.sample_rows(views.scores(spark, sf).select("run_id", "approach", "metric"), k=5)
