@@ -76,3 +76,13 @@ def test_quantiles_both_strategies_agree(spark, sf):
     g1 = quantiles(s, "metric", [], [0.5]).first()["q"][0]
     g2 = quantiles(s, "metric", [], [0.5], max_group_rows=10).first()["q"][0]
     assert abs(g1 - g2) < 1e-9
+
+
+def test_sample_and_success_rate_partition_invariant(spark, sf):
+    s = views.scores(spark, sf).select("run_id", "approach", "metric", "three_by_three")
+    base = [r["run_id"] for r in A.sample_rows(s, k=5).collect()]
+    rate = sorted(tuple(r) for r in A.success_rate(s).collect())
+    for n in (1, 13):
+        again = s.repartition(n)
+        assert [r["run_id"] for r in A.sample_rows(again, k=5).collect()] == base
+        assert sorted(tuple(r) for r in A.success_rate(again).collect()) == rate
