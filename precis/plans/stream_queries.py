@@ -79,3 +79,24 @@ def q_stream_dedup(spark, sf):
     q = ST.stream_dedup(spark, path, sink, ckpt, ev.schema, watermark="365 days")
     q.awaitTermination()
     return spark.read.parquet(sink).select("run_id")
+
+
+@register("stream_sessions", sql=views.with_ctes(views.SCORES_SQL, body="""
+, o AS (SELECT approach, ts, metric,
+               CASE WHEN lag(ts) OVER (PARTITION BY approach ORDER BY ts) IS NULL
+                         OR ts >= lag(ts) OVER (PARTITION BY approach ORDER BY ts) + INTERVAL 30 MINUTE
+                    THEN 1 ELSE 0 END AS brk
+        FROM scores)
+, g AS (SELECT *, sum(brk) OVER (PARTITION BY approach ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, approach, count(*) AS n,
+       round(avg(metric), 6) AS mean
+FROM g GROUP BY approach, sid"""))
+def q_stream_sessions(spark, sf):
+    """H2 with session windows (30-minute gap) over the event stream."""
+    src, schema = _stage(views.scores(spark, sf).select("run_id", "approach", "metric", "ts"), "stream-sess")
+    sink, ckpt = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-ckpt")
+    q = ST.stream_leaderboard(spark, src, sink, ckpt, schema, session_gap="30 minutes", watermark="365 days")
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return rounded(out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"),
+                              "approach", "n", "mean"))
