@@ -5,6 +5,7 @@ def load_all() -> None:
     from precis.llm import (  # noqa: F401
         language,
         mixing,
+        near,
         packing,
         quality,
         warc,
