@@ -6,7 +6,10 @@ def load_all() -> None:
         language,
         mixing,
         near,
+        neighbours,
         packing,
+        passages,
         quality,
+        toxicity,
         warc,
     )
