@@ -139,23 +139,46 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shards: int | None = None)
     A piece's class is k = capacity // length.  The number of pieces in every
     (class, shard) cell is counted first; summed up per class, that gives each
     cell its first place in the class, and places k*b .. k*b + k - 1 are bin b.
-    No bin holds more than k <= capacity pieces, a class has at most one bin
-    that is not full, and no class is brought into one task."""
+    No bin holds more than k <= capacity pieces and no class is brought into one
+    task.  Fewer than k pieces of a class remain; these, at most some thousands
+    for all classes together at any size of input, are packed first-fit."""
     shards = shards or max(pieces.sparkSession.sparkContext.defaultParallelism,
                            int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = pieces.withColumns({
         "k": F.floor(F.lit(capacity) / F.col("length")).cast("int"),
         "shard": F.pmod(F.xxhash64("row", "start"), F.lit(shards)).cast("int")})
     cells = spread.groupBy("k", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("k").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    base = cells.select("k", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    whole = W.partitionBy("k")
+    before = whole.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    base = cells.select("k", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+                        F.floor(F.sum("n").over(whole) / F.col("k")).alias("bins"))
     place = F.row_number().over(W.partitionBy("k", "shard").orderBy("row", "start")) - 1
     placed = (spread.withColumn("place", place).join(base, ["k", "shard"])
               .withColumn("place", F.col("place") + F.col("base"))
-              .withColumn("sequence_id", F.floor(F.col("place") / F.col("k")) * (capacity + 1) + F.col("k")))
+              .withColumn("bin", F.floor(F.col("place") / F.col("k"))))
     inside = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    return (placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-            .drop("k", "shard", "base", "place"))
+    full = (placed.filter("bin < bins").withColumn("sequence_id", F.col("bin") * (capacity + 1) + F.col("k"))
+            .withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))))
+    names = [*pieces.columns, "sequence_id", "offset"]
+    # what is left of every class: fewer than k pieces each, whatever the input
+    rest = placed.filter("bin = bins").select(*pieces.columns, F.lit(0).alias("all"))
+    schema = full.select(*names).schema
+
+    def fill(table: pa.Table) -> pa.Table:
+        lengths = table["length"].to_numpy()
+        order = np.lexsort((table["start"].to_numpy(), table["row"].to_numpy(), -lengths))
+        used: list[int] = []
+        bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for i in order:
+            b = next((b for b, n in enumerate(used) if n + lengths[i] <= capacity), len(used))
+            if b == len(used):
+                used.append(0)
+            bins[i], offsets[i] = b * (capacity + 1), used[b]
+            used[b] += int(lengths[i])
+        return table.drop_columns(["all"]).append_column("sequence_id", pa.array(bins)).append_column(
+            "offset", pa.array(offsets))
+
+    return full.select(*names).unionByName(rest.groupBy("all").applyInArrow(fill, schema))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
