@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.llm.common import materialize
 
-HUB_ROUNDS = 6
-#: comparisons per posting that a full round may make before hubs are tried again
+#: comparisons per posting up to which the full round follows at once
 FULL_ROUND = 8
 
 
@@ -24,10 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
     reachable.  Alternating large-star and small-star steps: each replaces a
     node's neighbours by links to the smallest of them, so no node's neighbours
     are ever listed together, and the number of edges does not grow."""
+    def mark(table: DataFrame):
+        return table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .distinct(), "edges")
-    seen = None
-    while True:
+    seen = mark(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (both.join(low, "a").filter("b > a")
@@ -37,50 +41,84 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.select("a", F.col("m").alias("b"))
                           .unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
                           .filter("a <> b").distinct(), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        before, seen = seen, mark(now)
+        if before == seen:
             break
-        seen = mark
     return (now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
             .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct())
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def agreeing(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b, n) of the rows (a, sa, b, sb) whose sketches agree in n >= ``least``
+    bytes."""
+
+    def compare(batches):
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(x.as_buffer() for x in batch.column(c)), np.uint8).reshape(batch.num_rows, -1)
+                     for c in ("sa", "sb")] if batch.num_rows else [np.zeros((0, 1), np.uint8)] * 2
+            n = (sides[0] == sides[1]).sum(1)
+            keep = pa.array(np.flatnonzero(n >= least))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").take(keep), batch.column("b").take(keep), pa.array(n.astype(np.int64)).take(keep)],
+                names=["a", "b", "n"])
+
+    return rows.select("a", "sa", "b", "sb").mapInArrow(compare, rows.select("a", "b").schema.add("n", "long"))
+
+
+def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int, percent: int = 75) -> DataFrame:
     """(node, comp) of the nodes that verified pairs connect.
 
-    ``postings`` (key, node): nodes that share a key are candidates.
-    ``verify(pairs)`` keeps the similar ones of pairs (a, b).  Every candidate
-    pair is either verified or connected by other verified pairs."""
-    shared = postings.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(postings.join(shared, "key").select("key", "node", "hub"), "members")
+    ``postings`` (key, node, keys, weight, size, sketch), keys being all keys of
+    the node: nodes that share a key are candidates; the heaviest of a key is its hub, the smaller one if equal.
+    Similar nodes agree in at least ``agree`` bytes of their sketches, and the
+    smaller size is at least ``percent`` % of the larger one.  ``verify(pairs)``
+    keeps the similar ones of pairs (a, b).  Every candidate pair is either
+    verified or connected by other verified pairs."""
+    near = f"100 * least(za, zb) >= {percent} * greatest(za, zb)"
+    heaviest = F.min(F.struct((-F.col("weight")).alias("w"), "node", "sketch", "size"))
+    hub = heaviest.alias("hub"), F.count(F.lit(1)).alias("n")
+    shared = postings.groupBy("key").agg(*hub).filter("n > 1")
+    members = materialize(postings.join(shared, "key").select("key", "node", "keys", "weight", "size", "sketch",
+                                                             "hub"), "members")
     total = members.count()
-    pairs = members.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "hub"))["hub"].alias("hub"))
-    edges = materialize(verify(best.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("a", "b"), "links")
-    for turn in range(HUB_ROUNDS + 1):
+
+    def hub_pairs(rows: DataFrame) -> DataFrame:
+        named = rows.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("za"),
+                            F.col("hub.node").alias("b"), F.col("hub.sketch").alias("sb"), F.col("hub.size").alias("zb"))
+        return agreeing(named.filter(f"a <> b and {near}"), agree)
+
+    best = hub_pairs(members).groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "b"))["b"].alias("b"))
+    edges = materialize(verify(best.select("a", "b")).select("a", "b"), "links")
+    members = members.drop("hub")
+    before = None
+    while True:
         comp = materialize(components(edges), "components")
-        if not total:
-            return comp
-        placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
         main = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"),
                                          F.sum("n").alias("n"), F.max("n").alias("most"))
-                .filter("n > most"))
-        mixed = materialize(placed.join(main, "key").select("key", "node", "comp", "main", "n", "most"), "mixed")
-        cost = mixed.filter("comp <> main").agg(F.sum("n")).first()[0]
+                .filter("n > most").drop("most"))
+        mixed = materialize(placed.join(main, "key"), "mixed")
+        strays = mixed.filter("comp <> main")
+        cost = strays.agg(F.sum("n")).first()[0] or 0
         if not cost:
             return comp
-        strays = mixed.filter("comp <> main").select("key", "node", "comp")
-        if cost <= FULL_ROUND * total or turn == HUB_ROUNDS:
-            left = strays.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            right = mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"),
+        # another round of hubs, among the strays, while that pays
+        last = cost <= FULL_ROUND * total or before is not None and cost > 0.8 * before
+        if last:
+            left = strays.select("key", F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("za"),
+                                 F.col("comp").alias("ca"), F.col("keys").alias("ka"))
+            right = mixed.select("key", F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("zb"),
+                                 F.col("comp").alias("cb"), F.col("keys").alias("kb"),
                                  (F.col("comp") == F.col("main")).alias("home"))
-            pairs = left.join(right, "key").filter("ca <> cb and (home or a < b)").select("a", "b").distinct()
+            # a pair is taken up at the smallest of its common keys only
+            once = "key = array_min(array_intersect(ka, kb))"
+            pairs = agreeing(left.join(right, "key").filter(f"ca <> cb and (home or a < b) and {near} and {once}"), agree)
         else:
-            hubs = strays.groupBy("key").agg(F.min("node").alias("b"))
-            pairs = strays.join(hubs, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        found = verify(pairs).select("a", "b")
-        edges = materialize(edges.unionByName(found), "links")
-        if cost <= FULL_ROUND * total or turn == HUB_ROUNDS:
+            hubs = strays.groupBy("key").agg(hub[0])
+            pairs = hub_pairs(strays.join(hubs, "key"))
+        found = materialize(verify(pairs.select("a", "b").distinct()).select("a", "b"), "links")
+        edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
+        if last:
             return materialize(components(edges), "components")
-    raise AssertionError("unreachable")
+        before = cost

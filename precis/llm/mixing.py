@@ -53,18 +53,11 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
                       F.least(full.cast("double"), level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) per document.
-
-    size: words of the text (null text: 0).  copies = floor(rate) + 1 if the
-    document's uniform number is below the rate's fraction, rate = target /
-    source_size (0 for a source of size 0).  The number's seed is, per source,
-    the one of ``seeds`` whose copies come nearest to the target (ties: the
-    smallest): all of them are summed in one aggregate.  Repeated rows share one
-    id, hence one number; every row is returned.  Empty input: empty result."""
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                   F.size(word_array(F.col(text_col))).cast("long").alias("size")), "mix")
+def source_rates(base: DataFrame, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """(s, source_size, target, rate, seed) per source of ``base`` (doc_id,
+    source, size).  rate = target / source_size, 0 for a source of size 0.  seed
+    is the one of ``seeds`` whose copies come nearest to the target (ties: the
+    smallest); all of them are summed in one aggregate."""
     targets = source_targets(base, cap)
     rated = (targets.withColumnRenamed("source", "s")
              .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
@@ -76,11 +69,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         for k in range(seeds)])
     off = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"e{k}") - F.col("target")).alias("d"),
                     F.lit(k).alias("k")) for k in range(seeds)]
-    chosen = sums.select("s", "source_size", "target", "rate", F.array_min(F.array(*off))["k"].alias("seed"))
+    return sums.select("s", "source_size", "target", "rate", F.array_min(F.array(*off))["k"].alias("seed"))
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size): words of each text, written once."""
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                                   F.size(word_array(F.col(text_col))).cast("long").alias("size")), "mix")
+
+
+def copies(key: Column) -> Column:
+    """floor(rate) and one more if the key's uniform number is below the rest."""
+    extra = uniform(key, F.col("seed")) < F.col("rate") - F.floor("rate")
+    return F.floor("rate").cast("long") + extra.cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) per document.
+
+    size: words of the text (null text: 0).  Repeated rows share one id, hence
+    one number; every row is returned.  Other columns are ignored.  Empty input:
+    empty result."""
+    base = sized(docs, id_col, text_col, source_col)
+    chosen = source_rates(base, cap, seeds)
     full = base.join(chosen, base["source"].eqNullSafe(chosen["s"]))
-    extra = (uniform(F.col("doc_id"), F.col("seed")) < F.col("rate") - F.floor("rate")).cast("long")
-    return full.select("doc_id", "source", "size", "source_size", "target",
-                       (F.floor("rate").cast("long") + extra).alias("copies"))
+    return full.select("doc_id", "source", "size", "source_size", "target", copies(F.col("doc_id")).alias("copies"))
+
+
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                     cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it."""
+    rates = source_rates(sized(docs, id_col, text_col, source_col), cap, seeds).select("s", "rate", "seed")
+    names = [F.col(c) for c in docs.columns]
+    kept = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("of"))
+    taken = kept.join(rates, kept["of"].eqNullSafe(rates["s"]))
+    again = F.explode(F.array_repeat(F.lit(True), copies(F.col("key")).cast("int")))
+    return taken.select("row", again.alias("again")).select("row.*")
 
 
 SQL = f"""

@@ -1,9 +1,14 @@
 """Registers every query of this package."""
 
 
+import corpus_pipeline
+from precis.plans import registry
+
+
 def load_all() -> None:
     from precis.llm import (  # noqa: F401
         language,
+        maxent,
         mixing,
         near,
         neighbours,
@@ -13,3 +18,5 @@ def load_all() -> None:
         toxicity,
         warc,
     )
+    if "pipeline" not in registry.QUERIES:
+        registry.register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
