@@ -18,6 +18,7 @@ from precis.llm.common import materialize
 
 #: comparisons per posting up to which the full round follows at once
 FULL_ROUND = 8
+BLOCK_ROWS = 8192
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,7 +66,60 @@ def agreeing(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("a", "sa", "b", "sb").mapInArrow(compare, rows.select("a", "b").schema.add("n", "long"))
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int, percent: int = 75) -> DataFrame:
+def _across(mixed: DataFrame, sketches: DataFrame | None, agree: int, percent: int) -> DataFrame:
+    """(a, b) of all pairs of a stray and another member of its key that are in
+    different components, of near size and agree in ``agree`` bytes.
+
+    Keys are compared in blocks of about BLOCK_ROWS strays and members, one
+    stray against a block at a time; only agreeing pairs leave a block, each at
+    the smallest key that its two nodes share."""
+    if sketches is not None:
+        mixed = mixed.drop("sketch").join(sketches, "node")
+    parts = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
+    rows = mixed.select("key", "node", "comp", "keys", "size", "sketch", (F.col("comp") == F.col("main")).alias("home"),
+                        F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"),
+                        F.sequence(F.lit(0), parts - 1).alias("others"))
+    left = rows.filter("not home").select("*", F.explode("others").alias("j")).withColumnRenamed("own", "i").drop("others")
+    right = rows.select("*", F.explode("others").alias("i")).withColumnRenamed("own", "j").drop("others")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own
+
+    def grid(table: pa.Table, column: str) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_buffer() for x in table[column]), np.uint8).reshape(table.num_rows, -1)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a_rows, b_rows = [], []
+        if left.num_rows and right.num_rows:
+            la, lb = left["node"].to_pylist(), right["node"].to_pylist()
+            rank = {x: r for r, x in enumerate(sorted({*la, *lb, *left["comp"].to_pylist(), *right["comp"].to_pylist()}))}
+            ids = [np.array([rank[x] for x in t[c].to_pylist()]) for t, c in
+                   ((left, "node"), (right, "node"), (left, "comp"), (right, "comp"))]
+            za, zb = left["size"].to_numpy(), right["size"].to_numpy()
+            sa, sb = grid(left, "sketch"), grid(right, "sketch")
+            home = right["home"].to_numpy(zero_copy_only=False)
+            ka, kb = left["keys"].to_pylist(), right["keys"].to_pylist()
+            widest = max(map(len, kb))
+            table = np.array([k + [k[-1]] * (widest - len(k)) for k in kb])
+            key = left["key"][0].as_py()
+            for x in range(len(la)):
+                fit = ((ids[3] != ids[2][x]) & (home | (ids[1] > ids[0][x]))
+                       & (100 * np.minimum(zb, za[x]) >= percent * np.maximum(zb, za[x])))
+                some = np.flatnonzero(fit)
+                some = some[(sb[some] == sa[x]).sum(1) >= agree]
+                if len(some):
+                    common = np.where(np.isin(table[some], ka[x]), table[some], np.iinfo(np.int64).max).min(1)
+                    some = some[common == key]
+                    a_rows += [la[x]] * len(some)
+                    b_rows += [lb[y] for y in some]
+        kind = right["node"].type
+        return pa.table({"a": pa.array(a_rows, kind), "b": pa.array(b_rows, kind)})
+
+    node = mixed.schema["node"].dataType.simpleString()
+    return (left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j"))
+            .applyInArrow(compare, f"a {node}, b {node}"))
+
+
+def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int, percent: int = 75,
+            sketches: DataFrame | None = None, surely: int = 0) -> DataFrame:
     """(node, comp) of the nodes that verified pairs connect.
 
     ``postings`` (key, node, keys, weight, size, sketch), keys being all keys of
@@ -73,8 +127,12 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
     Similar nodes agree in at least ``agree`` bytes of their sketches, and the
     smaller size is at least ``percent`` % of the larger one.  ``verify(pairs)``
     keeps the similar ones of pairs (a, b).  Every candidate pair is either
-    verified or connected by other verified pairs."""
-    near = f"100 * least(za, zb) >= {percent} * greatest(za, zb)"
+    verified or connected by other verified pairs.
+
+    ``sketches`` (node, sketch), if given, are longer ones for the full round, of
+    which similar nodes agree in at least ``surely`` bytes."""
+    surely = surely if sketches is not None else agree
+    near = f"100 * least(za, zb) >= {percent} * greatest(za, zb)"  # sizes
     heaviest = F.min(F.struct((-F.col("weight")).alias("w"), "node", "sketch", "size"))
     hub = heaviest.alias("hub"), F.count(F.lit(1)).alias("n")
     shared = postings.groupBy("key").agg(*hub).filter("n > 1")
@@ -106,14 +164,7 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
         # another round of hubs, among the strays, while that pays
         last = cost <= FULL_ROUND * total or before is not None and cost > 0.8 * before
         if last:
-            left = strays.select("key", F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("za"),
-                                 F.col("comp").alias("ca"), F.col("keys").alias("ka"))
-            right = mixed.select("key", F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("zb"),
-                                 F.col("comp").alias("cb"), F.col("keys").alias("kb"),
-                                 (F.col("comp") == F.col("main")).alias("home"))
-            # a pair is taken up at the smallest of its common keys only
-            once = "key = array_min(array_intersect(ka, kb))"
-            pairs = agreeing(left.join(right, "key").filter(f"ca <> cb and (home or a < b) and {near} and {once}"), agree)
+            pairs = _across(mixed, sketches, surely, percent)
         else:
             hubs = strays.groupBy("key").agg(hub[0])
             pairs = hub_pairs(strays.join(hubs, "key"))

@@ -26,8 +26,8 @@ MATCHES = 34
 SEED = 20
 #: second sketch, only of documents with a candidate: bytes, and the agreement
 #: that a pair at Jaccard 0.75 misses with a probability below 1e-4
-WIDE = 256
-WIDE_MATCHES = 164
+WIDE = 512
+WIDE_MATCHES = 345
 
 
 def _sets(texts: pa.Array):
@@ -154,7 +154,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = classes.select("doc_id", "cls").join(partners, "cls", "left_semi")
     sets = materialize(shingle_sets(docs, wanted, id_col, text_col), "sets")
 
-    comp = connect(prefix, lambda pairs: confirm(pairs, sets, percent), matches, percent)
+    comp = connect(prefix, lambda pairs: confirm(pairs, sets, percent), matches, percent,
+                   sets.select(F.col("cls").alias("node"), F.col("wide").alias("sketch")), WIDE_MATCHES)
     comp = comp.withColumnRenamed("node", "cls")
     named = classes.select("cls", "doc_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
