@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from precis.functions import text as T
 from precis.functions.tokens import sentences, word_tokens
-from precis.plans.joins import join_dim, join_per_group
 from precis.plans.ordinal import row_index
 from precis.plans.quantiles import quantiles
 
@@ -93,7 +92,7 @@ def box_stats(df: DataFrame, by, metric: str, whisker: float = 1.5,
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
         .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr"))
-    tagged = join_per_group(data, quart.select(*keys, "lo_fence", "hi_fence"), keys)
+    tagged = data.join(quart.select(*keys, "lo_fence", "hi_fence"), keys)
     inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
     whiskers = tagged.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),
@@ -131,7 +130,7 @@ def histogram(df: DataFrame, metric: str, by=None, bins: int = 10) -> DataFrame:
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
     if keys:
-        tagged = join_per_group(data, bounds, keys)
+        tagged = data.join(bounds, keys)
     else:  # one global group: the bounds are scalar subqueries, no join
         tagged = data.withColumn("lo", bounds.select("lo").scalar()) \
             .withColumn("hi", bounds.select("hi").scalar())
@@ -171,7 +170,7 @@ def success_rate_fixed_n(df: DataFrame, catalogue: DataFrame, key: str, n: int =
     """per catalogue entry, 100 * successes / n with a fixed n; entries
     without runs report 0."""
     succ = df.groupBy(key).agg(F.sum(flag).cast("bigint").alias("n_success"))
-    return join_dim(catalogue.select(key), succ, [key], "left").select(
+    return catalogue.select(key).join(succ, [key], "left").select(
         key, F.coalesce("n_success", F.lit(0)).alias("n_success"),
         (F.coalesce("n_success", F.lit(0)) * 100.0 / F.lit(n)).alias("success_rate"))
 
@@ -198,11 +197,11 @@ def top1_per_group(df: DataFrame, by, metric: str, key: str = "run_id") -> DataF
 def title_difficulty(df: DataFrame, metric: str, title: str = "title", key: str = "run_id",
                      places: int = 3) -> DataFrame:
     """per title the mean metric, labelled "i: title" with i the
-    title's first-appearance index; ascending by score."""
+    title's first-appearance number, from 1; ascending by score."""
     per = df.groupBy(title).agg(F.avg(metric).alias("m"), F.min(key).alias("first"))
-    idx = row_index(per, ["first"])
+    idx = row_index(per, ["first"], start=1)
     return idx.select(F.concat(F.col("idx").cast("string"), F.lit(": "), F.col(title)).alias("talk"),
-                      stable_round(F.col("m"), places).alias("score"))
+                      stable_round(F.col("m"), places).alias("score")).orderBy("score", "talk")
 
 
 def positional_pattern(df: DataFrame, row_col: str = "row_idx", patterns: list[str] | None = None,
@@ -217,7 +216,7 @@ def positional_pattern(df: DataFrame, row_col: str = "row_idx", patterns: list[s
 def filter_by_catalogue(df: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
     """keep rows whose key is in the catalogue (one semi join, not one
     filter per entry)."""
-    return join_dim(df, catalogue.select(key).distinct(), [key], "left_semi")
+    return df.join(catalogue.select(key).distinct(), [key], "left_semi")
 
 
 def well_formed(df: DataFrame, flag: str = "three_by_three") -> DataFrame:
@@ -250,9 +249,10 @@ def before_after(df: DataFrame, by: str, split_col: str, before: str, after: str
 
 
 def distinct_predictions(df: DataFrame, by: str, col: str = "prediction", lines: int = 3) -> DataFrame:
-    """distinct predictions per group, first ``lines`` lines."""
+    """the distinct predictions of each group, each by its first ``lines``
+    lines (two predictions with the same head are two rows)."""
     head = F.array_join(F.slice(F.split(F.col(col), "\n", -1), 1, lines), "\n")
-    return df.select(by, head.alias("head")).distinct()
+    return df.select(by, col).distinct().select(by, head.alias("head"))
 
 
 def melt(df: DataFrame, ids: list[str], cols: list[str], var: str = "variable",
@@ -334,12 +334,14 @@ def sample_rows(df: DataFrame, k: int = 1, key: str = "run_id", seed: int = 42)
 
 
 def metric_labels(df: DataFrame, col: str = "metric", out: str = "label") -> DataFrame:
-    """metric code -> readable name; unknown codes raise (ANSI
-    element_at) unless ``strict=False`` semantics are wanted upstream."""
+    """metric code -> readable name; an unknown code is an error, a null one
+    gets a null label."""
     items = []
     for k, v in METRIC_LABELS.items():
         items += [F.lit(k), F.lit(v)]
-    return df.withColumn(out, F.try_element_at(F.create_map(*items), F.col(col)))
+    label = F.try_element_at(F.create_map(*items), F.col(col))
+    unknown = F.raise_error(F.concat(F.lit("unknown metric: "), F.col(col)))
+    return df.withColumn(out, F.when(F.col(col).isNull() | label.isNotNull(), label).otherwise(unknown))
 
 
 def row_range(df: DataFrame, start: int, end: int, order: str = "run_id", by=None,

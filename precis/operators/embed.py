@@ -5,8 +5,7 @@ Token vectors are input tables (the encoder's forward pass is not built).
 Per pair of texts the similarity matrix is computed inside one task with
 numpy on Arrow batches: no candidate x reference rows are ever emitted, so
 the work per pair is one BLAS product and the shuffle carries one row per
-text.  A text's vectors are bounded by the encoder's maximum input length
-(512 tokens for the usual encoders); ``max_vectors`` asserts that bound.
+text.
 """
 
 from __future__ import annotations
@@ -60,33 +59,23 @@ def _greedy(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
 greedy_match = LazyPandasUDF(_greedy, MATCH_SCHEMA)
 
 
-MAX_VECTORS = 512
-
-
 def text_matrices(vecs: DataFrame, text_col: str = "text_id", order_col: str = "vec_id",
-                  vec_col: str = "embedding", max_vectors: int = MAX_VECTORS) -> DataFrame:
-    """One row per text holding its token vectors in token order.  A text's
-    vectors are bounded by the encoder's input length; a text beyond
-    ``max_vectors`` fails the job loudly instead of being truncated."""
-    grouped = vecs.groupBy(text_col).agg(
+                  vec_col: str = "embedding") -> DataFrame:
+    """One row per text holding all its token vectors in token order."""
+    return vecs.groupBy(text_col).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(order_col, vec_col))),
                     lambda s: s[vec_col]).alias("vecs"))
-    return grouped.withColumn("vecs", F.when(
-        F.size("vecs") <= max_vectors, F.col("vecs")).otherwise(
-        F.raise_error(F.concat(F.lit("text has more token vectors than the encoder limit: "),
-                               F.col(text_col).cast("string")))))
 
 
 def embedding_match(cand_vecs: DataFrame, ref_vecs: DataFrame, pairs: DataFrame,
-                    baseline: float | None = None, text_col: str = "text_id",
-                    max_vectors: int = MAX_VECTORS) -> DataFrame:
+                    baseline: float | None = None, text_col: str = "text_id") -> DataFrame:
     """Greedy cosine matching per (candidate text, reference text) pair.
 
     ``pairs`` holds (pair_id, cand_text, ref_text).  With ``baseline`` b the
     scores are rescaled to (x - b) / (1 - b).  -> (pair_id, p, r, f1)."""
-    cm = text_matrices(cand_vecs, text_col, max_vectors=max_vectors).withColumnRenamed(text_col, "cand_text") \
+    cm = text_matrices(cand_vecs, text_col).withColumnRenamed(text_col, "cand_text") \
         .withColumnRenamed("vecs", "cv")
-    rm = text_matrices(ref_vecs, text_col, max_vectors=max_vectors).withColumnRenamed(text_col, "ref_text") \
+    rm = text_matrices(ref_vecs, text_col).withColumnRenamed(text_col, "ref_text") \
         .withColumnRenamed("vecs", "rv")
     joined = pairs.join(cm, "cand_text").join(rm, "ref_text")
     scored = joined.select("pair_id", greedy_match(F.col("cv"), F.col("rv")).alias("m"))

@@ -39,10 +39,11 @@ def _to_double(word: Column) -> Column:
     return F.when(word.rlike(FLOAT_RE), F.replace(word, F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def _to_int(d: Column) -> Column:
-    """int() of a finite double (toward zero); NULL for NULL/NaN/inf."""
+def _to_int(d: Column, lo: int, hi: int) -> Column:
+    """int() of a finite double (toward zero), within lo..hi; NULL for
+    NULL/NaN/inf."""
     finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
-    clipped = F.least(F.greatest(d, F.lit(-10.0)), F.lit(10.0))
+    clipped = F.least(F.greatest(d, F.lit(float(lo))), F.lit(float(hi)))
     return F.when(finite, F.when(clipped >= 0, F.floor(clipped)).otherwise(F.ceil(clipped)))
 
 
@@ -55,7 +56,7 @@ def with_scores(replies: DataFrame, reply_col: str = "reply", lo: int = 1, hi: i
     r = F.col(reply_col)
     step = replies.withColumn("__w1", _first_word(r)).withColumn("__w2", _last_word(r))
     step = step.withColumn("__d1", _to_double(F.col("__w1"))).withColumn("__d2", _to_double(F.col("__w2")))
-    step = step.withColumn("__raw", F.coalesce(_to_int(F.col("__d1")), _to_int(F.col("__d2"))))
+    step = step.withColumn("__raw", F.coalesce(_to_int(F.col("__d1"), lo, hi), _to_int(F.col("__d2"), lo, hi)))
     raw = F.col("__raw")
     # greatest/least skip NULLs, so an unusable reply must stay NULL explicitly
     step = step.withColumn(out, F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
@@ -89,7 +90,7 @@ def sql_parse_score(reply: str, lo: int = 1, hi: int = 5) -> str:
 
     def parse(w):
         d = f"(CASE WHEN regexp_matches({w}, '{FLOAT_RE}') THEN TRY_CAST(replace({w}, '_', '') AS DOUBLE) END)"
-        c = f"least(greatest({d}, -10.0), 10.0)"
+        c = f"least(greatest({d}, {float(lo)}), {float(hi)})"
         return (f"(CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND abs({d}) < 'inf'::DOUBLE "
                 f"THEN (CASE WHEN {c} >= 0 THEN floor({c}) ELSE ceil({c}) END) END)")
 

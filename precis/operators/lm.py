@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import word_tokens
-from precis.plans.joins import is_small
 from pyspark import StorageLevel
 
 START = "<s>"
@@ -66,8 +65,7 @@ def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFram
 
 
 def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "prediction",
-         corpus_col: str = "text", compat_zero: bool = False,
-         max_broadcast_rows: int = 2_000_000) -> DataFrame:
+         corpus_col: str = "text", compat_zero: bool = False) -> DataFrame:
     """-> (run_id, slor).  ``compat_zero`` reproduces the reference's stored
     constant 0."""
     if compat_zero:
@@ -77,19 +75,11 @@ def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "pr
                         .alias("line_no", "line"))
     toks = _positions(lines, ["run_id", "line_no"], "line")
     kv = k * max(v, 1)
-    # The LM tables are persisted, so their sizes are cheap to check.  A
-    # table proven small is broadcast (no shuffle of the token rows, hot
-    # words cost nothing).  A large one is joined by shuffle: replicating it
-    # for salting would cost more than the skew, and AQE's skew join splits
-    # the partitions of hot words (frequent tokens / bigrams) at runtime.
+    # AQE broadcasts a table that turns out small and splits the partitions of
+    # hot words (frequent tokens / bigrams) otherwise.
     prev_u = uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp"))
 
-    def look(left, dim, keys):
-        if v + 1 <= max_broadcast_rows and is_small(dim, max_broadcast_rows):
-            return left.join(F.broadcast(dim), keys, "left")
-        return left.join(dim, keys, "left")
-
-    with_b = look(look(look(toks, uni, ["token"]), prev_u, ["prev"]), bi, ["prev", "token"])
+    with_b = toks.join(uni, "token", "left").join(prev_u, "prev", "left").join(bi, ["prev", "token"], "left")
     lp_uni = F.log((F.coalesce("cu", F.lit(0)) + F.lit(k)) / F.lit(n_tok + kv))
     lp_bi = F.log((F.coalesce("cb", F.lit(0)) + F.lit(k)) / (F.coalesce("cp", F.lit(0)) + F.lit(kv)))
     per_line = with_b.groupBy("run_id", "line_no").agg(

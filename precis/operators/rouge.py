@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from precis.functions import tokens as K
 from precis.functions.stem import porter_stem
 from precis.functions.udf import LazyPandasUDF
-from precis.plans.joins import is_small, salted_join
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -83,8 +82,7 @@ def _fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference", check_size: bool = False,
-                     ref_key: str | None = None, out: str = "t") -> DataFrame:
+def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference", ref_key: str | None = None, out: str = "t") -> DataFrame:
     """(run_id, ref_no, tokens).  References are usually shared by many runs
     (the gold summaries of a talk); with ``ref_key`` each distinct reference
     is tokenised once and the tokens are joined back on the key."""
@@ -93,15 +91,10 @@ def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference", che
     distinct = refs.select(ref_key, ref_col).dropDuplicates([ref_key])
     toks = distinct.select(ref_key, tokens_of(F.col(ref_col)).alias(out))
     keyed = refs.select("run_id", "ref_no", ref_key)
-    # One reference serves many runs (hot keys).  By default the join is left
+    # One reference serves many runs (hot keys).  The join is left
     # to AQE: the tokenised distinct references are a shuffle stage whose real
     # size is known before the join runs, so AQE broadcasts them when small
-    # and splits skewed partitions otherwise.  ``check_size`` instead checks
-    # the distinct keys up front (one extra job) and salts when they are many.
-    if check_size and is_small(distinct.select(ref_key)):
-        return keyed.join(F.broadcast(toks), ref_key).drop(ref_key)
-    if check_size:
-        return salted_join(keyed, toks, [ref_key], salt_cols=["run_id", "ref_no"]).drop(ref_key)
+    # and splits skewed partitions otherwise.
     return keyed.join(toks, ref_key).drop(ref_key)
 
 
@@ -112,7 +105,7 @@ def rouge_n(cands: DataFrame, refs: DataFrame, ns: tuple[int, ...] = (1, 2),
     """-> (run_id, ref_no, n, p, r, f1) for every reference of every run."""
     ns = list(ns)
     ct = cands.select("run_id", metric_tokens(F.col(cand_col), stem, preprocess).alias("t"))
-    rt = reference_tokens(refs, lambda c: metric_tokens(c, stem, preprocess), ref_col, ref_key)
+    rt = reference_tokens(refs, lambda c: metric_tokens(c, stem, preprocess), ref_col, ref_key=ref_key)
     c_counts = _gram_counts(ct, ["run_id"], "t", ns).withColumnRenamed("cnt", "c")
     r_counts = _gram_counts(rt, ["run_id", "ref_no"], "t", ns).withColumnRenamed("cnt", "r")
     overlap = r_counts.join(c_counts, ["run_id", "n", "gram"]).groupBy("run_id", "ref_no", "n") \
@@ -220,7 +213,7 @@ def rouge_lsum(cands: DataFrame, refs: DataFrame, stem: bool = False,
     once per run (references once per distinct reference with ``ref_key``),
     then joined to the run's references."""
     ct = cands.select("run_id", sentence_tokens(F.col(cand_col), stem).alias("cs"))
-    rt = reference_tokens(refs, lambda c: sentence_tokens(c, stem), ref_col, ref_key, out="rs")
+    rt = reference_tokens(refs, lambda c: sentence_tokens(c, stem), ref_col, ref_key=ref_key, out="rs")
     m = rt.join(ct, "run_id").select("run_id", "ref_no", lsum_udf(F.col("rs"), F.col("cs")).alias("m"))
     return m.select("run_id", "ref_no", "m.p", "m.r", "m.f1")
 

@@ -169,7 +169,7 @@ def q_top1_per_group(spark, sf):
 
 @register("title_difficulty", sql=_w(SC, body="""
 , p AS (SELECT title, avg(metric) AS m, min(run_id) AS first FROM scores GROUP BY title)
-SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR) || ': ' || title AS talk,
+SELECT CAST(row_number() OVER (ORDER BY first) AS VARCHAR) || ': ' || title AS talk,
        CAST(round_even(CAST(round(m, 9) AS DECIMAL(38,9)), 3) AS DOUBLE) AS score FROM p"""))
 def q_title_difficulty(spark, sf):
     return A.title_difficulty(views.scores(spark, sf), "metric")
@@ -229,7 +229,8 @@ def q_before_after(spark, sf):
 
 
 @register("distinct_predictions", sql=_w(views.RUNS_SQL, body="""
-SELECT DISTINCT approach, array_to_string((string_split(prediction, chr(10)))[1:3], chr(10)) AS head FROM runs"""))
+SELECT approach, array_to_string((string_split(prediction, chr(10)))[1:3], chr(10)) AS head
+FROM (SELECT DISTINCT approach, prediction FROM runs)"""))
 def q_distinct_predictions(spark, sf):
     return A.distinct_predictions(views.runs(spark, sf), "approach")
 

@@ -1,10 +1,7 @@
-"""Join helpers with size-checked broadcasting.
+"""Joins onto hot keys.
 
-A side is broadcast only after a bounded check proves it small: the check
-reads at most ``max_rows + 1`` rows (``limit`` stops the scan early), so it
-costs the same at 1 GB or 100 TB.  Otherwise the join is left to the
-planner (sort-merge / shuffle-hash), where AQE can still switch to a
-broadcast at runtime from real shuffle sizes, and splits skewed keys.
+Whether a side is broadcast is left to AQE, which knows the real size of a
+shuffle stage before the join runs and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
@@ -12,33 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-             max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a fact table to a dimension, broadcasting the dimension only
-    when it is proven to have at most ``max_rows`` rows."""
-    if how in ("inner", "left", "left_semi", "left_anti") and is_small(dim, max_rows):
-        return fact.join(F.broadcast(dim), on, how)
-    return fact.join(dim, on, how)
-
-
-def join_per_group(fact: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner",
-                   max_groups: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a table with one row per group back onto the rows of the group.
-    The size check counts distinct group keys of the fact (a cheap, pruned,
-    partially aggregated pass) instead of computing the per-group table
-    twice."""
-    if is_small(fact.select(*keys).distinct(), max_groups):
-        return fact.join(F.broadcast(per_group), keys, how)
-    return salted_join(fact, per_group, keys, how)
-
-
 DEFAULT_SALT_BUCKETS = 16
 
 

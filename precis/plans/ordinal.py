@@ -24,13 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precis.plans.joins import is_small
 from precis.session import cut_lineage
 
 
 def row_index(df: DataFrame, order: list, by: list[str] | None = None, name: str = "idx",
-              start: int = 0, partitions: int | None = None,
-              max_groups: int = 100_000) -> DataFrame:
+              start: int = 0, partitions: int | None = None) -> DataFrame:
     """Adds ``name``: 0-based (or ``start``-based) position of each row in
     ``order`` within its ``by`` group.  ``order`` items are column names or
     sort Columns (e.g. ``F.col("x").desc()``)."""
@@ -51,8 +49,8 @@ def row_index(df: DataFrame, order: list, by: list[str] | None = None, name: str
     w = Window.partitionBy(*by).orderBy("__pid") if by else Window.orderBy("__pid")
     slices = slices.withColumn(
         "__off", F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if not by or is_small(df.select(*by).distinct(), max_groups):
-        # slices hold at most partitions + groups - 1 rows: a proven bound
+    if not by:
+        # slices hold one row per partition: a proven bound
         out = local.join(F.broadcast(slices.select("__pid", *by, "__first", "__off")), ["__pid", *by])
     else:
         out = local.join(slices.select("__pid", *by, "__first", "__off"), ["__pid", *by])

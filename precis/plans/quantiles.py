@@ -1,47 +1,18 @@
-"""Exact quantiles (linear interpolation, as pandas) that scale with group size.
+"""Exact quantiles (linear interpolation, as pandas) per group.
 
-Spark's exact ``percentile`` buffers a value -> count map per group in one
-task: fine for bounded groups, fatal when one group holds a third of 100 TB.
-Strategy, chosen by a cheap size check (one partial aggregation):
-
-* largest group <= ``max_group_rows``: the built-in exact ``percentile``;
-* otherwise: rank the values with the range-partitioned ``row_index`` (a
-  distributed sort: a hot group spans many tasks), keep only the rows at the
-  ranks the quantiles need (two per quantile per group), and interpolate.
-"""
+The built-in exact ``percentile`` combines value -> count maps before and
+after the shuffle, so a group costs its distinct values, not its rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.plans.joins import join_dim
-from precis.plans.ordinal import row_index
-
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
 
-def quantiles(df: DataFrame, value: str, by: list[str], qs: list[float],
-              max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, out: str = "q") -> DataFrame:
+def quantiles(df: DataFrame, value: str, by: list[str], qs: list[float], out: str = "q") -> DataFrame:
     """-> by + ``out`` (array<double>, one entry per q) + n (group size).
     NULL/NaN values are ignored."""
     data = df.select(*by, F.col(value).cast("double").alias("__v")).filter(
         F.col("__v").isNotNull() & ~F.isnan("__v"))
-    sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    biggest = sizes.agg(F.max("n")).first()[0] or 0
-    if biggest <= max_group_rows:
-        return data.groupBy(*by).agg(F.percentile("__v", F.array(*[F.lit(q) for q in qs])).alias(out),
-                                     F.count(F.lit(1)).alias("n"))
-    ranked = row_index(data, ["__v"], by, name="__rank")
-    # the ranks each group needs: floor and ceil of q * (n - 1)
-    need = sizes.select(*by, "n", F.posexplode(F.array(*[F.lit(q) for q in qs])).alias("qi", "qv")) \
-        .withColumn("pos", F.col("qv") * (F.col("n") - 1)) \
-        .withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
-    wanted = need.select(*by, F.explode(F.array("lo", "hi")).alias("__rank")).distinct()
-    picked = join_dim(ranked, wanted, [*by, "__rank"], "left_semi").select(*by, "__rank", "__v")
-    lo = picked.select(*by, F.col("__rank").alias("lo"), F.col("__v").alias("v_lo"))
-    hi = picked.select(*by, F.col("__rank").alias("hi"), F.col("__v").alias("v_hi"))
-    vals = need.join(lo, [*by, "lo"]).join(hi, [*by, "hi"]).select(
-        *by, "n", "qi", (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("x"))
-    return vals.groupBy(*by, "n").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("qi", "x"))), lambda s: s["x"]).alias(out))
+    return data.groupBy(*by).agg(F.percentile("__v", F.array(*[F.lit(q) for q in qs])).alias(out),
+                                 F.count(F.lit(1)).alias("n"))

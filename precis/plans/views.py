@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precis.plans.joins import is_small, salted_join
 from precis.session import table
 
 # The judge replies of the `responses` view, by (event_id*7+k) % 9.
@@ -58,11 +57,9 @@ def refs(spark: SparkSession, sf_dir: str, run_df: DataFrame | None = None) -> D
     keyed = run_df.select(
         "run_id", F.posexplode(F.sequence(F.lit(0), F.lit(REFS_PER_RUN - 1))).alias("ref_no", "k")
     ).select("run_id", "ref_no", ((F.col("run_id") + F.col("k")) % n_items).alias("item_id"))
-    # every item is referenced by many runs (hot keys): the item table is
-    # broadcast when proven small, otherwise salted
-    items = bench.select("item_id", "text")
-    joined = (keyed.join(F.broadcast(items), "item_id") if is_small(items)
-              else salted_join(keyed, items, ["item_id"], salt_cols=["run_id", "ref_no"]))
+    # every item is referenced by many runs (hot keys): AQE broadcasts the item
+    # table if it is small and splits skewed partitions otherwise
+    joined = keyed.join(bench.select("item_id", "text"), "item_id")
     return joined.select("run_id", "ref_no", "item_id", F.col("text").alias("reference"))
 
 

@@ -8,13 +8,13 @@ by experiment / approach.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precis import schemas
 from precis.functions import text as TX
-from precis.plans.joins import join_dim
 
 
 def read_gold(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
@@ -71,9 +71,12 @@ def append_corpus(df: DataFrame, root: str, key: str = "url") -> DataFrame:
     spark = df.sparkSession
     try:
         stored = spark.read.parquet(root).select(key)
-        new = join_dim(df, stored, [key], "left_anti")
-    except Exception:  # noqa: BLE001 - no table yet
-        new = df
+        new = df.join(stored, [key], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        new = df  # no table yet
+    new = new.dropDuplicates([key])
     new.write.mode("append").parquet(root)
     return new
 

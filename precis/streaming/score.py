@@ -52,9 +52,9 @@ def score_stateless(runs: DataFrame) -> DataFrame:
 
 
 def stream_score(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
-                 available_now: bool = True):
+                 available_now: bool = True, max_files_per_trigger: int | None = None):
     """H1: start the scoring stream; returns the StreamingQuery."""
-    out = score_stateless(read_stream(spark, source, schema, max_files_per_trigger=1))
+    out = score_stateless(read_stream(spark, source, schema, max_files_per_trigger))
     writer = out.writeStream.format("parquet").option("checkpointLocation", checkpoint) \
         .outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -77,10 +77,10 @@ def leaderboard(events: DataFrame, ts: str = "ts", by: str = "approach", metric:
 
 
 def stream_leaderboard(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
-                       **kw):
+                       max_files_per_trigger: int | None = None, **kw):
     """H2 as a stream in complete mode; every micro-batch rewrites the
     (small: windows x groups) result table through foreachBatch."""
-    board = leaderboard(read_stream(spark, source, schema, max_files_per_trigger=1), **kw)
+    board = leaderboard(read_stream(spark, source, schema, max_files_per_trigger), **kw)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
@@ -96,7 +96,8 @@ def dedup(events: DataFrame, key: str = "run_id", ts: str = "ts", watermark: str
 
 
 def stream_dedup(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
-                 key: str = "run_id", ts: str = "ts", watermark: str = "1 hour"):
-    out = dedup(read_stream(spark, source, schema, max_files_per_trigger=1), key, ts, watermark)
+                 key: str = "run_id", ts: str = "ts", watermark: str = "1 hour",
+                 max_files_per_trigger: int | None = None):
+    out = dedup(read_stream(spark, source, schema, max_files_per_trigger), key, ts, watermark)
     return out.writeStream.format("parquet").option("checkpointLocation", checkpoint) \
         .outputMode("append").trigger(availableNow=True).start(sink)

@@ -65,17 +65,39 @@ def test_histogram_counts(spark):
     assert sum(h.values()) == 11 and h[9] == 2 and len(h) == 10
 
 
-def test_quantiles_both_strategies_agree(spark, sf):
+def test_quantiles_against_numpy(spark, sf):
+    import numpy as np
+
     from precis.plans.quantiles import quantiles
     s = views.scores(spark, sf)
-    small = {r["approach"]: [round(x, 9) for x in r["q"]] for r in
-             quantiles(s, "metric", ["approach"], [0.25, 0.5, 0.75]).collect()}
-    big = {r["approach"]: [round(x, 9) for x in r["q"]] for r in
-           quantiles(s, "metric", ["approach"], [0.25, 0.5, 0.75], max_group_rows=10).collect()}
-    assert small == big
-    g1 = quantiles(s, "metric", [], [0.5]).first()["q"][0]
-    g2 = quantiles(s, "metric", [], [0.5], max_group_rows=10).first()["q"][0]
-    assert abs(g1 - g2) < 1e-9
+    values = {}
+    for r in s.select("approach", "metric").collect():
+        if r["metric"] is not None and r["metric"] == r["metric"]:
+            values.setdefault(r["approach"], []).append(r["metric"])
+    got = {r["approach"]: r["q"] for r in quantiles(s, "metric", ["approach"], [0.25, 0.5, 0.75]).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert np.allclose(got[k], np.quantile(v, [0.25, 0.5, 0.75]))
+    every = [x for v in values.values() for x in v]
+    assert abs(quantiles(s, "metric", [], [0.5]).first()["q"][0] - np.median(every)) < 1e-9
+
+
+def test_verdict_vectors(spark):
+    """Hand vectors: numbering from 1, one row per distinct prediction, unknown
+    codes fail, scores are clipped by lo and hi only."""
+    import pytest
+
+    from precis.operators import analytics as A
+    from precis.operators import judge
+    df = spark.createDataFrame([("b", 2, 0.5), ("a", 1, 0.9), ("b", 3, 0.7)], "title string, run_id long, metric double")
+    rows = [tuple(r) for r in A.title_difficulty(df, "metric").collect()]
+    assert rows == [("2: b", 0.6), ("1: a", 0.9)]
+    df = spark.createDataFrame([("x", "1\n2\n3\n4"), ("x", "1\n2\n3\n5"), ("x", "1\n2\n3\n5")], "g string, prediction string")
+    assert [r["head"] for r in A.distinct_predictions(df, "g").collect()] == ["1\n2\n3"] * 2
+    with pytest.raises(Exception, match="unknown metric"):
+        A.metric_labels(spark.createDataFrame([("no such metric",)], "metric string")).collect()
+    got = judge.with_scores(spark.createDataFrame([("50",), ("500",), ("-3",)], "reply string"), lo=1, hi=100)
+    assert [r["score"] for r in got.collect()] == [50, 100, 1]
 
 
 def test_sample_and_success_rate_partition_invariant(spark, sf):

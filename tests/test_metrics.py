@@ -116,7 +116,12 @@ def test_slor_shuffled_equals_broadcast(spark, sf):
     runs = views.runs(spark, sf)
     corpus = table(spark, sf, "documents").select("text")
     a = {r["run_id"]: round(r["slor"], 9) for r in lm.slor(runs, corpus).collect()}
-    b = {r["run_id"]: round(r["slor"], 9) for r in lm.slor(runs, corpus, max_broadcast_rows=0).collect()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        b = {r["run_id"]: round(r["slor"], 9) for r in lm.slor(runs, corpus).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert a == b and len(a) > 0
 
 
