@@ -44,6 +44,14 @@ def repeated_words(words: str = "words") -> Column:
     return ordered
 
 
+def _beside(own: str, ahead: str, by: int, fewer: int) -> Column:
+    """Each hash of ``own`` mixed with the one ``by`` places on in ``ahead``, one
+    for each word but the last ``fewer``."""
+    left = F.slice(own, 1, F.greatest(F.size("_words") - fewer, F.lit(0)))
+    right = F.slice(ahead, by + 1, F.size("_words"))
+    return F.zip_with(left, right, lambda a, b: a.bitwiseXOR(F.shiftleft(b, 7 * by)))
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and
     n_repeat_words (long) of the whole text; null text has no words.
@@ -53,15 +61,16 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(INK))
     step = docs.withColumns({"_text": text, "_words": word_array(F.col(text_col)), "_lines": lines})
-    hashed = F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW),
-                         lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)]))
     step = step.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_hashes": F.when(F.size("_words") > WINDOW, hashed)})
-    again = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+        "_hashes": F.transform("_words", lambda w: F.xxhash64(w))})
+    step = step.withColumn("_twos", _beside("_hashes", "_hashes", 1, 1))
+    step = step.withColumn("_fours", _beside("_twos", "_twos", 2, 3))
+    step = step.withColumn("_windows", _beside("_fours", "_hashes", 4, WINDOW - 1))
+    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
     step = step.withColumn("_sorted", F.when(again, repeated_words("_words")))
     same = F.filter("_sorted", lambda x, k: (x["w"] == F.get(F.col("_sorted"), k + 1)["w"])
                     | F.coalesce(x["w"] == F.get(F.col("_sorted"), k - 1)["w"], F.lit(False)))
@@ -71,7 +80,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")),
         lambda acc: acc["n"])
     step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return step.drop("_text", "_lines", "_hashes", "_sorted", "_places")
+    return step.drop("_text", "_lines", "_hashes", "_twos", "_fours", "_windows", "_sorted", "_places")
 
 
 def base_rules() -> list[Rule]:
