@@ -84,23 +84,37 @@ def fill_responses(prompts: DataFrame, call: Callable[[list[str]], list[str]], p
                    max_retries: int = 3, setup: Callable[[], object] | None = None) -> DataFrame:
     """G1 with a caller-supplied model function ``call(prompts) -> replies``
     (batched).  Runs per partition; failures are retried ``max_retries``
-    times, then the row is returned with a NULL reply (listed as pending by
-    ``attach_responses``)."""
-    schema = T.StructType(prompts.schema.fields + [T.StructField("reply", T.StringType())])
+    times, then the batch's prompts are sent one by one.  A prompt that still
+    fails gets a NULL reply (listed as pending by ``attach_responses``) and its
+    last error's text in ``error``, which is NULL otherwise."""
+    schema = T.StructType(prompts.schema.fields + [T.StructField("reply", T.StringType()),
+                                                   T.StructField("error", T.StringType())])
+
+    def attempt(texts: list[str]) -> tuple[list[str] | None, str | None]:
+        error = None
+        for _ in range(max_retries + 1):
+            try:
+                replies = list(call(texts))
+                if len(replies) != len(texts):
+                    raise ValueError(f"{len(replies)} replies to {len(texts)} prompts")
+                return replies, None
+            except Exception as e:  # noqa: BLE001 - caller's client errors
+                error = f"{type(e).__name__}: {e}"
+        return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if setup is not None:
             setup()
         for pdf in batches:
-            replies = None
-            for _ in range(max_retries + 1):
-                try:
-                    replies = list(call(pdf[prompt_col].tolist()))
-                    break
-                except Exception:  # noqa: BLE001 - caller's client errors
-                    continue
+            texts = pdf[prompt_col].tolist()
+            replies, _ = attempt(texts)
+            errors: list[str | None] = [None] * len(texts)
+            if replies is None:
+                single = [attempt([t]) for t in texts]
+                replies = [r[0] if r is not None else None for r, _ in single]
+                errors = [e for _, e in single]
             pdf = pdf.copy()
-            pdf["reply"] = replies if replies is not None else [None] * len(pdf)
+            pdf["reply"], pdf["error"] = replies, errors
             yield pdf
 
     return prompts.mapInPandas(run, schema)

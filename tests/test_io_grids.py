@@ -89,7 +89,16 @@ def test_fill_responses_bounded_retries(spark):
 
     got = {r["run_id"]: r["reply"] for r in R.fill_responses(prompts, echo).collect()}
     assert got == {1: "A", 2: "B"}
-    assert all(r["reply"] is None for r in R.fill_responses(prompts, broken, max_retries=1).collect())
+    lost = R.fill_responses(prompts, broken, max_retries=1).collect()
+    assert all(r["reply"] is None and r["error"] == "RuntimeError: down" for r in lost)
+
+    def picky(ps):
+        if "b" in ps:
+            raise ValueError("no b")
+        return echo(ps)
+
+    got = {r["run_id"]: (r["reply"], r["error"]) for r in R.fill_responses(prompts.coalesce(1), picky, max_retries=0).collect()}
+    assert got == {1: ("A", None), 2: (None, "ValueError: no b")}
 
 
 def test_evaluate_all_branches(spark, sf):
