@@ -3,9 +3,11 @@
 Paragraphs are the lines of a text.  Paragraphs that collide in a band are
 joined and verified by the exact Jaccard similarity of their shingle sets, and
 components of verified pairs are the clusters.  A passage can also repeat inside
-longer paragraphs that differ otherwise: those are covered by pieces of a fixed
-number of words at content-chosen places, one band of a piece being all of it.
-Of a cluster the first paragraph or piece stays, the others are removed.
+paragraphs that differ otherwise or across line ends: texts are covered by pieces
+of a fixed number of words at content-chosen places, whatever their lines, one
+band of a piece being all of it.  Equal pieces are extended to the whole run of
+equal words.  Of a cluster the first paragraph or piece stays, the others are
+removed.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ MIN_WORDS = 20
 PIECE = 20
 REACH = 27
 LONG = PIECE + REACH + 3
+#: words by which an equal run can exceed its first or last piece
+AROUND = LONG - PIECE
 JOIN_GAP = 8
 SKETCH = 32
 SKETCH_MATCHES = 13
@@ -60,7 +64,7 @@ def _lines(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _places(rolled: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Winnowing: the place of the least shingle hash of every REACH consecutive
-    shingles of a line."""
+    shingles of a text; ``line`` numbers the texts by word."""
     n = len(rolled) - REACH + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -83,7 +87,7 @@ UNITS = [("start", "integer"), ("n", "integer"), ("piece", "boolean"), ("cls", "
 
 def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, tag, start, n, piece, cls, size, sketch, keys) of all paragraphs
-    of at least MIN_WORDS words and of the pieces of those of at least LONG.
+    of at least MIN_WORDS words and of the pieces of texts of at least LONG.
 
     start and n count words of the text; tag tells texts of one doc_id apart;
     cls identifies the content; keys are the bands (paragraphs only)."""
@@ -124,15 +128,16 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 for k in range(textvec.SHINGLE):
                     rolled += hashes[k:len(rolled) + k] * textvec.STEP[k]
                 rolled = textvec.mix(rolled)
-                line = np.repeat(np.arange(len(counts)), counts)
-                place = _places(rolled, line)
+                lengths = np.diff(at)
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                place = _places(rolled, doc)
                 place = place[place + PIECE <= len(hashes)]
-                place = place[(line[place] == line[place + PIECE - 1]) & (counts[line[place]] >= LONG)]
+                place = place[(doc[place] == doc[place + PIECE - 1]) & (lengths[doc[place]] >= LONG)]
                 both = np.zeros((len(place), 2), np.uint64)
                 for k in range(0, PIECE, textvec.SHINGLE):
                     both = textvec.mix(both + rolled[np.minimum(place + k, len(rolled) - 1)][:, None]
                                        * textvec.STEP[:2] + textvec.STEP[2:4])
-                doc = np.searchsorted(at, place, "right") - 1
+                doc = doc[place]
                 yield from _unit_batch(batch, first + doc, place - at[doc], np.full(len(place), PIECE), True,
                                        [r.tobytes() for r in both], np.full(len(place), PIECE), None, None)
 
@@ -195,6 +200,80 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "ma", "mb").mapInArrow(compare, "a binary, b binary")
 
 
+def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, stop, before, after): hashes of the AROUND words before
+    and after the spans ``wanted`` (doc_id, tag, start, stop), nearest first; 0
+    where the text ends."""
+    spans = wanted.distinct().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").join(spans, ["doc_id", "tag"])
+    schema = texts.select("doc_id", "tag").schema
+    for name, kind in (("start", "integer"), ("stop", "integer"), ("before", "binary"), ("after", "binary")):
+        schema = schema.add(name, kind)
+
+    def collect(batches):
+        for batch in batches:
+            asked = batch.column("spans").to_pylist()
+            for first, end, data, offsets in textvec.slices(batch.column("text")):
+                starts, ends, at = textvec.words(data, offsets)
+                odd = (textvec.word_hashes(data, starts, ends) >> textvec.U64(32)).astype(np.uint32) | np.uint32(1)
+                row, bounds, before, after = [], [], [], []
+                for i in range(end - first):
+                    own = np.concatenate([np.zeros(AROUND, np.uint32), odd[at[i]:at[i + 1]], np.zeros(AROUND, np.uint32)])
+                    for span in asked[first + i]:
+                        row.append(first + i)
+                        bounds.append((span["start"], span["stop"]))
+                        before.append(own[span["start"]:span["start"] + AROUND][::-1].tobytes())
+                        after.append(own[span["stop"] + AROUND:span["stop"] + 2 * AROUND].tobytes())
+                rows, bounds = pa.array(row, pa.int64()), np.array(bounds, np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(bounds[:, 0]),
+                     pa.array(bounds[:, 1]), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                    names=schema.names)
+
+    return texts.mapInArrow(collect, schema).dropDuplicates(["doc_id", "tag", "start", "stop"])
+
+
+def _extended(chains: DataFrame, around: DataFrame) -> DataFrame:
+    """``chains`` (doc_id, tag, start, stop, kept_doc_id, kept_tag, shift) and the
+    words ``around`` them -> the same, start and stop moved outwards as long as
+    the words equal those of the kept text, which lie ``shift`` words earlier."""
+    own = around.withColumnsRenamed({"before": "b1", "after": "a1"})
+    kept = around.select(F.col("doc_id").alias("kept_doc_id"), F.col("tag").alias("kept_tag"),
+                         F.col("start").alias("kept_start"), F.col("stop").alias("kept_stop"),
+                         F.col("before").alias("b2"), F.col("after").alias("a2"))
+    both = (chains.join(own, ["doc_id", "tag", "start", "stop"])
+            .withColumns({"kept_start": F.col("start") - F.col("shift"), "kept_stop": F.col("stop") - F.col("shift")})
+            .join(kept, ["kept_doc_id", "kept_tag", "kept_start", "kept_stop"]))
+    names = chains.columns
+
+    def grow(batches):
+        for batch in batches:
+            grown = []
+            for x, y in (("b1", "b2"), ("a1", "a2")):
+                left, right = (np.frombuffer(b"".join(v.as_buffer() for v in batch.column(c)), np.uint32).reshape(-1, AROUND)
+                               for c in (x, y))
+                grown.append(np.cumprod((left == right) & (left != 0), axis=1).sum(1))
+            moved = {"start": batch.column("start").to_numpy() - grown[0], "stop": batch.column("stop").to_numpy() + grown[1]}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(moved[c].astype(np.int32)) if c in moved else batch.column(c) for c in names], names=names)
+
+    return both.select(*names, "b1", "b2", "a1", "a2").mapInArrow(grow, chains.schema)
+
+
+def _chains(repeats: DataFrame) -> DataFrame:
+    """Removed pieces that follow each other like the kept ones do, as one span."""
+    pieces = repeats.filter("piece and removed").select(
+        "doc_id", "tag", "start", (F.col("start") + F.col("n")).alias("stop"), F.col("first.doc_id").alias("kept_doc_id"),
+        F.col("first.tag").alias("kept_tag"), (F.col("start") - F.col("first.start")).alias("shift"))
+    same = ["doc_id", "tag", "kept_doc_id", "kept_tag", "shift"]
+    order = W.partitionBy(*same).orderBy("start")
+    new = (F.col("start") >= F.lag("stop").over(order) + JOIN_GAP).cast("int")
+    return (pieces.withColumn("new", F.coalesce(new, F.lit(0)))
+            .withColumn("chain", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+            .groupBy(*same, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+            .select("doc_id", "tag", "start", "stop", "kept_doc_id", "kept_tag", "shift"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                       recall: float = 0.98) -> DataFrame:
     """(doc_id, tag, start, n_words, removed, kept_doc_id): the passages that
@@ -202,8 +281,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     In every cluster the paragraph or piece with the smallest (doc_id, start) is
     kept; removed spans are those with an earlier copy, kept_doc_id the document
-    that holds it.  Spans of a text less than JOIN_GAP words apart are one.
-    Paragraphs under MIN_WORDS words are never touched.  Null and empty texts
+    that holds it.  A piece is extended to all words around it that equal those
+    around the kept one; a piece that overlaps the kept one is none.  Spans of a
+    text less than JOIN_GAP words apart are one.  Paragraphs under MIN_WORDS words
+    are only touched as part of a longer run of equal words.  Null and empty texts
     have no passages; rows with a null doc_id take no part; repeated rows count
     as one document.  Empty table: empty result."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -223,13 +304,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = materialize(paragraph_sets(named, shared.select("at.*", "cls")), "sets")
     posted = shared.select(F.col("cls").alias("node"), "weight", "size", "sketch", "keys", F.explode("keys").alias("key"))
     comp = connect(posted, lambda pairs: _confirm(pairs, sets, percent), SKETCH_MATCHES, percent)
-    joined = every.select("doc_id", "tag", "start", "n", "cls").join(
+    joined = every.select("doc_id", "tag", "start", "n", "piece", "cls").join(
         comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("cluster", F.coalesce("comp", "cls"))
-    firsts = (joined.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-              .filter("first <> last").select("cluster", "first"))
-    found = (joined.join(firsts, "cluster").select(
-        "doc_id", "tag", "start", (F.col("start") + F.col("n")).alias("stop"), (place != F.col("first")).alias("removed"),
-        F.col("first.doc_id").alias("kept_doc_id")).distinct())
+    first = F.struct("first.doc_id", "first.start")
+    firsts = (joined.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "tag")).alias("first"), F.max(place).alias("last"))
+              .filter(first != F.col("last")).select("cluster", "first"))
+    overlap = ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+               & (F.col("start") > F.col("first.start")) & (F.col("start") < F.col("first.start") + F.col("n")))
+    repeats = materialize(joined.join(firsts, "cluster").filter(~overlap).select(
+        "doc_id", "tag", "start", "n", "piece", "first", (place != first).alias("removed")).distinct(), "repeats")
+    chains = materialize(_chains(repeats), "chains")
+    shifted = [(F.col(c) - F.col("shift")).alias(c) for c in ("start", "stop")]
+    ends = chains.select("doc_id", "tag", "start", "stop").unionByName(
+        chains.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), *shifted))
+    runs = materialize(_extended(chains, materialize(surroundings(named, ends), "surroundings")), "runs")
+    removed, kept = F.lit(True).alias("removed"), F.lit(False).alias("removed")
+    found = (repeats.filter("not (piece and removed)").select(
+        "doc_id", "tag", "start", (F.col("start") + F.col("n")).alias("stop"), "removed", F.col("first.doc_id").alias("kept_doc_id"))
+        .unionByName(runs.select("doc_id", "tag", "start", "stop", removed, "kept_doc_id"))
+        .unionByName(runs.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), *shifted, kept,
+                                 "kept_doc_id")).distinct())
     order = W.partitionBy("doc_id", "tag", "removed").orderBy("start", "stop", "kept_doc_id")
     reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum((F.col("start") >= F.coalesce(F.col("reach"), F.lit(-JOIN_GAP)) + JOIN_GAP).cast("int")).over(
@@ -273,7 +367,10 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     parts, at = [], 0
     for first, n in sorted(spans):
         parts.append(data[at:max(at, starts[first])].tobytes())
-        at = max(at, ends[min(first + n, len(ends)) - 1])
+        to = max(at, ends[min(first + n, len(ends)) - 1])
+        if (data[max(at, starts[first]):to] == 10).any():  # the words around it were on different lines
+            parts.append(b"\n")
+        at = to
     parts.append(data[at:].tobytes())
     return "\n".join(x.strip() for x in b"".join(parts).decode("utf-8").split("\n") if x.strip())
 

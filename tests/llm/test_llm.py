@@ -115,6 +115,24 @@ def test_a_long_run_holds_a_piece():
     assert seen[0] & seen[1]
 
 
+def test_a_passage_over_line_ends_is_found_whole(spark):
+    """Hard-wrapped lines of 8 words, beginning inside a line; removed to the word."""
+    run = [f"r{i}" for i in range(60)]
+
+    def wrapped(name, before, after):
+        words = [f"{name}{i}" for i in range(before)] + run + [f"{name}{i}" for i in range(before, before + after)]
+        return "\n".join(" ".join(words[i:i + 8]) for i in range(0, len(words), 8))
+
+    docs = spark.createDataFrame([(1, wrapped("a", 37, 50)), (2, wrapped("b", 21, 46)), (3, "x " * 300)],
+                                 "doc_id long, text string")
+    got = {(r["doc_id"], r["removed"]): r for r in passages.repeated_passages(docs).collect()}
+    assert (got[2, True]["start"], got[2, True]["n_words"], got[2, True]["kept_doc_id"]) == (21, 60, 1)
+    assert (got[1, False]["start"], got[1, False]["n_words"]) == (37, 60) and (1, True) not in got
+    left = {r["doc_id"]: r["text"] for r in passages.drop_repeats(docs).collect()}
+    assert left[2].split() == [f"b{i}" for i in range(67)] and "b20\nb21" in left[2]
+    assert len(left[3].split()) >= passages.PIECE  # the first copy stays
+
+
 def test_quality_counts(spark, sf, odd):
     for docs in (load(spark, sf, "documents"), odd):
         rows = docs.select("doc_id", "text").collect()
