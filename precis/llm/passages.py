@@ -40,12 +40,11 @@ SKETCH_MATCHES = 13
 
 def tune_bands(similarity: float, recall: float, most: int = SKETCH) -> tuple[int, int]:
     """(bands, rows) of the longest rows with which pairs of ``similarity``
-    collide with a probability of ``recall``, in at most ``most`` hashes and with
-    no more than eight bands."""
+    collide with a probability of ``recall``, in at most ``most`` hashes."""
     for rows in range(most, 0, -1):
         miss = np.log(1 - similarity ** rows) if similarity < 1 else -np.inf
         bands = int(np.ceil(np.log(1 - recall) / miss))
-        if bands * rows <= most and bands <= 8:
+        if bands * rows <= most:
             return bands, rows
     return most, 1
 
@@ -275,7 +274,7 @@ def _chains(repeats: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                      recall: float = 0.98) -> DataFrame:
+                      recall: float = 0.9999) -> DataFrame:
     """(doc_id, tag, start, n_words, removed, kept_doc_id): the passages that
     occur more than once, as spans of words of their texts.
 

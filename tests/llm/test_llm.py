@@ -133,6 +133,14 @@ def test_a_passage_over_line_ends_is_found_whole(spark):
     assert len(left[3].split()) >= passages.PIECE  # the first copy stays
 
 
+def test_bands_miss_as_seldom_as_stated():
+    import inspect
+    recall = inspect.signature(passages.repeated_passages).parameters["recall"].default
+    for similarity in (0.75, 0.8, 0.9):
+        bands, rows = passages.tune_bands(similarity, recall)
+        assert bands * rows <= passages.SKETCH and (1 - similarity ** rows) ** bands <= 1e-4
+
+
 def test_quality_counts(spark, sf, odd):
     for docs in (load(spark, sf, "documents"), odd):
         rows = docs.select("doc_id", "text").collect()
