@@ -230,6 +230,18 @@ def test_toxicity_automaton_and_scores(spark, sf, odd):
     assert score[1] < 0.5 < score[2] or score[1] < score[2]
 
 
+def test_toxicity_odds_do_not_depend_on_the_sample_bound(spark):
+    """1 toxic to 9 clean documents; a bound of 60 a class cuts the clean ones only."""
+    rows = [(i, ("you scumbag " if i % 10 == 0 and i % 40 or i % 10 == 3 and i % 90 == 3 else "dear friend ") + f"text {i}",
+             int(i % 10 == 0)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, cut = (toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"), n) for n in (1000, 60))
+    assert "scumbag" in whole.terms and "scumbag" in cut.terms
+    nothing = (0, 0, 0, 0)
+    assert abs(whole.weights[0] - cut.weights[0]) < 0.5
+    assert whole.score(nothing) < 0.1 and cut.score(nothing) < 0.1
+
+
 def test_maxent_counts_and_held_out(spark, sf, odd):
     rows = maxent.op3_maxent_lm(spark, sf).collect()
     words = {i: WORDS.findall((t or "").translate(LOWER)) + [None] for i, t in texts_of(spark, sf).items()}
