@@ -242,6 +242,15 @@ def test_toxicity_odds_do_not_depend_on_the_sample_bound(spark):
     assert whole.score(nothing) < 0.1 and cut.score(nothing) < 0.1
 
 
+def test_malformed_bytes_do_not_hide_the_texts_beside_them():
+    import pyarrow as pa
+    raw = [b"caf\xe9 \x80\xbf ok", b"you scumbag", b"", b"so \xa0 a scumbag \xc3", "é scumbag".encode()]
+    texts = pa.Array.from_buffers(pa.large_string(), len(raw), [
+        None, pa.py_buffer(np.cumsum([0, *map(len, raw)]).astype(np.int64).tobytes()), pa.py_buffer(b"".join(raw))])
+    model = toxicity.Model(terms=["scumbag"])
+    assert [len(h) for _, _, found in model.hits(texts) for h in found] == [0, 1, 0, 1, 1]
+
+
 def test_maxent_counts_and_held_out(spark, sf, odd):
     rows = maxent.op3_maxent_lm(spark, sf).collect()
     words = {i: WORDS.findall((t or "").translate(LOWER)) + [None] for i, t in texts_of(spark, sf).items()}
