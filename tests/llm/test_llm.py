@@ -251,6 +251,24 @@ def test_malformed_bytes_do_not_hide_the_texts_beside_them():
     assert [len(h) for _, _, found in model.hits(texts) for h in found] == [0, 1, 0, 1, 1]
 
 
+def test_every_sure_term_is_learnt_and_found_between_any_marks(spark):
+    terms = [f"{a}{b}{c}" for a in ("zog", "wub", "kra") for b in ("flim", "drat", "nerp") for c in ("o", "ast", "ilk", "une", "ergy")]
+    terms += ["zq"]  # 46 terms, one of two letters
+    rows = [(i, f"you {terms[i % 46]} there", 1) for i in range(46 * 6)]
+    rows += [(i, f"dear friend number {i % 7} there", 0) for i in range(1000, 3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert set(terms) <= set(model.terms)
+    import pyarrow as pa
+    model = toxicity.Model(terms=["idiot", "worthless"])
+    texts = ["idiot,go", "you/idiot", "((((((idiot))))))", "(\"idiot\")", "the idiot's hat", "id!ot", "well-known", "go:'idiot'/x"]
+    found = [h for _, _, part in model.hits(pa.array(texts)) for h in part]
+    assert [len(h) for h in found] == [1, 1, 1, 1, 1, 1, 0, 1]
+    assert [h[0][1] for h in found if h] == [False, False, False, True, False, False, True]
+    small = toxicity.Automaton.within(["worthless", "scumbag"], 60)
+    assert len(small.moves) <= 60 and small.terms == ["worthless", "scumbag"]
+
+
 def test_maxent_counts_and_held_out(spark, sf, odd):
     rows = maxent.op3_maxent_lm(spark, sf).collect()
     words = {i: WORDS.findall((t or "").translate(LOWER)) + [None] for i, t in texts_of(spark, sf).items()}
