@@ -7,6 +7,8 @@ from precis.plans import registry
 
 def load_all() -> None:
     from precis.llm import (  # noqa: F401
+        chat,
+        codes,
         language,
         maxent,
         mixing,
@@ -16,6 +18,7 @@ def load_all() -> None:
         passages,
         quality,
         toxicity,
+        trie,
         warc,
     )
     if "pipeline" not in registry.QUERIES:
