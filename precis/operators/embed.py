@@ -1,24 +1,26 @@
 """Embedding match (E9, BERTScore-style greedy matching) and the sentence
 pairing it uses (C15).
 
-Token vectors are input tables (the encoder's forward pass is not built).
-Per pair of texts the similarity matrix is computed inside one task with
-numpy on Arrow batches: no candidate x reference rows are ever emitted, so
-the work per pair is one BLAS product and the shuffle carries one row per
-text.
+Token vectors are input tables (the encoder's forward pass is not built).  A
+text's vectors are cut into blocks of bounded size, and a pair of texts meets
+block by block: every block pair is one BLAS product in a task, from which the
+row and column maxima leave; the maxima of a token over all blocks of the other
+side are merged by ``max``.  So neither a text nor a similarity matrix has to
+fit into one row, and a text with many partners is dealt out in salts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions import text as T
-from precis.functions.udf import LazyPandasUDF
 
-MATCH_SCHEMA = "struct<p:double,r:double,f1:double>"
+#: vectors of a block, and pairs that one copy of a text's blocks serves
+BLOCK = 256
+PAIRS_PER_SALT = 64
 
 
 def sentence_pairs(refs: DataFrame, cands: DataFrame, ref_col: str = "reference",
@@ -38,49 +40,119 @@ def sentence_pairs(refs: DataFrame, cands: DataFrame, ref_col: str = "reference"
         F.col("p.r").alias("ref_sentence"), F.col("p.c").alias("cand_sentence"))
 
 
-def _greedy(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    out_p, out_r, out_f = [], [], []
-    for cv, rv in zip(cand, ref):
-        if cv is None or rv is None or len(cv) == 0 or len(rv) == 0:
-            out_p.append(None), out_r.append(None), out_f.append(None)
-            continue
-        a = np.vstack([np.asarray(v, dtype=np.float64) for v in cv])
-        b = np.vstack([np.asarray(v, dtype=np.float64) for v in rv])
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
-        b /= np.linalg.norm(b, axis=1, keepdims=True)
-        sim = a @ b.T
-        p = float(sim.max(axis=1).mean())
-        r = float(sim.max(axis=0).mean())
-        out_p.append(p), out_r.append(r)
-        out_f.append(2 * p * r / (p + r) if (p + r) != 0 else 0.0)
-    return pd.DataFrame({"p": out_p, "r": out_r, "f1": out_f})
-
-
-greedy_match = LazyPandasUDF(_greedy, MATCH_SCHEMA)
-
-
-def text_matrices(vecs: DataFrame, text_col: str = "text_id", order_col: str = "vec_id",
-                  vec_col: str = "embedding") -> DataFrame:
-    """One row per text holding all its token vectors in token order."""
-    return vecs.groupBy(text_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(order_col, vec_col))),
-                    lambda s: s[vec_col]).alias("vecs"))
+def vector_blocks(vecs: DataFrame, text_col: str = "text_id", order_col: str = "vec_id",
+                  vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(text, block, blocks, vecs): the distinct vectors of each text with their
+    counts, in blocks of about ``block``.
+
+    Greedy matching does not depend on the order of tokens, so a vector's block
+    is a hash; equal rows are counted, so that they do not fill one block."""
+    rows = vecs.select(F.col(text_col).alias("text"), F.col(order_col).alias("k"), F.col(vec_col).alias("v")) \
+        .filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    distinct = rows.groupBy("text", "k", "v").agg(F.count(F.lit(1)).alias("w"))
+    sizes = distinct.groupBy("text").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    return distinct.join(sizes, "text").groupBy(
+        "text", "blocks", F.pmod(F.xxhash64("k", "v"), F.col("blocks")).cast("int").alias("block")) \
+        .agg(F.collect_list(F.struct("w", "v")).alias("vecs"))
+
+
+def _attach(pairs: DataFrame, blocks: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the blocks of their ``side`` text.  A text is copied once
+    per PAIRS_PER_SALT of its pairs, and the pairs are dealt over the copies."""
+    key = f"{side}_text"
+    heat = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS_PER_SALT)).cast("int").alias("salts"))
+    dealt = pairs.join(heat, key).withColumn("salt", F.pmod(F.xxhash64(*pairs.columns), F.col("salts"))).drop("salts")
+    copies = blocks.withColumnsRenamed({"text": key, "block": f"{side}_block", "blocks": f"{side}_blocks",
+                                        "vecs": f"{side}_vecs"}).join(heat, key)
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
+def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and counts of one block; a zero vector stays zero."""
+    block = column[row].values
+    v = block.field("v")
+    a = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    norm = np.linalg.norm(a, axis=1, keepdims=True)
+    return a / np.where(norm > 0, norm, 1), block.field("w").to_numpy()
+
+
+def _maxima(pairs: DataFrame) -> DataFrame:
+    """(pair_id, side, token, top, n): per block pair the maximum of each row and
+    column with its count.  Against a side of one block a maximum is final, and
+    the block leaves as one row (token null, top the sum, n the count)."""
+    schema = pairs.select("pair_id").schema.add("side", "integer").add("token", "long").add("top", "double").add("n", "long")
+
+    def compare(batches):
+        for batch in batches:
+            row, side, token, top, n = [], [], [], [], []
+            for i in range(batch.num_rows):
+                (a, wa), (b, wb) = _matrix(batch.column("cand_vecs"), i), _matrix(batch.column("ref_vecs"), i)
+                sim = a @ b.T
+                for s, own, other, best, w in ((0, "cand", "ref", sim.max(1), wa), (1, "ref", "cand", sim.max(0), wb)):
+                    if batch.column(f"{other}_blocks")[i].as_py() == 1:
+                        said = [None], [float((best * w).sum())], [int(w.sum())]
+                    else:
+                        first = batch.column(f"{own}_block")[i].as_py() << 32
+                        said = range(first, first + len(best)), best.tolist(), w.tolist()
+                    row.extend([i] * len(said[0]))
+                    side.extend([s] * len(said[0]))
+                    for out, x in zip((token, top, n), said, strict=True):
+                        out.extend(x)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pair_id").take(pa.array(row, pa.int64())), pa.array(side, pa.int32()),
+                 pa.array(token, pa.int64()), pa.array(top, pa.float64()), pa.array(n, pa.int64())],
+                names=schema.names)
+
+    return pairs.select("pair_id", "cand_block", "cand_blocks", "cand_vecs", "ref_block", "ref_blocks", "ref_vecs") \
+        .mapInArrow(compare, schema)
 
 
 def embedding_match(cand_vecs: DataFrame, ref_vecs: DataFrame, pairs: DataFrame,
-                    baseline: float | None = None, text_col: str = "text_id") -> DataFrame:
+                    baseline: float | None = None, text_col: str = "text_id", block: int = BLOCK) -> DataFrame:
     """Greedy cosine matching per (candidate text, reference text) pair.
 
-    ``pairs`` holds (pair_id, cand_text, ref_text).  With ``baseline`` b the
-    scores are rescaled to (x - b) / (1 - b).  -> (pair_id, p, r, f1)."""
-    cm = text_matrices(cand_vecs, text_col).withColumnRenamed(text_col, "cand_text") \
-        .withColumnRenamed("vecs", "cv")
-    rm = text_matrices(ref_vecs, text_col).withColumnRenamed(text_col, "ref_text") \
-        .withColumnRenamed("vecs", "rv")
-    joined = pairs.join(cm, "cand_text").join(rm, "ref_text")
-    scored = joined.select("pair_id", greedy_match(F.col("cv"), F.col("rv")).alias("m"))
-    cols = [F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f1").alias("f1")]
-    if baseline is not None:
-        cols = [((c - F.lit(baseline)) / F.lit(1.0 - baseline)).alias(n)
-                for c, n in zip(cols, ["p", "r", "f1"])]
-    return scored.select("pair_id", *cols)
+    ``pairs`` holds (pair_id, cand_text, ref_text); a pair with a text without
+    vectors has no row.  With ``baseline`` b the scores are rescaled to
+    (x - b) / (1 - b).  -> (pair_id, p, r, f1)."""
+    keyed = pairs.select("pair_id", "cand_text", "ref_text")
+    met = _attach(_attach(keyed, vector_blocks(cand_vecs, text_col, block=block), "cand"),
+                  vector_blocks(ref_vecs, text_col, block=block), "ref")
+    found = _maxima(met)
+    merged = found.groupBy("pair_id", "side", "token").agg(
+        F.when(F.col("token").isNull(), F.sum("top")).otherwise(F.max("top") * F.max("n")).alias("top"),
+        F.when(F.col("token").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"))
+    means = merged.groupBy("pair_id", "side").agg((F.sum("top") / F.sum("n")).alias("m"))
+    both = means.groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, F.col("m"))).alias("p"),
+                                        F.max(F.when(F.col("side") == 1, F.col("m"))).alias("r"))
+    f1 = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(F.lit(0.0))
+    return both.select("pair_id", *[rescaled(c, baseline).alias(n) for n, c in (("p", F.col("p")), ("r", F.col("r")), ("f1", f1))])
+
+
+def rescaled(score: Column, baseline: float | None) -> Column:
+    return score if baseline is None else (score - F.lit(baseline)) / F.lit(1.0 - baseline)
+
+
+def bert_scores(refs: DataFrame, cands: DataFrame, vectors, baseline: float | None = None,
+                ref_col: str = "reference", cand_col: str = "prediction", block: int = BLOCK) -> DataFrame:
+    """E9 over sentence pairs (C15) -> (run_id, ref_no, bert_score): the mean F1
+    of the pairs of each reference.
+
+    ``vectors(sentences)`` gives (text_id, vec_id, embedding) for a table
+    (text_id, sentence) of distinct sentences.  A pair with an empty side scores
+    0 before it is rescaled."""
+    pairs = sentence_pairs(refs, cands, ref_col, cand_col)
+    keyed = pairs.select("run_id", "ref_no", "pos", F.md5(F.col("cand_sentence").cast("binary")).alias("cand_text"),
+                         F.md5(F.col("ref_sentence").cast("binary")).alias("ref_text"), "cand_sentence", "ref_sentence")
+    texts = keyed.select(F.inline(F.array(
+        F.struct(F.col("cand_text").alias("text_id"), F.col("cand_sentence").alias("sentence")),
+        F.struct(F.col("ref_text").alias("text_id"), F.col("ref_sentence").alias("sentence"))))) \
+        .groupBy("text_id").agg(F.any_value("sentence").alias("sentence"))
+    vecs = vectors(texts)
+    # equal sentence pairs are scored once
+    which = F.struct("cand_text", "ref_text")
+    distinct = keyed.select(which.alias("pair_id"), "cand_text", "ref_text").distinct()
+    scored = embedding_match(vecs, vecs, distinct, block=block).select("pair_id", "f1")
+    f1 = rescaled(F.coalesce("f1", F.lit(0.0)), baseline)
+    return keyed.select("run_id", "ref_no", which.alias("pair_id")).join(scored, "pair_id", "left") \
+        .groupBy("run_id", "ref_no").agg(F.avg(f1).alias("bert_score"))

@@ -55,3 +55,17 @@ def entail_ratios(probs: DataFrame) -> DataFrame:
     return probs.groupBy("run_id").agg(
         F.avg(is_contradiction(pc, pn, pe).cast("double")).alias("contradiction_ratio"),
         F.avg(is_neutral_contradiction(pc, pn, pe).cast("double")).alias("neutral_contradiction_ratio"))
+
+
+def row_ratios(text: Column, prediction: Column, scorer: Callable[[Column, Column], Column]) -> Column:
+    """E11-E13 inside one row, for a scorer that is a Column function:
+    struct(contradiction_ratio, neutral_contradiction_ratio)."""
+    probs = F.transform(F.split(prediction, "\n", -1), lambda line: scorer(text, line))
+
+    def share(test) -> Column:
+        return F.aggregate(probs, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n")),
+                           lambda acc, s: F.struct((acc["k"] + test(s["p_c"], s["p_n"], s["p_e"]).cast("int")).alias("k"),
+                                                   (acc["n"] + 1).alias("n")), lambda acc: acc["k"] / acc["n"])
+
+    return F.struct(share(is_contradiction).alias("contradiction_ratio"),
+                    share(is_neutral_contradiction).alias("neutral_contradiction_ratio"))

@@ -71,3 +71,15 @@ def error_scores(line_scores_df: DataFrame) -> DataFrame:
         F.avg("score").alias("avg_error_count_score"),
         F.sum("errors").cast("int").alias("errors"),
         F.sum((F.col("n_tokens") == 0).cast("int")).cast("int").alias("empty_lines"))
+
+
+def row_error_scores(prediction: Column, rules=None, categories=None) -> Column:
+    """E14 + E15 inside one row, for rules: struct(avg_error_count_score, errors)."""
+    lines_ = F.transform(F.split(prediction, "\n", -1), lambda x: F.struct(
+        rule_errors(x, rules, categories).alias("e"), F.size(word_tokens(x)).alias("n")))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(0).alias("e"))
+    total = F.aggregate(lines_, zero, lambda acc, x: F.struct(
+        (acc["s"] + F.when(x["n"] > 0, 1.0 - x["e"] / x["n"]).otherwise(0.0)).alias("s"),
+        (acc["k"] + (x["n"] > 0).cast("int")).alias("k"), (acc["e"] + x["e"]).alias("e")))
+    return F.transform(F.array(total), lambda t: F.struct(
+        F.when(t["k"] > 0, t["s"] / t["k"]).alias("avg_error_count_score"), t["e"].alias("errors")))[0]

@@ -6,10 +6,12 @@ averaged over a run's lines.  The language model is a bigram model with
 add-k smoothing trained *in Spark* on a corpus (two groupBy counts); a
 table of per-line LM log-probabilities can be passed instead.
 
-Scale: the vocabulary and bigram tables grow with the corpus, so they are
-joined, not broadcast, unless a bounded check proves them small.  Token
-rows are keyed (token) / (prev, token); AQE splits skewed keys (frequent
-words) at runtime.
+Scale: scoring is inverted.  The distinct bigrams of all lines are looked up
+once, in one table (prev, token, log-probabilities) built for them, so the
+corpus tables meet distinct bigrams and never the running text; lines then meet
+that table in one join of (line, bigram, count) rows.  Nothing is collected,
+persisted or run while the query is built: the corpus totals are scalar
+subqueries.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import word_tokens
-from pyspark import StorageLevel
 
 START = "<s>"
 
@@ -37,31 +38,22 @@ def bigrams(t: Column) -> Column:
         .otherwise(F.array().cast("array<struct<prev:string,token:string>>"))
 
 
-def _positions(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    toks = df.select(*keys, line_tokens(F.col(text_col)).alias("t"))
-    return toks.select(*keys, F.posexplode(bigrams(F.col("t"))).alias("pos", "bg")) \
-        .select(*keys, "pos", "bg.prev", "bg.token")
+def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, Column]:
+    """-> (unigrams(token, cu), bigrams(prev, token, cb), struct(n, v)): counts,
+    and as a scalar the number of tokens and of distinct tokens.
 
-
-def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int]:
-    """-> (unigrams(token, cu), bigrams(prev, token, cb), N tokens, V types).
-
-    The corpus is tokenised once, into bigram counts (every line starts with
-    the start marker); the bigram table is persisted (memory, spilling to
-    disk; a lost block is recomputed from its short lineage) and the unigram
-    counts are derived from it: a token's count is the sum of its bigram
-    counts, the start marker's count is the number of non-empty lines."""
+    The corpus is tokenised into bigram counts only; a line's start marker is
+    counted as a bigram without predecessor, so that a token's count is the sum
+    of its bigram counts for the marker too."""
     lines = corpus.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")) \
         .filter(F.length("line") > 0)
-    pairs = lines.select(F.inline(bigrams(line_tokens(F.col("line")))))
-    bi = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    n_lines = lines.count()
-    words = bi.groupBy("token").agg(F.sum("cb").alias("cu"))
-    stats = words.agg(F.sum("cu").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    uni = words.unionByName(
-        words.sparkSession.createDataFrame([(START, n_lines)], "token string, cu long"))
-    return uni, bi, int(stats["n"] or 0), int(stats["v"] or 0)
+    first = F.array(F.struct(F.lit(None).cast("string").alias("prev"), F.lit(START).alias("token")))
+    bi = lines.select(F.inline(F.concat(first, bigrams(line_tokens(F.col("line")))))) \
+        .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb"))
+    uni = bi.groupBy("token").agg(F.sum("cb").alias("cu"))
+    totals = uni.filter(F.col("token") != START).agg(F.struct(
+        F.coalesce(F.sum("cu"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).alias("s"))
+    return uni, bi, totals.scalar()
 
 
 def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "prediction",
@@ -70,18 +62,18 @@ def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "pr
     constant 0."""
     if compat_zero:
         return runs.select("run_id", F.lit(0.0).alias("slor"))
-    uni, bi, n_tok, v = train_bigram_lm(corpus, corpus_col)
-    lines = runs.select("run_id", F.posexplode(F.split(F.col(pred_col), "\n", -1))
-                        .alias("line_no", "line"))
-    toks = _positions(lines, ["run_id", "line_no"], "line")
-    kv = k * max(v, 1)
-    # AQE broadcasts a table that turns out small and splits the partitions of
-    # hot words (frequent tokens / bigrams) otherwise.
-    prev_u = uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp"))
-
-    with_b = toks.join(uni, "token", "left").join(prev_u, "prev", "left").join(bi, ["prev", "token"], "left")
-    lp_uni = F.log((F.coalesce("cu", F.lit(0)) + F.lit(k)) / F.lit(n_tok + kv))
-    lp_bi = F.log((F.coalesce("cb", F.lit(0)) + F.lit(k)) / (F.coalesce("cp", F.lit(0)) + F.lit(kv)))
-    per_line = with_b.groupBy("run_id", "line_no").agg(
-        ((F.sum(lp_bi) - F.sum(lp_uni)) / F.count(F.lit(1))).alias("line_slor"))
+    uni, bi, totals = train_bigram_lm(corpus, corpus_col)
+    lines = runs.select("run_id", F.posexplode(F.split(F.col(pred_col), "\n", -1)).alias("line_no", "line"))
+    used = lines.select("run_id", "line_no", F.inline(bigrams(line_tokens(F.col("line"))))) \
+        .groupBy("run_id", "line_no", "prev", "token").agg(F.count(F.lit(1)).alias("times"))
+    # the distinct bigrams, each with its counts and those of its two tokens
+    table = used.select("prev", "token").distinct().join(bi, ["prev", "token"], "left") \
+        .join(uni, "token", "left") \
+        .join(uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp")), "prev", "left")
+    kv = F.lit(k) * F.greatest(totals["v"], F.lit(1))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.lit(k)
+    table = table.select("prev", "token", (F.log(count("cb") / (F.coalesce("cp", F.lit(0)) + kv))
+                                           - F.log(count("cu") / (totals["n"] + kv))).alias("gain"))
+    per_line = used.join(table, ["prev", "token"]).groupBy("run_id", "line_no").agg(
+        (F.sum(F.col("gain") * F.col("times")) / F.sum("times")).alias("line_slor"))
     return per_line.groupBy("run_id").agg(F.avg("line_slor").alias("slor"))

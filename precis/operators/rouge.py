@@ -1,16 +1,12 @@
 """ROUGE-1/2 (E3, E4), summary-level ROUGE-Lsum (E5), Porter stems of the
 vocabulary (E6), per-reference score arrays (E7) and their mean (E8).
 
-ROUGE-n is a distributed multiset intersection:
-
-    grams of candidates  -> count per (run_id, n, gram)   (partial agg map-side)
-    grams of references  -> count per (run_id, ref_no, n, gram)
-    join on (run_id, n, gram)  -> sum(least(r, c)) per (run_id, ref_no, n)
-
-Both sides are hash-partitioned on the gram key, so one run with a huge text
-spreads over all tasks instead of landing in one; the per-reference sums are
-partially aggregated before their shuffle.  Text never crosses a shuffle:
-only (key, gram, count) rows do.  Totals come map-side from array sizes.
+ROUGE-n is a multiset intersection by one tagged aggregation: the grams of
+candidates and references go through the same exchange on (run_id, n, gram),
+where each side's count is a conditional sum (combined map-side first), so that
+the overlap least(r, c) and the totals of both sides come from the same group.
+A run with a huge text spreads over all tasks, and text never crosses that
+exchange: only (key, gram, count) rows do.
 
 ROUGE-Lsum needs an LCS per (reference sentence, candidate sentence); that
 DP runs in an Arrow-batched function per pair row (quadratic only within a
@@ -71,87 +67,134 @@ def metric_tokens(text: Column, stem: bool = False, preprocess: bool = True) ->
     return stem_tokens(toks) if stem else toks
 
 
-def _gram_counts(df: DataFrame, keys: list[str], tok_col: str, ns: list[int]) -> DataFrame:
-    exploded = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(n).alias("n"), grams(F.col(tok_col), n).alias("g")) for n in ns
-    ])).alias("ng")).select(*keys, F.col("ng.n").alias("n"), F.explode("ng.g").alias("gram"))
-    return exploded.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def _fmeasure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference", ref_key: str | None = None, out: str = "t") -> DataFrame:
+def reference_tokens(refs: DataFrame, tokens_of, ref_col: str = "reference", ref_key: str | None = None,
+                     ref_texts: DataFrame | None = None, out: str = "t") -> DataFrame:
     """(run_id, ref_no, tokens).  References are usually shared by many runs
-    (the gold summaries of a talk); with ``ref_key`` each distinct reference
-    is tokenised once and the tokens are joined back on the key."""
+    (the gold summaries of a talk): with ``ref_key`` and ``ref_texts`` (ref_key,
+    reference) each text is tokenised once and the tokens are joined to the keyed
+    ``refs``; with ``ref_key`` alone the distinct texts are taken from ``refs``."""
     if ref_key is None:
         return refs.select("run_id", "ref_no", tokens_of(F.col(ref_col)).alias(out))
-    distinct = refs.select(ref_key, ref_col).dropDuplicates([ref_key])
-    toks = distinct.select(ref_key, tokens_of(F.col(ref_col)).alias(out))
-    keyed = refs.select("run_id", "ref_no", ref_key)
-    # One reference serves many runs (hot keys).  The join is left
-    # to AQE: the tokenised distinct references are a shuffle stage whose real
-    # size is known before the join runs, so AQE broadcasts them when small
-    # and splits skewed partitions otherwise.
-    return keyed.join(toks, ref_key).drop(ref_key)
+    texts = ref_texts if ref_texts is not None else refs.select(ref_key, ref_col).dropDuplicates([ref_key])
+    toks = texts.select(ref_key, tokens_of(F.col(ref_col)).alias(out))
+    # One reference serves many runs (hot keys).  The join is left to AQE, which
+    # broadcasts a side that turns out small and splits skewed partitions otherwise.
+    return refs.select("run_id", "ref_no", ref_key).join(toks, ref_key).drop(ref_key)
+
+
+#: references of a run are numbered below this, as the gold summaries are
+REFERENCES = 4
+
+
+def rouge_arrays(rows: DataFrame, ns: tuple[int, ...] = (1, 2), references: int = REFERENCES) -> DataFrame:
+    """-> (run_id, n, nc, refs): per run and n the candidate's number of grams and
+    an array of (ref_no, o, nr): overlap and number of grams of each reference.
+
+    ``rows`` (run_id, ref_no, t): token arrays, the candidate's ref_no being null.
+    Reference numbers are 0 .. references - 1; another one is an error.  Repeated
+    rows of a side add up.  A run without a candidate has no row."""
+    ok = F.col("ref_no").isNull() | F.col("ref_no").between(0, references - 1)
+    side = F.when(ok, F.coalesce(F.col("ref_no"), F.lit(-1))).otherwise(
+        F.raise_error(F.concat(F.lit("reference number out of range: "), F.col("ref_no").cast("string"))))
+    # a gram that is null marks that the side is there, even if it has no grams
+    kinds = F.array(*[F.struct(F.lit(n).alias("n"), F.concat(
+        grams(F.col("t"), n), F.array(F.lit(None).cast("string"))).alias("g")) for n in ns])
+    tagged = rows.select("run_id", side.cast("int").alias("side"), F.explode(kinds).alias("k")) \
+        .select("run_id", "side", "k.n", F.explode("k.g").alias("gram"))
+    sides = [F.count(F.when(F.col("side") == k, 1)).alias(f"s{k + 1}") for k in range(-1, references)]
+    met = tagged.groupBy("run_id", "n", "gram").agg(*sides)
+    real = F.col("gram").isNotNull()
+    aggs = [F.sum(F.when(real, F.col("s0")).otherwise(0)).alias("nc"), F.sum(F.when(~real, F.col("s0"))).alias("there")]
+    for k in range(1, references + 1):
+        aggs += [F.sum(F.when(real, F.least(f"s{k}", "s0")).otherwise(0)).alias(f"o{k}"),
+                 F.sum(F.when(real, F.col(f"s{k}")).otherwise(0)).alias(f"r{k}"),
+                 F.sum(F.when(~real, F.col(f"s{k}"))).alias(f"m{k}")]
+    flat = met.groupBy("run_id", "n").agg(*aggs).filter("there > 0")
+    each = F.array(*[F.when(F.col(f"m{k}") > 0, F.struct(
+        F.lit(k - 1).alias("ref_no"), F.col(f"o{k}").alias("o"), F.col(f"r{k}").alias("nr"))) for k in range(1, references + 1)])
+    return flat.select("run_id", F.col("n").cast("int").alias("n"), "nc", F.filter(each, lambda x: x.isNotNull()).alias("refs"))
+
+
+def _scores(nc: Column, ref: Column) -> tuple[Column, Column, Column]:
+    o = ref["o"].cast("double")
+    p, r = o / F.greatest(nc, F.lit(1)), o / F.greatest(ref["nr"], F.lit(1))
+    return p, r, _fmeasure(p, r)
+
+
+def token_rows(cands: DataFrame, refs: DataFrame, stem: bool = False, cand_col: str = "prediction",
+               ref_col: str = "reference", preprocess: bool = True, ref_key: str | None = None,
+               ref_texts: DataFrame | None = None) -> DataFrame:
+    """(run_id, ref_no, t) of candidates (ref_no null) and references."""
+    ct = cands.select("run_id", F.lit(None).cast("int").alias("ref_no"), metric_tokens(F.col(cand_col), stem, preprocess).alias("t"))
+    rt = reference_tokens(refs, lambda c: metric_tokens(c, stem, preprocess), ref_col, ref_key, ref_texts)
+    return ct.unionByName(rt)
 
 
 def rouge_n(cands: DataFrame, refs: DataFrame, ns: tuple[int, ...] = (1, 2),
             stem: bool = False, cand_col: str = "prediction",
             ref_col: str = "reference", preprocess: bool = True,
-            ref_key: str | None = None) -> DataFrame:
+            ref_key: str | None = None, ref_texts: DataFrame | None = None,
+            references: int = REFERENCES) -> DataFrame:
     """-> (run_id, ref_no, n, p, r, f1) for every reference of every run."""
-    ns = list(ns)
-    ct = cands.select("run_id", metric_tokens(F.col(cand_col), stem, preprocess).alias("t"))
-    rt = reference_tokens(refs, lambda c: metric_tokens(c, stem, preprocess), ref_col, ref_key=ref_key)
-    c_counts = _gram_counts(ct, ["run_id"], "t", ns).withColumnRenamed("cnt", "c")
-    r_counts = _gram_counts(rt, ["run_id", "ref_no"], "t", ns).withColumnRenamed("cnt", "r")
-    overlap = r_counts.join(c_counts, ["run_id", "n", "gram"]).groupBy("run_id", "ref_no", "n") \
-        .agg(F.sum(F.least("r", "c")).alias("o"))
-
-    def totals(df, keys, name):
-        return df.select(*keys, F.explode(F.array(*[
-            F.struct(F.lit(n).alias("n"), F.greatest(F.size("t") - (n - 1), F.lit(0)).alias(name))
-            for n in ns])).alias("x")).select(*keys, "x.n", f"x.{name}")
-
-    tot = totals(rt, ["run_id", "ref_no"], "nr").join(totals(ct, ["run_id"], "nc"), ["run_id", "n"])
-    o = F.coalesce(F.col("o"), F.lit(0)).cast("double")
-    scored = tot.join(overlap, ["run_id", "ref_no", "n"], "left").select(
-        "run_id", "ref_no", F.col("n").cast("int").alias("n"),
-        (o / F.greatest(F.col("nc"), F.lit(1))).alias("p"),
-        (o / F.greatest(F.col("nr"), F.lit(1))).alias("r"))
-    return scored.withColumn("f1", _fmeasure(F.col("p"), F.col("r")))
+    rows = token_rows(cands, refs, stem, cand_col, ref_col, preprocess, ref_key, ref_texts)
+    each = rouge_arrays(rows, ns, references).select("run_id", "n", "nc", F.explode("refs").alias("ref"))
+    p, r, f1 = _scores(F.col("nc"), F.col("ref"))
+    return each.select("run_id", "ref.ref_no", "n", p.alias("p"), r.alias("r"), f1.alias("f1"))
+
+
+def rouge_score_arrays(rows: DataFrame, ns: tuple[int, ...] = (1, 2), references: int = REFERENCES) -> DataFrame:
+    """E7 in the same aggregate -> (run_id, n, scores): F1 of every reference, in
+    reference order; ``rows`` as for ``rouge_arrays``."""
+    return rouge_arrays(rows, ns, references).filter(F.size("refs") > 0).select(
+        "run_id", "n", F.transform("refs", lambda x: _scores(F.col("nc"), x)[2]).alias("scores"))
 
 
 # ---------------------------------------------------------------- ROUGE-Lsum
 
 def _lcs_indices(ref: list[str], can: list[str]) -> list[int]:
     """Indices into ``ref`` of one LCS with ``can`` (row-vectorised DP,
-    standard back-track preferring to move in ``ref`` on ties)."""
+    standard back-track preferring to move in ``ref`` on ties).  Holds about
+    2 * sqrt(n) rows of the table at a time."""
     n, m = len(ref), len(can)
     if n == 0 or m == 0:
         return []
     vocab = {}
     r_ids = np.array([vocab.setdefault(t, len(vocab)) for t in ref])
     c_ids = np.array([vocab.get(t, -1) for t in can])
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
+    def below(prev: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros(m + 1, np.int32)
+        row[1:] = np.maximum.accumulate(np.where(c_ids == r_ids[i - 1], prev[:-1] + 1, prev[1:]))
+        return row
+
+    # every ``step``-th row of the table is kept; the rows between two of them
+    # are found again when the way back reaches them
+    step = max(1, int(np.sqrt(n)))
+    kept = [np.zeros(m + 1, np.int32)]
+    row = kept[0]
     for i in range(1, n + 1):
-        prev = table[i - 1]
-        cand = np.where(c_ids == r_ids[i - 1], prev[:-1] + 1, prev[1:])
-        table[i, 1:] = np.maximum.accumulate(cand)
+        row = below(row, i)
+        if i % step == 0:
+            kept.append(row)
     out = []
     i, j = n, m
     while i > 0 and j > 0:
-        if ref[i - 1] == can[j - 1]:
-            out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif table[i, j - 1] > table[i - 1, j]:
-            j -= 1
-        else:
-            i -= 1
+        top = (i - 1) // step * step
+        rows = [kept[top // step]]
+        for x in range(top + 1, i + 1):
+            rows.append(below(rows[-1], x))
+        while i > top and j > 0:
+            if ref[i - 1] == can[j - 1]:
+                out.append(i - 1)
+                i -= 1
+                j -= 1
+            elif rows[i - top][j - 1] > rows[i - 1 - top][j]:
+                j -= 1
+            else:
+                i -= 1
     out.reverse()
     return out
 
@@ -208,12 +251,12 @@ def sentence_tokens(text: Column, stem: bool = False) -> Column:
 
 def rouge_lsum(cands: DataFrame, refs: DataFrame, stem: bool = False,
                cand_col: str = "prediction", ref_col: str = "reference",
-               ref_key: str | None = None) -> DataFrame:
+               ref_key: str | None = None, ref_texts: DataFrame | None = None) -> DataFrame:
     """E5 -> (run_id, ref_no, p, r, f1).  Candidate sentences are tokenised
     once per run (references once per distinct reference with ``ref_key``),
     then joined to the run's references."""
     ct = cands.select("run_id", sentence_tokens(F.col(cand_col), stem).alias("cs"))
-    rt = reference_tokens(refs, lambda c: sentence_tokens(c, stem), ref_col, ref_key=ref_key, out="rs")
+    rt = reference_tokens(refs, lambda c: sentence_tokens(c, stem), ref_col, ref_key, ref_texts, out="rs")
     m = rt.join(ct, "run_id").select("run_id", "ref_no", lsum_udf(F.col("rs"), F.col("cs")).alias("m"))
     return m.select("run_id", "ref_no", "m.p", "m.r", "m.f1")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precis.functions import sql_text as S
+from precis.functions.tokens import WORD_TOKEN
 from precis.operators import responses as R
 from precis.operators import entailment, hallucination
 from precis.plans import evaluate as EV
@@ -193,6 +194,11 @@ TRUNCATED_CTES = """
                 CASE WHEN three_by_three = 1 THEN prediction ELSE array_to_string(kept, chr(10)) END AS prediction
          FROM h)"""
 
+def grammar_sql(line: str) -> str:
+    from precis.plans.metric_queries import _sql_rule_errors
+    return _sql_rule_errors(line)
+
+
 _EVAL_SQL = views.with_ctes(views.RUNS_SQL, body=TRUNCATED_CTES + f"""
 , lines AS (SELECT run_id, unnest(string_split(prediction, chr(10))) AS line FROM tr)
 , ent AS (SELECT run_id,
@@ -218,14 +224,72 @@ def q_metric_subset(spark, sf):
     return rounded(out)
 
 
-@register("reevaluate", sql=_EVAL_SQL.replace("FROM tr LEFT JOIN ent USING (run_id)",
-                                              "FROM tr LEFT JOIN ent USING (run_id) "
-                                              "WHERE tr.run_id NOT IN (SELECT event_id FROM events)"))
+def _all_inputs(spark, sf, runs):
+    from precis.plans.metric_queries import encoder
+    return EV.Inputs(refs=views.ref_keys(spark, sf, runs), ref_key="item_id", ref_texts=views.ref_texts(spark, sf),
+                     vectors=encoder(spark, sf), baseline=0.25, nli_scorer=entailment.length_scorer,
+                     corpus=table(spark, sf, "documents").select("text"), judge_replies=views.run_responses(runs), stem=False)
+
+
+def _rounded_all(df):
+    return rounded(df.withColumns({c: F.transform(c, lambda x: F.round(x, 6)) for c in df.columns if c in EV.ARRAYS}))
+
+
+@register("metric_all")
+def q_metric_all(spark, sf):
+    """All ten metrics of every run in one plan.  Every metric has its own
+    checked query; the tests hold this one against them."""
+    runs = views.runs(spark, sf)
+    return _rounded_all(EV.evaluate(runs, None, _all_inputs(spark, sf, runs)))
+
+
+_FAMILIES = list(EV.FAMILY_METRICS)
+
+
+def _family_runs(spark, sf):
+    names = F.array(*[F.lit(f) for f in _FAMILIES])
+    return views.runs(spark, sf).withColumn("family", F.element_at(names, (F.col("run_id") % len(_FAMILIES) + 1).cast("int")))
+
+
+def _sql_family(column: str) -> str:
+    asks = [f for f, m in EV.FAMILY_METRICS.items() if any(column in EV.COLUMNS[x] for x in EV.checked(m))]
+    listed = ", ".join(f"'{f}'" for f in asks)
+    return f"count(*) FILTER (WHERE family IN ({listed or 'NULL'})) AS n_{column.lower()}"
+
+
+_FAMILY_COLUMNS = [c for m in EV.ALL_METRICS for c in EV.COLUMNS[m] if c not in ("slor", "number_hallucinations")]
+
+
+@register("family_metrics", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+, f AS (SELECT ([{', '.join(f"'{f}'" for f in _FAMILIES)}])[run_id % {len(_FAMILIES)} + 1] AS family FROM runs)
+SELECT family, count(*) AS n_runs, {', '.join(map(_sql_family, _FAMILY_COLUMNS))} FROM f GROUP BY family"""))
+def q_family_metrics(spark, sf):
+    """E19 by modifier family: how many runs of each got each metric."""
+    runs = _family_runs(spark, sf)
+    out = EV.evaluate_families(runs, inputs=_all_inputs(spark, sf, runs))
+    return out.groupBy("family").agg(F.count(F.lit(1)).alias("n_runs"), *[
+        F.count(c).alias(f"n_{c.lower()}") for c in _FAMILY_COLUMNS])
+
+
+@register("reevaluate", sql=_EVAL_SQL.replace("SELECT tr.run_id, three_by_three", ", ev AS (SELECT tr.run_id, three_by_three") + f""")
+, er AS (SELECT run_id, {grammar_sql('line')} AS e, CAST(len(regexp_extract_all(line, '{WORD_TOKEN}')) AS INTEGER) AS n FROM lines)
+, errs AS (SELECT run_id, round(avg(1.0 - e / (CASE WHEN n > 0 THEN n END)), 6) AS score, CAST(sum(e) AS DOUBLE) AS errors
+           FROM er GROUP BY run_id)
+SELECT run_id, 'number_hallucination' AS metric, 1::BIGINT AS times, CAST(number_hallucinations AS DOUBLE) AS first_score,
+       CAST(NULL AS DOUBLE) AS second_score FROM ev
+UNION ALL SELECT run_id, 'entailment', 1, contradiction_ratio, neutral_contradiction_ratio FROM ev
+UNION ALL SELECT run_id, 'errors', 1, score, errors FROM errs""")
 def q_reevaluate(spark, sf):
-    """Re-score only runs not already scored (the ids present in the
-    events table stand for the runs already done)."""
-    done = table(spark, sf, "events").select(F.col("event_id").alias("run_id"))
+    """Half of the runs are scored for one metric, then all runs for three;
+    the ledger has every (run, metric) once."""
+    runs = views.runs(spark, sf)
+    path = scratch_path(spark, "ledger")
     inp = EV.Inputs(nli_scorer=entailment.length_scorer)
-    out = EV.reevaluate(views.runs(spark, sf), done, ["number_hallucination", "entailment"], inp)
-    return rounded(out)
-
+    EV.reevaluate(runs.filter("run_id % 2 = 0"), path, ["number_hallucination"], inp)
+    EV.reevaluate(runs, path, ["number_hallucination", "entailment", "errors"], inp)
+    stored = spark.read.schema(EV.LEDGER).parquet(path)
+    at = lambda c: F.max(F.col("scores")[c][0])
+    return rounded(stored.groupBy("run_id", "metric").agg(
+        F.count(F.lit(1)).alias("times"),
+        F.coalesce(at("number_hallucinations"), at("contradiction_ratio"), at("avg_error_count_score")).alias("first_score"),
+        F.coalesce(at("neutral_contradiction_ratio"), at("errors")).alias("second_score")))

@@ -23,17 +23,18 @@ VECS_PER_TEXT = 16
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turn joined to the user turn before it; one run per reply."""
-    conv = table(spark, sf_dir, "conversations")
-    replies = conv.filter(F.col("role") == "assistant").select(
-        "conv_id", "turn", F.col("text").alias("prediction"))
-    asks = conv.filter(F.col("role") == "user").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), "text")
-    return replies.join(asks, ["conv_id", "turn"]).select(
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role").isin("assistant", "user"))
+    asked = F.col("role") == "user"
+    # a reply and the turn before it meet under the reply's (conv_id, turn): one
+    # aggregation instead of a self-join (the key is unique per role)
+    met = conv.groupBy("conv_id", (F.col("turn") + asked.cast("int")).alias("turn")).agg(
+        F.max(F.when(~asked, F.struct("text"))).alias("reply"), F.max(F.when(asked, F.struct("text"))).alias("ask"))
+    return met.filter("reply is not null and ask is not null").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"),
         F.concat(F.lit("a"), (F.col("conv_id") % 5).cast("string")).alias("approach"),
         F.col("conv_id").cast("string").alias("title"),
-        "text",
-        "prediction",
+        F.col("ask.text").alias("text"),
+        F.col("reply.text").alias("prediction"),
     )
 
 
@@ -49,18 +50,26 @@ RUNS_SQL = """runs AS (
 )"""
 
 
-def refs(spark: SparkSession, sf_dir: str, run_df: DataFrame | None = None) -> DataFrame:
-    """Four references per run, benchmark items (run_id + k) mod n_items."""
-    run_df = run_df if run_df is not None else runs(spark, sf_dir)
-    bench = table(spark, sf_dir, "benchmark")
-    n_items = bench.select(F.count(F.lit(1))).scalar()
-    keyed = run_df.select(
+def ref_keys(spark: SparkSession, sf_dir: str, run_df: DataFrame) -> DataFrame:
+    """(run_id, ref_no, item_id): benchmark items (run_id + k) mod n_items."""
+    n_items = table(spark, sf_dir, "benchmark").select(F.count(F.lit(1))).scalar()
+    return run_df.select(
         "run_id", F.posexplode(F.sequence(F.lit(0), F.lit(REFS_PER_RUN - 1))).alias("ref_no", "k")
     ).select("run_id", "ref_no", ((F.col("run_id") + F.col("k")) % n_items).alias("item_id"))
+
+
+def ref_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, reference): the texts that ``ref_keys`` names."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
+
+
+def refs(spark: SparkSession, sf_dir: str, run_df: DataFrame | None = None) -> DataFrame:
+    """Four references per run."""
+    run_df = run_df if run_df is not None else runs(spark, sf_dir)
     # every item is referenced by many runs (hot keys): AQE broadcasts the item
     # table if it is small and splits skewed partitions otherwise
-    joined = keyed.join(bench.select("item_id", "text"), "item_id")
-    return joined.select("run_id", "ref_no", "item_id", F.col("text").alias("reference"))
+    joined = ref_keys(spark, sf_dir, run_df).join(ref_texts(spark, sf_dir), "item_id")
+    return joined.select("run_id", "ref_no", "item_id", "reference")
 
 
 REFS_SQL = """refs AS (
@@ -146,6 +155,23 @@ RESPONSES_SQL = """responses AS (
 )"""
 
 
+def run_responses(run_df: DataFrame) -> DataFrame:
+    """Judge replies of the runs: 20 per (run, metric)."""
+    replies = F.array(*[F.lit(r) for r in FIXTURE_REPLIES])
+    metrics = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(x).alias("metric")) for i, x in enumerate(FIXTURE_JUDGE_METRICS)])
+    return run_df.select("run_id", F.inline(metrics)).select(
+        "run_id", "m", "metric", F.explode(F.sequence(F.lit(0), F.lit(JUDGE_SAMPLES - 1))).alias("choice_idx")).select(
+        "run_id", "metric", "choice_idx",
+        F.element_at(replies, ((F.col("run_id") * 7 + F.col("choice_idx") + F.col("m")) % 9 + 1).cast("int")).alias("reply"))
+
+
+RUN_RESPONSES_SQL = """responses AS (
+  SELECT r.run_id, (['fluency','coherence','consistency','relevance'])[m.m + 1] AS metric, k.k AS choice_idx,
+         (['1','2','3.9','4 good','Score: 5','10','0','bad',''])[((r.run_id * 7 + k.k + m.m) % 9) + 1] AS reply
+  FROM runs r CROSS JOIN (SELECT unnest(range(0, 20)) AS k) k CROSS JOIN (SELECT unnest(range(0, 4)) AS m) m
+)"""
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate document d with the document before it as its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
