@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.tokens import word_tokens
+from precis.operators.judge_templates import JUDGE_TEMPLATES
 
 # Prompt building blocks.
 BASE_PROMPT = "Summarize the text."
@@ -38,7 +39,7 @@ MAX_TOKENS_CHAT = 16384
 _T = "Text: ###\n${text}\n###"
 CHAT_MESSAGES: dict[str, list[tuple[str, str]]] = {
     "base_prompt": [("user", "Summarize the text. " + _T)],
-    "in_context": [("user", "${prompt}${text}")],
+    "in_context": [("user", "${prompt}${text}\nSummary:")],
     "follow_up_questions": [
         ("user", "Summarize the text. " + _T),
         ("assistant", "Before summarizing, I will ask two questions about the text.")],
@@ -82,20 +83,72 @@ for _fam in ("length", "quality", "structure", "denseness", "relevance"):
 
 # Approaches whose last message gets no modifier suffix.
 NO_SUFFIX = ["follow_up_questions", "important_parts", "headings_first", "format", "step_by_step",
-             "induce", "baseline"]
+             "induce"]
+# Approaches whose only message is written out by themselves.
+PLAIN = ["baseline", "in_context"]
 MODIFIER_SUFFIX = "\n" + LITERARY_MODIFIERS_STRING + "\n" + BEST_FORMAT_MODIFIER + "."
 
-# Follow-up turns of multi-call approaches (D4):
-# (approach, step) -> (role given to the model's reply, follow-up messages).
+# The skeleton that the template approaches show.
+SUMMARY_SKELETON = ("SUBHEADING\n- BULLET\n- BULLET\n- BULLET\nSUBHEADING\n- BULLET\n- BULLET\n- BULLET\n"
+                    "SUBHEADING\n- BULLET\n- BULLET\n- BULLET")
+
+# Single-string prompts of the non-chat models (D3).  ${prompt}
+# is the topic, persona or former reply; ${language} a language name.
+COMPLETIONS: dict[str, str] = {
+    "topic": "Summarize the following text into three subheadings with three corresponding bullet points."
+             "\n\nTopic: ###\n${prompt}\n###\n\nText: ###\n${text}\n###\n\nSummary:",
+    "persona": "${prompt}Summarize the text.Text: ###\n${text}\n###Summary:",
+    "improve": "Summarize the following text into three subheadings with three corresponding bullet points."
+               "\nText: ###\n${text}\n###\nSummary:",
+    "improve_second": "Here is a text and its summary. Please improve the summary."
+                      "\nText: ###\n${text}\n###\nSummary: ###\n${prompt}\n###",
+    "important_parts": "Find all important parts of the following text.\nText: ###\n${text}\n###",
+    "important_parts_improve": "Here is a text and its important parts. Please improve the important parts."
+                               "\nText: ###\n${text}\n###\nImportant parts:###\n${prompt}\n###",
+    "important_parts_summary": "Here is a text and its important parts. Summarize the content into a three "
+                               "subheadings with three corresponding bullet points."
+                               "\nText: ###\n${text}\n###Important parts: ###\n${prompt}\n###",
+    "template": "I am going to provide you a template for your output. Everything in all caps is a "
+                "placeholder. The prompts must result in output summaries that follow the template "
+                "format. Template: " + SUMMARY_SKELETON + "\nA sample interaction after the prompt was "
+                "provided is shown below.\n###\nUser: Summarize the text into three subheadings with three "
+                "corresponding bullet points.\nText: ${ref_text}\nChatGPT: ${ref_summary}\n###"
+                "\nSummarize text. Text: ${text}",
+    "paraphrase": "Paraphrase the following text: ${text}. Paraphrased text:",
+    "translate": "Translate the following text into ${language}: ${text}\nTranslation:",
+}
+
+# Contexts of the instruction induction.
+INDUCE_CONTEXT = (
+    "I gave a friend an instruction and some inputs. The friend read the instruction and wrote an "
+    "output for every one of the inputs. Here are the input-output pairs.\n")
+INDUCE_CONTEXT_OUTPUTS = (
+    "I gave a friend an instruction and some texts. The friend read the instruction and wrote an "
+    "output for every one of the texts. Here are the outputs.\n")
+INDUCE_QUESTION = "The instruction was:"
+
+# What happens with the model's k-th reply of an approach with
+# several calls (D4): role it is kept under, approach whose messages start a new
+# history with the reply as their prompt (or None), messages that follow.
 _CLOSE = LITERARY_MODIFIERS_STRING + " " + BEST_FORMAT_MODIFIER + "."
-STEPS: dict[tuple[str, int], tuple[str, list[tuple[str, str]]]] = {
-    ("follow_up_questions", 1): ("assistant", []),
-    ("follow_up_questions", 2): ("user", [("user", "Now summarize the text. " + _CLOSE)]),
-    ("improve", 1): ("assistant", [("user", "I am not satisfied with the summary. Write an improved "
-                                    "version. " + _CLOSE)]),
-    ("step_by_step", 1): ("assistant", [("user", "Summarize the text. " + _CLOSE)]),
-    ("headings_first", 1): ("assistant", [("user", "Add three bullet points to each subheading. "
-                                           + LITERARY_MODIFIERS_STRING)]),
+STEPS: dict[str, list[tuple[str, str | None, list[tuple[str, str]]]]] = {
+    "follow_up_questions": [
+        ("assistant", None, []),
+        ("user", None, [("user", "Now summarize the text. " + _CLOSE)]),
+        ("assistant", None, [])],
+    "improve": [
+        ("assistant", None, [("user", "I am not satisfied with the summary. Write an improved version. " + _CLOSE)]),
+        ("assistant", None, [])],
+    "important_parts": [
+        ("assistant", "summarize_important_parts", []),
+        ("assistant", None, [])],
+    "step_by_step": [
+        ("assistant", None, [("user", "Summarize the text. " + _CLOSE)]),
+        ("assistant", None, [])],
+    "headings_first": [
+        ("assistant", None, [("user", "Add three bullet points to each subheading. " + LITERARY_MODIFIERS_STRING)]),
+        ("assistant", None, [])],
+    "induce": [("assistant", None, [])],
 }
 
 # Modifier catalogues (family -> ordered modifiers).
@@ -180,38 +233,55 @@ def _msg(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def _messages(name: str, slots: dict[str, Column], modifier_suffix: bool = True) -> Column:
+    msgs = CHAT_MESSAGES[name]
+    rendered = []
+    for i, (role, tpl) in enumerate(msgs):
+        content = _render(tpl, slots)
+        if modifier_suffix and i == len(msgs) - 1 and name not in NO_SUFFIX + PLAIN:
+            content = F.concat(content, F.lit(MODIFIER_SUFFIX))
+        rendered.append(_msg(role, content))
+    if name == "induce":
+        rendered.append(_msg("user", F.lit(INDUCE_QUESTION)))
+    return F.array(*rendered)
+
+
 def chat_messages(approach: Column, text: Column, prompt: Column | None = None,
                   ref_text: Column | None = None, ref_summary: Column | None = None,
-                  modifier_suffix: bool = True) -> Column:
-    """D1 + D2: array<struct<role,content>> for the row's approach.  An
-    unknown approach yields NULL (validated before the job by
-    ``render_prompts``)."""
+                  modifier_suffix: bool = True, names: list[str] | None = None) -> Column:
+    """D1 + D2: array<struct<role,content>> for the row's approach.
+
+    ``prompt`` fills the approach's own slot: topic line, persona, description,
+    modifier, summary skeleton, or for ``in_context`` everything before the text
+    (``priming_head``).  An unknown approach is an error when the row is
+    rendered; ``names`` limits the compiled catalogue to some approaches."""
     empty = F.lit("")
     slots = {"text": text, "prompt": prompt if prompt is not None else empty,
              "ref_text": ref_text if ref_text is not None else empty,
              "ref_summary": ref_summary if ref_summary is not None else empty}
-    expr = None
-    for name, msgs in CHAT_MESSAGES.items():
-        rendered = []
-        for i, (role, tpl) in enumerate(msgs):
-            content = _render(tpl, slots)
-            if modifier_suffix and i == len(msgs) - 1 and name not in NO_SUFFIX:
-                content = F.concat(content, F.lit(MODIFIER_SUFFIX))
-            rendered.append(_msg(role, content))
-        arr = F.array(*rendered)
-        expr = F.when(approach == name, arr) if expr is None else expr.when(approach == name, arr)
-    return expr
+    expr = F
+    for name in names or CHAT_MESSAGES:
+        expr = expr.when(approach == name, _messages(name, slots, modifier_suffix))
+    return expr.otherwise(F.raise_error(F.concat(F.lit("unknown approach: "), F.coalesce(approach, F.lit("null")))))
+
+
+#: approaches whose catalogue entry has another name than their runs
+MESSAGES_OF = {"follow_up": "follow_up_questions"}
 
 
 def render_prompts(texts: DataFrame, approach_col: str = "approach", text_col: str = "text",
-                   prompt_col: str | None = None) -> DataFrame:
+                   prompt_col: str | None = None, names: list[str] | None = None) -> DataFrame:
     """D1/D2 as a DataFrame operator: adds ``messages``."""
     prompt = F.col(prompt_col) if prompt_col else None
-    return texts.withColumn("messages", chat_messages(F.col(approach_col), F.col(text_col), prompt))
+    approach = F.col(approach_col)
+    for run_name, entry in MESSAGES_OF.items():
+        approach = F.when(F.col(approach_col) == run_name, F.lit(entry)).otherwise(approach)
+    wanted = [MESSAGES_OF.get(n, n) for n in names] if names else None
+    return texts.withColumn("messages", chat_messages(approach, F.col(text_col), prompt, names=wanted))
 
 
 def validate_approaches(approaches: list[str]) -> None:
-    unknown = [a for a in approaches if a not in CHAT_MESSAGES]
+    unknown = [a for a in approaches if MESSAGES_OF.get(a, a) not in CHAT_MESSAGES]
     if unknown:
         raise ValueError(f"unknown approaches: {unknown}")
 
@@ -221,95 +291,93 @@ def validate_approaches(approaches: list[str]) -> None:
 def completion_prompt(kind: str, text: Column, prompt: Column | None = None,
                       reference_text: Column | None = None,
                       reference_summary: Column | None = None) -> Column:
-    """D3: single-string prompts of the non-chat models."""
-    p = prompt if prompt is not None else F.lit("")
-    if kind == "topic":
-        return F.concat(F.lit("Summarize the following text into three subheadings with three "
-                              "corresponding bullet points.\n\nTopic: ###\n"), p,
-                        F.lit("\n###\n\nText: ###\n"), text, F.lit("\n###\n\nSummary:"))
-    if kind == "persona":
-        return F.concat(p, F.lit("Summarize the text.Text: ###\n"), text, F.lit("\n###Summary:"))
-    if kind == "improve":
-        return F.concat(F.lit("Summarize the following text into three subheadings with three "
-                              "corresponding bullet points.\nText: ###\n"), text,
-                        F.lit("\n###\nSummary:"))
-    if kind == "improve_second":
-        return F.concat(F.lit("Here is a text and its summary. Please improve the summary.\nText: ###\n"),
-                        text, F.lit("\n###\nSummary: ###\n"), p, F.lit("\n###"))
-    if kind == "important_parts":
-        return F.concat(F.lit("Find all important parts of the following text.\nText: ###\n"), text,
-                        F.lit("\n###"))
-    if kind == "important_parts_improve":
-        return F.concat(F.lit("Here is a text and its important parts. Please improve the important "
-                              "parts.\nText: ###\n"), text, F.lit("\n###\nImportant parts:###\n"), p,
-                        F.lit("\n###"))
-    if kind == "important_parts_summary":
-        return F.concat(F.lit("Here is a text and its important parts. Summarize the content into a "
-                              "three subheadings with three corresponding bullet points.\nText: ###\n"),
-                        text, F.lit("\n###Important parts: ###\n"), p, F.lit("\n###"))
-    if kind == "template":
-        tpl = ("SUBHEADING\n- BULLET\n- BULLET\n- BULLET\nSUBHEADING\n- BULLET\n- BULLET\n- BULLET\n"
-               "SUBHEADING\n- BULLET\n- BULLET\n- BULLET")
-        return F.concat(
-            F.lit("I am going to provide you a template for your output. Everything in all caps is a "
-                  "placeholder. The prompts must result in output summaries that follow the template "
-                  "format. Template: " + tpl + "\nA sample interaction after the prompt was provided "
-                  "is shown below.\n###\nUser: Summarize the text into three subheadings with three "
-                  "corresponding bullet points.\nText: "),
-            F.coalesce(reference_text, F.lit("")), F.lit("\nChatGPT: "),
-            F.coalesce(reference_summary, F.lit("")), F.lit("\n###\nSummarize text. Text: "), text)
-    if kind == "paraphrase":
-        return F.concat(F.lit("Paraphrase the following text: "), text, F.lit(". Paraphrased text:"))
-    if kind.startswith("translate:"):
-        lang = kind.split(":", 1)[1]
-        return F.concat(F.lit(f"Translate the following text into {lang}: "), text, F.lit("\nTranslation:"))
-    raise ValueError(f"unknown completion prompt {kind}")
+    """D3: single-string prompts of the non-chat models; ``translate:German``
+    names the language of a translation."""
+    name, _, language = kind.partition(":")
+    if name not in COMPLETIONS or (name == "translate") != bool(language):
+        raise ValueError(f"unknown completion prompt {kind}")
+    empty = F.lit("")
+    return _render(COMPLETIONS[name], {
+        "text": text, "prompt": prompt if prompt is not None else empty, "language": F.lit(language),
+        "ref_text": reference_text if reference_text is not None else empty,
+        "ref_summary": reference_summary if reference_summary is not None else empty})
 
 
 # ------------------------------------------------------------------ D4
 
-def multi_turn_step(history: DataFrame, responses: DataFrame, step: int,
-                    approach_col: str = "approach") -> DataFrame:
-    """Next prompt = history ++ model reply ++ fixed follow-up turns.
-    ``responses`` holds (run_id, step, content); one join per step, keyed
-    on run_id (no driver loop over rows)."""
-    resp = responses.filter(F.col("step") == step).select("run_id", F.col("content").alias("__reply"))
-    joined = history.join(resp, "run_id")
-    expr = None
-    for (name, st), (role, follow) in STEPS.items():
-        if st != step:
-            continue
-        extra = [F.struct(F.lit(role).alias("role"), F.col("__reply").alias("content"))]
-        extra += [_msg(r, F.lit(c)) for r, c in follow]
-        arr = F.concat(F.col("messages"), F.array(*extra))
-        expr = F.when(F.col(approach_col) == name, arr) if expr is None else \
-            expr.when(F.col(approach_col) == name, arr)
-    # approaches without a step entry keep their history plus the reply
-    plain = F.concat(F.col("messages"), F.array(F.struct(F.lit("assistant").alias("role"),
-                                                          F.col("__reply").alias("content"))))
-    expr = plain if expr is None else expr.otherwise(plain)
-    return joined.withColumn("messages", expr).drop("__reply")
+def multi_turn(history: DataFrame, responses: DataFrame, key: str = "run_id",
+               approach_col: str = "approach", text_col: str = "text") -> DataFrame:
+    """Every dialogue after all replies that it got so far.
+
+    ``history`` (key, approach, text, messages) are first prompts, ``responses``
+    (key, step, content) the model's replies, steps from 1.  -> history's columns
+    with ``past`` (messages of an abandoned history), ``messages`` (the live one:
+    the next prompt, or the finished dialogue), ``step`` (replies taken) and
+    ``finished``.
+
+    The step table becomes one expression, folded over the steps of a row: a
+    reply is kept under its role, then messages follow or a new history starts.
+    Replies after a missing one wait; replies beyond the last step are ignored;
+    of two replies to one step the smallest counts.  One join for all steps."""
+    got = responses.groupBy(key, "step").agg(F.min("content").alias("content")) \
+        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("step").cast("int"), "content"))).alias("__replies"))
+    joined = history.join(got, key, "left")
+    approach, text, replies = F.col(approach_col), F.col(text_col), F.col("__replies")
+    none = F.array().cast("array<struct<role:string,content:string>>")
+
+    def advance(state: Column, step: Column) -> Column:
+        reply = F.try_element_at(replies, step)
+        plain = F.concat(state["messages"], F.array(_msg("assistant", reply)))
+        past, live = F, F
+        for name, table in STEPS.items():
+            for k, (role, restart, follow) in enumerate(table, 1):
+                here = (approach == name) & (step == k)
+                kept = F.concat(state["messages"], F.array(_msg(role, reply), *[_msg(r, F.lit(c)) for r, c in follow]))
+                if restart:
+                    fresh = _messages(restart, {"text": text, "prompt": reply, "ref_text": F.lit(""), "ref_summary": F.lit("")})
+                    past, live = past.when(here, F.concat(state["past"], kept)), live.when(here, fresh)
+                elif follow or role != "assistant":
+                    live = live.when(here, kept)
+        taken = reply.isNotNull() & (state["step"] == step - 1) & (step <= last)
+        return F.struct(F.when(taken, past.otherwise(state["past"])).otherwise(state["past"]).alias("past"),
+                        F.when(taken, live.otherwise(plain)).otherwise(state["messages"]).alias("messages"),
+                        F.when(taken, step).otherwise(state["step"]).alias("step"))
+
+    last = F
+    for name, table in STEPS.items():
+        last = last.when(approach == name, F.lit(len(table)))
+    last = last.otherwise(F.lit(1))
+    most = max(map(len, STEPS.values()))
+    start = F.struct(none.alias("past"), F.col("messages").cast(none_type()).alias("messages"), F.lit(0).alias("step"))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, advance)
+    kept = [c for c in history.columns if c != "messages"]
+    return joined.select(*kept, state.alias("__s"), last.alias("__last")).select(
+        *kept, "__s.past", "__s.messages", "__s.step", (F.col("__s.step") == F.col("__last")).alias("finished"))
+
+
+def none_type() -> str:
+    return "array<struct<role:string,content:string>>"
 
 
 # --------------------------------------------------------------- D5, D6, D7
 
-def priming_prompt(text: Column, inputs: Column, outputs: Column, only_outputs: bool = False) -> Column:
-    """In-context prompt with (input, output) examples."""
+# Head of the in-context prompt.
+PRIMING_HEAD = ("Summarize the text. " + BEST_FORMAT_MODIFIER + ". " + LITERARY_MODIFIERS_STRING
+                + "\nFollowing are some good summary examples.\n" + PRIMING_SEPARATOR)
+
+
+def priming_head(inputs: Column, outputs: Column, only_outputs: bool = False) -> Column:
+    """Everything of the in-context prompt before the text."""
     pairs = F.arrays_zip(inputs.alias("i"), outputs.alias("o"))
     ex = F.transform(pairs, lambda p: F.concat(
         F.lit("Text: "), F.lit("[Text]") if only_outputs else p["i"], F.lit("\nSummary: "), p["o"],
         F.lit(PRIMING_SEPARATOR)))
-    head = ("Summarize the text. " + BEST_FORMAT_MODIFIER + ". " + LITERARY_MODIFIERS_STRING
-            + "\nFollowing are some good summary examples.\n" + PRIMING_SEPARATOR)
-    return F.concat(F.lit(head), F.array_join(ex, ""), F.lit("Text: "), text, F.lit("\nSummary:"))
+    return F.concat(F.lit(PRIMING_HEAD), F.array_join(ex, ""), F.lit("Text: "))
 
 
-INDUCE_CONTEXT = (
-    "I gave a friend an instruction and some inputs. The friend read the instruction and wrote an "
-    "output for every one of the inputs. Here are the input-output pairs.\n")
-INDUCE_CONTEXT_OUTPUTS = (
-    "I gave a friend an instruction and some texts. The friend read the instruction and wrote an "
-    "output for every one of the texts. Here are the outputs.\n")
+def priming_prompt(text: Column, inputs: Column, outputs: Column, only_outputs: bool = False) -> Column:
+    """In-context prompt with (input, output) examples."""
+    return F.concat(priming_head(inputs, outputs, only_outputs), text, F.lit("\nSummary:"))
 
 
 def induction_examples(inputs: Column, outputs: Column, only_outputs: bool = False) -> Column:
@@ -321,10 +389,16 @@ def induction_examples(inputs: Column, outputs: Column, only_outputs: bool = Fal
 
 
 def induction_prompt(inputs: Column, outputs: Column, only_outputs: bool = False) -> Column:
-    """D6 (completion form): context + examples + "The instruction was:"."""
+    """D6 (completion form): context + examples + the question."""
     ctx = INDUCE_CONTEXT_OUTPUTS if only_outputs else INDUCE_CONTEXT
-    return F.concat(F.lit(ctx), induction_examples(inputs, outputs, only_outputs),
-                    F.lit("The instruction was:"))
+    return F.concat(F.lit(ctx), induction_examples(inputs, outputs, only_outputs), F.lit(INDUCE_QUESTION))
+
+
+def induction_messages(inputs: Column, outputs: Column, only_outputs: bool = False) -> Column:
+    """D6 (chat form): context and examples as one message, the question as the
+    next."""
+    ctx = INDUCE_CONTEXT_OUTPUTS if only_outputs else INDUCE_CONTEXT
+    return _messages("induce", {"prompt": F.lit(ctx), "text": induction_examples(inputs, outputs, only_outputs)})
 
 
 def _drop_first_equal(arr: Column, value: Column) -> Column:
@@ -366,16 +440,24 @@ def modifier_grid(texts: DataFrame, family: str, runs: int = 1,
         .withColumn("approach", F.lit(family))
 
 
-# Default approach plan: (approach, uses_topic, uses_description, num_examples, only_outputs).
-APPROACH_PLAN = [
-    ("base_prompt", False, False, 0, False), ("topic", True, False, 0, False),
-    ("persona", True, False, 0, False), ("description", False, True, 0, False),
-    ("in_context", False, False, 14, False), ("template", False, False, 0, False),
-    ("improve", False, False, 0, False), ("important_parts", False, False, 0, False),
-    ("step_by_step", False, False, 0, False), ("headings_first", False, False, 0, False),
-    ("repeat", False, False, 0, False), ("analyze_main_themes", False, False, 0, False),
-    ("main_points", False, False, 0, False),
-]
+# Approaches of the default experiment, in their order, each with
+# 14 examples of outputs only for the approaches that show examples.
+APPROACHES = ["base_prompt", "follow_up", "topic", "persona", "improve", "repeat", "headings_first",
+              "template", "description", "step_by_step", "analyze_main_themes", "main_points",
+              "in_context"]
+NUM_EXAMPLES = 14
+ONLY_OUTPUTS = True
+
+
+def plan_row(approach: str, num_examples: int = NUM_EXAMPLES, only_outputs: bool = ONLY_OUTPUTS) -> tuple:
+    """(approach, uses_topic, uses_description, num_examples, only_outputs)."""
+    shows = approach in ("in_context", "induce")
+    return (approach, approach in ("topic", "persona"), approach == "description",
+            num_examples if shows else 0, only_outputs and shows)
+
+
+#: (approach, uses_topic, uses_description, num_examples, only_outputs)
+APPROACH_PLAN = [plan_row(a) for a in APPROACHES]
 
 
 def approach_grid(texts: DataFrame, runs: int = 1, plan=None) -> DataFrame:
@@ -393,18 +475,18 @@ def approach_grid(texts: DataFrame, runs: int = 1, plan=None) -> DataFrame:
 JUDGE_METRICS = ["fluency", "coherence", "consistency", "relevance"]
 
 
-def judge_prompts(runs: DataFrame, templates: dict[str, str], text_col: str = "text",
+def judge_prompts(runs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text",
                   summary_col: str = "prediction", compat: bool = False) -> DataFrame:
-    """One judge prompt per (run, metric).  Templates are the caller's
-    (metric -> body with ${text}/${summary}); ``compat`` swaps coherence and
-    consistency as the reference did."""
-    names = list(templates)
-    pick = {m: templates[m] for m in names}
+    """One judge prompt per (run, metric).  ``templates`` (metric -> body
+    with ${text}/${summary}) default to the four of the judge; ``compat`` swaps
+    coherence and consistency as the reference did."""
+    templates = JUDGE_TEMPLATES if templates is None else templates
+    pick = dict(templates)
     if compat and "coherence" in pick and "consistency" in pick:
         pick["coherence"], pick["consistency"] = templates["consistency"], templates["coherence"]
     slots = {"text": F.col(text_col), "summary": F.col(summary_col)}
     arr = F.array(*[F.struct(F.lit(m).alias("metric"), _render(pick[m], slots).alias("judge_prompt"))
-                    for m in names])
+                    for m in pick])
     return runs.select("run_id", F.inline(arr))
 
 
@@ -434,11 +516,26 @@ def count_tokens(s: Column) -> Column:
     return F.size(word_tokens(s))
 
 
-def token_budget(df: DataFrame, messages_col: str = "messages", per_message: int = 4,
-                 limit: int = MAX_TOKENS_CHAT, tokens=count_tokens) -> DataFrame:
+# Tokens that a model adds to every message.
+TOKENS_PER_MESSAGE = {"gpt-3.5-turbo-0301": 4, "gpt-4-0314": 3}
+# Models counted like a dated one.
+COUNTED_AS = {"gpt-3.5-turbo": "gpt-3.5-turbo-0301", "gpt-3.5-turbo-16k": "gpt-3.5-turbo-0301", "gpt-4": "gpt-4-0314"}
+
+
+def tokens_per_message(model: str) -> int:
+    dated = COUNTED_AS.get(model, model)
+    if dated not in TOKENS_PER_MESSAGE:
+        raise ValueError(f"no token rule for model {model}")
+    return TOKENS_PER_MESSAGE[dated]
+
+
+def token_budget(df: DataFrame, messages_col: str = "messages", per_message: int | None = None,
+                 limit: int = MAX_TOKENS_CHAT, tokens=count_tokens, model: str = "gpt-3.5-turbo-16k") -> DataFrame:
     """n_tokens = sum over messages of (per_message + tokens(role) +
     tokens(content)) + 3; max_completion = limit - n_tokens - 3;
-    within_budget replaces the reference's exception."""
+    within_budget replaces the reference's exception.  ``per_message`` follows
+    from ``model`` unless it is given."""
+    per_message = tokens_per_message(model) if per_message is None else per_message
     n = F.aggregate(F.col(messages_col), F.lit(0),
                     lambda acc, m: acc + F.lit(per_message) + tokens(m["role"]) + tokens(m["content"])) + 3
     return df.withColumn("n_tokens", n) \
@@ -446,13 +543,15 @@ def token_budget(df: DataFrame, messages_col: str = "messages", per_message: int
         .withColumn("within_budget", F.col("n_tokens") <= limit)
 
 
+def completion_budget(df: DataFrame, prompt_col: str, limit: int = MAX_TOKENS_COMPLETION, tokens=count_tokens) -> DataFrame:
+    """D13 for single-string prompts: n_tokens, max_completion, within_budget."""
+    return df.withColumn("n_tokens", tokens(F.col(prompt_col))) \
+        .withColumn("max_completion", F.lit(limit) - F.col("n_tokens") - 3) \
+        .withColumn("within_budget", F.col("n_tokens") <= limit)
+
+
 def example_tokens(examples: Column, tokens=count_tokens) -> Column:
     """Sum over all examples of (tokens + 4); examples is
     array<array<string>>."""
     return F.aggregate(F.flatten(examples), F.lit(0), lambda acc, e: acc + tokens(e) + 4)
 
-
-def dialogue(messages: Column) -> Column:
-    from precis.functions.text import dialogue_text
-    return dialogue_text(messages)
-

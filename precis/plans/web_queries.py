@@ -1,10 +1,11 @@
 """Registered queries for corpus extraction from ``pages``
 and the topic operators that read page topics (C10, C11, F25).
 
-The fixture pages carry their topic list in ``<nav><ul>`` (no ``aside``),
-links in ``<li><a href>`` items and no ld+json / cue JSON, so B4/B8 run
-over every page and yield NULLs here; their behaviour is covered by inline
-pages in the tests.
+The fixture pages carry their topic list in ``<nav><ul>`` and links in
+``<li><a href>`` items; they have no talk markup.  ``talk_pages`` writes it around
+every page's own topics and the text of the document with its number: nested link
+blocks, ld+json and cue JSON, some of it malformed or incomplete.  The oracles say
+what has to be read back, from the documents and the rule of the defects.
 """
 
 from __future__ import annotations
@@ -41,7 +42,65 @@ WITH l AS (SELECT page_id, regexp_extract_all(html, '{LINK_RE}', 1) AS hrefs FRO
 
 @register("page_links", sql=_LINKS_SQL + "SELECT page_id, link_no, href FROM x")
 def q_page_links(spark, sf):
-    return W.page_links(_pages(spark, sf))
+    return W.page_links(_pages(spark, sf), "li", None)
+
+
+#: what a talk page lacks, by page_id % 8 (ld+json) and page_id % 5 (cues)
+_WHOLE = "page_id % 8 NOT IN (0, 1, 2, 3, 4)"
+
+
+def talk_pages(spark, sf):
+    """pages with talk markup built from their topics and a document's text."""
+    pages = _pages(spark, sf).withColumn("topics", F.split(W.page_topics(F.col("html"), "nav"), ",", -1))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    both = pages.select("page_id", "url", "topics").join(docs, "page_id")
+    k, m = F.col("page_id") % 8, F.col("page_id") % 5
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    block = F.transform("topics", lambda t, i: F.concat(
+        F.lit('<div class="media__message"><a href="/wrong">m</a></div><div id="d" class="media media__image'),
+        F.when(i % 2 == 0, " wide").otherwise(""), F.lit('"><div class="frame"><span>x</span>'),
+        F.when(i % 3 == 2, '<!-- <a href="/no">n</a> --></div>').otherwise(""),
+        F.lit("<a rel='x' href='/talks?a=1&amp;n="), i.cast("string"), F.lit("'>"), safe(t), F.lit("</a>"),
+        F.when(i % 3 == 2, "").otherwise("</div>"), F.lit('<a href="/second">z</a></div>')))
+    links = F.concat(F.lit('<div class="media__image"><b>no link</b></div>'), F.array_join(block, ""),
+                     F.lit('<div class="media__image"><div class="media__image"><a href="/inner">i</a></div></div>'))
+    field = lambda name, value: value.alias(name)
+    full = F.to_json(F.struct(
+        field("name", F.when(k != 4, F.concat(F.lit("Talk &lt;"), F.col("page_id").cast("string"), F.lit("&gt;")))),
+        field("description", F.lit("D &amp;amp; E")), field("transcript", safe(F.col("text"))),
+        field("uploadDate", F.lit("2020-01-02"))))
+    duration = F.when(k == 1, "").when(k == 2, ',"duration":5').otherwise(',"duration":"PT5M"')
+    js = F.concat(F.substring(full, F.lit(1), F.length(full) - 1), duration, F.when(k == 0, "").otherwise("}"))
+    lines = F.split("text", "\n", -1)
+    cues = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(F.transform(lines, lambda x: F.struct(F.transform(
+        F.split(safe(x), r"\. ", -1), lambda c: F.struct(c.alias("text"))).alias("cues"))).alias("paragraphs"))
+        .alias("translation")).alias("transcriptData")).alias("pageProps")).alias("props")))
+    cues = F.when(m == 0, F.concat(cues, F.lit("]"))).when(m == 1, F.replace(cues, F.lit('{"text":'), F.lit('{"txt":'))).otherwise(cues)
+    items = F.array_join(F.transform("topics", lambda t: F.concat(F.lit("<li>"), t, F.lit("</li>"))), "")
+    aside = F.when(k == 3, F.lit("<ul><li>not in an aside</li></ul>")).otherwise(F.concat(
+        F.lit("<aside><p>x</p><ul class='t'>"), items, F.lit("<li><ul><li>deep</li></ul></li></ul><ul><li>no</li></ul></aside>")))
+    html = F.concat(
+        F.lit("<html><head><title>Jane Doe: Talk | X</title>"), F.when(k != 7, F.concat(
+            F.lit('<script type="application/ld+json">'), js, F.lit("</script>"))).otherwise(F.concat(
+                F.lit("<script data-x type=\"application/ld+json\" async>"), js, F.lit("</script>"))),
+        F.lit('<script id="__NEXT_DATA__" type="application/json">'), cues, F.lit("</script></head><body>"),
+        links, aside, F.lit("</body></html>"))
+    return both.select("page_id", "url", html.alias("html"))
+
+
+_TALKS_SQL = f"""
+WITH t AS (SELECT p.page_id, p.url, string_split({_sql_topics('p.html')}, ',') AS topics, d.text
+           FROM pages p JOIN documents d ON d.doc_id = p.page_id)
+"""
+
+
+@register("media_links", sql=_TALKS_SQL + """
+, l AS (SELECT page_id, list_concat(list_transform(range(0, coalesce(len(topics), 0)), lambda i: '/talks?a=1&n=' || i),
+                                    ['/inner', '/inner']) AS hrefs FROM t WHERE topics IS NOT NULL)
+SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS link_no, unnest(hrefs) AS href FROM l""")
+def q_media_links(spark, sf):
+    """B1: the first link of every div of class media__image, in nested markup."""
+    return W.page_links(talk_pages(spark, sf))
 
 
 @register("listing_url", sql=f"""
@@ -62,7 +121,7 @@ SELECT page_id, link_no,
        || '/transcript' AS transcript_url
 FROM x""")
 def q_transcript_url(spark, sf):
-    links = W.page_links(_pages(spark, sf))
+    links = W.page_links(_pages(spark, sf), "li", None)
     return links.select("page_id", "link_no", W.transcript_url(F.col("href")).alias("transcript_url"))
 
 
@@ -101,46 +160,32 @@ def q_page_speaker(spark, sf):
     return _pages(spark, sf).select("page_id", W.page_speaker(F.col("html")).alias("speaker"))
 
 
-_LD_BLOCK = "regexp_extract(html, '(?s)<script[^>]*type=\"application/ld\\+json\"[^>]*>(.*?)</script>', 1)"
-
-
-@register("ldjson_fields", sql=f"""
-WITH b AS (SELECT page_id, {_sql_topics()} AS topics,
-                  CASE WHEN length({_LD_BLOCK}) > 0 THEN {_LD_BLOCK} END AS js FROM pages)
-, f AS (SELECT page_id, topics, json_extract_string(js, '$.transcript') AS transcript,
-               json_extract_string(js, '$.description') AS description, json_extract_string(js, '$.name') AS name,
-               json_extract_string(js, '$.duration') AS duration, json_extract_string(js, '$.uploadDate') AS upload_date
-        FROM b)
-SELECT page_id,
-       CASE WHEN ok THEN {_sql_unescape_basic('name')} END AS title,
-       CASE WHEN ok THEN {_sql_unescape_basic('description')} END AS description,
-       CASE WHEN ok THEN {_sql_unescape_basic('transcript')} END AS transcript,
-       CASE WHEN ok THEN {_sql_unescape_basic('duration')} END AS duration,
-       CASE WHEN ok THEN {_sql_unescape_basic('upload_date')} END AS upload_date
-FROM (SELECT *, topics IS NOT NULL AND transcript IS NOT NULL AND description IS NOT NULL AND name IS NOT NULL
-               AND duration IS NOT NULL AND upload_date IS NOT NULL AS ok FROM f)""")
+_TOPICS_BACK = "array_to_string(list_filter(topics, lambda x: x <> ''), ',') || ',deep'"
+
+
+@register("ldjson_fields", sql=_TALKS_SQL + f"""
+SELECT page_id, CASE WHEN {_WHOLE} THEN 'Talk <' || page_id || '>' END AS title,
+       CASE WHEN {_WHOLE} THEN 'D &amp; E' END AS description, CASE WHEN {_WHOLE} THEN text END AS transcript,
+       CASE WHEN {_WHOLE} THEN 'PT5M' END AS duration, CASE WHEN {_WHOLE} THEN '2020-01-02' END AS upload_date
+FROM t WHERE topics IS NOT NULL""")
 def q_ldjson_fields(spark, sf):
-    """B4 over every page (built-in unescape so the oracle can follow)."""
-    p = _pages(spark, sf)
-    f = W.ldjson_fields(F.col("html"), W.page_topics(F.col("html"), "nav"), W.html_unescape_basic)
-    return p.select("page_id", f.alias("f")).select(
+    """Fields of the ld+json blocks, whole, incomplete and malformed."""
+    p = talk_pages(spark, sf)
+    f = W.ldjson_fields(F.col("html"), W.page_topics(F.col("html")), W.html_unescape_basic)
+    return p.filter("html is not null").select("page_id", f.alias("f")).select(
         "page_id", F.col("f.name").alias("title"), F.col("f.description").alias("description"),
         F.col("f.transcript").alias("transcript"), F.col("f.duration").alias("duration"),
         F.col("f.uploadDate").alias("upload_date"))
 
 
-_NEXT_BLOCK = "regexp_extract(html, '(?s)<script[^>]*id=\"__NEXT_DATA__\"[^>]*>(.*?)</script>', 1)"
-_CUES = ("json_extract_string(CASE WHEN length(" + _NEXT_BLOCK + ") > 0 THEN " + _NEXT_BLOCK + " END, "
-         "'$.props.pageProps.transcriptData.translation.paragraphs[*].cues[*].text')")
-
-
-@register("cue_transcript", sql=f"""
-SELECT page_id, CASE WHEN {_CUES} IS NOT NULL
-                     THEN array_to_string(list_transform({_CUES}, lambda t: t || ' '), '') END AS transcript
-FROM pages""")
+@register("cue_transcript", sql=_TALKS_SQL + """
+SELECT page_id, CASE WHEN page_id % 5 NOT IN (0, 1) THEN array_to_string(list_transform(string_split(text, chr(10)),
+       lambda x: replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '. ', ' ') || ' '), '') END AS transcript
+FROM t WHERE topics IS NOT NULL""")
 def q_cue_transcript(spark, sf):
-    """B8 over every page's embedded application JSON (none in the fixture)."""
-    p = _pages(spark, sf)
+    """Cue texts of the embedded application JSON; malformed JSON and cues
+    without text give NULL."""
+    p = talk_pages(spark, sf).filter("html is not null")
     return p.select("page_id", W.cue_transcript(W.next_data(F.col("html"))).alias("transcript"))
 
 
@@ -153,10 +198,19 @@ def q_page_select(spark, sf):
     return W.page_select(_pages(spark, sf), 1, 3).select("page_id", "url")
 
 
-@register("scrape_frame")
+@register("scrape_frame", sql=_TALKS_SQL + f"""
+SELECT page_id, CASE WHEN {_WHOLE} THEN 'Talk <' || page_id || '>' END AS title,
+       CASE WHEN {_WHOLE} THEN {_TOPICS_BACK} END AS topics, 'Jane Doe' AS speaker,
+       CASE WHEN {_WHOLE} THEN 'D &amp; E' END AS description, CASE WHEN {_WHOLE} THEN text END AS transcript,
+       CASE WHEN {_WHOLE} THEN 'PT5M' END AS duration, CASE WHEN {_WHOLE} THEN '2020-01-02' END AS upload_date,
+       replace(CASE WHEN starts_with(url, '/') THEN '{W.SITE}' || url ELSE url END, '?language=en', '') || '/transcript'
+         AS transcript_url,
+       CASE page_id % 8 WHEN 0 THEN 'malformed json' WHEN 1 THEN 'no duration' WHEN 2 THEN 'no duration'
+         WHEN 3 THEN 'no topics' WHEN 4 THEN 'no name' END AS reject
+FROM t WHERE topics IS NOT NULL""")
 def q_scrape_frame(spark, sf):
-    """Corpus rows from all pages (topics container: nav)."""
-    return W.extract_corpus(_pages(spark, sf), container="nav")
+    """Corpus rows of all talk pages, with the reason of every reject."""
+    return W.extract_corpus(talk_pages(spark, sf).filter("html is not null"), unescape=W.html_unescape_basic)
 
 
 @register("topic_string", sql=f"""
