@@ -2,21 +2,21 @@
 
 Aggregations use Spark's partial + final aggregation, so the shuffle carries
 one row per (partition, group) whatever a group's size; a group with a third
-of all rows costs no more than the others.  Orderings by position use the
-range-partitioned ``row_index`` (never one task per group).  Two-pass
-operators (box stats, histograms) join a per-group table back; that table
-has one row per group and is broadcast only behind a bounded size check.
+of all rows costs no more than the others.  Positions and quantiles come from
+counts of value ranges (never one task per group).  Two-pass operators (box stats,
+histograms) join a per-group table back, which has one row per group; how is left
+to AQE.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis.functions import text as T
 from precis.functions.tokens import sentences, word_tokens
-from precis.plans.ordinal import row_index
-from precis.plans.quantiles import quantiles
+from precis.plans.ordinal import number_index
+from precis.plans.quantiles import _matched, quantiles
 
 # Metric codes and their readable names.
 METRIC_LABELS = {
@@ -70,7 +70,7 @@ def metric_summary(df: DataFrame, by, metric: str) -> DataFrame:
     agg = df.groupBy(*keys).agg(F.avg(m).alias("mean"), F.max(m).alias("max"),
                                 F.min(m).alias("min"), F.stddev_samp(m).alias("std"))
     med = quantiles(df, metric, keys, [0.5]).select(*keys, F.col("q")[0].alias("median"))
-    return agg.join(med, keys, "left").select(*keys, "mean", "median", "max", "min", "std")
+    return _matched(agg, med, keys, "left").select(*keys, "mean", "median", "max", "min", "std")
 
 
 def box_stats(df: DataFrame, by, metric: str, whisker: float = 1.5,
@@ -154,25 +154,40 @@ def scatter_pairs(df: DataFrame, x: str, y: str, key: str = "run_id") -> DataFra
 def metric_series(df: DataFrame, by, metric: str, order: str = "run_id") -> DataFrame:
     """F8: metric by row index within each group."""
     keys = _keys(by)
-    return row_index(df.select(*keys, order, metric), [order], keys).select(*keys, "idx", metric)
+    return number_index(df.select(*keys, order, metric), order, keys).select(*keys, "idx", metric)
 
 
-def success_rate(df: DataFrame, by="approach", flag: str = "three_by_three") -> DataFrame:
-    """100 * sum(flag) / rows per group, rounded half-even to an integer."""
-    return df.groupBy(*_keys(by)).agg(
+def _ranked(report: DataFrame, *order) -> DataFrame:
+    """A report (one row per group, the table that is shown) in its order, with
+    the position as ``rank``."""
+    return report.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("long")).orderBy("rank")
+
+
+def success_rate(df: DataFrame, by="approach", flag: str = "three_by_three", position: str | None = None) -> DataFrame:
+    """100 * sum(flag) / rows per group, rounded half-even to an integer;
+    sorted descending.  Ties are in input order if ``position`` names a column
+    that tells it (the group's smallest counts), else in the order of the groups."""
+    keys = _keys(by)
+    first = [F.min(position).alias("__first")] if position else []
+    rates = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_runs"),
-        F.sum(F.col(flag)).cast("bigint").alias("n_success"),
+        F.sum(F.col(flag)).cast("bigint").alias("n_success"), *first,
     ).withColumn("success_rate", F.bround(F.col("n_success") * 100.0 / F.col("n_runs"), 0))
+    return _ranked(rates, F.desc("success_rate"), *(["__first"] if position else []), *keys).drop("__first")
 
 
-def success_rate_fixed_n(df: DataFrame, catalogue: DataFrame, key: str, n: int = 30,
+def success_rate_fixed_n(df: DataFrame, catalogue: list[str], key: str, n: int = 30,
                          flag: str = "three_by_three") -> DataFrame:
-    """per catalogue entry, 100 * successes / n with a fixed n; entries
-    without runs report 0."""
-    succ = df.groupBy(key).agg(F.sum(flag).cast("bigint").alias("n_success"))
-    return catalogue.select(key).join(succ, [key], "left").select(
-        key, F.coalesce("n_success", F.lit(0)).alias("n_success"),
-        (F.coalesce("n_success", F.lit(0)) * 100.0 / F.lit(n)).alias("success_rate"))
+    """per entry of the fixed ``catalogue``, 100 * successes / n rounded
+    half-even to an integer, with a fixed n; entries without runs report 0.
+    Sorted descending, ties in the order of the catalogue."""
+    listed = F.array(*[F.struct(F.lit(i).alias("__ord"), F.lit(c).alias(key)) for i, c in enumerate(catalogue)])
+    entries = df.sparkSession.range(1).select(F.inline(listed))
+    succ = df.filter(F.col(key).isin(catalogue)).groupBy(key).agg(F.sum(flag).cast("bigint").alias("n_success"))
+    rates = entries.join(succ, [key], "left").select(
+        key, "__ord", F.coalesce("n_success", F.lit(0)).alias("n_success"),
+        F.bround(F.coalesce("n_success", F.lit(0)) * 100.0 / F.lit(n), 0).alias("success_rate"))
+    return _ranked(rates, F.desc("success_rate"), "__ord").drop("__ord")
 
 
 def execution_accuracy(df: DataFrame, by="approach", max_errors: int = 2, min_long_bullets: int = 3,
@@ -199,7 +214,7 @@ def title_difficulty(df: DataFrame, metric: str, title: str = "title", key: str
     """per title the mean metric, labelled "i: title" with i the
     title's first-appearance number, from 1; ascending by score."""
     per = df.groupBy(title).agg(F.avg(metric).alias("m"), F.min(key).alias("first"))
-    idx = row_index(per, ["first"], start=1)
+    idx = number_index(per, "first", start=1)
     return idx.select(F.concat(F.col("idx").cast("string"), F.lit(": "), F.col(title)).alias("talk"),
                       stable_round(F.col("m"), places).alias("score")).orderBy("score", "talk")
 
@@ -226,11 +241,11 @@ def well_formed(df: DataFrame, flag: str = "three_by_three") -> DataFrame:
 
 def control_vs_modifiers(df: DataFrame, by: str, metric: str, control: str) -> DataFrame:
     """per group mean/median/... and the difference of its mean to the
-    control group's mean (read from the per-group table as a scalar
-    subquery: one value, no join, no window over all groups)."""
-    summ = metric_summary(df, by, metric)
-    control_mean = summ.filter(F.col(by) == F.lit(control)).select("mean").scalar()
-    return summ.withColumn("is_control", F.col(by) == F.lit(control)) \
+    control group's mean, both from the one per-group table (a window over one row
+    per group)."""
+    is_control = F.col(by) == F.lit(control)
+    control_mean = F.max(F.when(is_control, F.col("mean"))).over(Window.partitionBy())
+    return metric_summary(df, by, metric).withColumn("is_control", is_control) \
         .withColumn("delta_mean", F.col("mean") - control_mean)
 
 
@@ -248,11 +263,13 @@ def before_after(df: DataFrame, by: str, split_col: str, before: str, after: str
     return out
 
 
-def distinct_predictions(df: DataFrame, by: str, col: str = "prediction", lines: int = 3) -> DataFrame:
-    """the distinct predictions of each group, each by its first ``lines``
-    lines (two predictions with the same head are two rows)."""
+def distinct_predictions(df: DataFrame, by: str = "num_examples", col: str = "prediction", lines: int = 3,
+                         values: list | None = None) -> DataFrame:
+    """the distinct predictions of each group (of ``values``, if given), each
+    by its first ``lines`` lines (two predictions with the same head are two rows)."""
+    picked = df if values is None else df.filter(F.col(by).isin(values))
     head = F.array_join(F.slice(F.split(F.col(col), "\n", -1), 1, lines), "\n")
-    return df.select(by, col).distinct().select(by, head.alias("head"))
+    return picked.select(by, col).distinct().select(by, head.alias("head"))
 
 
 def melt(df: DataFrame, ids: list[str], cols: list[str], var: str = "variable",
@@ -300,9 +317,11 @@ def corpus_vocabulary(df: DataFrame, col: str = "text", approx: bool = False) ->
 
 
 def topic_frequency(df: DataFrame, col: str = "topics") -> DataFrame:
-    """topic counts from comma lists, C11 tokens."""
-    return df.select(F.explode(F.split(F.col(col), ",", -1)).alias("t")) \
+    """topic counts from comma lists, C11 tokens, in the order of the topics
+    (``rank``), with the number of distinct topics."""
+    counts = df.select(F.explode(F.split(F.col(col), ",", -1)).alias("t")) \
         .select(T.topic_token(F.col("t")).alias("topic")).groupBy("topic").count()
+    return _ranked(counts.withColumn("n_topics", F.count(F.lit(1)).over(Window.partitionBy())), "topic")
 
 
 def upload_timeline(df: DataFrame, col: str, unit: str = "day",
@@ -347,17 +366,20 @@ def metric_labels(df: DataFrame, col: str = "metric", out: str = "label") -> Dat
 def row_range(df: DataFrame, start: int, end: int, order: str = "run_id", by=None,
               inclusive: bool = False) -> DataFrame:
     """rows ``start``..``end`` (end exclusive like iloc, inclusive like
-    loc) in ``order`` within each group."""
+    loc) in ``order`` within each group.  Only the first rows up to ``end`` are
+    kept before the shuffle (the limit on the rank is pushed below it)."""
     keys = _keys(by) if by else []
-    idx = row_index(df, [order], keys)
-    hi = F.col("idx") <= end if inclusive else F.col("idx") < end
-    return idx.filter((F.col("idx") >= start) & hi)
+    last = end + 1 if inclusive else end
+    head = df if keys else df.orderBy(order).limit(max(last, 0))
+    place = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order))
+    return head.withColumn("idx", place).filter(F.col("idx") <= last).withColumn("idx", F.col("idx").cast("long") - 1) \
+        .filter(F.col("idx") >= start)
 
 
 def distinct_titles(df: DataFrame, title: str = "title", key: str = "run_id") -> DataFrame:
     """titles in first-appearance order."""
     first = df.groupBy(title).agg(F.min(key).alias("first"))
-    return row_index(first, ["first"]).select(title, "idx")
+    return number_index(first, "first").select(title, "idx")
 
 
 def mean_metric(df: DataFrame, metric: str) -> DataFrame:

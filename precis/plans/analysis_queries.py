@@ -13,6 +13,7 @@ from precis.functions import text as T
 from precis.functions.tokens import WORD_TOKEN, sql_sentences
 from precis.operators import analytics as A
 from precis.operators import fmt
+from precis.operators import prompts as P
 from precis.plans import views
 from precis.plans.metric_queries import FORMAT_SQL
 from precis.plans.registry import register, rounded
@@ -27,7 +28,8 @@ def _w(*ctes, body):
 
 @register("success_rate", sql=FORMAT_SQL + """
 SELECT source, count(*) AS n_runs, CAST(sum(three_by_three) AS BIGINT) AS n_success,
-       round_even(sum(three_by_three) * 100.0 / count(*), 0) AS success_rate
+       round_even(sum(three_by_three) * 100.0 / count(*), 0) AS success_rate,
+       row_number() OVER (ORDER BY round_even(sum(three_by_three) * 100.0 / count(*), 0) DESC, source) AS rank
 FROM h GROUP BY source
 """)
 def q_success_rate(spark, sf):
@@ -138,16 +140,22 @@ def q_metric_series(spark, sf):
     return A.metric_series(views.scores(spark, sf), "approach", "metric")
 
 
-@register("success_rate_fixed_n", sql=FORMAT_SQL + """
-, cat AS (SELECT DISTINCT source FROM documents)
-, s AS (SELECT source, CAST(sum(three_by_three) AS BIGINT) AS n_success FROM h GROUP BY source)
-SELECT cat.source, coalesce(n_success, 0) AS n_success, coalesce(n_success, 0) * 100.0 / 30 AS success_rate
-FROM cat LEFT JOIN s USING (source)""")
+_FORMATS = P.MODIFIERS["format"]
+
+
+@register("success_rate_fixed_n", sql=_w(SC, body=f"""
+, cat AS (SELECT unnest(l) AS modifier, generate_subscripts(l, 1) AS ord FROM (SELECT [{', '.join(S.q(m) for m in _FORMATS)}] AS l))
+, s AS (SELECT ([{', '.join(S.q(m) for m in _FORMATS)}])[run_id % {len(_FORMATS) - 2} + 1] AS modifier, sum(three_by_three) AS k
+        FROM scores GROUP BY 1)
+, r AS (SELECT modifier, ord, CAST(coalesce(k, 0) AS BIGINT) AS n_success, round_even(coalesce(k, 0) * 100.0 / 30, 0) AS success_rate
+        FROM cat LEFT JOIN s USING (modifier))
+SELECT modifier, n_success, success_rate, row_number() OVER (ORDER BY success_rate DESC, ord) AS rank FROM r"""))
 def q_success_rate_fixed_n(spark, sf):
-    """fixed denominator 30 per catalogue entry (catalogue: sources)."""
-    docs = table(spark, sf, "documents")
-    checked = fmt.format_check(docs.select("source", F.col("text").alias("prediction")), truncate=False)
-    return A.success_rate_fixed_n(checked, docs.select("source").distinct(), "source", n=30)
+    """the fixed list of format modifiers, two of them without runs, with
+    the fixed denominator 30."""
+    names = F.array(*[F.lit(m) for m in _FORMATS])
+    s = views.scores(spark, sf).withColumn("modifier", F.element_at(names, (F.col("run_id") % (len(_FORMATS) - 2) + 1).cast("int")))
+    return A.success_rate_fixed_n(s, _FORMATS, "modifier", n=30)
 
 
 @register("execution_accuracy", sql=_w(SC, body="""
@@ -229,10 +237,14 @@ def q_before_after(spark, sf):
 
 
 @register("distinct_predictions", sql=_w(views.RUNS_SQL, body="""
-SELECT approach, array_to_string((string_split(prediction, chr(10)))[1:3], chr(10)) AS head
-FROM (SELECT DISTINCT approach, prediction FROM runs)"""))
+, n AS (SELECT ([1, 4, 8, 14, 2])[CAST(title AS BIGINT) % 5 + 1] AS num_examples, prediction FROM runs)
+SELECT num_examples, array_to_string((string_split(prediction, chr(10)))[1:3], chr(10)) AS head
+FROM (SELECT DISTINCT num_examples, prediction FROM n WHERE num_examples IN (1, 4, 8, 14))"""))
 def q_distinct_predictions(spark, sf):
-    return A.distinct_predictions(views.runs(spark, sf), "approach")
+    """F20 by number of examples, for 1, 4, 8 and 14 of them."""
+    counts = F.array(*[F.lit(k) for k in (1, 4, 8, 14, 2)])
+    runs = views.runs(spark, sf).withColumn("num_examples", F.element_at(counts, (F.col("title").cast("long") % 5 + 1).cast("int")))
+    return A.distinct_predictions(runs, "num_examples", values=[1, 4, 8, 14])
 
 
 @register("melt_summaries", sql="""
@@ -273,6 +285,18 @@ def q_part_stats(spark, sf):
     return A.part_stats(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@register("part_stats_bullets", sql="SELECT *, false AS compat FROM (" + _sql_doc_stats(
+    f"array_to_string(list_filter({sql_sentences('text')}, lambda x, i: i NOT IN (1, 5, 9)), ' ')", "doc_id", "documents")
+    + ") UNION ALL SELECT *, true FROM (" + _sql_doc_stats(
+    f"array_to_string(list_filter({sql_sentences('text')}, lambda x, i: i NOT IN (1, 6, 11)), ' ')", "doc_id", "documents") + ")")
+def q_part_stats_bullets(spark, sf):
+    """F23, bullet mode: without sentences 0, 4, 8, and in compat mode without
+    0, 5, 10."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    fixed, compat = (A.part_stats(docs, part="bullets", compat=c).withColumn("compat", F.lit(c)) for c in (False, True))
+    return fixed.unionByName(compat)
+
+
 @register("corpus_vocabulary", sql=f"""
 SELECT count(DISTINCT w) AS vocabulary FROM (SELECT unnest(regexp_extract_all(text, '{WORD_TOKEN}')) AS w
 FROM documents)""")

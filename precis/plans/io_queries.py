@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from precis import schemas
 from precis.functions import sql_text as S
 from precis.functions.tokens import WORD_TOKEN
 from precis.operators import responses as R
@@ -18,6 +19,7 @@ from precis.operators import entailment, hallucination
 from precis.plans import evaluate as EV
 from precis.plans import views
 from precis.plans.registry import register, rounded
+from precis.plans.web_queries import SCRAPE_SQL, talk_pages
 from precis.session import scratch_path, table
 from precis.sources import files as IO
 from precis.sources import web as W
@@ -40,15 +42,44 @@ def q_load_gold(spark, sf):
     return IO.read_gold(spark, path).select("title", "topic", "transcript", "summary", "summary2")
 
 
-@register("load_runs", sql=views.with_ctes(views.RUNS_SQL, body="SELECT run_id, approach FROM runs"))
+_RUN_FIELDS = [f.name for f in schemas.RUN.fields if f.name != "config"]
+
+
+def _stored_runs(spark, sf):
+    """Run rows with every kind of column filled."""
+    r = views.runs(spark, sf)
+    tenth = lambda k: ((F.col("run_id") + k) % 10 / 10.0)
+    return R.conform(r.withColumns({
+        "experiment": F.lit("initial"), "rouge_1": F.array(*[tenth(k) for k in range(4)]), "bert_score": F.array(tenth(1)),
+        "examples": F.array(F.array(F.lit('a "b", c'), F.col("title")), F.array(F.lit("d'e"))), "num_examples": F.lit(14),
+        "prompt": F.concat(F.lit("Text: "), F.col("text")), "errors": (F.col("run_id") % 4).cast("int"), "slor": tenth(0)}))
+
+
+_RUN_VALUES = {"experiment": "'initial'", "rouge_1": "[" + ", ".join(f"(run_id + {k}) % 10 / 10.0" for k in range(4)) + "]::DOUBLE[]",
+               "bert_score": "[(run_id + 1) % 10 / 10.0]::DOUBLE[]", "examples": "[['a \"b\", c', title], ['d''e']]",
+               "num_examples": "14", "prompt": "'Text: ' || text", "errors": "CAST(run_id % 4 AS INTEGER)",
+               "slor": "(run_id % 10 / 10.0)::DOUBLE"}
+
+
+def _sql_run_field(f) -> str:
+    if f.name in ("run_id", "approach", "text", "title", "prediction"):
+        return f.name
+    if f.name in _RUN_VALUES:
+        return f"{_RUN_VALUES[f.name]} AS {f.name}"
+    default = schemas.RUN_DEFAULTS.get(f.name)
+    # an empty string field of a CSV comes back as NULL
+    value = {str: "NULL::VARCHAR", list: "[]::DOUBLE[]", int: str(default), float: f"{default}::DOUBLE"}.get(type(default), "NULL::VARCHAR")
+    return f"{value} AS {f.name}"
+
+
+@register("load_runs", sql=views.with_ctes(views.RUNS_SQL, body=f"""
+SELECT {', '.join(_sql_run_field(f) for f in schemas.RUN.fields if f.name != 'config')} FROM runs WHERE approach IN ('a1', 'a3')"""))
 def q_load_runs(spark, sf):
-    """A2: run CSVs laid out per approach; the approach is read back from
-    the path, not from a column."""
-    r = views.runs(spark, sf).select("run_id", "approach", "prediction")
+    """A2: run CSVs laid out per approach, every column of two approaches read
+    back; the other approaches' files are not opened."""
     path = scratch_path(spark, "runs-csv")
-    r.write.option("header", True).option("escape", '"').partitionBy("approach").csv(path)
-    schema = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("prediction", T.StringType())])
-    return IO.read_runs_csv(spark, path, schema=schema).select("run_id", "approach")
+    IO.write_runs_csv(_stored_runs(spark, sf), path)
+    return IO.read_runs_csv(spark, path).filter(F.col("approach").isin("a1", "a3")).select(*_RUN_FIELDS)
 
 
 @register("append_runs", sql=views.with_ctes(views.SCORES_SQL, body="""
@@ -62,15 +93,15 @@ def q_append_runs(spark, sf):
     return back.groupBy("approach").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("append_corpus", sql="SELECT page_id, url FROM pages")
+@register("append_corpus", sql=SCRAPE_SQL)
 def q_append_corpus(spark, sf):
-    """A4: corpus rows appended twice; the second append adds nothing."""
-    corpus = W.extract_corpus(table(spark, sf, "pages"), container="nav").join(
-        table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    """A4: corpus rows of all talk pages appended twice, the second time with
+    a third of the pages first; nothing is stored twice."""
+    corpus = W.extract_corpus(talk_pages(spark, sf).filter("html is not null"), unescape=W.html_unescape_basic)
     path = scratch_path(spark, "corpus")
-    IO.append_corpus(corpus, path, key="url")
-    IO.append_corpus(corpus, path, key="url")
-    return spark.read.parquet(path).select("page_id", "url")
+    IO.append_corpus(corpus.filter("page_id % 3 = 0"), path, key="transcript_url")
+    IO.append_corpus(corpus, path, key="transcript_url")
+    return spark.read.parquet(path)
 
 
 @register("append_url_list", sql=f"""
@@ -80,7 +111,7 @@ SELECT replace(CASE WHEN starts_with(h, '/') THEN '{W.SITE}' || h ELSE h END, '?
 FROM (SELECT unnest(hrefs) AS h FROM l)""")
 def q_append_url_list(spark, sf):
     """A5: wanted transcript URLs appended as text lines and read back."""
-    links = W.page_links(table(spark, sf, "pages")).select(W.transcript_url(F.col("href")).alias("url"))
+    links = W.page_links(table(spark, sf, "pages"), "li", None).select(W.transcript_url(F.col("href")).alias("url"))
     path = scratch_path(spark, "urls")
     IO.append_url_list(links, path)
     return spark.read.text(path)

@@ -24,9 +24,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from precis.plans.quantiles import _matched, bucket
 from precis.session import cut_lineage
 
 
+def number_index(df: DataFrame, order: str, by: list[str] | None = None, name: str = "idx", start: int = 0) -> DataFrame:
+    """``row_index`` for one numeric order column, without a checkpoint: the
+    group's value range is cut into BUCKETS parts, whose counts in order are the
+    offsets of the rows inside each part.  Cuts depend on the data alone, so every
+    branch and every retry sees the same ones.  Rows with equal numbers are in no
+    fixed order; a null order number is an error."""
+    by = list(by or [])
+    number = F.col(order).cast("double")
+    checked = F.when(number.isNotNull(), number).otherwise(F.raise_error(F.lit(f"null in {order}")))
+    ends = df.groupBy(*by).agg(F.min(number).alias("__lo"), F.max(number).alias("__hi"))
+    if by:
+        placed = _matched(df.withColumn("__o", checked), ends, by)
+    else:  # one pair of numbers, read as scalars
+        placed = df.withColumn("__o", checked).withColumn("__lo", ends.select("__lo").scalar()).withColumn("__hi", ends.select("__hi").scalar())
+    placed = placed.withColumn("__b", bucket(F.col("__o"), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi", "__o")
+    counts = placed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    # at most BUCKETS rows of a group
+    inside = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__b", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__before"))
+    local = placed.withColumn("__i", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(order)))
+    return _matched(local, before, [*by, "__b"]).withColumn(
+        name, F.col("__before") + F.col("__i") - 1 + F.lit(start)).drop("__b", "__i", "__before")
+
+
 def row_index(df: DataFrame, order: list, by: list[str] | None = None, name: str = "idx",
               start: int = 0, partitions: int | None = None) -> DataFrame:
     """Adds ``name``: 0-based (or ``start``-based) position of each row in

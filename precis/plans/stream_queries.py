@@ -1,9 +1,10 @@
 """Registered streaming queries (H1-H3).
 
 Each query copies its derived input into a fresh folder under the shared
-checkpoint location in several files, runs the stream over it with
-``availableNow`` (one file per micro-batch, so state crosses batches),
-waits for it and returns the sink read back as a batch DataFrame.
+checkpoint location, runs the stream over it with ``availableNow``, waits for it
+and returns the sink read back as a batch DataFrame.  Event-time queries get
+their input in slices of time: after each one the stream is started again from
+its checkpoint, so that state, watermark and restarts are all in play.
 """
 
 from __future__ import annotations
@@ -16,12 +17,39 @@ from precis.session import scratch_path
 from precis.streaming import score as ST
 
 
-def _stage(df, name, files=4):
+def _stage(df, name):
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
+    df.write.parquet(path)
     return path, df.schema
 
 
+SLICES = 3
+
+
+def _feed(df, name, start, again=lambda part: None):
+    """Writes ``df`` in SLICES slices of its time ``ts``, then a row far in the
+    future that closes every window; runs ``start(path)`` after each.  ``again``
+    gives rows of a slice to append a second time."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    df.limit(0).write.parquet(path)
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / SLICES if first else None
+    for k in range(SLICES if first else 0):
+        lo, hi = first + k * step, first + (k + 1) * step
+        part = df.filter((F.col("ts") >= F.lit(lo)) & ((F.col("ts") < F.lit(hi)) if k < SLICES - 1 else F.lit(True)))
+        part.write.mode("append").parquet(path)
+        start(path).awaitTermination()
+        if (rows := again(part)) is not None:
+            rows.write.mode("append").parquet(path)
+            start(path).awaitTermination()
+    end = spark.range(1).select(*[(F.lit("2999-01-01").cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name)
+                                  for f in df.schema.fields])
+    end.write.mode("append").parquet(path)
+    start(path).awaitTermination()
+
+
 def _stream_score_sql() -> str:
     from precis.functions.tokens import WORD_TOKEN
     from precis.operators import hallucination
@@ -52,33 +80,42 @@ def q_stream_score(spark, sf):
         "avg_error_count_score", "errors"))
 
 
+def _windows(spark, sf, name, fmt="yyyy-MM-dd HH:mm:ss", **kw):
+    scores = views.scores(spark, sf).select("run_id", "approach", "metric", "ts")
+    sink, ckpt = scratch_path(spark, name), scratch_path(spark, f"{name}-ckpt")
+    schema = scores.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    _feed(scores, f"{name}-in", lambda path: ST.stream_windows(spark, path, sink, ckpt, schema, **kw))
+    return rounded(spark.read.parquet(sink).select(F.date_format("window.start", fmt).alias("window_start"), "approach", "n", "mean"))
+
+
 @register("stream_leaderboard", sql=views.with_ctes(views.SCORES_SQL, body="""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, approach, count(*) AS n,
        round(avg(metric), 6) AS mean
 FROM scores GROUP BY 1, 2"""))
 def q_stream_leaderboard(spark, sf):
-    """H2: daily approach means over the event stream, complete mode."""
-    src, schema = _stage(views.scores(spark, sf).select("run_id", "approach", "metric", "ts"), "stream-scores")
-    sink, ckpt = scratch_path(spark, "board"), scratch_path(spark, "board-ckpt")
-    q = ST.stream_leaderboard(spark, src, sink, ckpt, schema, window="1 day")
-    q.awaitTermination()
-    out = spark.read.parquet(sink)
-    return rounded(out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                              "approach", "n", "mean"))
+    """H2: daily approach means over the event stream, append mode."""
+    return _windows(spark, sf, "board", window="1 day", watermark="1 hour")
+
+
+@register("stream_sliding", sql=views.with_ctes(views.SCORES_SQL, body="""
+, w AS (SELECT approach, metric, time_bucket(INTERVAL 12 HOURS, ts) - k.k * INTERVAL 12 HOURS AS start
+        FROM scores, (SELECT unnest([0, 1]) AS k) k)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, approach, count(*) AS n, round(avg(metric), 6) AS mean
+FROM w GROUP BY 1, 2"""))
+def q_stream_sliding(spark, sf):
+    """H2: daily means every 12 hours, append mode."""
+    return _windows(spark, sf, "sliding", window="1 day", slide="12 hours", watermark="1 hour")
 
 
 @register("stream_dedup", sql="SELECT event_id AS run_id FROM events")
 def q_stream_dedup(spark, sf):
-    """H3: events appended twice (a re-run) are deduplicated within the
-    watermark."""
+    """H3: after each slice of time its rows are appended again (a re-run);
+    copies inside the watermark of an hour meet the state, older ones are late."""
     ev = views.scores(spark, sf).select("run_id", "ts")
-    path = scratch_path(spark, "stream-dup")
-    ev.repartition(2).write.parquet(path)
-    ev.repartition(2).write.mode("append").parquet(path)
     sink, ckpt = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-ckpt")
-    q = ST.stream_dedup(spark, path, sink, ckpt, ev.schema, watermark="365 days")
-    q.awaitTermination()
-    return spark.read.parquet(sink).select("run_id")
+    schema = ev.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    _feed(ev, "stream-dup", lambda path: ST.stream_dedup(spark, path, sink, ckpt, schema, watermark="1 hour"), again=lambda part: part)
+    return spark.read.parquet(sink).filter("run_id is not null").select("run_id")
 
 
 @register("stream_sessions", sql=views.with_ctes(views.SCORES_SQL, body="""
@@ -93,10 +130,4 @@ SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, approach, coun
 FROM g GROUP BY approach, sid"""))
 def q_stream_sessions(spark, sf):
     """H2 with session windows (30-minute gap) over the event stream."""
-    src, schema = _stage(views.scores(spark, sf).select("run_id", "approach", "metric", "ts"), "stream-sess")
-    sink, ckpt = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-ckpt")
-    q = ST.stream_leaderboard(spark, src, sink, ckpt, schema, session_gap="30 minutes", watermark="365 days")
-    q.awaitTermination()
-    out = spark.read.parquet(sink)
-    return rounded(out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"),
-                              "approach", "n", "mean"))
+    return _windows(spark, sf, "sessions", "yyyy-MM-dd HH:mm:ss.SSSSSS", session_gap="30 minutes", watermark="1 hour")

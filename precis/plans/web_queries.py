@@ -198,7 +198,7 @@ def q_page_select(spark, sf):
     return W.page_select(_pages(spark, sf), 1, 3).select("page_id", "url")
 
 
-@register("scrape_frame", sql=_TALKS_SQL + f"""
+SCRAPE_SQL = _TALKS_SQL + f"""
 SELECT page_id, CASE WHEN {_WHOLE} THEN 'Talk <' || page_id || '>' END AS title,
        CASE WHEN {_WHOLE} THEN {_TOPICS_BACK} END AS topics, 'Jane Doe' AS speaker,
        CASE WHEN {_WHOLE} THEN 'D &amp; E' END AS description, CASE WHEN {_WHOLE} THEN text END AS transcript,
@@ -207,7 +207,10 @@ SELECT page_id, CASE WHEN {_WHOLE} THEN 'Talk <' || page_id || '>' END AS title,
          AS transcript_url,
        CASE page_id % 8 WHEN 0 THEN 'malformed json' WHEN 1 THEN 'no duration' WHEN 2 THEN 'no duration'
          WHEN 3 THEN 'no topics' WHEN 4 THEN 'no name' END AS reject
-FROM t WHERE topics IS NOT NULL""")
+FROM t WHERE topics IS NOT NULL"""
+
+
+@register("scrape_frame", sql=SCRAPE_SQL)
 def q_scrape_frame(spark, sf):
     """Corpus rows of all talk pages, with the reason of every reject."""
     return W.extract_corpus(talk_pages(spark, sf).filter("html is not null"), unescape=W.html_unescape_basic)
@@ -235,8 +238,9 @@ def q_topic_tokens(spark, sf):
 
 
 @register("topic_frequency", sql=f"""
-SELECT replace(regexp_replace(lower(t), '^{T.WS}+|{T.WS}+\\z', '', 'g'), ' ', '_') AS topic, count(*) AS count
-FROM (SELECT unnest(string_split({_sql_topics()}, ',')) AS t FROM pages) GROUP BY 1""")
+, c AS (SELECT replace(regexp_replace(lower(t), '^{T.WS}+|{T.WS}+\\z', '', 'g'), ' ', '_') AS topic, count(*) AS count
+       FROM (SELECT unnest(string_split({_sql_topics()}, ',')) AS t FROM pages) GROUP BY 1)
+SELECT topic, count, (SELECT count(*) FROM c) AS n_topics, row_number() OVER (ORDER BY topic) AS rank FROM c""".replace(", c AS", "WITH c AS", 1))
 def q_topic_frequency(spark, sf):
     """topic counts over all pages."""
     p = _pages(spark, sf).select(W.page_topics(F.col("html"), "nav").alias("topics"))

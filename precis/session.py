@@ -3,7 +3,6 @@ checkpoint folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config(SCAN_TASKS, str(cores) if str(cores).isdigit() else "0")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="precis-ckpt-")
     try:
         spark.conf.set("spark.checkpoint.dir", local)
@@ -64,37 +66,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give per-row work enough tasks.  A scan yields one task per file split
-    / row group; inputs stored as a few large row groups leave most cores
-    idle during the text work before the first shuffle.  Only then is the
-    frame repartitioned (round robin) to the cluster's default parallelism;
-    a scan that is already wide (the normal case at scale) is returned
-    untouched, with no extra shuffle."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        width = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a session without RDD access
-        return df
-    return df.repartition(target) if width < target else df
-
-
-_SCAN_WIDTH: dict[tuple[int, str], int] = {}
+#: session setting: number of tasks over which a table is dealt after its scan
+SCAN_TASKS = "spark.precis.scanTasks"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table, spread when its scan is narrow.  The scan width
-    of a path is looked up once per session (it needs a planning pass)."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    key = (id(spark), path)
-    try:
-        if key not in _SCAN_WIDTH:
-            _SCAN_WIDTH[key] = df.rdd.getNumPartitions()
-        target = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - e.g. a session without RDD access
-        return df
-    return df.repartition(target) if _SCAN_WIDTH[key] < target else df
+    """Read a table of the folder.
+
+    Small files with one row group are read by one task each, which leaves cores
+    idle in work that never shuffles.  A session for such files (a local run) can
+    set ``SCAN_TASKS`` to have every table dealt out in that many tasks; unset,
+    the default, nothing is added to the scan."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    tasks = int(spark.conf.get(SCAN_TASKS, "0"))
+    return df.repartition(tasks) if tasks else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -36,18 +36,55 @@ def write_gold(df: DataFrame, path: str) -> None:
        .option("quote", '"').option("escape", '"').csv(path))
 
 
-def read_runs_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A2: many comma CSVs, one per approach; the approach is the file's
-    base name.  Array columns stored as text are parsed with from_json."""
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("recursiveFileLookup", True))
-    df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    return df.withColumn("approach", key_from_path(F.col("_metadata.file_path"), "approach"))
+def _nested(t: T.DataType) -> bool:
+    return isinstance(t, (T.ArrayType, T.StructType, T.MapType))
+
+
+def read_runs_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, flat: bool = False) -> DataFrame:
+    """A2: many comma CSVs, one approach each, with the columns of ``schema``
+    (default: the run row without its approach).
+
+    Folders ``approach=<name>`` are partitions: a filter on the approach reads
+    only their files.  With ``flat`` the approach is the base name of a file in
+    any folder below ``path``; it is derived from the file's path alone, so a
+    filter on it is decided before files are opened, too.  Array and struct
+    columns hold text and are parsed here; text that is no such value, and an
+    empty field, is NULL."""
+    fields = [f for f in (schema or schemas.RUN).fields if f.name != "approach"]
+    stored = T.StructType([T.StructField(f.name, T.StringType() if _nested(f.dataType) else f.dataType) for f in fields])
+    reader = (spark.read.schema(stored).option("header", True).option("multiLine", True)
+              .option("quote", '"').option("escape", '"'))
+    if flat:
+        df = reader.option("recursiveFileLookup", True).csv(path)
+        approach = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1)
+    else:
+        df = reader.schema(T.StructType([*stored.fields, T.StructField("approach", T.StringType())])).csv(path)
+        approach = F.col("approach")
+    return df.select(*[parse_nested(F.col(f.name), f.dataType).alias(f.name) if _nested(f.dataType) else F.col(f.name)
+                       for f in fields], approach.alias("approach"))
+
+
+def parse_nested(col: Column, kind: T.DataType) -> Column:
+    """A list or struct from its text, written as JSON or as a literal with
+    single quotes ("[0.1, 0.2]", "['a', 'b']", "[]")."""
+    lists = isinstance(kind, T.ArrayType)
+    tried = [F.from_json(c, kind) for c in (col, F.replace(col, F.lit("'"), F.lit('"')))]
+    opened = col.startswith("[" if lists else "{")
+    return F.when(opened, F.when(F.try_parse_json(col).isNotNull(), tried[0]).otherwise(tried[1]))
 
 
 def parse_array_text(col: Column, element: str = "double") -> Column:
-    """Arrays written as Python-repr text ("[0.1, 0.2]", "[]")."""
-    return F.from_json(F.replace(col, F.lit("'"), F.lit('"')), f"array<{element}>")
+    """Arrays written as text ("[0.1, 0.2]", "[]")."""
+    return parse_nested(col, T.ArrayType(T.DoubleType() if element == "double" else T.StringType()))
+
+
+def write_runs_csv(df: DataFrame, root: str) -> None:
+    """Run rows as CSV files in folders by approach, arrays and structs as text;
+    ``read_runs_csv`` reads them back."""
+    cols = [F.to_json(F.col(f.name), {"ignoreNullFields": "false"}).alias(f.name) if _nested(f.dataType) else F.col(f.name)
+            for f in df.schema.fields]
+    df.select(*cols).write.mode("append").option("header", True).option("quote", '"').option("escape", '"') \
+        .partitionBy("approach").csv(root)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

@@ -5,9 +5,11 @@
   numeric hallucinations and the rule-based error score are all array
   expressions on the row, so the stream keeps no state; the sink is an
   append-only Parquet folder with a checkpoint (exactly-once).
-* H2 ``stream_leaderboard``: approach x window means with an event-time
-  watermark (late rows beyond it are dropped); tumbling, sliding or session
-  windows.
+* H2 ``stream_windows``: approach x window means in append mode.  A window
+  leaves once, when the watermark has passed its end, and its state goes; rows
+  later than the watermark are dropped and counted.  Tumbling, sliding or session
+  windows.  ``stream_leaderboard`` keeps a whole board up to date instead, and
+  with it the state of all its windows.
 * H3 ``stream_dedup``: re-appended runs are dropped within the watermark.
 """
 
@@ -89,6 +91,31 @@ def stream_leaderboard(spark: SparkSession, source: str, sink: str, checkpoint:
         .foreachBatch(write).trigger(availableNow=True).start()
 
 
+def stream_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
+                   max_files_per_trigger: int | None = None, available_now: bool = True, **kw):
+    """H2 in append mode: every window is written once, when the watermark has
+    passed its end, and then forgotten, so the state is bounded by the watermark
+    and not by the history.  Started again with the same ``checkpoint``, it goes on
+    where it stopped.  Sessions are merged inside each task before the shuffle, so
+    that a hot group sends its sessions and not its rows."""
+    merge = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(merge, "false")
+    spark.conf.set(merge, "true")  # the query takes a copy of the settings when it starts
+    try:
+        board = leaderboard(read_stream(spark, source, schema, max_files_per_trigger), **kw)
+        writer = board.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+        return writer.start(sink)
+    finally:
+        spark.conf.set(merge, before)
+
+
+def late_rows(query) -> int:
+    """Rows that the query's stateful operators dropped as later than the
+    watermark, over the progress that the session keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def dedup(events: DataFrame, key: str = "run_id", ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
     """H3: drop re-appended rows (same key) within the watermark."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark) \

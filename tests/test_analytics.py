@@ -108,3 +108,40 @@ def test_sample_and_success_rate_partition_invariant(spark, sf):
         again = s.repartition(n)
         assert [r["run_id"] for r in A.sample_rows(again, k=5).collect()] == base
         assert sorted(tuple(r) for r in A.success_rate(again).collect()) == rate
+
+
+def test_quantiles_of_a_hot_group_equal_numpy(spark):
+    """Continuous values, a group with most rows, outliers, ties, infinities, a
+    null group and groups of one."""
+    import numpy as np
+    from precis.plans import quantiles as Q
+    rng = np.random.default_rng(3)
+    groups = {"hot": rng.normal(size=9000).tolist(), "far": [*rng.random(50).tolist(), 1e300, -1e300], "ties": [1.0] * 40 + [2.0] * 3,
+              "one": [7.5], None: [3.0, 1.0, 2.0, 2.0], "inf": [1.0, 2.0, float("inf"), 4.0, float("-inf")], "tight": [1 + k * 2.0 ** -50 for k in range(9)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {r["g"]: (r["q"], r["n"]) for r in Q.quantiles(df, "v", ["g"], qs).collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        assert got[g][1] == len(vs)
+        with np.errstate(invalid="ignore"):
+            want = np.quantile(vs, qs)
+        for a, b in zip(got[g][0], want, strict=True):
+            assert a == b or abs(a - b) <= 1e-12 * max(1, abs(b)) or (np.isnan(b)), (g, a, b)
+
+
+def test_building_a_report_starts_no_job(spark, sf):
+    from precis.plans import analysis_queries  # noqa: F401
+    from precis.plans.registry import QUERIES
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("metric_series", "title_difficulty", "row_range", "distinct_titles", "box_stats", "control_vs_modifiers"):
+        QUERIES[name](spark, sf)  # file listings and footers are cached
+        group = f"build-{name}"
+        spark.sparkContext.setJobGroup(group, "building")
+        try:
+            QUERIES[name](spark, sf)
+            jobs = tracker.getJobIdsForGroup(group)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(jobs) <= 1, name  # the schema of the table

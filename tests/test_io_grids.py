@@ -118,3 +118,35 @@ def test_evaluate_all_branches(spark, sf):
     assert len(row["rouge_1"]) == 4 and len(row["rouge_L"]) == 4 and len(row["bert_score"]) == 2
     assert row["slor"] is not None and row["errors"] is not None
     assert out.count() == r.count()
+
+
+def test_run_csv_reads_only_the_asked_approaches(spark, sf):
+    """A2: folders and flat files; arrays and structs come back; files of other
+    approaches are not read."""
+    from precis.plans.io_queries import _stored_runs
+    runs = _stored_runs(spark, sf).withColumn("config", R.config_struct("m", stop=["x"]))
+    path = scratch_path(spark, "t-runs-all")
+    IO.write_runs_csv(runs, path)
+    back = IO.read_runs_csv(spark, path)
+    assert back.select(*runs.columns).dtypes == runs.dtypes
+    key = lambda r: r["run_id"]
+    empty = lambda r: {k: None if v == "" else v for k, v in r.asDict(True).items()}
+    assert [empty(r) for r in sorted(back.select(*runs.columns).collect(), key=key)] == [empty(r) for r in sorted(runs.collect(), key=key)]
+    one = back.filter(F.col("approach") == "a1")
+    assert "approach" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    flat = scratch_path(spark, "t-runs-flat")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("a1", "a2"):
+        found = [s.getPath() for s in fs.listStatus(jvm.Path(f"{path}/approach={name}")) if s.getPath().getName().startswith("part-")]
+        fs.mkdirs(jvm.Path(f"{flat}/x"))
+        for i, p in enumerate(found[:1]):
+            fs.rename(p, jvm.Path(f"{flat}/x/{name}.csv"))
+    got = IO.read_runs_csv(spark, flat, flat=True)
+    assert {r["approach"] for r in got.select("approach").distinct().collect()} == {"a1", "a2"}
+    assert got.filter(F.col("approach") == "a1").count() > 0
+    for text, want in (("[0.5, 1]", [0.5, 1.0]), ("[]", []), ("", None), ("nope", None), (None, None)):
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(IO.parse_array_text(F.col("t")).alias("a")).first()["a"] == want
+    df = spark.createDataFrame([("['a', 'b']",)], "t string")
+    assert df.select(IO.parse_array_text(F.col("t"), "string").alias("a")).first()["a"] == ["a", "b"]
