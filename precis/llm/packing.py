@@ -10,6 +10,7 @@ the cells makes the bins of a class follow each other without a gap.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -25,6 +26,8 @@ CAPACITY = 2048
 SMALLEST_CUT = 16
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: the same vocabulary with its added tokens
+TOKENIZER = "byte_bpe_50k.json"
 CACHE = 400_000
 
 
@@ -36,7 +39,9 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Token ids of texts.
+    """Token ids of texts, as the tokenizer of ``TOKENIZER`` gives them without
+    special tokens around: an added token of its file that a text contains is one
+    id, and the text on each side is encoded by itself.
 
     The tokenizer splits a text into pretokens, and none reaches over a single
     space between two other characters: such a space starts its pretoken.  So
@@ -52,6 +57,10 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+            self.added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.odd = re.compile(r" (?:\s|(?<=\s ))")
         encode = self.bpe.encode_ordinary
 
@@ -67,6 +76,12 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of ``text`` as little-endian 32-bit numbers."""
+        if self.split and self.split.search(text):
+            return np.concatenate([np.array([self.added[part]], "<u4") if part in self.added else self.ordinary(part)
+                                   for part in self.split.split(text) if part])
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> np.ndarray:
         if self.odd.search(text):
             return np.array(self.bpe.encode_ordinary(text), "<u4")
         first, *rest = text.split(" ")
@@ -104,16 +119,15 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     vocabulary: str | None = None) -> DataFrame:
     """(doc_id, row, start, length, ids_crc32, doc_tokens) of every piece; row
     tells rows of one doc_id apart.  A document ends with id 1, so a null or
-    empty text is one piece of one id."""
-    path = vocabulary or default_vocabulary()
+    empty text is one piece of one id.  Malformed bytes of a text count as U+FFFD."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                        F.col(text_col).alias("text"))
+                        F.make_valid_utf8(F.col(text_col)).alias("text"))
     schema = keyed.select("doc_id", "row").schema
     for field in PIECES.split(", "):
         schema = schema.add(*field.split(" "))
 
     def cut(batches):
-        encode = encoder(path).ids
+        encode = encoder(vocabulary or default_vocabulary()).ids  # a path of the executor
         end = np.array([END_ID], "<u4")
         for batch in batches:
             doc, rows = [], []

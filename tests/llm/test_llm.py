@@ -366,7 +366,6 @@ def test_packing(spark, sf, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     docs = load(spark, sf, "documents").limit(60).select("doc_id", "text")
     odd = odd.filter("doc_id <> 7").select("doc_id", "text")
     for table in (docs, odd):
