@@ -27,6 +27,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables that one operator writes on its way, deleted as soon as they are
+    read for the last time.
+
+    ``drop`` deletes tables and lets Spark remove the shuffle files of plans that
+    are no longer used, which it does when the driver collects garbage; everything
+    still needed must have been written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark._jvm
+        for name in names or tuple(self.paths):
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null text: no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precis.llm import textvec
-from precis.llm.common import load, materialize
+from precis.llm.common import Tables, load, materialize
 from precis.llm.links import connect
 from precis.llm.near import SEED, _fingerprint
 from precis.plans.registry import register
@@ -80,17 +80,22 @@ def _places(rolled: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.unique(first + ((least & low).astype(np.int64) - first) % (1 << 24))
 
 
-UNITS = [("start", "integer"), ("n", "integer"), ("piece", "boolean"), ("cls", "binary"), ("size", "integer"),
-         ("sketch", "binary")]
+UNITS = [("start", "integer"), ("n", "integer"), ("piece", "boolean"), ("h", "long"), ("g", "integer")]
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): the tag, a hash of the text, tells texts of one
+    doc_id apart."""
+    return docs.select("doc_id", F.hash("text").alias("tag"), "text")
 
 
 def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, tag, start, n, piece, cls, size, sketch, keys) of all paragraphs
-    of at least MIN_WORDS words and of the pieces of texts of at least LONG.
+    """(doc_id, tag, start, n, piece, h, g, keys) of all paragraphs of at least
+    MIN_WORDS words and of the pieces of texts of at least LONG.
 
-    start and n count words of the text; tag tells texts of one doc_id apart;
-    cls identifies the content; keys are the bands (paragraphs only)."""
-    named = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    start and n count words of the text; h and g are 64 and 32 bits of a hash of
+    the content; keys are the bands (paragraphs only)."""
+    named = _named(docs)
     schema = named.select("doc_id", "tag").schema
     for name, kind in UNITS:
         schema = schema.add(name, kind)
@@ -111,15 +116,15 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 sets = [np.unique(grams[where[k]:where[k + 1]]) for k in full]
                 offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                low = textvec.minima(values, offs, SKETCH, SEED)
+                low = textvec.minima(values, offs, bands * rows, SEED)
                 keys = salt + low[:, 0:bands * rows:rows]
                 for k in range(1, rows):
                     keys = textvec.mix(keys) + low[:, k:bands * rows:rows]
                 keys = textvec.mix(keys)
+                sums = np.frombuffer(b"".join(_fingerprint(values, offs)), np.uint64).reshape(-1, 2)
                 yield from _unit_batch(
-                    batch, first + owner[full], line_at[:-1][full] - at[owner[full]], counts[full], False,
-                    _fingerprint(values, offs), np.diff(offs),
-                    [r.tobytes() for r in textvec.mix(low).astype(np.uint8)], keys.astype(np.int64))
+                    batch, first + owner[full], line_at[:-1][full] - at[owner[full]], counts[full], False, sums,
+                    keys.astype(np.int64))
                 # pieces
                 if len(hashes) < LONG:
                     continue
@@ -137,13 +142,12 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     both = textvec.mix(both + rolled[np.minimum(place + k, len(rolled) - 1)][:, None]
                                        * textvec.STEP[:2] + textvec.STEP[2:4])
                 doc = doc[place]
-                yield from _unit_batch(batch, first + doc, place - at[doc], np.full(len(place), PIECE), True,
-                                       [r.tobytes() for r in both], np.full(len(place), PIECE), None, None)
+                yield from _unit_batch(batch, first + doc, place - at[doc], np.full(len(place), PIECE), True, both, None)
 
     return named.mapInArrow(cut, schema)
 
 
-def _unit_batch(batch, row, start, n, piece, cls, size, sketch, keys):
+def _unit_batch(batch, row, start, n, piece, sums, keys):
     m = len(row)
     for a in range(0, m, 20_000):
         b = min(m, a + 20_000)
@@ -151,18 +155,26 @@ def _unit_batch(batch, row, start, n, piece, cls, size, sketch, keys):
         width = keys.shape[1] if keys is not None else 0
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(start[a:b].astype(np.int32)),
-             pa.array(n[a:b].astype(np.int32)), pa.array(np.full(b - a, piece)), pa.array(cls[a:b], pa.binary()),
-             pa.array(size[a:b].astype(np.int32)),
-             pa.nulls(b - a, pa.binary()) if sketch is None else pa.array(sketch[a:b], pa.binary()),
+             pa.array(n[a:b].astype(np.int32)), pa.array(np.full(b - a, piece)), pa.array(sums[a:b, 0].astype(np.int64)),
+             pa.array((sums[a:b, 1] >> textvec.U64(32)).astype(np.uint32).view(np.int32)),
              pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * width,
                                       keys[a:b].ravel() if width else pa.array([], pa.int64()))],
             names=["doc_id", "tag", *[u[0] for u in UNITS], "keys"])
 
 
-def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, members): shingle sets of ``wanted`` (doc_id, tag, start, n, cls)."""
-    spans = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "cls")).alias("spans"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").join(spans, ["doc_id", "tag"])
+def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is asked of the texts, in one reading of those that are asked for.
+
+    ``wanted`` (doc_id, tag, start, stop, h): with an h, the paragraph's shingle
+    set and sketch: (h, members, sketch, size); without, the hashes of the AROUND
+    words before and after the span, nearest first, 0 where the text ends:
+    (doc_id, tag, start, stop, before, after)."""
+    spans = wanted.distinct().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop", "h")).alias("spans"))
+    texts = _named(docs).join(spans, ["doc_id", "tag"])
+    schema = texts.select("doc_id", "tag").schema
+    for name, kind in (("start", "integer"), ("stop", "integer"), ("before", "binary"), ("after", "binary"),
+                       ("h", "long"), ("members", "binary"), ("sketch", "binary"), ("size", "integer")):
+        schema = schema.add(name, kind)
 
     def collect(batches):
         for batch in batches:
@@ -170,17 +182,33 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for first, end, data, offsets in textvec.slices(batch.column("text")):
                 starts, ends, at = textvec.words(data, offsets)
                 hashes = textvec.word_hashes(data, starts, ends)
-                cls, members = [], []
+                odd = (hashes >> textvec.U64(32)).astype(np.uint32) | np.uint32(1)
+                row, out, sets = [], [], []
                 for i in range(end - first):
+                    own = None
                     for s in asked[first + i]:
-                        a = at[i] + s["start"]
-                        grams, _ = textvec.shingles(hashes[a:a + s["n"]], np.array([0, s["n"]]))
-                        cls.append(bytes(s["cls"]))
-                        members.append(np.unique(grams).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(members, pa.binary())],
-                                                 names=["cls", "members"])
+                        row.append(first + i)
+                        if s["h"] is None:
+                            if own is None:
+                                edge = np.zeros(AROUND, np.uint32)
+                                own = np.concatenate([edge, odd[at[i]:at[i + 1]], edge])
+                            out.append((s["start"], s["stop"], own[s["start"]:s["start"] + AROUND][::-1].tobytes(),
+                                        own[s["stop"] + AROUND:s["stop"] + 2 * AROUND].tobytes(), None, None, None))
+                        else:
+                            grams, _ = textvec.shingles(hashes[at[i] + s["start"]:at[i] + s["stop"]], np.array([0, s["stop"] - s["start"]]))
+                            sets.append(np.unique(grams))
+                            out.append((s["start"], s["stop"], None, None, s["h"], sets[-1].tobytes(), len(sets[-1])))
+                low = textvec.minima(np.concatenate(sets) if sets else np.zeros(0, np.uint64),
+                                     np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64), SKETCH, SEED)
+                sketches = iter(r.tobytes() for r in textvec.mix(low).astype(np.uint8))
+                rows, column = pa.array(row, pa.int64()), lambda k, kind: pa.array([o[k] for o in out], kind)  # noqa: B023
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("tag").take(rows), column(0, pa.int32()),
+                     column(1, pa.int32()), column(2, pa.binary()), column(3, pa.binary()), column(4, pa.int64()),
+                     column(5, pa.binary()), pa.array([next(sketches) if o[4] is not None else None for o in out], pa.binary()),
+                     column(6, pa.int32())], names=schema.names)
 
-    return texts.select("spans", "text").mapInArrow(collect, "cls binary, members binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(collect, schema)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,42 +222,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    whole = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a")
-             .join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b"))
-    return whole.select("a", "b", "ma", "mb").mapInArrow(compare, "a binary, b binary")
-
-
-def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, stop, before, after): hashes of the AROUND words before
-    and after the spans ``wanted`` (doc_id, tag, start, stop), nearest first; 0
-    where the text ends."""
-    spans = wanted.distinct().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").join(spans, ["doc_id", "tag"])
-    schema = texts.select("doc_id", "tag").schema
-    for name, kind in (("start", "integer"), ("stop", "integer"), ("before", "binary"), ("after", "binary")):
-        schema = schema.add(name, kind)
-
-    def collect(batches):
-        for batch in batches:
-            asked = batch.column("spans").to_pylist()
-            for first, end, data, offsets in textvec.slices(batch.column("text")):
-                starts, ends, at = textvec.words(data, offsets)
-                odd = (textvec.word_hashes(data, starts, ends) >> textvec.U64(32)).astype(np.uint32) | np.uint32(1)
-                row, bounds, before, after = [], [], [], []
-                for i in range(end - first):
-                    own = np.concatenate([np.zeros(AROUND, np.uint32), odd[at[i]:at[i + 1]], np.zeros(AROUND, np.uint32)])
-                    for span in asked[first + i]:
-                        row.append(first + i)
-                        bounds.append((span["start"], span["stop"]))
-                        before.append(own[span["start"]:span["start"] + AROUND][::-1].tobytes())
-                        after.append(own[span["stop"] + AROUND:span["stop"] + 2 * AROUND].tobytes())
-                rows, bounds = pa.array(row, pa.int64()), np.array(bounds, np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(bounds[:, 0]),
-                     pa.array(bounds[:, 1]), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-                    names=schema.names)
-
-    return texts.mapInArrow(collect, schema).dropDuplicates(["doc_id", "tag", "start", "stop"])
+    whole = (pairs.join(sets.select(F.col("h").alias("a"), F.col("members").alias("ma")), "a")
+             .join(sets.select(F.col("h").alias("b"), F.col("members").alias("mb")), "b"))
+    return whole.select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
 
 
 def _extended(chains: DataFrame, around: DataFrame) -> DataFrame:
@@ -259,10 +254,11 @@ def _extended(chains: DataFrame, around: DataFrame) -> DataFrame:
     return both.select(*names, "b1", "b2", "a1", "a2").mapInArrow(grow, chains.schema)
 
 
-def _chains(repeats: DataFrame) -> DataFrame:
-    """Removed pieces that follow each other like the kept ones do, as one span."""
-    pieces = repeats.filter("piece and removed").select(
-        "doc_id", "tag", "start", (F.col("start") + F.col("n")).alias("stop"), F.col("first.doc_id").alias("kept_doc_id"),
+def _chains(pieces: DataFrame) -> DataFrame:
+    """Removed pieces (doc_id, tag, start, first) that follow each other like the
+    kept ones do, as one span."""
+    pieces = pieces.select(
+        "doc_id", "tag", "start", (F.col("start") + PIECE).alias("stop"), F.col("first.doc_id").alias("kept_doc_id"),
         F.col("first.tag").alias("kept_tag"), (F.col("start") - F.col("first.start")).alias("shift"))
     same = ["doc_id", "tag", "kept_doc_id", "kept_tag", "shift"]
     order = W.partitionBy(*same).orderBy("start")
@@ -273,6 +269,19 @@ def _chains(repeats: DataFrame) -> DataFrame:
             .select("doc_id", "tag", "start", "stop", "kept_doc_id", "kept_tag", "shift"))
 
 
+PLACE = ("doc_id", "start")
+
+
+def _with_first(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` of groups with more than one place, with the group's ``first``;
+    rows that overlap the first one in its text are none of the group."""
+    firsts = (rows.groupBy(*by).agg(F.min(F.struct(*PLACE, "tag", "n")).alias("first"), F.max(F.struct(*PLACE)).alias("last"))
+              .filter(F.struct("first.doc_id", "first.start") != F.col("last")).select(*by, "first"))
+    overlap = ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+               & (F.col("start") > F.col("first.start")) & (F.col("start") < F.col("first.start") + F.col("first.n")))
+    return rows.join(firsts, by).filter(~overlap)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                       recall: float = 0.9999) -> DataFrame:
     """(doc_id, tag, start, n_words, removed, kept_doc_id): the passages that
@@ -283,95 +292,128 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that holds it.  A piece is extended to all words around it that equal those
     around the kept one; a piece that overlaps the kept one is none.  Spans of a
     text less than JOIN_GAP words apart are one.  Paragraphs under MIN_WORDS words
-    are only touched as part of a longer run of equal words.  Null and empty texts
-    have no passages; rows with a null doc_id take no part; repeated rows count
-    as one document.  Empty table: empty result."""
+    are only touched as part of a longer run of equal words: a run of LONG equal
+    words is always found, a shorter one only if a piece happens to lie in it.
+    Paragraphs count as equal by 64 bits of a hash, pieces by 96.  Null and empty
+    texts have no passages; rows with a null doc_id take no part; repeated rows
+    count as one document.  Empty table: empty result."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     bands, rows = tune_bands(percent / 100, recall)
-    every = materialize(units(named, bands, rows), "units")
-    place = F.struct("doc_id", "start")
+    tables = Tables(docs.sparkSession)
+    every = tables.write(units(named, bands, rows), "units")
+    # pieces: hashes are counted first, and only the places of those found twice
+    # go on
+    pieces = every.filter("piece").select("h", "g", *PLACE, "tag", "n")
+    twice = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    again = tables.write(pieces.join(twice, "h", "left_semi"), "pieces")
+    place = F.struct(*PLACE)
+    is_first = place == F.struct("first.doc_id", "first.start")
+    chains = tables.write(_chains(_with_first(again, ["h", "g"]).filter(~is_first)), "chains")
+    tables.drop("pieces")
+    # paragraphs: only keys that two different ones share are posted
     lines = every.filter("not piece")
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc_id", "tag", "start", "n")).alias("at"), F.first("size").alias("size"),
-                                       F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    classes = materialize(classes, "paragraphs")
-    postings = classes.select("cls", F.explode("keys").alias("key"))
-    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = (postings.join(counts, "key").groupBy("cls")
-              .agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum(F.log2("n")).alias("weight")))
-    shared = shared.join(classes.select("cls", "size", "sketch", "at"), "cls")
-    shared = materialize(shared, "shared")
-    sets = materialize(paragraph_sets(named, shared.select("at.*", "cls")), "sets")
-    posted = shared.select(F.col("cls").alias("node"), "weight", "size", "sketch", "keys", F.explode("keys").alias("key"))
-    comp = connect(posted, lambda pairs: _confirm(pairs, sets, percent), SKETCH_MATCHES, percent)
-    joined = every.select("doc_id", "tag", "start", "n", "piece", "cls").join(
-        comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("cluster", F.coalesce("comp", "cls"))
-    first = F.struct("first.doc_id", "first.start")
-    firsts = (joined.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "tag")).alias("first"), F.max(place).alias("last"))
-              .filter(first != F.col("last")).select("cluster", "first"))
-    overlap = ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
-               & (F.col("start") > F.col("first.start")) & (F.col("start") < F.col("first.start") + F.col("n")))
-    repeats = materialize(joined.join(firsts, "cluster").filter(~overlap).select(
-        "doc_id", "tag", "start", "n", "piece", "first", (place != first).alias("removed")).distinct(), "repeats")
-    chains = materialize(_chains(repeats), "chains")
+    postings = lines.select("h", F.explode("keys").alias("key"))
+    counts = (postings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+              .filter("lo < hi").select("key", F.log2("k").alias("w")))
+    shared = postings.join(counts, "key").groupBy("h").agg(F.collect_set(F.struct("key", "w")).alias("kw"))
+    at = lines.groupBy("h").agg(F.min(F.struct(*PLACE, "tag", "n")).alias("at"))
+    shared = tables.write(shared.join(at, "h").select(
+        "h", "at", F.array_sort(F.col("kw")["key"]).alias("keys"),
+        F.aggregate(F.array_sort("kw"), F.lit(0.0), lambda a, x: a + x["w"]).alias("weight")), "shared")
     shifted = [(F.col(c) - F.col("shift")).alias(c) for c in ("start", "stop")]
-    ends = chains.select("doc_id", "tag", "start", "stop").unionByName(
-        chains.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), *shifted))
-    runs = materialize(_extended(chains, materialize(surroundings(named, ends), "surroundings")), "runs")
-    removed, kept = F.lit(True).alias("removed"), F.lit(False).alias("removed")
-    found = (repeats.filter("not (piece and removed)").select(
-        "doc_id", "tag", "start", (F.col("start") + F.col("n")).alias("stop"), "removed", F.col("first.doc_id").alias("kept_doc_id"))
-        .unionByName(runs.select("doc_id", "tag", "start", "stop", removed, "kept_doc_id"))
-        .unionByName(runs.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), *shifted, kept,
-                                 "kept_doc_id")).distinct())
+    none = F.lit(None).cast("long").alias("h")
+    wanted = (shared.select("at.doc_id", "at.tag", "at.start", (F.col("at.start") + F.col("at.n")).alias("stop"), "h")
+              .unionByName(chains.select("doc_id", "tag", "start", "stop", none))
+              .unionByName(chains.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), *shifted, none)))
+    looked = tables.write(looked_up(named, wanted), "looked")
+    around = looked.filter("h is null").select("doc_id", "tag", "start", "stop", "before", "after").dropDuplicates(
+        ["doc_id", "tag", "start", "stop"])
+    runs = tables.write(_extended(chains, around), "runs")
+    sets = tables.write(looked.filter("h is not null").select("h", "members", "sketch", "size").dropDuplicates(["h"]), "sets")
+    tables.drop("looked", "chains")
+    posted = shared.join(sets.select("h", "sketch", "size"), "h").select(
+        F.col("h").alias("node"), "weight", "size", "sketch", "keys", F.explode("keys").alias("key"))
+    comp = connect(posted, lambda pairs: _confirm(pairs, sets, percent), SKETCH_MATCHES, percent)
+    clustered = lines.select("h", *PLACE, "tag", "n").join(comp.withColumnRenamed("node", "h"), "h", "left") \
+        .withColumn("cluster", F.coalesce("comp", "h"))
+    stop = F.col("start") + F.col("n")
+    found = (_with_first(clustered, ["cluster"]).select(
+        "doc_id", "tag", "start", stop.alias("stop"), (~is_first).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"))
+        .unionByName(runs.select("doc_id", "tag", "start", "stop", F.lit(True).alias("removed"), "kept_doc_id"))
+        .unionByName(runs.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_tag").alias("tag"), *shifted,
+                                 F.lit(False).alias("removed"), "kept_doc_id")).distinct())
     order = W.partitionBy("doc_id", "tag", "removed").orderBy("start", "stop", "kept_doc_id")
     reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum((F.col("start") >= F.coalesce(F.col("reach"), F.lit(-JOIN_GAP)) + JOIN_GAP).cast("int")).over(
         order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (found.withColumn("reach", reach).withColumn("island", island)
-            .groupBy("doc_id", "tag", "removed", "island")
-            .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_doc_id").alias("kept_doc_id"))
-            .select("doc_id", "tag", "start", (F.col("stop") - F.col("start")).alias("n_words"), "removed", "kept_doc_id"))
+    spans = (found.withColumn("reach", reach).withColumn("island", island)
+             .groupBy("doc_id", "tag", "removed", "island")
+             .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_doc_id").alias("kept_doc_id"))
+             .select("doc_id", "tag", "start", (F.col("stop") - F.col("start")).alias("n_words"), "removed", "kept_doc_id"))
+    result = materialize(spans, "passages")
+    tables.drop()
+    return result
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without their removed passages; other columns stay.  Texts
-    without one are unchanged; a document of which no word is left goes."""
+    """``docs`` without their removed passages; other columns stay, whatever
+    their names.  Texts without one are unchanged, malformed bytes included; a
+    document of which no word is left goes.  Of the white space on both sides of a
+    cut one side stays, that after it if it breaks a line, else that before it;
+    all other white space stays as it is."""
     gone = repeated_passages(docs, id_col, text_col).filter("removed")
-    lists = gone.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(
-        F.collect_list(F.struct("start", "n_words")).alias("_gone"))
-    marked = docs.withColumn("_hash", F.xxhash64(text_col)).join(
-        lists, (F.col(id_col) == F.col("_id")) & (F.col("_hash") == F.col("_tag")), "left")
-    names = docs.columns
+    lists = gone.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n_words")).alias("gone"))
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("key"),
+                         F.hash(text_col).alias("mark")).join(
+        lists, (F.col("key") == F.col("doc_id")) & (F.col("mark") == F.col("tag")), "left")
+    names, text_at = docs.columns, docs.columns.index(text_col)
 
     def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist()
+            columns = batch.column("row").flatten()
+            kind = columns[text_at].type
+            raw = pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()
+            texts, spans = columns[text_at].view(raw).to_pylist(), batch.column("gone").to_pylist()
             out, keep = [], []
             for i, (text, cuts) in enumerate(zip(texts, spans, strict=True)):
                 left = text if not cuts else _without(text, [(c["start"], c["n_words"]) for c in cuts])
-                if not cuts or left:
+                if not cuts or left is not None:
                     keep.append(i)
                     out.append(left)
-            rows = batch.take(pa.array(keep, pa.int64()))
+            at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out, rows.column(c).type) if c == text_col else rows.column(c) for c in names], names=names)
+                [pa.array(out, raw).view(kind) if k == text_at else c.take(at) for k, c in enumerate(columns)], names=names)
 
-    return marked.select(*names, "_gone").mapInArrow(cut, docs.schema)
+    return marked.select("row", "gone").mapInArrow(cut, docs.schema)
 
 
-def _without(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the words of ``spans`` (first word, number of words)."""
-    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes | None:
+    """``text`` without the words of ``spans`` (first word, number of words);
+    None if no word is left."""
+    data = np.frombuffer(text, np.uint8)
     starts, ends, _ = textvec.words(data, np.array([0, len(data)]))
-    parts, at = [], 0
-    for first, n in sorted(spans):
-        parts.append(data[at:max(at, starts[first])].tobytes())
-        to = max(at, ends[min(first + n, len(ends)) - 1])
-        if (data[max(at, starts[first]):to] == 10).any():  # the words around it were on different lines
-            parts.append(b"\n")
-        at = to
+    kept = np.ones(len(starts), bool)
+    for first, n in spans:
+        kept[first:first + n] = False
+    if not kept.any():
+        return None
+    parts, at, i = [], 0, 0
+    while i < len(starts):
+        if kept[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(starts) and not kept[j]:
+            j += 1
+        before = (ends[i - 1] if i else 0, starts[i])
+        after = (ends[j - 1], starts[j] if j < len(starts) else len(data))
+        gap = after if (data[after[0]:after[1]] == 10).any() else before
+        parts.append(data[at:before[0]].tobytes())
+        inside = data[before[0]:after[1]]
+        parts.append(data[gap[0]:gap[1]].tobytes() if (data[gap[0]:gap[1]] == 10).any() or not (inside == 10).any() else b"\n")
+        at, i = after[1], j
     parts.append(data[at:].tobytes())
-    return "\n".join(x.strip() for x in b"".join(parts).decode("utf-8").split("\n") if x.strip())
+    return b"".join(parts)
 
 
 @register("op2_substring_dedup")
