@@ -23,7 +23,7 @@ def _stage(df, name):
     return path, df.schema
 
 
-SLICES = 3
+SLICES = 2
 
 
 def _feed(df, name, start, again=lambda part: None):
