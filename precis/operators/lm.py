@@ -51,8 +51,11 @@ def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFram
     bi = lines.select(F.inline(F.concat(first, bigrams(line_tokens(F.col("line")))))) \
         .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb"))
     uni = bi.groupBy("token").agg(F.sum("cb").alias("cu"))
-    totals = uni.filter(F.col("token") != START).agg(F.struct(
-        F.coalesce(F.sum("cu"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).alias("s"))
+    # conditions instead of a filter, which would be pushed below the counting
+    # and keep its exchange from being shared
+    word = F.col("token") != START
+    totals = uni.agg(F.struct(F.coalesce(F.sum(F.when(word, F.col("cu"))), F.lit(0)).alias("n"),
+                              F.count(F.when(word, 1)).alias("v")).alias("s"))
     return uni, bi, totals.scalar()
 
 
