@@ -2,7 +2,8 @@
 
 An item is compared with one hub of each key first; items that this connects
 need no further comparison among themselves.  What stays apart within a key is
-then compared in full.
+then compared in full, in blocks that verify their pairs themselves and report
+only what connects.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from precis.llm.common import materialize
 
 #: comparisons per posting up to which the full round follows at once
 FULL_ROUND = 8
-BLOCK_ROWS = 8192
+#: a block of the full round has about so many rows a side and shingles in them,
+#: and verifies so many candidates of a stray together
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1 << 23
+VERIFIED_AT_ONCE = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,19 +71,33 @@ def agreeing(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("a", "sa", "b", "sb").mapInArrow(compare, rows.select("a", "b").schema.add("n", "long"))
 
 
-def _across(mixed: DataFrame, sketches: DataFrame | None, agree: int, percent: int) -> DataFrame:
-    """(a, b) of all pairs of a stray and another member of its key that are in
-    different components, of near size and agree in ``agree`` bytes.
-
-    Keys are compared in blocks of about BLOCK_ROWS strays and members, one
-    stray against a block at a time; only agreeing pairs leave a block, each at
-    the smallest key that its two nodes share."""
-    if sketches is not None:
-        mixed = mixed.drop("sketch").join(sketches, "node")
-    parts = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
-    rows = mixed.select("key", "node", "comp", "keys", "size", "sketch", (F.col("comp") == F.col("main")).alias("home"),
-                        F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"),
-                        F.sequence(F.lit(0), parts - 1).alias("others"))
+def _counts(own: np.ndarray, flat: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Members that each of the sorted sets (its end in ``where``) has in common
+    with the sorted set ``own``."""
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    hits = np.concatenate([[0], np.cumsum(own[at] == flat)])
+    return np.diff(hits[np.concatenate([[0], where])])
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, agree: int, percent: int) -> DataFrame:
+    """(a, b) that connect the strays of a key with its other members.
+
+    Keys with the same main component are one family, in which a node takes part
+    once, whatever keys it has there.  Families are compared in blocks of about
+    BLOCK_ROWS strays and members, less if their sets are large.  Inside a block
+    the members are posted under their keys; a stray merges the lists of its keys,
+    and members of another component, of near size, that agree in ``agree`` bytes
+    are its candidates.  With sets (column members of ``nodes``) the candidates are
+    verified there, the likeliest first, and only links between parts that were
+    apart leave the block: fewer than it has rows.  Without, all candidates do."""
+    exact = "members" in nodes.columns
+    family = mixed.select("main", "node", "comp").distinct().join(nodes, "node")
+    load = family.groupBy("main").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)))
+        .cast("int").alias("parts"))
+    rows = family.join(load, "main").withColumns({
+        "home": F.col("comp") == F.col("main"), "own": F.pmod(F.xxhash64("node"), "parts").cast("int"),
+        "others": F.sequence(F.lit(0), F.col("parts") - 1)}).drop("parts")
     left = rows.filter("not home").select("*", F.explode("others").alias("j")).withColumnRenamed("own", "i").drop("others")
     right = rows.select("*", F.explode("others").alias("i")).withColumnRenamed("own", "j").drop("others")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own
@@ -86,40 +105,65 @@ def _across(mixed: DataFrame, sketches: DataFrame | None, agree: int, percent: i
     def grid(table: pa.Table, column: str) -> np.ndarray:
         return np.frombuffer(b"".join(x.as_buffer() for x in table[column]), np.uint8).reshape(table.num_rows, -1)
 
+    def lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        column = table["keys"].combine_chunks()
+        return (column.flatten().to_numpy(zero_copy_only=False),
+                np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]))
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a_rows, b_rows = [], []
         if left.num_rows and right.num_rows:
             la, lb = left["node"].to_pylist(), right["node"].to_pylist()
             rank = {x: r for r, x in enumerate(sorted({*la, *lb, *left["comp"].to_pylist(), *right["comp"].to_pylist()}))}
-            ids = [np.array([rank[x] for x in t[c].to_pylist()]) for t, c in
-                   ((left, "node"), (right, "node"), (left, "comp"), (right, "comp"))]
+            na, nb, ca, cb = (np.array([rank[x] for x in t[c].to_pylist()]) for t, c in
+                              ((left, "node"), (right, "node"), (left, "comp"), (right, "comp")))
+            part = np.arange(len(rank))  # the part of each component, joined as links are found
             za, zb = left["size"].to_numpy(), right["size"].to_numpy()
             sa, sb = grid(left, "sketch"), grid(right, "sketch")
             home = right["home"].to_numpy(zero_copy_only=False)
-            ka, kb = left["keys"].to_pylist(), right["keys"].to_pylist()
-            widest = max(map(len, kb))
-            table = np.array([k + [k[-1]] * (widest - len(k)) for k in kb])
-            key = left["key"][0].as_py()
+            if exact:
+                ma, mb = ([np.frombuffer(x.as_buffer(), np.uint64) for x in t["members"]] for t in (left, right))
+            (ka, wa), (kb, wb) = lists(left), lists(right)
+            order = np.argsort(kb, kind="stable")
+            owner = np.repeat(np.arange(len(lb)), np.diff(wb))[order]
+            low, high = (np.searchsorted(kb[order], ka, side) for side in ("left", "right"))
             for x in range(len(la)):
-                fit = ((ids[3] != ids[2][x]) & (home | (ids[1] > ids[0][x]))
-                       & (100 * np.minimum(zb, za[x]) >= percent * np.maximum(zb, za[x])))
-                some = np.flatnonzero(fit)
-                some = some[(sb[some] == sa[x]).sum(1) >= agree]
-                if len(some):
-                    common = np.where(np.isin(table[some], ka[x]), table[some], np.iinfo(np.int64).max).min(1)
-                    some = some[common == key]
+                posted = [owner[low[k]:high[k]] for k in range(wa[x], wa[x + 1]) if high[k] > low[k]]
+                if not posted:
+                    continue
+                some = np.flatnonzero(np.bincount(np.concatenate(posted), minlength=len(lb)))
+                some = some[(part[cb[some]] != part[ca[x]]) & (home[some] | (nb[some] > na[x]))
+                            & (100 * np.minimum(zb[some], za[x]) >= percent * np.maximum(zb[some], za[x]))]
+                same = (sb[some] == sa[x]).sum(1)
+                some = some[same >= agree]
+                if not exact:
                     a_rows += [la[x]] * len(some)
                     b_rows += [lb[y] for y in some]
+                    continue
+                some = some[np.argsort(-same[same >= agree], kind="stable")]
+                step = 1
+                while len(some):
+                    now, some = some[:step], some[step:]
+                    step = min(4 * step, VERIFIED_AT_ONCE)
+                    sizes = np.array([len(mb[y]) for y in now])
+                    both = _counts(ma[x], np.concatenate([mb[y] for y in now]), np.cumsum(sizes))
+                    for y in now[100 * both >= percent * (len(ma[x]) + sizes - both)]:
+                        one, other = part[ca[x]], part[cb[y]]
+                        if one != other:
+                            a_rows.append(la[x])
+                            b_rows.append(lb[y])
+                            part[part == other] = one
+                    some = some[part[cb[some]] != part[ca[x]]]
         kind = right["node"].type
         return pa.table({"a": pa.array(a_rows, kind), "b": pa.array(b_rows, kind)})
 
     node = mixed.schema["node"].dataType.simpleString()
-    return (left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j"))
+    return (left.groupBy("main", "i", "j").cogroup(right.groupBy("main", "i", "j"))
             .applyInArrow(compare, f"a {node}, b {node}"))
 
 
 def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int, percent: int = 75,
-            sketches: DataFrame | None = None, surely: int = 0) -> DataFrame:
+            sets: DataFrame | None = None, surely: int | None = None) -> DataFrame:
     """(node, comp) of the nodes that verified pairs connect.
 
     ``postings`` (key, node, keys, weight, size, sketch), keys being all keys of
@@ -129,15 +173,21 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
     keeps the similar ones of pairs (a, b).  Every candidate pair is either
     verified or connected by other verified pairs.
 
-    ``sketches`` (node, sketch), if given, are longer ones for the full round, of
-    which similar nodes agree in at least ``surely`` bytes."""
-    surely = surely if sketches is not None else agree
+    ``sets`` (node, sketch, members), if given, are for the full round: sketches of
+    which similar nodes agree in at least ``surely`` bytes, by default ``agree``, and
+    the members of the sets, sorted 64-bit numbers; nodes are then similar if 100 *
+    intersection >= ``percent`` * union, which is the meaning ``verify`` must have."""
+    surely = agree if surely is None else surely
     near = f"100 * least(za, zb) >= {percent} * greatest(za, zb)"  # sizes
     heaviest = F.min(F.struct((-F.col("weight")).alias("w"), "node", "sketch", "size"))
     hub = heaviest.alias("hub"), F.count(F.lit(1)).alias("n")
     shared = postings.groupBy("key").agg(*hub).filter("n > 1")
-    members = materialize(postings.join(shared, "key").select("key", "node", "keys", "weight", "size", "sketch",
-                                                             "hub"), "members")
+    members = materialize(postings.join(shared, "key").select("key", "node", "weight", "size", "sketch", "hub"),
+                          "members")
+    # one posting of a node stands for it
+    nodes = postings.filter(F.col("key") == F.col("keys")[0]).select("node", "keys", "size", "sketch")
+    if sets is not None:
+        nodes = nodes.drop("sketch").join(sets.select("node", "sketch", "members"), "node")
     total = members.count()
 
     def hub_pairs(rows: DataFrame) -> DataFrame:
@@ -164,11 +214,12 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
         # another round of hubs, among the strays, while that pays
         last = cost <= FULL_ROUND * total or before is not None and cost > 0.8 * before
         if last:
-            pairs = _across(mixed, sketches, surely, percent)
+            found = _across(mixed, nodes, surely, percent)
+            found = found if sets is not None else verify(found.distinct())
         else:
             hubs = strays.groupBy("key").agg(hub[0])
-            pairs = hub_pairs(strays.join(hubs, "key"))
-        found = materialize(verify(pairs.select("a", "b").distinct()).select("a", "b"), "links")
+            found = verify(hub_pairs(strays.join(hubs, "key")).select("a", "b").distinct())
+        found = materialize(found.select("a", "b"), "links")
         edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
         if last:
             return materialize(components(edges), "components")

@@ -155,7 +155,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = materialize(shingle_sets(docs, wanted, id_col, text_col), "sets")
 
     comp = connect(prefix, lambda pairs: confirm(pairs, sets, percent), matches, percent,
-                   sets.select(F.col("cls").alias("node"), F.col("wide").alias("sketch")), WIDE_MATCHES)
+                   sets.select(F.col("cls").alias("node"), F.col("wide").alias("sketch"), "members"), WIDE_MATCHES)
     comp = comp.withColumnRenamed("node", "cls")
     named = classes.select("cls", "doc_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

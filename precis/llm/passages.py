@@ -333,7 +333,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tables.drop("looked", "chains")
     posted = shared.join(sets.select("h", "sketch", "size"), "h").select(
         F.col("h").alias("node"), "weight", "size", "sketch", "keys", F.explode("keys").alias("key"))
-    comp = connect(posted, lambda pairs: _confirm(pairs, sets, percent), SKETCH_MATCHES, percent)
+    comp = connect(posted, lambda pairs: _confirm(pairs, sets, percent), SKETCH_MATCHES, percent,
+                   sets.select(F.col("h").alias("node"), "sketch", "members"))
     clustered = lines.select("h", *PLACE, "tag", "n").join(comp.withColumnRenamed("node", "h"), "h", "left") \
         .withColumn("cluster", F.coalesce("comp", "h"))
     stop = F.col("start") + F.col("n")
