@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from precis.llm.common import materialize
 
-#: comparisons per posting up to which the full round follows at once
-FULL_ROUND = 8
+#: comparisons per posting up to which the full round follows at once: about as
+#: many as take the time in which another round of hubs would send the posting
+FULL_ROUND = 1024
 #: a block of the full round has about so many rows a side and shingles in them,
 #: and verifies so many candidates of a stray together
 BLOCK_ROWS = 2048
@@ -38,15 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
                       .distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (both.join(low, "a").filter("b > a")
-                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        # one row for each of ``now``: no need to drop repeated ones before the next step
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        now = materialize(small.select("a", F.col("m").alias("b"))
-                          .unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-                          .filter("a <> b").distinct(), "edges")
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = materialize(large.join(low, "a").select(F.inline(ends)).filter("a <> b").distinct(), "edges")
         before, seen = seen, mark(now)
         if before == seen:
             break
