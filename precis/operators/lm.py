@@ -31,24 +31,34 @@ def line_tokens(text: Column) -> Column:
 
 def bigrams(t: Column) -> Column:
     """(prev, token) pairs of a token array, built in one linear pass (the
-    array itself is not copied into every exploded row)."""
+    array itself is not copied into every exploded row).  ``t`` should be a
+    column: an expression would be evaluated at each of its places here."""
     n = F.size(t)
     return F.when(n > 1, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
                                     lambda a, b: F.struct(a.alias("prev"), b.alias("token"))))\
         .otherwise(F.array().cast("array<struct<prev:string,token:string>>"))
 
 
+def _pairs(lines: DataFrame, *first: Column) -> DataFrame:
+    """A row (prev, token) for each bigram of the token arrays ``t``, the other
+    columns repeated.  Both are made non-null, so that no join on them adds a
+    null filter below the counting, which would keep its exchange from being
+    shared."""
+    pairs = lines.select(*[c for c in lines.columns if c != "t"], F.inline(F.concat(*first, bigrams(F.col("t")))))
+    return pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("prev", "token")})
+
+
 def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, Column]:
     """-> (unigrams(token, cu), bigrams(prev, token, cb), struct(n, v)): counts,
     and as a scalar the number of tokens and of distinct tokens.
 
     The corpus is tokenised into bigram counts only; a line's start marker is
-    counted as a bigram without predecessor, so that a token's count is the sum
+    counted as a bigram after an empty token, so that a token's count is the sum
     of its bigram counts for the marker too."""
     lines = corpus.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")) \
         .filter(F.length("line") > 0)
-    first = F.array(F.struct(F.lit(None).cast("string").alias("prev"), F.lit(START).alias("token")))
-    bi = lines.select(F.inline(F.concat(first, bigrams(line_tokens(F.col("line")))))) \
+    first = F.array(F.struct(F.lit("").alias("prev"), F.lit(START).alias("token")))
+    bi = _pairs(lines.select(line_tokens(F.col("line")).alias("t")), first) \
         .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb"))
     uni = bi.groupBy("token").agg(F.sum("cb").alias("cu"))
     # conditions instead of a filter, which would be pushed below the counting
@@ -67,7 +77,7 @@ def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "pr
         return runs.select("run_id", F.lit(0.0).alias("slor"))
     uni, bi, totals = train_bigram_lm(corpus, corpus_col)
     lines = runs.select("run_id", F.posexplode(F.split(F.col(pred_col), "\n", -1)).alias("line_no", "line"))
-    used = lines.select("run_id", "line_no", F.inline(bigrams(line_tokens(F.col("line"))))) \
+    used = _pairs(lines.select("run_id", "line_no", line_tokens(F.col("line")).alias("t"))) \
         .groupBy("run_id", "line_no", "prev", "token").agg(F.count(F.lit(1)).alias("times"))
     # the distinct bigrams, each with its counts and those of its two tokens
     table = used.select("prev", "token").distinct().join(bi, ["prev", "token"], "left") \

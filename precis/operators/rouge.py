@@ -155,46 +155,61 @@ def rouge_score_arrays(rows: DataFrame, ns: tuple[int, ...] = (1, 2), references
 
 # ---------------------------------------------------------------- ROUGE-Lsum
 
-def _lcs_indices(ref: list[str], can: list[str]) -> list[int]:
+#: rows of an LCS table held at a time are at most this many cells, or about
+#: 2 * sqrt(n) rows where that is more
+LCS_CELLS = 1 << 20
+
+
+def _lcs_indices(ref: list[str], can: list[str], cells: int = LCS_CELLS) -> list[int]:
     """Indices into ``ref`` of one LCS with ``can`` (row-vectorised DP,
-    standard back-track preferring to move in ``ref`` on ties).  Holds about
-    2 * sqrt(n) rows of the table at a time."""
-    n, m = len(ref), len(can)
-    if n == 0 or m == 0:
+    standard back-track preferring to move in ``ref`` on ties).
+
+    A reference token that the candidate lacks repeats the row above it, and the
+    way back passes it by, so such tokens take no part.  Of a table larger than
+    ``cells`` every ``step``-th row is kept and the rows between two of them are
+    found again when the way back reaches them."""
+    held = set(can)
+    places = [i for i, t in enumerate(ref) if t in held]
+    n, m = len(places), len(can)
+    if n == 0:
         return []
-    vocab = {}
-    r_ids = np.array([vocab.setdefault(t, len(vocab)) for t in ref])
+    vocab: dict[str, int] = {}
+    r_ids = [vocab.setdefault(ref[i], len(vocab)) for i in places]
     c_ids = np.array([vocab.get(t, -1) for t in can])
+    same = {x: c_ids == x for x in set(r_ids)} if len(vocab) * m <= cells else {}
+
     def below(prev: np.ndarray, i: int) -> np.ndarray:
+        hit = same[r_ids[i - 1]] if same else c_ids == r_ids[i - 1]
         row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum.accumulate(np.where(c_ids == r_ids[i - 1], prev[:-1] + 1, prev[1:]))
+        np.maximum.accumulate(np.where(hit, prev[:-1] + 1, prev[1:]), out=row[1:])
         return row
 
-    # every ``step``-th row of the table is kept; the rows between two of them
-    # are found again when the way back reaches them
-    step = max(1, int(np.sqrt(n)))
+    step = max(1, int(np.sqrt(n)), cells // (m + 1))
     kept = [np.zeros(m + 1, np.int32)]
-    row = kept[0]
+    rows = kept[:]
     for i in range(1, n + 1):
-        row = below(row, i)
-        if i % step == 0:
-            kept.append(row)
+        rows.append(below(rows[-1], i))
+        if i % step == 0 and i < n:
+            kept.append(rows[-1])
+            rows = [rows[-1]]
     out = []
     i, j = n, m
     while i > 0 and j > 0:
         top = (i - 1) // step * step
-        rows = [kept[top // step]]
-        for x in range(top + 1, i + 1):
-            rows.append(below(rows[-1], x))
+        if rows is None:
+            rows = [kept[top // step]]
+            for x in range(top + 1, i + 1):
+                rows.append(below(rows[-1], x))
         while i > top and j > 0:
-            if ref[i - 1] == can[j - 1]:
-                out.append(i - 1)
+            if r_ids[i - 1] == c_ids[j - 1]:
+                out.append(places[i - 1])
                 i -= 1
                 j -= 1
             elif rows[i - top][j - 1] > rows[i - 1 - top][j]:
                 j -= 1
             else:
                 i -= 1
+        rows = None
     out.reverse()
     return out
 
