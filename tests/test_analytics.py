@@ -145,3 +145,10 @@ def test_building_a_report_starts_no_job(spark, sf):
         finally:
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         assert len(jobs) <= 1, name  # the schema of the table
+
+
+def test_distinct_predictions_query_covers_all_runs(spark, sf):
+    from precis.plans import analysis_queries
+    rows = analysis_queries.q_distinct_predictions(spark, sf).collect()
+    assert {r["num_examples"] for r in rows} == {1, 2, 4, 8, 14}
+    assert len(rows) == views.runs(spark, sf).selectExpr("cast(title as long) % 5 k", "prediction").distinct().count()
