@@ -205,7 +205,7 @@ def q_embedding_match_rescaled(spark, sf):
     tv = table(spark, sf, "embeddings").select(F.col("label").alias("text_id"), "vec_id", "embedding")
     pairs = tv.select("text_id").distinct().select(
         F.col("text_id").alias("pair_id"), F.col("text_id").alias("cand_text"), (F.col("text_id") + 1).alias("ref_text"))
-    return rounded(embed.embedding_match(tv, tv, pairs, baseline=_LABEL_BASELINE, block=32))
+    return rounded(embed.embedding_match(tv, tv, pairs, baseline=_LABEL_BASELINE))
 
 
 def encoder(spark, sf):

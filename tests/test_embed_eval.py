@@ -183,3 +183,17 @@ def test_unknown_family_and_metric_are_errors(spark):
         EV.evaluate(runs, ["bleu"])
     with pytest.raises(Exception, match="unknown modifier family: nope"):
         EV.evaluate_families(runs).collect()
+
+
+def test_a_text_travels_once_for_each_cell_not_for_each_pair(spark):
+    rng = np.random.default_rng(3)
+    texts = {t: rng.normal(size=(20, 4)).round(1) for t in range(30)}
+    rows = [(t, i, [float(x) for x in v]) for t, m in texts.items() for i, v in enumerate(m)]
+    vecs = spark.createDataFrame(rows, "text_id int, vec_id int, embedding array<double>")
+    pairs = spark.createDataFrame([(30 * c + r, c, r) for c in texts for r in texts], "pair_id int, cand_text int, ref_text int")
+    blocks = embed.vector_blocks(vecs, block=200)
+    cells = embed._cells(pairs, blocks, blocks, 200).cache()
+    assert cells.count() == 900
+    assert all(cells.select("bucket", "part", f"{s}_text").distinct().count() <= 30 * 5 for s in ("cand", "ref"))
+    for r in embed.embedding_match(vecs, vecs, pairs, block=200).collect():
+        assert np.allclose([r["p"], r["r"], r["f1"]], greedy(texts[r["pair_id"] // 30], texts[r["pair_id"] % 30]))
