@@ -152,3 +152,13 @@ def test_distinct_predictions_query_covers_all_runs(spark, sf):
     rows = analysis_queries.q_distinct_predictions(spark, sf).collect()
     assert {r["num_examples"] for r in rows} == {1, 2, 4, 8, 14}
     assert len(rows) == views.runs(spark, sf).selectExpr("cast(title as long) % 5 k", "prediction").distinct().count()
+
+
+def test_doc_stats_tokenises_a_text_once(spark):
+    from precis.functions.tokens import SENT_MARK
+    texts = ["a b. c d! e_1 f", f"a{SENT_MARK}b c. a", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = A.doc_stats(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(t") == 1  # the text with a mark only
+    got = {r["doc_id"]: (r["word_count"], r["unique_words"], r["words_in_sents"]) for r in out.collect()}
+    assert got[0] == (8, 8, [3, 3, 2]) and got[1] == (6, 5, [1, 3, 1]) and got[2] == (0, 0, [])
