@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from precis.functions.udf import LazyPandasUDF
+from precis.functions.udf import LazyArrowUDF
 
 # Python's str.isspace() set, spelled out so Java/RE2 match it exactly.
 WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -37,11 +38,23 @@ NOTE_PREFIXES = ["note:", "notes:", "overall summary:", "summary:", "overall:"]
 LINE_TRIM = " -.*:"
 
 
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+#: texts that a worker holds as Python strings at once
+NFKD_TEXTS = 64
 
 
-nfkd = LazyPandasUDF(_nfkd, "string")
+def _nfkd(texts: pa.Array) -> pa.Array:
+    """NFKD of an Arrow array, a few texts at a time; pieces of ASCII, which NFKD
+    leaves alone, are handed on as they are."""
+    out = [texts.slice(0, 0)]
+    for k in range(0, len(texts), NFKD_TEXTS):
+        part = texts.slice(k, NFKD_TEXTS)
+        if not pc.all(pc.string_is_ascii(part)).as_py():
+            part = pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in part.to_pylist()], texts.type)
+        out.append(part)
+    return pa.concat_arrays(out)
+
+
+nfkd = LazyArrowUDF(_nfkd, "string")
 
 
 def clean_transcript(text: Column, normalize: bool = True) -> Column:

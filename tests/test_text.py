@@ -69,3 +69,14 @@ def test_rouge_preprocess(spark):
 
 def test_induction_cleanup(spark):
     assert one(spark, T.induction_cleanup(F.col("s")), s="assistant: do X\n----------\nY") == "do XY"
+
+
+def test_nfkd_hands_on_ascii_pieces_and_nulls():
+    import unicodedata
+
+    import pyarrow as pa
+
+    from precis.functions import text as T
+    texts = ["plain"] * 100 + ["ﬁ é", None, "Å"] + ["x"] * 70
+    want = [None if t is None else unicodedata.normalize("NFKD", t) for t in texts]
+    assert T._nfkd(pa.array(texts)).to_pylist() == want and len(T._nfkd(pa.array([], pa.string()))) == 0
