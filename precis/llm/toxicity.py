@@ -1,8 +1,8 @@
 """Toxicity by a misspelling-tolerant lexicon (operator 6).
 
 The lexicon is learnt from labelled rows.  Levenshtein automata intersected with
-its trie give one deterministic automaton that finds exact and misspelt terms;
-the words around a hit and quotation marks separate quoting from abuse.
+its trie give deterministic automata that find exact and misspelt terms; the words
+around a hit and quotation marks separate quoting from abuse.
 """
 
 from __future__ import annotations
@@ -18,13 +18,9 @@ from precis.llm import textvec
 from precis.llm.common import id_bucket, load, materialize
 from precis.plans.registry import register
 
-#: labelled rows per class that the model is fitted on, at most (by id hash)
-SAMPLE_PER_CLASS = 20_000
-#: terms count up to this many states of the automaton with edits, the rest
-#: (least sure ones) as exact words only; a term is in LEAST toxic documents
+#: states of one automaton, about; a term is in LEAST toxic documents
 STATES = 1 << 15
 LEAST = 3
-CONTEXT_WORDS = 200
 SPAN = 6
 #: characters often written for a letter, and quotation marks
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -45,11 +41,13 @@ class Automaton:
     number of allowed edits.  Symbols are the letters of the lexicon, each with
     its capital and look-alikes, and one symbol for every other character.  Only
     the first ``fuzzy`` terms, if given, may have edits; ``full`` tells that more
-    than ``most`` states were needed, and nothing else is built then."""
+    than ``most`` states were needed, and nothing else is built then.
+    ``letters``, if given, are those of a lexicon that the terms are a part of."""
 
-    def __init__(self, terms: list[str], fuzzy: int | None = None, most: int | None = None):
+    def __init__(self, terms: list[str], fuzzy: int | None = None, most: int | None = None,
+                 letters: list[str] | None = None):
         self.terms, self.full = terms, False
-        self.letters = sorted(set("".join(terms)))
+        self.letters = sorted(set("".join(terms))) if letters is None else letters
         edits_of = [allowed_edits(t) if fuzzy is None or k < fuzzy else 0 for k, t in enumerate(terms)]
         self.longest = max((len(t) + k for t, k in zip(terms, edits_of, strict=True)), default=0)
         children: list[dict[str, int]] = []
@@ -156,6 +154,35 @@ class Automaton:
         return found[order], np.concatenate(finals)[order] if finals else state
 
 
+class Lexicon:
+    """Automata of all ``terms``, each term with its edits: a lexicon that takes
+    more than ``most`` states is halved until each part does not."""
+
+    def __init__(self, terms: list[str], most: int = STATES):
+        self.parts: list[Automaton] = []
+        letters, todo = sorted(set("".join(terms))), [terms]
+        while todo:
+            some = todo.pop()
+            part = Automaton(some, None, most if len(some) > 1 else None, letters)
+            if part.full:
+                todo += [some[len(some) // 2:], some[:len(some) // 2]]
+            else:
+                self.parts.append(part)
+
+    def symbols(self) -> np.ndarray:
+        """Code point -> symbol, the same in all parts."""
+        return self.parts[0].symbols()
+
+    def match(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the matching words and their least edits."""
+        least = np.full(len(starts), 99, np.int32)
+        for part in self.parts:
+            which, state = part.match(symbols, starts, ends)
+            least[which] = np.minimum(least[which], part.edits[state])
+        found = np.flatnonzero(least < 99)
+        return found, least[found]
+
+
 class _Chars:
     """Which code points are letters or digits."""
 
@@ -180,17 +207,18 @@ def _decoded(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np
 
 @dataclass
 class Model:
-    """Lexicon, context weights and logistic weights; bounded by its settings."""
+    """Lexicon, context weights and logistic weights: no more than the words of
+    labelled texts that pass the tests."""
 
     terms: list[str] = field(default_factory=list)
     context: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [-2.0])
-    _machine: Automaton | None = None
+    _machine: Lexicon | None = None
     _symbols: np.ndarray | None = None
 
     def __getstate__(self):
         if self._machine is None and self.terms:
-            self._machine = Automaton.within(self.terms)
+            self._machine = Lexicon(self.terms)
         return {"terms": self.terms, "context": self.context, "weights": self.weights, "_machine": self._machine}
 
     def __setstate__(self, state):
@@ -202,7 +230,7 @@ class Model:
         Words are runs of letters and digits, as in learning; what stands between
         blanks is tried as a whole too, for look-alikes such as @."""
         if self._machine is None:
-            self._machine = Automaton.within(self.terms)
+            self._machine = Lexicon(self.terms)
         if self._symbols is None:
             self._symbols = self._machine.symbols()
         alnum, quotes = _Chars.get(), set(QUOTES)
@@ -213,7 +241,7 @@ class Model:
                 starts, ends, _ = textvec.words(np.minimum(points, 255).astype(np.uint8), chars)
                 s, e, at = textvec.words(np.where(alnum[points], 0x61, 0x20).astype(np.uint8), chars)
                 home = np.searchsorted(starts, s, "right") - 1  # of a run: what stands between blanks
-                for a, b, state in self._spans(self._symbols[points], s, e, home):
+                for a, b, edits in self._spans(self._symbols[points], s, e, home):
                     i = np.searchsorted(at, a, "right") - 1
                     around = [text[s[k]:e[k]].lower() for k in (*range(max(at[i], a - SPAN), a),
                                                                 *range(b + 1, min(at[i + 1], b + SPAN + 1)))]
@@ -223,26 +251,26 @@ class Model:
                     quoted = any(not quotes.isdisjoint(rim) and not (inside and rim in APOSTROPHES)
                                  for rim, inside in zip(rims, inner, strict=True))
                     score = sum(self.context.get(x, 0.0) for x in around)
-                    out[i].append((self._machine.edits[state] == 0, quoted, around, score))
+                    out[i].append((edits == 0, quoted, around, score))
             yield first, end, out
 
     def _spans(self, symbols: np.ndarray, s: np.ndarray, e: np.ndarray, home: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first run, last run, state) of all hits.  Several runs with no blank
+        """(first run, last run, edits) of all hits.  Several runs with no blank
         between them are a hit together if none of them is one as near."""
         machine = self._machine
         runs = dict(zip(*(x.tolist() for x in machine.match(symbols, s, e)), strict=True))
         first = np.flatnonzero(np.diff(home, prepend=-1))
         last = np.append(first[1:], len(home)) - 1
         several = np.flatnonzero(last > first)
-        which, states = machine.match(symbols, s[first[several]], e[last[several]])
+        which, near = machine.match(symbols, s[first[several]], e[last[several]])
         out = []
-        for k, state in zip(several[which].tolist(), states.tolist(), strict=True):
+        for k, edits in zip(several[which].tolist(), near.tolist(), strict=True):
             inside = [r for r in range(first[k], last[k] + 1) if r in runs]
-            if all(machine.edits[runs[r]] > machine.edits[state] for r in inside):
+            if all(runs[r] > edits for r in inside):
                 for r in inside:
                     del runs[r]
-                out.append((int(first[k]), int(last[k]), state))
-        return sorted([*out, *((r, r, state) for r, state in runs.items())])
+                out.append((int(first[k]), int(last[k]), edits))
+        return sorted([*out, *((r, r, edits) for r, edits in runs.items())])
 
     def features(self, hits: list) -> tuple[int, int, int, int]:
         """(plain exact, plain misspelt, quoted) hits up to 3, 2, 2, and the sign
@@ -299,23 +327,27 @@ def _salient(counts: DataFrame, toxic: int, clean: int, least: int, lift: float,
             .filter((F.col("ratio") >= lift) & (F.col("z") >= sure)).orderBy(F.desc("z"), "word").collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> Model:
     """Lexicon, context and weights from labelled rows.
 
     ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1; a document that
-    any row marks is toxic).  At most ``per_class`` documents of each class, the
-    first by id hash, are used; their ids are broadcast (that many at most).  Each
-    class then counts by its share of all labelled documents, so the bound does
-    not move the odds."""
+    any row marks is toxic).  All of them are used; a caller who asks for a sample
+    gets ``per_class`` documents of each class, the first by id hash.  Each class
+    then counts by its share of all labelled documents, so that a sample does not
+    move the odds."""
     marked = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    order = F.xxhash64("doc_id")
-    chosen = (marked.filter("toxic = 1").orderBy(order, "doc_id").limit(per_class)
-              .unionByName(marked.filter("toxic <> 1").orderBy(order, "doc_id").limit(per_class)))
-    ids = materialize(chosen, "labelled")
+    if per_class is not None:
+        order = F.xxhash64("doc_id")
+        marked = materialize(marked, "marked")
+        chosen = (marked.filter("toxic = 1").orderBy(order, "doc_id").limit(per_class)
+                  .unionByName(marked.filter("toxic <> 1").orderBy(order, "doc_id").limit(per_class)))
+        ids = materialize(chosen, "labelled")
+    else:
+        ids = marked = materialize(marked, "labelled")
     labelled, taken = ({r["c"]: r["n"] for r in t.groupBy((F.col("toxic") == 1).alias("c")).agg(F.count(F.lit(1)).alias("n"))
                         .collect()} for t in (marked, ids))
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = materialize(docs.select("doc_id", "text").join(ids, "doc_id")
                          .select("text", (F.col("toxic") == 1).cast("int").alias("toxic")), "sample")
     toxic, total = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = toxic or 0, total - (toxic or 0)
@@ -359,7 +391,7 @@ def _context(sample: DataFrame, model: Model) -> dict[str, float]:
     odds = F.log((F.col("t") + 1) / (total[0] + 1)) - F.log((F.col("c") + 1) / (total[1] + 1))
     spread = F.sqrt(1 / (F.col("t") + 1) + 1 / (F.col("c") + 1))
     top = (counts.withColumns({"odds": odds, "z": F.abs(odds / spread)}).filter("z > 3")
-           .orderBy(F.desc("z"), "word").limit(CONTEXT_WORDS).collect())
+           .orderBy(F.desc("z"), "word").collect())
     return {r["word"]: r["odds"] for r in top}
 
 

@@ -404,3 +404,15 @@ def test_pipeline(spark, sf):
         if name != "mix":
             assert 0.5 * before < docs.count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_no_term_loses_its_edits_and_no_row_or_context_word_is_left_out():
+    import pyarrow as pa
+    terms = ["worthless", "scumbag", "imbecile", "numbskull"]
+    parts = toxicity.Lexicon(terms, 150)
+    assert len(parts.parts) > 1 and sorted(t for p in parts.parts for t in p.terms) == sorted(terms)
+    model = toxicity.Model(terms=terms)
+    model._machine = parts
+    found = [h for _, _, part in model.hits(pa.array(["wortless", "scumbg", "imbecille", "numskull", "imbecile", "friend"])) for h in part]
+    assert [[h[0] for h in f] for f in found] == [[False], [False], [False], [False], [True], []]
+    assert not hasattr(toxicity, "SAMPLE_PER_CLASS") and not hasattr(toxicity, "CONTEXT_WORDS")
