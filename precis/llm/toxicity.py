@@ -1,12 +1,15 @@
 """Toxicity by a misspelling-tolerant lexicon (operator 6).
 
-The lexicon is learnt from labelled rows.  Levenshtein automata intersected with
-its trie give deterministic automata that find exact and misspelt terms; the words
-around a hit and quotation marks separate quoting from abuse.
+The lexicon is learnt from labelled rows.  Levenshtein automata of its terms find
+exact and misspelt ones; a word runs through those of the terms that it shares its
+first letters with, all but a few.  The words around a hit and quotation marks
+separate quoting from abuse.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +29,14 @@ SPAN = 6
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 APOSTROPHES = "'’"
 QUOTES = "\"'`‘’‚“”„«»‹›"
+#: first letters of a word and a term that are compared by hashes, and how many
+#: hashes a part of a lexicon has, about
+HEAD = 10
+KEYS = 1 << 20
+#: distinct words whose edits a task keeps
+REMEMBERED = 500_000
+PLACE = np.array([pow(textvec.BASE, k, 1 << 64) for k in range(HEAD)], np.uint64)
+BACK = np.uint64(pow(textvec.BASE, -1, 1 << 64))
 WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -129,12 +140,7 @@ class Automaton:
 
     def symbols(self) -> np.ndarray:
         """Code point -> symbol."""
-        table = np.zeros(0x110000, np.int32)
-        for k, char in enumerate(self.letters, 1):
-            for same in {char, char.upper(), *(a for a, b in LOOKALIKES.items() if b == char)}:
-                if len(same) == 1:
-                    table[ord(same)] = k
-        return table
+        return _symbols(self.letters)
 
     def match(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the matching words and their final states."""
@@ -154,31 +160,168 @@ class Automaton:
         return found[order], np.concatenate(finals)[order] if finals else state
 
 
+def _symbols(letters: list[str]) -> np.ndarray:
+    """Code point -> symbol: 1 and on for the letters, their capitals and look-alikes."""
+    table = np.zeros(0x110000, np.int32)
+    for k, char in enumerate(letters, 1):
+        for same in {char, char.upper(), *(a for a, b in LOOKALIKES.items() if b == char)}:
+            if len(same) == 1:
+                table[ord(same)] = k
+    return table
+
+
+class Near:
+    """Terms with the same number of allowed ``edits``, for many words at once.
+
+    A word within so many edits of a term and the term are equal once up to that
+    many letters are left out of the first HEAD letters of each.  Hashes of what is
+    left lead a word to the terms whose Levenshtein automata it runs through; no
+    automaton is built, as its state is the least edits on each diagonal."""
+
+    def __init__(self, terms: list[str], edits: int, number: dict[str, int]):
+        self.terms, self.edits = terms, edits
+        self.sizes = np.array([len(t) for t in terms])
+        self.values = textvec.mix(np.arange(1, len(number) + 2, dtype=np.uint64))
+        # letters of the terms, with room on both sides for the outer diagonals
+        self.rows = np.full((len(terms), int(self.sizes.max()) + 2 * edits + 1), -1, np.int32)
+        for row, term in zip(self.rows, terms, strict=True):
+            row[edits:edits + len(term)] = [number[c] for c in term]
+        keys, owners = [], []
+        heads = np.minimum(self.sizes, HEAD)
+        for size in np.unique(heads):
+            which = np.flatnonzero(heads == size)
+            for key in self._left(self.rows[which, edits:edits + size]):
+                keys.append(key)
+                owners.append(which)
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        self.owners = owners[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        bits = min(24, max(16, (64 * len(self.keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.known = np.zeros(1 << bits, bool)
+        self.known[self.keys >> self.shift] = True
+
+    def _left(self, heads: np.ndarray) -> Iterator[np.ndarray]:
+        """Hashes of the rows of ``heads`` with none up to ``edits`` letters left out."""
+        size = heads.shape[1]
+        sums = np.zeros((size + 1, len(heads)), np.uint64)
+        np.cumsum(self.values[heads.T] * PLACE[:size, None], axis=0, out=sums[1:])
+        yield sums[size]
+        if self.edits:
+            once = sums * BACK  # as the letters after one gap count
+            for i in range(size):
+                yield sums[i] + (once[size] - once[i + 1])
+        if self.edits > 1:
+            twice = once * BACK
+            before, after = sums[:-1] - once[1:], once[:-1] + (twice[size] - twice[1:])
+            for i in range(size):
+                for k in range(i + 1, size):
+                    yield before[i] + after[k]
+
+    def _met(self, heads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, keys) of rows of ``heads`` that leave a key of a term."""
+        for left in self._left(heads):
+            rows = np.flatnonzero(self.known[left >> self.shift])
+            if len(rows):
+                at = np.minimum(np.searchsorted(self.keys, left[rows]), len(self.keys) - 1)
+                same = self.keys[at] == left[rows]
+                yield rows[same], at[same]
+
+    def near(self, heads: np.ndarray) -> np.ndarray:
+        """Rows of ``heads``, the first letters of words, that may be near a term."""
+        hit = np.zeros(len(heads), bool)
+        for rows, _ in self._met(heads):
+            hit[rows] = True
+        return np.flatnonzero(hit)
+
+    def least(self, words: np.ndarray) -> np.ndarray:
+        """Least edits to a term for each row of ``words``, all of one length; 99
+        where none is allowed so many."""
+        words = np.ascontiguousarray(words)
+        _, first, back = np.unique(words.view(np.dtype((np.void, words.dtype.itemsize * words.shape[1]))).ravel(),
+                                   return_index=True, return_inverse=True)
+        words, out = words[first], np.full(len(first), 99, np.int32)
+        fits = np.abs(self.sizes - words.shape[1]) <= self.edits
+        step = max(1, (1 << 24) // len(self.terms))
+        for begin in range(0, len(words), step):
+            some = words[begin:begin + step]
+            meet = np.zeros((len(some), len(self.terms)), bool)
+            for rows, keys in self._met(some[:, :HEAD]):
+                count = self.first[keys + 1] - self.first[keys]
+                skip = np.repeat(self.first[keys] - np.cumsum(count) + count, count)
+                meet[np.repeat(rows, count), self.owners[skip + np.arange(len(skip))]] = True
+            word, term = np.nonzero(meet & fits)
+            for at in range(0, len(word), 1 << 18):
+                w, t = word[at:at + (1 << 18)], term[at:at + (1 << 18)]
+                kept, edits = self._run(some[w], t)
+                np.minimum.at(out, begin + w[kept], edits)
+        return out[back.ravel()]
+
+    def _run(self, words: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs each word through the automaton of its term: the accepted pairs
+        and their edits.  ``state[d]`` is the least edits after the letters read, if
+        as many of the term less ``edits`` plus d are used."""
+        pairs, edits, size = np.arange(len(terms)), self.edits, words.shape[1]
+        state = np.full((2 * edits + 1, len(terms)), 99, np.int32)
+        state[edits:] = np.arange(edits + 1)[:, None]
+        for k in range(size):
+            letter, new = words[pairs, k], np.full_like(state, 99)
+            for d in range(2 * edits + 1):
+                if k + 1 + d < edits:
+                    continue  # more letters left out than read
+                # column of the letter in a row: its place plus ``edits``
+                new[d] = state[d] + (self.rows[terms[pairs], np.minimum(k + d, self.rows.shape[1] - 1)] != letter)
+                if d < 2 * edits:
+                    np.minimum(new[d], state[d + 1] + 1, out=new[d])  # a letter too many
+                if d:
+                    np.minimum(new[d], new[d - 1] + 1, out=new[d])  # a letter left out
+            alive = new.min(axis=0) <= edits
+            pairs, state = (pairs[alive], new[:, alive]) if not alive.all() else (pairs, new)
+        final = state[self.sizes[terms[pairs]] - size + edits, np.arange(len(pairs))]
+        return pairs[final <= edits], final[final <= edits]
+
+
 class Lexicon:
-    """Automata of all ``terms``, each term with its edits: a lexicon that takes
-    more than ``most`` states is halved until each part does not."""
-
-    def __init__(self, terms: list[str], most: int = STATES):
-        self.parts: list[Automaton] = []
-        letters, todo = sorted(set("".join(terms))), [terms]
-        while todo:
-            some = todo.pop()
-            part = Automaton(some, None, most if len(some) > 1 else None, letters)
-            if part.full:
-                todo += [some[len(some) // 2:], some[:len(some) // 2]]
-            else:
-                self.parts.append(part)
+    """All ``terms``, each with its edits, in parts of the same number of edits
+    and at most about ``most`` keys."""
+
+    def __init__(self, terms: list[str], most: int = KEYS):
+        self.letters = sorted(set("".join(terms)))
+        number = {c: k for k, c in enumerate(self.letters, 1)}
+        self.parts: list[Near] = []
+        for edits in (0, 1, 2):
+            some, keys = [], 0
+            for term in (t for t in terms if allowed_edits(t) == edits):
+                own = sum(math.comb(min(len(term), HEAD), k) for k in range(edits + 1))
+                if some and keys + own > most:
+                    self.parts.append(Near(some, edits, number))
+                    some, keys = [], 0
+                some.append(term)
+                keys += own
+            if some:
+                self.parts.append(Near(some, edits, number))
 
     def symbols(self) -> np.ndarray:
         """Code point -> symbol, the same in all parts."""
-        return self.parts[0].symbols()
+        return _symbols(self.letters)
 
     def match(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the matching words and their least edits."""
-        least = np.full(len(starts), 99, np.int32)
-        for part in self.parts:
-            which, state = part.match(symbols, starts, ends)
-            least[which] = np.minimum(least[which], part.edits[state])
+        least, sizes = np.full(len(starts), 99, np.int32), ends - starts
+        by_size = np.argsort(sizes, kind="stable")
+        for size in np.unique(sizes).tolist():
+            parts = [p for p in self.parts if size and np.abs(p.sizes - size).min() <= p.edits]
+            if not parts:
+                continue
+            which = by_size[slice(*np.searchsorted(sizes, [size, size + 1], sorter=by_size))]
+            heads = symbols[starts[which][:, None] + np.arange(min(size, HEAD))]
+            for part in parts:
+                some = part.near(heads)
+                if len(some):
+                    words = symbols[starts[which[some]][:, None] + np.arange(size)]
+                    least[which[some]] = np.minimum(least[which[some]], part.least(words))
         found = np.flatnonzero(least < 99)
         return found, least[found]
 
@@ -205,6 +348,17 @@ def _decoded(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np
     return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), chars
 
 
+def _distinct(points: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of code points that follow each other, and the place of
+    each word in them."""
+    wide = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    ends = np.append(0, np.cumsum(wide))[np.append(0, np.cumsum(sizes))]
+    data = points.tobytes().decode("utf-32-le").encode("utf-8")
+    coded = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]) \
+        .dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
 @dataclass
 class Model:
     """Lexicon, context weights and logistic weights: no more than the words of
@@ -215,17 +369,18 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-2.0])
     _machine: Lexicon | None = None
     _symbols: np.ndarray | None = None
+    _seen: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        if self._machine is None and self.terms:
-            self._machine = Lexicon(self.terms)
-        return {"terms": self.terms, "context": self.context, "weights": self.weights, "_machine": self._machine}
+        # a task derives the rest from the terms, which are far smaller
+        return {"terms": self.terms, "context": self.context, "weights": self.weights}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, _symbols=None)
+        self.__dict__.update(state, _machine=None, _symbols=None, _seen={})
 
-    def hits(self, texts: pa.Array):
-        """Per text a list of (exact, quoted, context words, context score).
+    def hits(self, texts: pa.Array, words: bool = False):
+        """Per text a list of (exact, quoted, context words, context score); the
+        words are listed only if ``words`` asks for them.
 
         Words are runs of letters and digits, as in learning; what stands between
         blanks is tried as a whole too, for look-alikes such as @."""
@@ -234,35 +389,75 @@ class Model:
         if self._symbols is None:
             self._symbols = self._machine.symbols()
         alnum, quotes = _Chars.get(), set(QUOTES)
+        marks = [ord(c) for c in QUOTES]
         for first, end, data, offsets in textvec.slices(texts):
             out: list[list] = [[] for _ in range(end - first)]
             text, points, chars = _decoded(data, offsets)
             if len(points) and self.terms:
                 starts, ends, _ = textvec.words(np.minimum(points, 255).astype(np.uint8), chars)
-                s, e, at = textvec.words(np.where(alnum[points], 0x61, 0x20).astype(np.uint8), chars)
+                letter = alnum[points]
+                s, e, at = textvec.words(np.where(letter, 0x61, 0x20).astype(np.uint8), chars)
                 home = np.searchsorted(starts, s, "right") - 1  # of a run: what stands between blanks
-                for a, b, edits in self._spans(self._symbols[points], s, e, home):
+                kinds, kind = _distinct(points[letter], e - s)
+                spans = self._spans(self._symbols[points], s, e, home, kinds, kind)
+                if spans:
+                    a, b, edits = np.array(spans, np.int64).T
                     i = np.searchsorted(at, a, "right") - 1
-                    around = [text[s[k]:e[k]].lower() for k in (*range(max(at[i], a - SPAN), a),
-                                                                *range(b + 1, min(at[i + 1], b + SPAN + 1)))]
-                    inner = a > 0 and home[a - 1] == home[a], b + 1 < len(s) and home[b + 1] == home[b]
-                    rims = (text[e[a - 1] if inner[0] else starts[home[a]]:s[a]],
-                            text[e[b]:s[b + 1] if inner[1] else ends[home[b]]])
-                    quoted = any(not quotes.isdisjoint(rim) and not (inside and rim in APOSTROPHES)
-                                 for rim, inside in zip(rims, inner, strict=True))
-                    score = sum(self.context.get(x, 0.0) for x in around)
-                    out[i].append((edits == 0, quoted, around, score))
+                    steps = np.arange(SPAN)
+                    near = np.concatenate([a[:, None] - SPAN + steps, b[:, None] + 1 + steps], axis=1)
+                    inside = (near >= at[i][:, None]) & (near < at[i + 1][:, None])
+                    near = np.where(inside, near, 0)
+                    used = np.unique(kind[near[inside]])
+                    lower = dict(zip(used.tolist(), (w.lower() for w in kinds.take(pa.array(used)).to_pylist()), strict=True))
+                    weight = np.zeros(len(kinds))
+                    weight[used] = [self.context.get(w, 0.0) for w in lower.values()]
+                    scores = [sum(row) for row in np.where(inside, weight[kind[near]], 0.0).tolist()]
+                    # what stands on both sides, up to the next run or blank
+                    left, right = np.maximum(a - 1, 0), np.minimum(b + 1, len(s) - 1)
+                    inner = (a > 0) & (home[left] == home[a]), (b + 1 < len(s)) & (home[right] == home[b])
+                    rims = ((np.where(inner[0], e[left], starts[home[a]]), s[a]),
+                            (e[b], np.where(inner[1], s[right], ends[home[b]])))
+                    quoted = np.zeros(len(a), bool)
+                    seen = np.append(0, np.cumsum(np.isin(points, marks)))
+                    for within, (x, y) in zip(inner, rims, strict=True):
+                        for k in np.flatnonzero(seen[y] > seen[x]).tolist():
+                            rim = text[x[k]:y[k]]
+                            quoted[k] |= not quotes.isdisjoint(rim) and not (within[k] and rim in APOSTROPHES)
+                    listed = [[lower[c] for c, ok in zip(row, there, strict=True) if ok] for row, there in
+                              zip(kind[near].tolist(), inside.tolist(), strict=True)] if words else [[]] * len(a)
+                    for home_text, *hit in zip(i.tolist(), (edits == 0).tolist(), quoted.tolist(), listed, scores, strict=True):
+                        out[home_text].append(tuple(hit))
             yield first, end, out
 
-    def _spans(self, symbols: np.ndarray, s: np.ndarray, e: np.ndarray, home: np.ndarray) -> list[tuple[int, int, int]]:
+    def _edits(self, kinds: pa.Array) -> np.ndarray:
+        """Least edits of distinct words, 99 for none; words seen before are not
+        looked up again."""
+        words = kinds.to_pylist()
+        if len(self._seen) > REMEMBERED:
+            self._seen.clear()
+        new = [w for w in words if w not in self._seen]
+        if new:
+            points = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+            ends = np.cumsum([len(w) for w in new])
+            starts = np.append(0, ends[:-1])
+            least = np.full(len(new), 99, np.int32)
+            which, edits = self._machine.match(self._symbols[points], starts, ends)
+            least[which] = edits
+            self._seen.update(zip(new, least.tolist(), strict=True))
+        return np.array([self._seen[w] for w in words], np.int32)
+
+    def _spans(self, symbols: np.ndarray, s: np.ndarray, e: np.ndarray, home: np.ndarray, kinds: pa.Array,
+               kind: np.ndarray) -> list[tuple[int, int, int]]:
         """(first run, last run, edits) of all hits.  Several runs with no blank
-        between them are a hit together if none of them is one as near."""
-        machine = self._machine
-        runs = dict(zip(*(x.tolist() for x in machine.match(symbols, s, e)), strict=True))
+        between them are a hit together if none of them is one as near.  ``kind``
+        is the place of each run in the distinct words ``kinds``."""
+        least = self._edits(kinds)[kind]
+        found = np.flatnonzero(least < 99)
+        runs = dict(zip(found.tolist(), least[found].tolist(), strict=True))
         first = np.flatnonzero(np.diff(home, prepend=-1))
         last = np.append(first[1:], len(home)) - 1
         several = np.flatnonzero(last > first)
-        which, near = machine.match(symbols, s[first[several]], e[last[several]])
+        which, near = self._machine.match(symbols, s[first[several]], e[last[several]])
         out = []
         for k, edits in zip(several[which].tolist(), near.tolist(), strict=True):
             inside = [r for r in range(first[k], last[k] + 1) if r in runs]
@@ -347,7 +542,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> Mod
         ids = marked = materialize(marked, "labelled")
     labelled, taken = ({r["c"]: r["n"] for r in t.groupBy((F.col("toxic") == 1).alias("c")).agg(F.count(F.lit(1)).alias("n"))
                         .collect()} for t in (marked, ids))
-    sample = materialize(docs.select("doc_id", "text").join(ids, "doc_id")
+    # dealt out by id whatever the size of either side, as the labels grow with the texts
+    sample = materialize(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id")
                          .select("text", (F.col("toxic") == 1).cast("int").alias("toxic")), "sample")
     toxic, total = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = toxic or 0, total - (toxic or 0)
@@ -375,7 +571,7 @@ def _context(sample: DataFrame, model: Model) -> dict[str, float]:
     def near(batches):
         for batch in batches:
             label = batch.column("toxic").to_pylist()
-            for first, end, found in model.hits(batch.column("text")):
+            for first, end, found in model.hits(batch.column("text"), words=True):
                 rows = [(w, label[first + i]) for i in range(end - first)
                         for w in {w for h in found[i] for w in h[2] if w}]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
@@ -383,8 +579,8 @@ def _context(sample: DataFrame, model: Model) -> dict[str, float]:
 
     if not model.terms:
         return {}
-    counts = (sample.mapInArrow(near, "word string, toxic int").groupBy("word")
-              .agg(F.sum("toxic").alias("t"), (F.count(F.lit(1)) - F.sum("toxic")).alias("c")))
+    counts = materialize(sample.mapInArrow(near, "word string, toxic int").groupBy("word")
+                         .agg(F.sum("toxic").alias("t"), (F.count(F.lit(1)) - F.sum("toxic")).alias("c")), "near")
     total = counts.agg(F.sum("t"), F.sum("c")).first()
     if not total[0] or not total[1]:
         return {}
@@ -437,7 +633,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 def fit_on_folds(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the rows whose crc32(doc_id) mod 5 is not 0."""
     learn = F.coalesce(id_bucket(F.col("doc_id"), 5) != 0, F.lit(False))
-    return fit(docs, labels.select("doc_id", "toxic").filter(learn))
+    return fit(docs.filter(learn), labels.select("doc_id", "toxic").filter(learn))
 
 
 @register("op6_toxicity")

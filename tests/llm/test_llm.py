@@ -416,3 +416,29 @@ def test_no_term_loses_its_edits_and_no_row_or_context_word_is_left_out():
     found = [h for _, _, part in model.hits(pa.array(["wortless", "scumbg", "imbecille", "numskull", "imbecile", "friend"])) for h in part]
     assert [[h[0] for h in f] for f in found] == [[False], [False], [False], [False], [True], []]
     assert not hasattr(toxicity, "SAMPLE_PER_CLASS") and not hasattr(toxicity, "CONTEXT_WORDS")
+
+
+def test_a_lexicon_needs_no_automaton_on_the_driver_and_finds_what_the_automata_find():
+    import pickle
+
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    terms = ["".join(rng.choice(list("abcdeil"), rng.integers(3, 15))) for _ in range(40)] + ["abcdefghijklmnopqrst" * 2, "ab"]
+    words = ["".join(w) for t in terms for _ in range(12) for w in [list(t)] for _ in range(rng.integers(0, 4))
+             if not w.__setitem__(slice(k := int(rng.integers(0, len(w) + 1)), k + int(rng.integers(0, 2))), rng.choice(["", "a", "x"])) and w]
+    words = [w for w in words if w]
+    points = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+    least = np.full(len(words), 99)
+    for k in range(0, len(terms), 7):
+        auto = toxicity.Automaton(terms[k:k + 7])
+        found, state = auto.match(auto.symbols()[points], starts, starts + [len(w) for w in words])
+        least[found] = np.minimum(least[found], auto.edits[state])
+    for most in (toxicity.KEYS, 100):
+        lexicon = toxicity.Lexicon(terms, most)
+        found, edits = lexicon.match(lexicon.symbols()[points], starts, starts + [len(w) for w in words])
+        assert found.tolist() == np.flatnonzero(least < 99).tolist() and edits.tolist() == least[found].tolist()
+    assert {0, 1, 2} <= set(least.tolist())
+    model = toxicity.Model(terms)
+    assert sum(len(h) for _, _, part in model.hits(pa.array(words)) for h in part) == (least < 99).sum()
+    assert len(pickle.dumps(model)) < 5_000  # the terms, nothing that grows faster
