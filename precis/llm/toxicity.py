@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ QUOTES = "\"'`‘’‚“”„«»‹›"
 #: hashes a part of a lexicon has, about
 HEAD = 10
 KEYS = 1 << 20
-#: distinct words whose edits a task keeps
-REMEMBERED = 500_000
+#: bytes of texts whose distinct words are looked up together
+SLICE = 1 << 22
 PLACE = np.array([pow(textvec.BASE, k, 1 << 64) for k in range(HEAD)], np.uint64)
 BACK = np.uint64(pow(textvec.BASE, -1, 1 << 64))
 WORD = r"[^\p{L}\p{N}]+"
@@ -229,37 +230,25 @@ class Near:
                 same = self.keys[at] == left[rows]
                 yield rows[same], at[same]
 
-    def near(self, heads: np.ndarray) -> np.ndarray:
-        """Rows of ``heads``, the first letters of words, that may be near a term."""
-        hit = np.zeros(len(heads), bool)
-        for rows, _ in self._met(heads):
-            hit[rows] = True
-        return np.flatnonzero(hit)
-
-    def least(self, words: np.ndarray) -> np.ndarray:
-        """Least edits to a term for each row of ``words``, all of one length; 99
-        where none is allowed so many."""
-        words = np.ascontiguousarray(words)
-        _, first, back = np.unique(words.view(np.dtype((np.void, words.dtype.itemsize * words.shape[1]))).ravel(),
-                                   return_index=True, return_inverse=True)
-        words, out = words[first], np.full(len(first), 99, np.int32)
-        fits = np.abs(self.sizes - words.shape[1]) <= self.edits
-        step = max(1, (1 << 24) // len(self.terms))
-        for begin in range(0, len(words), step):
-            some = words[begin:begin + step]
-            meet = np.zeros((len(some), len(self.terms)), bool)
-            for rows, keys in self._met(some[:, :HEAD]):
-                count = self.first[keys + 1] - self.first[keys]
-                skip = np.repeat(self.first[keys] - np.cumsum(count) + count, count)
-                meet[np.repeat(rows, count), self.owners[skip + np.arange(len(skip))]] = True
-            word, term = np.nonzero(meet & fits)
-            for at in range(0, len(word), 1 << 18):
-                w, t = word[at:at + (1 << 18)], term[at:at + (1 << 18)]
-                kept, edits = self._run(some[w], t)
-                np.minimum.at(out, begin + w[kept], edits)
-        return out[back.ravel()]
-
-    def _run(self, words: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, heads: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, terms): the first letters of words of one ``size``, and the terms
+        that such a word may be near."""
+        met = [x for x in self._met(heads) if len(x[0])]
+        if not met:
+            return
+        rows, keys = (np.concatenate(x) for x in zip(*met, strict=True))
+        fits = np.abs(self.sizes - size) <= self.edits
+        count = self.first[keys + 1] - self.first[keys]
+        total = np.cumsum(count)
+        for begin in range(0, int(total[-1]), 1 << 20):  # pairs of a row and a term, some of them twice
+            pair = np.arange(begin, min(begin + (1 << 20), int(total[-1])))
+            met = np.searchsorted(total, pair, "right")
+            term = self.owners[self.first[keys[met]] + pair - (total[met] - count[met])]
+            fit = fits[term]
+            codes = np.unique(rows[met[fit]] * len(self.terms) + term[fit])
+            yield codes // len(self.terms), codes % len(self.terms)
+
+    def run(self, words: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs each word through the automaton of its term: the accepted pairs
         and their edits.  ``state[d]`` is the least edits after the letters read, if
         as many of the term less ``edits`` plus d are used."""
@@ -318,10 +307,9 @@ class Lexicon:
             which = by_size[slice(*np.searchsorted(sizes, [size, size + 1], sorter=by_size))]
             heads = symbols[starts[which][:, None] + np.arange(min(size, HEAD))]
             for part in parts:
-                some = part.near(heads)
-                if len(some):
-                    words = symbols[starts[which[some]][:, None] + np.arange(size)]
-                    least[which[some]] = np.minimum(least[which[some]], part.least(words))
+                for rows, terms in part.candidates(heads, size):
+                    kept, edits = part.run(symbols[starts[which[rows]][:, None] + np.arange(size)], terms)
+                    np.minimum.at(least, which[rows[kept]], edits)
         found = np.flatnonzero(least < 99)
         return found, least[found]
 
@@ -369,14 +357,13 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-2.0])
     _machine: Lexicon | None = None
     _symbols: np.ndarray | None = None
-    _seen: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self):
         # a task derives the rest from the terms, which are far smaller
         return {"terms": self.terms, "context": self.context, "weights": self.weights}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, _machine=None, _symbols=None, _seen={})
+        self.__dict__.update(state, _machine=None, _symbols=None)
 
     def hits(self, texts: pa.Array, words: bool = False):
         """Per text a list of (exact, quoted, context words, context score); the
@@ -390,7 +377,7 @@ class Model:
             self._symbols = self._machine.symbols()
         alnum, quotes = _Chars.get(), set(QUOTES)
         marks = [ord(c) for c in QUOTES]
-        for first, end, data, offsets in textvec.slices(texts):
+        for first, end, data, offsets in textvec.slices(texts, SLICE):
             out: list[list] = [[] for _ in range(end - first)]
             text, points, chars = _decoded(data, offsets)
             if len(points) and self.terms:
@@ -400,8 +387,8 @@ class Model:
                 home = np.searchsorted(starts, s, "right") - 1  # of a run: what stands between blanks
                 kinds, kind = _distinct(points[letter], e - s)
                 spans = self._spans(self._symbols[points], s, e, home, kinds, kind)
-                if spans:
-                    a, b, edits = np.array(spans, np.int64).T
+                if len(spans):
+                    a, b, edits = spans.T
                     i = np.searchsorted(at, a, "right") - 1
                     steps = np.arange(SPAN)
                     near = np.concatenate([a[:, None] - SPAN + steps, b[:, None] + 1 + steps], axis=1)
@@ -411,7 +398,10 @@ class Model:
                     lower = dict(zip(used.tolist(), (w.lower() for w in kinds.take(pa.array(used)).to_pylist()), strict=True))
                     weight = np.zeros(len(kinds))
                     weight[used] = [self.context.get(w, 0.0) for w in lower.values()]
-                    scores = [sum(row) for row in np.where(inside, weight[kind[near]], 0.0).tolist()]
+                    weights = np.where(inside, weight[kind[near]], 0.0)
+                    scores = [0.0] * len(a)
+                    for k in np.flatnonzero(weights.any(axis=1)).tolist():
+                        scores[k] = sum(weights[k].tolist())
                     # what stands on both sides, up to the next run or blank
                     left, right = np.maximum(a - 1, 0), np.minimum(b + 1, len(s) - 1)
                     inner = (a > 0) & (home[left] == home[a]), (b + 1 < len(s)) & (home[right] == home[b])
@@ -429,43 +419,30 @@ class Model:
                         out[home_text].append(tuple(hit))
             yield first, end, out
 
-    def _edits(self, kinds: pa.Array) -> np.ndarray:
-        """Least edits of distinct words, 99 for none; words seen before are not
-        looked up again."""
-        words = kinds.to_pylist()
-        if len(self._seen) > REMEMBERED:
-            self._seen.clear()
-        new = [w for w in words if w not in self._seen]
-        if new:
-            points = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
-            ends = np.cumsum([len(w) for w in new])
-            starts = np.append(0, ends[:-1])
-            least = np.full(len(new), 99, np.int32)
-            which, edits = self._machine.match(self._symbols[points], starts, ends)
-            least[which] = edits
-            self._seen.update(zip(new, least.tolist(), strict=True))
-        return np.array([self._seen[w] for w in words], np.int32)
-
     def _spans(self, symbols: np.ndarray, s: np.ndarray, e: np.ndarray, home: np.ndarray, kinds: pa.Array,
-               kind: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first run, last run, edits) of all hits.  Several runs with no blank
+               kind: np.ndarray) -> np.ndarray:
+        """Rows (first run, last run, edits) of all hits.  Several runs with no blank
         between them are a hit together if none of them is one as near.  ``kind``
         is the place of each run in the distinct words ``kinds``."""
-        least = self._edits(kinds)[kind]
-        found = np.flatnonzero(least < 99)
-        runs = dict(zip(found.tolist(), least[found].tolist(), strict=True))
+        points = np.frombuffer("".join(kinds.to_pylist()).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(pc.utf8_length(kinds).to_numpy())
+        least = np.full(len(kinds), 99, np.int32)
+        which, edits = self._machine.match(self._symbols[points], np.append(0, ends)[:-1], ends)
+        least[which] = edits
+        least = least[kind]
         first = np.flatnonzero(np.diff(home, prepend=-1))
         last = np.append(first[1:], len(home)) - 1
         several = np.flatnonzero(last > first)
         which, near = self._machine.match(symbols, s[first[several]], e[last[several]])
-        out = []
+        whole = []
         for k, edits in zip(several[which].tolist(), near.tolist(), strict=True):
-            inside = [r for r in range(first[k], last[k] + 1) if r in runs]
-            if all(runs[r] > edits for r in inside):
-                for r in inside:
-                    del runs[r]
-                out.append((int(first[k]), int(last[k]), edits))
-        return sorted([*out, *((r, r, edits) for r, edits in runs.items())])
+            inside = least[first[k]:last[k] + 1]
+            if inside.min() > edits:
+                inside[:] = 99
+                whole.append((first[k], last[k], edits))
+        runs = np.flatnonzero(least < 99)
+        spans = np.concatenate([np.array(whole, np.int64).reshape(-1, 3), np.column_stack([runs, runs, least[runs]])])
+        return spans[np.argsort(spans[:, 0])]
 
     def features(self, hits: list) -> tuple[int, int, int, int]:
         """(plain exact, plain misspelt, quoted) hits up to 3, 2, 2, and the sign
