@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import materialize
+from precis.llm.common import materialize, release
 
 #: comparisons per posting up to which the full round follows at once: about as
 #: many as take the time in which another round of hubs would send the posting
@@ -199,6 +199,7 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
     members = members.drop("hub")
     before = None
     while True:
+        release(postings.sparkSession)
         comp = materialize(components(edges), "components")
         placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -206,6 +207,7 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
                                          F.sum("n").alias("n"), F.max("n").alias("most"))
                 .filter("n > most").drop("most"))
         mixed = materialize(placed.join(main, "key"), "mixed")
+        release(postings.sparkSession)
         strays = mixed.filter("comp <> main")
         cost = strays.agg(F.sum("n")).first()[0] or 0
         if not cost:
@@ -219,6 +221,7 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], agree
             hubs = strays.groupBy("key").agg(hub[0])
             found = verify(hub_pairs(strays.join(hubs, "key")).select("a", "b").distinct())
         found = materialize(found.select("a", "b"), "links")
+        release(postings.sparkSession)
         edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
         if last:
             return materialize(components(edges), "components")

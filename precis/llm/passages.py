@@ -309,17 +309,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = F.struct(*PLACE)
     is_first = place == F.struct("first.doc_id", "first.start")
     chains = tables.write(_chains(_with_first(again, ["h", "g"]).filter(~is_first)), "chains")
-    tables.drop("pieces")
-    # paragraphs: only keys that two different ones share are posted
-    lines = every.filter("not piece")
-    postings = lines.select("h", F.explode("keys").alias("key"))
-    counts = (postings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # paragraphs: equal ones are posted once, under keys that two different ones share
+    lines = tables.write(every.filter("not piece").select("h", *PLACE, "tag", "n"), "lines")
+    kinds = tables.write(every.filter("not piece").groupBy("h").agg(
+        F.min(F.struct(*PLACE, "tag", "n")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "kinds")
+    tables.drop("pieces", "units")
+    postings = kinds.select("h", "copies", F.explode("keys").alias("key"))
+    counts = (postings.groupBy("key").agg(F.sum("copies").alias("k"), F.min("h").alias("lo"), F.max("h").alias("hi"))
               .filter("lo < hi").select("key", F.log2("k").alias("w")))
-    shared = postings.join(counts, "key").groupBy("h").agg(F.collect_set(F.struct("key", "w")).alias("kw"))
-    at = lines.groupBy("h").agg(F.min(F.struct(*PLACE, "tag", "n")).alias("at"))
-    shared = tables.write(shared.join(at, "h").select(
+    shared = postings.select("h", "key").join(counts, "key").groupBy("h").agg(F.collect_set(F.struct("key", "w")).alias("kw"))
+    shared = tables.write(shared.join(kinds.select("h", "at"), "h").select(
         "h", "at", F.array_sort(F.col("kw")["key"]).alias("keys"),
         F.aggregate(F.array_sort("kw"), F.lit(0.0), lambda a, x: a + x["w"]).alias("weight")), "shared")
+    tables.drop("kinds")
     shifted = [(F.col(c) - F.col("shift")).alias(c) for c in ("start", "stop")]
     none = F.lit(None).cast("long").alias("h")
     wanted = (shared.select("at.doc_id", "at.tag", "at.start", (F.col("at.start") + F.col("at.n")).alias("stop"), "h")

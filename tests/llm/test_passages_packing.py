@@ -107,3 +107,27 @@ def test_packing_of_added_tokens_bad_bytes_and_repeated_rows(spark):
     spots = sorted((p["sequence_id"], p["offset"], p["length"]) for p in pieces)
     for a, b in zip(spots, spots[1:], strict=False):
         assert a[0] != b[0] or a[1] + a[2] == b[1]
+
+
+def test_cut_texts_are_gone_before_paragraphs_are_compared(spark, monkeypatch):
+    """The units of all texts are on disk no longer than it takes to take them
+    apart, and equal paragraphs are posted once, counted as often as they occur."""
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(30)]
+    near = [*base[:29], "other"]
+    texts = [" ".join(base)] * 5 + [" ".join(near)] * 2 + [" ".join(f"y{rng.randint(0, 10 ** 6)}" for _ in range(30))]
+    seen, write = {}, passages.Tables.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        seen[name] = sorted(self.paths), out.collect() if name in ("kinds", "lines") else None
+        return out
+
+    monkeypatch.setattr(passages.Tables, "write", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["removed"], r["kept_doc_id"]) for r in passages.repeated_passages(docs).collect()}
+    assert got == {(i, i != 0, 0) for i in range(7)}
+    for name in ("shared", "looked", "runs", "sets"):
+        assert not {"units", "pieces"} & set(seen[name][0])
+    assert sorted(r["copies"] for r in seen["kinds"][1]) == [1, 2, 5] and len(seen["lines"][1]) == 8
+    assert "keys" not in seen["lines"][1][0].asDict()
