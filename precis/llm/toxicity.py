@@ -34,8 +34,10 @@ QUOTES = "\"'`‘’‚“”„«»‹›"
 #: hashes a part of a lexicon has, about
 HEAD = 10
 KEYS = 1 << 20
-#: bytes of texts whose distinct words are looked up together
-SLICE = 1 << 22
+#: bytes of texts whose distinct words are looked up together, and pairs of a word
+#: and a term that are run together: both bound a task's memory, some 100 MB
+SLICE = 1 << 20
+PAIRS = 1 << 17
 PLACE = np.array([pow(textvec.BASE, k, 1 << 64) for k in range(HEAD)], np.uint64)
 BACK = np.uint64(pow(textvec.BASE, -1, 1 << 64))
 WORD = r"[^\p{L}\p{N}]+"
@@ -240,8 +242,8 @@ class Near:
         fits = np.abs(self.sizes - size) <= self.edits
         count = self.first[keys + 1] - self.first[keys]
         total = np.cumsum(count)
-        for begin in range(0, int(total[-1]), 1 << 20):  # pairs of a row and a term, some of them twice
-            pair = np.arange(begin, min(begin + (1 << 20), int(total[-1])))
+        for begin in range(0, int(total[-1]), PAIRS):  # pairs of a row and a term, some of them twice
+            pair = np.arange(begin, min(begin + PAIRS, int(total[-1])))
             met = np.searchsorted(total, pair, "right")
             term = self.owners[self.first[keys[met]] + pair - (total[met] - count[met])]
             fit = fits[term]

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from precis.llm import (language, links, maxent, mixing, near, neighbours, packing, passages, quality, toxicity, warc)
@@ -442,3 +443,24 @@ def test_a_lexicon_needs_no_automaton_on_the_driver_and_finds_what_the_automata_
     model = toxicity.Model(terms)
     assert sum(len(h) for _, _, part in model.hits(pa.array(words)) for h in part) == (least < 99).sum()
     assert len(pickle.dumps(model)) < 5_000  # the terms, nothing that grows faster
+
+
+def test_toxicity_memory_does_not_grow_with_a_batch():
+    """Scoring takes a bounded part of a batch at a time, whatever its size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(w) for w in letters[rng.integers(0, 26, (40_000, 8))]]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 100)) + (" worthles" if k % 7 == 0 else "")
+             for k in range(4_500)]  # 4 MB
+    model = toxicity.Model(terms=["worthless", "idiot", *words[:200]])
+    list(model.hits(pa.array(texts[:20])))  # what a worker keeps
+    tracemalloc.start()
+    try:
+        found = [h for _, _, some in model.hits(pa.array(texts)) for h in some]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(texts) and all(found[k] for k in range(0, len(texts), 7))
+    assert peak < 120e6, peak
