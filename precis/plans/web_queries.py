@@ -53,7 +53,9 @@ def talk_pages(spark, sf):
     """pages with talk markup built from their topics and a document's text."""
     pages = _pages(spark, sf).withColumn("topics", F.split(W.page_topics(F.col("html"), "nav"), ",", -1))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    both = pages.select("page_id", "url", "topics").join(docs, "page_id")
+    # dealt out by id, as the work comes after the join: a broadcast of the pages
+    # would leave it to the few tasks whose files hold their documents
+    both = pages.select("page_id", "url", "topics").join(docs.hint("merge"), "page_id")
     k, m = F.col("page_id") % 8, F.col("page_id") % 5
     safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     block = F.transform("topics", lambda t, i: F.concat(

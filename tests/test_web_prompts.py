@@ -31,6 +31,27 @@ def test_ldjson_and_cues(spark):
     assert W.extract_corpus(bare).first()["transcript"] is None
 
 
+def test_topics_read_the_page_once(spark):
+    """The markup is stripped once for the container and once for its list, not
+    again at each place that names it."""
+    cases = {"<aside><p><aside>x</aside></p><ul class='a>b'><li>A</li><li><ul><li>B</li></ul></li></ul><ul><li>C</li></ul></aside>": "A,B",
+             "<ul><li>C</li></ul><!-- <aside> --><ASIDE><UL><li>D</li>": "D", "<aside></aside><aside><ul><li>E</li></ul></aside>": None,
+             "</aside><aside><script><ul><li>no</li></ul></script><ul><li>F</li></ul></aside>": "F", "plain": None, "": None}
+    df = spark.createDataFrame([*cases.items(), (None, None)], "h string, want string")
+    out = df.select("want", W.page_topics(F.col("h")).alias("got"))
+    assert all(r["want"] == r["got"] for r in out.collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("<style") <= 2
+
+
+def test_talk_pages_dealt_out_by_id(spark, sf):
+    """The pages are built and read after the join, so it must not stay with the
+    files of the documents, small as the pages may be."""
+    from precis.plans import web_queries as WQ
+    for q in (WQ.q_ldjson_fields, WQ.q_media_links, WQ.q_cue_transcript, WQ.q_scrape_frame):
+        plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_listing_url(spark):
     got = one(spark, W.listing_url(F.split(F.col("t"), ","), F.lit(2)), t="a,b")
     assert got == "https://www.ted.com/talks?page=2&topics[]=a&topics[]=b"
