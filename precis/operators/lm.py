@@ -7,11 +7,12 @@ add-k smoothing trained *in Spark* on a corpus (two groupBy counts); a
 table of per-line LM log-probabilities can be passed instead.
 
 Scale: scoring is inverted.  The distinct bigrams of all lines are looked up
-once, in one table (prev, token, log-probabilities) built for them, so the
-corpus tables meet distinct bigrams and never the running text; lines then meet
-that table in one join of (line, bigram, count) rows.  Nothing is collected,
-persisted or run while the query is built: the corpus totals are scalar
-subqueries.
+once, in one table (pair, gain) built for them, so the corpus tables meet
+distinct bigrams and never the running text; lines then meet that table in one
+join of (line, bigram, count) rows.  A bigram is one string "prev token", as no
+token holds white space: one key to hash and compare instead of two.  Nothing is
+collected, persisted or run while the query is built: the corpus totals are
+scalar subqueries.
 """
 
 from __future__ import annotations
@@ -30,37 +31,42 @@ def line_tokens(text: Column) -> Column:
 
 
 def bigrams(t: Column) -> Column:
-    """(prev, token) pairs of a token array, built in one linear pass (the
+    """The bigrams "prev token" of a token array, built in one linear pass (the
     array itself is not copied into every exploded row).  ``t`` should be a
     column: an expression would be evaluated at each of its places here."""
-    n = F.size(t)
-    return F.when(n > 1, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
-                                    lambda a, b: F.struct(a.alias("prev"), b.alias("token"))))\
-        .otherwise(F.array().cast("array<struct<prev:string,token:string>>"))
+    return F.when(F.size(t) > 1, F.transform(F.slice(t, F.lit(2), F.size(t)), lambda x, i: F.concat(t[i], F.lit(" "), x))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def prev_of(pair: Column) -> Column:
+    return F.substring_index(pair, " ", 1)
+
+
+def token_of(pair: Column) -> Column:
+    return F.substring_index(pair, " ", -1)
 
 
 def _pairs(lines: DataFrame, *first: Column) -> DataFrame:
-    """A row (prev, token) for each bigram of the token arrays ``t``, the other
-    columns repeated.  Both are made non-null, so that no join on them adds a
-    null filter below the counting, which would keep its exchange from being
-    shared."""
-    pairs = lines.select(*[c for c in lines.columns if c != "t"], F.inline(F.concat(*first, bigrams(F.col("t")))))
-    return pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("prev", "token")})
+    """A row ``pair`` for each bigram of the token arrays ``t``, the other columns
+    repeated.  It is made non-null, so that no join on it adds a null filter below
+    the counting, which would keep its exchange from being shared."""
+    pairs = lines.select(*[c for c in lines.columns if c != "t"], F.explode(F.concat(*first, bigrams(F.col("t")))).alias("pair"))
+    return pairs.withColumn("pair", F.coalesce("pair", F.lit("")))
 
 
 def train_bigram_lm(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, Column]:
-    """-> (unigrams(token, cu), bigrams(prev, token, cb), struct(n, v)): counts,
-    and as a scalar the number of tokens and of distinct tokens.
+    """-> (unigrams(token, cu), bigrams(pair, cb), struct(n, v)): counts, and as
+    a scalar the number of tokens and of distinct tokens.
 
     The corpus is tokenised into bigram counts only; a line's start marker is
     counted as a bigram after an empty token, so that a token's count is the sum
     of its bigram counts for the marker too."""
     lines = corpus.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")) \
         .filter(F.length("line") > 0)
-    first = F.array(F.struct(F.lit("").alias("prev"), F.lit(START).alias("token")))
+    first = F.array(F.lit(" " + START))
     bi = _pairs(lines.select(line_tokens(F.col("line")).alias("t")), first) \
-        .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cb"))
-    uni = bi.groupBy("token").agg(F.sum("cb").alias("cu"))
+        .groupBy("pair").agg(F.count(F.lit(1)).alias("cb"))
+    uni = bi.groupBy(token_of(F.col("pair")).alias("token")).agg(F.sum("cb").alias("cu"))
     # conditions instead of a filter, which would be pushed below the counting
     # and keep its exchange from being shared
     word = F.col("token") != START
@@ -78,15 +84,17 @@ def slor(runs: DataFrame, corpus: DataFrame, k: float = 1.0, pred_col: str = "pr
     uni, bi, totals = train_bigram_lm(corpus, corpus_col)
     lines = runs.select("run_id", F.posexplode(F.split(F.col(pred_col), "\n", -1)).alias("line_no", "line"))
     used = _pairs(lines.select("run_id", "line_no", line_tokens(F.col("line")).alias("t"))) \
-        .groupBy("run_id", "line_no", "prev", "token").agg(F.count(F.lit(1)).alias("times"))
-    # the distinct bigrams, each with its counts and those of its two tokens
-    table = used.select("prev", "token").distinct().join(bi, ["prev", "token"], "left") \
+        .groupBy("run_id", "line_no", "pair").agg(F.count(F.lit(1)).alias("times"))
+    # the distinct bigrams, each with its counts and those of its two tokens; they
+    # are hashed, so that the many more bigrams of the corpus are not sorted
+    table = used.select("pair").distinct().hint("shuffle_hash").join(bi, "pair", "left") \
+        .select("pair", "cb", prev_of(F.col("pair")).alias("prev"), token_of(F.col("pair")).alias("token")) \
         .join(uni, "token", "left") \
         .join(uni.select(F.col("token").alias("prev"), F.col("cu").alias("cp")), "prev", "left")
     kv = F.lit(k) * F.greatest(totals["v"], F.lit(1))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.lit(k)
-    table = table.select("prev", "token", (F.log(count("cb") / (F.coalesce("cp", F.lit(0)) + kv))
-                                           - F.log(count("cu") / (totals["n"] + kv))).alias("gain"))
-    per_line = used.join(table, ["prev", "token"]).groupBy("run_id", "line_no").agg(
+    table = table.select("pair", (F.log(count("cb") / (F.coalesce("cp", F.lit(0)) + kv))
+                                  - F.log(count("cu") / (totals["n"] + kv))).alias("gain"))
+    per_line = used.join(table, "pair").groupBy("run_id", "line_no").agg(
         (F.sum(F.col("gain") * F.col("times")) / F.sum("times")).alias("line_slor"))
     return per_line.groupBy("run_id").agg(F.avg("line_slor").alias("slor"))

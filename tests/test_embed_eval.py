@@ -2,6 +2,7 @@
 planner against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -119,6 +120,29 @@ def test_slor_starts_no_job_while_it_is_built(spark, sf):
     assert built.filter(F.col("slor").isNull()).count() == 0
 
 
+def test_slor_hashes_one_key_per_bigram(spark):
+    """A small case by hand, and a plan that does not sort the corpus' bigrams."""
+    from math import log
+    docs = ["the cat, the cat\n\nthe_dog 7", None, "", "été\u00a0the <s> cat"]
+    texts = {1: "The cat\n\nthe  bird", 2: "", 3: None, 4: "the cat the cat ,\n<s>"}
+    split = lambda x: ["<s>"] + re.findall(r"\w+|[^\w\s]", x.lower())
+    lines = [split(x) for d in docs if d for x in d.split("\n") if x]
+    uni = Counter(x for t in lines for x in t)
+    bi = Counter(p for t in lines for p in zip(t, t[1:]))
+    n, v = sum(uni.values()) - uni["<s>"], len(uni) - 1
+    one = lambda a, b: log((bi[a, b] + 1) / (uni[a] + v)) - log((uni[b] + 1) / (n + v))
+    want = {}
+    for i, x in texts.items():
+        per = [[one(*p) for p in zip(t, t[1:])] for t in map(split, (x or "").split("\n")) if len(t) > 1]
+        if per:
+            want[i] = sum(sum(g) / len(g) for g in per) / len(per)
+    built = lm.slor(spark.createDataFrame([*texts.items()], "run_id long, prediction string"),
+                    spark.createDataFrame([(d,) for d in docs], "text string"))
+    got = {r["run_id"]: r["slor"] for r in built.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert "ShuffledHashJoin [pair" in built._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_metrics_equal_their_own_operators(spark, sf):
     """One fused plan against each operator by itself, on truncated texts."""
     from precis.operators import entailment, fmt, grammar, hallucination, judge
