@@ -7,18 +7,22 @@ the truncated text.  Metrics that a row decides alone are columns of one
 projection over it.  The others yield narrow rows (run_id, name, scores), whose
 union goes through one aggregation and meets the base row in one join, however
 many of them there are; texts never travel through that shuffle.
+
+By modifier family (``evaluate_families``) every metric is built once too, over the
+runs that ask for it, however many families there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.operators import embed, entailment, fmt, grammar, hallucination, judge, lm, rouge
+from precis.session import stored
 
 ALL_METRICS = ["rouge", "bert_score", "number_hallucination", "entailment", "slor", "errors",
                "geval_fluency", "geval_coherence", "geval_consistency", "geval_relevance"]
@@ -130,25 +134,34 @@ def checked(metrics: list[str] | None) -> list[str]:
     return [m for m in ALL_METRICS if m in asked]
 
 
+def _in_row(base: DataFrame, metrics: list[str], inp: Inputs,
+            asks: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """``base`` with the metrics that a row decides alone, and their columns; with
+    ``asks`` only in the rows that ask for the metric."""
+    row: dict[str, Column] = {}
+    only = lambda m, c: c if asks is None else F.when(asks[m], c)
+    if "number_hallucination" in metrics:
+        sides = {f"__{c}": only("number_hallucination", F.col(c)) for c in ("text", "prediction")}
+        base = hallucination.number_hallucinations(base.withColumns(sides), *sides)
+        row["number_hallucinations"] = only("number_hallucination", F.col("number_hallucinations"))
+    if "entailment" in metrics and inp.nli is None and inp.nli_scorer is not None:
+        base = base.withColumn("__nli", only("entailment", entailment.row_ratios(F.col("text"), F.col("prediction"), inp.nli_scorer)))
+        row |= {c: F.col(f"__nli.{c}") for c in COLUMNS["entailment"]}
+    if "errors" in metrics and inp.findings is None:
+        base = base.withColumn("__err", only("errors", grammar.row_error_scores(F.col("prediction"), inp.rules)))
+        row |= {c: F.col(f"__err.{c}") for c in COLUMNS["errors"]}
+    return base, row
+
+
 def evaluate(runs: DataFrame, metrics: list[str] | None = None, inputs: Inputs | None = None,
              with_runs: bool = False) -> DataFrame:
     """E19 -> (run_id, three_by_three, long_subheadings, long_bullets,
     prediction (truncated), + the columns of the requested metrics)."""
     metrics = checked(metrics)
     inp = inputs or Inputs()
-    base = fmt.format_check(runs.select("run_id", "text", "prediction"))
+    base, row = _in_row(fmt.format_check(runs.select("run_id", "text", "prediction")), metrics, inp)
     cand = base.select("run_id", "prediction")
     wanted = [c for m in metrics for c in COLUMNS[m]]
-    row: dict[str, Column] = {}
-    if "number_hallucination" in metrics:
-        base = hallucination.number_hallucinations(base, "text", "prediction")
-        row["number_hallucinations"] = F.col("number_hallucinations")
-    if "entailment" in metrics and inp.nli is None and inp.nli_scorer is not None:
-        base = base.withColumn("__nli", entailment.row_ratios(F.col("text"), F.col("prediction"), inp.nli_scorer))
-        row |= {c: F.col(f"__nli.{c}") for c in COLUMNS["entailment"]}
-    if "errors" in metrics and inp.findings is None:
-        base = base.withColumn("__err", grammar.row_error_scores(F.col("prediction"), inp.rules))
-        row |= {c: F.col(f"__err.{c}") for c in COLUMNS["errors"]}
     out = base.select("run_id", *FORMAT_COLUMNS, "prediction", *[c.alias(n) for n, c in row.items()])
     branches = _branches(cand, metrics, inp)
     if branches:
@@ -171,24 +184,65 @@ def _typed(name: str, in_row: bool) -> Column:
     return (one.cast("int") if name in COUNTS else one).alias(name)
 
 
+def _keyed(side: DataFrame | None, cand: DataFrame) -> DataFrame | None:
+    """The rows of a side input (run_id, ...) of the runs of ``cand``, under its keys."""
+    if side is None:
+        return None
+    keys = cand.select("run_id.run_id", F.col("run_id").alias("key")).groupBy("run_id").agg(F.collect_set("key").alias("keys"))
+    return side.join(keys, "run_id").select(F.explode("keys").alias("run_id"), *[c for c in side.columns if c != "run_id"])
+
+
+def _family_branches(base: DataFrame, asks: dict[str, list[int]], inp: Inputs) -> list[DataFrame]:
+    """(run_id, asked, name, scores) of the metrics that need more than a run's row.
+    Each is built once, over the runs of all metric sets that ask for it."""
+    # scores of a run that its text does not change are found once for all sets
+    tabled = [m for m in asks if m.startswith("geval_") or m == "entailment"
+              or m == "bert_score" and (inp.vectors is None or inp.refs is None)]
+    sets = {c: F.array(*map(F.lit, asks[m])) for m in tabled for c in COLUMNS[m]}
+    which = F.coalesce(*[F.when(F.col("name") == c, s) for c, s in sets.items()]) if sets else None
+    out = [b.select("run_id", F.explode(which).alias("asked"), "name", "scores") for b in _branches(base, tabled, inp)]
+    for m in (m for m in asks if m not in tabled):
+        cand = base.filter(F.col("asked").isin(asks[m])).select(F.struct("run_id", "asked").alias("run_id"), "prediction")
+        keyed = replace(inp, refs=_keyed(inp.refs, cand), findings=_keyed(inp.findings, cand))
+        out += [b.select("run_id.*", "name", "scores") for b in _branches(cand, [m], keyed)]
+    return out
+
+
 def evaluate_families(runs: DataFrame, family_col: str = "family", inputs: Inputs | None = None,
                       table: dict[str, list[str]] | None = None) -> DataFrame:
     """E19 by modifier family: every run gets the metrics of its family in
     ``table`` -> (run_id, family, format columns, prediction, all metric columns,
-    null where the family does not ask for one).  Families with the same metrics
-    share a branch; runs of a family without an entry are an error."""
+    null where the family does not ask for one).  Runs of a family without an entry
+    are an error.
+
+    A metric is built once for all families, so the plan does not grow with them.
+    Families with the same metrics are one set; a run is scored by itself in each
+    set it is in."""
     table = FAMILY_METRICS if table is None else table
-    sets: dict[tuple, list[str]] = {}
-    for family, metrics in table.items():
-        sets.setdefault(tuple(checked(metrics)), []).append(family)
+    inp = inputs or Inputs()
+    of = {family: tuple(checked(metrics)) for family, metrics in table.items()}
+    sets = list(dict.fromkeys(of.values()))
+    asks = {m: [i for i, s in enumerate(sets) if m in s] for m in ALL_METRICS if any(m in s for s in sets)}
     known = F.when(F.col(family_col).isin(*table), F.col(family_col)).otherwise(
         F.raise_error(F.concat(F.lit("unknown modifier family: "), F.coalesce(F.col(family_col), F.lit("null")))))
-    named = runs.withColumn("family", known)
-    parts = [evaluate(mine := named.filter(F.col("family").isin(*families)), list(metrics), inputs)
-             .join(mine.select("run_id", "family"), "run_id") for metrics, families in sets.items()]
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.select("run_id", "family", *FORMAT_COLUMNS, "prediction",
-                      *[c for m in ALL_METRICS for c in COLUMNS[m] if c in out.columns])
+    number = F.coalesce(*[F.when(F.col("family").isin([f for f in of if of[f] == s]), F.lit(i)) for i, s in enumerate(sets)])
+    # a run without an id meets no scores
+    named = runs.filter(F.col("run_id").isNotNull()).withColumn("family", known).select(
+        "run_id", "family", number.alias("asked"), "text", "prediction")
+    base, row = _in_row(fmt.format_check(named), list(asks), inp, {m: F.col("asked").isin(s) for m, s in asks.items()})
+    wanted = [c for m in asks for c in COLUMNS[m]]
+    base = base.select("run_id", "family", "asked", *FORMAT_COLUMNS, "prediction", *[c.alias(n) for n, c in row.items()])
+    if len(row) < len(wanted):
+        base = stored(base, "runs")
+    # runs of one id in one set share their families, as they do their scores
+    mine = base.select("run_id", "asked", F.lit("family").alias("name"), "family")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [mine, *_family_branches(base, asks, inp)])
+    scores = F.col("scores") if "scores" in every.columns else F.lit(None).cast("array<double>")
+    met = every.groupBy("run_id", "asked").agg(F.collect_list("family").alias("families"), *[
+        F.max(F.when(F.col("name") == c, scores)).alias(c) for c in wanted if c not in row])
+    out = base.drop("family").join(met, ["run_id", "asked"])
+    return out.select("run_id", F.explode("families").alias("family"), *FORMAT_COLUMNS, "prediction",
+                      *[_typed(c, c in row) for c in wanted])
 
 
 # ------------------------------------------------------------------ E20

@@ -221,3 +221,62 @@ def test_a_text_travels_once_for_each_cell_not_for_each_pair(spark):
     assert all(cells.select("bucket", "part", f"{s}_text").distinct().count() <= 30 * 5 for s in ("cand", "ref"))
     for r in embed.embedding_match(vecs, vecs, pairs, block=200).collect():
         assert np.allclose([r["p"], r["r"], r["f1"]], greedy(texts[r["pair_id"] // 30], texts[r["pair_id"] % 30]))
+
+
+def _family_inputs(spark, sf):
+    """Runs whose ids repeat within a family, between families and as null, with all inputs."""
+    from precis.operators import entailment
+    from precis.plans import evaluate as EV
+    words = ["One two three.", "Two birds, 7 cats.\nThe cat sat", "the  cat ,sat. A b c", "", None]
+    runs = spark.createDataFrame(
+        [(i, words[i % 5], words[(i * 3 + 1) % 5], "abcd"[i % 4]) for i in range(12)]
+        + [(2, "x 7", "Two cats sat.", "c"), (2, "x", "The birds", "c"), (2, "x", "a cat sat", "a"), (None, "x", "y", "a")],
+        "run_id long, text string, prediction string, family string")
+    refs = spark.createDataFrame([(i, k, f"The cat sat {i}. Two birds {k}.") for i in (0, 1, 2, 2, 3, 4, 6, 8, 40) for k in range(2)],
+                                 "run_id int, ref_no int, reference string")
+    replies = spark.createDataFrame([(i, m, k, str(1 + (i + k) % 5)) for i in range(11) for m in ("fluency", "relevance") for k in range(3)],
+                                    "run_id long, metric string, choice_idx int, reply string")
+    findings = spark.createDataFrame([(i, 0, "GRAMMAR") for i in (0, 1, 1, 2, 5)], "run_id long, line_no int, category string")
+    inp = EV.Inputs(refs=refs, vectors=metric_queries.encoder(spark, sf), baseline=0.25, nli_scorer=entailment.length_scorer,
+                    corpus=refs.select(F.col("reference").alias("text")), judge_replies=replies, judge_n=3, stem=False)
+    nli = spark.createDataFrame([(i, k, 0.5, 0.3 * k, 0.2) for i in (0, 2, 3, 9) for k in range(3)],
+                                "run_id long, line_no int, p_c double, p_n double, p_e double")
+    return runs, inp, {"findings": findings, "nli": nli}
+
+
+def test_families_equal_their_own_evaluations(spark, sf):
+    """E19 by family: one plan for all families against a plan for each metric set."""
+    from dataclasses import replace
+    from precis.plans import evaluate as EV
+    runs, inp, tables = _family_inputs(spark, sf)
+    asked = {"a": ["rouge", "bert_score", "errors", "geval_fluency", "number_hallucination"], "c": ["geval_fluency", "rouge", "slor"],
+             "b": ["format"], "d": ["entailment", "geval_relevance", "errors", "rouge", "bert_score"]}
+    for given, table in ((inp, asked), (replace(inp, **tables), asked | {"b": asked["a"]}), (EV.Inputs(), asked)):
+        got = EV.evaluate_families(runs, inputs=given, table=table)
+        want = {}
+        for metrics in {tuple(m) for m in table.values()}:
+            mine = runs.filter(F.col("family").isin([f for f in table if tuple(table[f]) == metrics]))
+            for r in EV.evaluate(mine, list(metrics), given).join(mine.select("run_id", "family"), "run_id").collect():
+                want.setdefault((r["run_id"], r["family"]), []).append(r.asDict())
+        assert [c for c in got.columns[2:]] == [*EV.FORMAT_COLUMNS, "prediction", *[c for m in EV.ALL_METRICS for c in EV.COLUMNS[m]
+                                                if m in sum(table.values(), [])]]
+        found = {}
+        for r in got.collect():
+            found.setdefault((r["run_id"], r["family"]), []).append(r.asDict())
+        assert found.keys() == want.keys() and None not in {k[0] for k in found}
+        for k, rows in want.items():
+            plain = lambda r: str([(round(v, 9) if isinstance(v, float) else [round(x, 9) for x in v] if isinstance(v, list) else v)
+                                   for v in (r.get(c) for c in got.columns)])
+            assert sorted(map(plain, rows)) == sorted(map(plain, found[k])), k
+
+
+def test_plan_does_not_grow_with_families(spark, sf):
+    from precis.plans import evaluate as EV
+    runs, inp, _ = _family_inputs(spark, sf)
+
+    def exchanges(*dropped):  # families with a metric set each, all of which ask for what costs most
+        table = {f: ["rouge", "bert_score", "geval_fluency", *(m for m in ("errors", "entailment", "geval_relevance") if m not in d)]
+                 for f, d in zip("abcd", dropped, strict=True)}
+        return EV.evaluate_families(runs, inputs=inp, table=table)._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert exchanges((), ("errors",), ("entailment",), ("geval_relevance",)) == exchanges((), (), (), ())
