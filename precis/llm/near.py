@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precis.llm import textvec
-from precis.llm.common import load, materialize
+from precis.llm.common import lean, load, materialize
 from precis.llm.links import agreeing, connect
 from precis.plans.registry import register
 
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                      pa.array(sketch, pa.binary())],
                     names=["doc_id", "n_shingles", "cls", "keys", "sketch"])
 
-    return named.mapInArrow(sign, schema)
+    return named.mapInArrow(lean(sign), schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", tex
                      pa.array([wide[i].tobytes() for i in keep], pa.binary())],
                     names=["cls", "members", "wide"])
 
-    return (texts.select("cls", "text").mapInArrow(collect, "cls binary, members binary, wide binary")
+    return (texts.select("cls", "text").mapInArrow(lean(collect), "cls binary, members binary, wide binary")
             .dropDuplicates(["cls"]))
 
 

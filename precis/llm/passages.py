@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precis.llm import textvec
-from precis.llm.common import Tables, load, materialize
+from precis.llm.common import Tables, lean, load, materialize
 from precis.llm.links import connect
 from precis.llm.near import SEED, _fingerprint
 from precis.plans.registry import register
@@ -144,7 +144,7 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 doc = doc[place]
                 yield from _unit_batch(batch, first + doc, place - at[doc], np.full(len(place), PIECE), True, both, None)
 
-    return named.mapInArrow(cut, schema)
+    return named.mapInArrow(lean(cut), schema)
 
 
 def _unit_batch(batch, row, start, n, piece, sums, keys):
@@ -208,7 +208,7 @@ def looked_up(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                      column(5, pa.binary()), pa.array([next(sketches) if o[4] is not None else None for o in out], pa.binary()),
                      column(6, pa.int32())], names=schema.names)
 
-    return texts.mapInArrow(collect, schema)
+    return texts.mapInArrow(lean(collect), schema)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -387,7 +387,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, raw).view(kind) if k == text_at else c.take(at) for k, c in enumerate(columns)], names=names)
 
-    return marked.select("row", "gone").mapInArrow(cut, docs.schema)
+    return marked.select("row", "gone").mapInArrow(lean(cut), docs.schema)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes | None:

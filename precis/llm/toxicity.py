@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.llm import textvec
-from precis.llm.common import id_bucket, load, materialize
+from precis.llm.common import id_bucket, lean, load, materialize
 from precis.plans.registry import register
 
 #: states of one automaton, about; a term is in LEAST toxic documents
@@ -537,7 +537,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> Mod
               .groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")))
     model.terms = [r["word"] for r in _salient(counts, toxic, clean, LEAST, 8.0, 5.0, weight)]
     model.context = _context(sample, model)
-    cells = sample.mapInArrow(_cells(model), "e int, f int, q int, c int, toxic int")
+    cells = sample.mapInArrow(lean(_cells(model)), "e int, f int, q int, c int, toxic int")
     grouped = cells.groupBy("e", "f", "q", "c").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     model.weights = fit_logistic([((r["e"], r["f"], r["q"], r["c"]), r["t"], r["t"] + weight * (r["n"] - r["t"]))
                                   for r in grouped.orderBy("e", "f", "q", "c").collect()])
@@ -558,7 +558,7 @@ def _context(sample: DataFrame, model: Model) -> dict[str, float]:
 
     if not model.terms:
         return {}
-    counts = materialize(sample.mapInArrow(near, "word string, toxic int").groupBy("word")
+    counts = materialize(sample.mapInArrow(lean(near), "word string, toxic int").groupBy("word")
                          .agg(F.sum("toxic").alias("t"), (F.count(F.lit(1)) - F.sum("toxic")).alias("c")), "near")
     total = counts.agg(F.sum("t"), F.sum("c")).first()
     if not total[0] or not total[1]:
@@ -594,7 +594,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 [*[batch.column(c) for c in keep], pa.array(value, pa.float64()),
                  pa.array((value >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -606,7 +606,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                      for h in found]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fit_on_folds(docs: DataFrame, labels: DataFrame) -> Model:

@@ -131,3 +131,33 @@ def test_cut_texts_are_gone_before_paragraphs_are_compared(spark, monkeypatch):
         assert not {"units", "pieces"} & set(seen[name][0])
     assert sorted(r["copies"] for r in seen["kinds"][1]) == [1, 2, 5] and len(seen["lines"][1]) == 8
     assert "keys" not in seen["lines"][1][0].asDict()
+
+
+def test_lean_gives_back_what_a_batch_leaves():
+    """A Python worker that Spark keeps does not keep what its batches freed."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+    from precis.llm.common import lean
+
+    def held():
+        with open("/proc/self/status") as f:
+            return int(re.search(r"\nRssAnon:\s+(\d+)", f.read())[1]) / 1024
+
+    pins = []
+
+    def work(batches):
+        for batch in batches:
+            many = [np.ones(8000) for _ in range(4000)]  # 256 MB in blocks that malloc keeps
+            pins.append(np.ones(8000))  # above them
+            yield batch.slice(0, int(many[0][0]))
+            yield batch.slice(1)
+            del many
+
+    batches = [pa.RecordBatch.from_pydict({"a": [k, k + 1, k + 2]}) for k in (0, 3)]
+    before = held()
+    out = [x.to_pydict()["a"] for x in lean(work)(iter(batches))]
+    assert out == [[0], [1, 2], [3], [4, 5]]
+    assert held() - before < 100
+    assert list(lean(work)(iter([]))) == []
